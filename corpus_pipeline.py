@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fonoteca.llm import packing, quality, secrets
+from fonoteca.llm import decontaminate, near_dup, packing, quality, secrets
 from fonoteca.llm.common import materialise, read
 
 
@@ -12,6 +12,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.accepted(docs, read(spark, sf_dir, "labels"))
 
 
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one of the least id; five-word shingles, similarity 0.8."""
+    return near_dup.one_of_each(docs, k=5, percent=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret becomes a mask, in a text whose length is then counted anew."""
     return secrets.redacted(docs)
@@ -23,6 +32,8 @@ def mixture_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 STAGES = [
     ("quality classifier", quality_classifier),
+    ("minhash near-dedup", minhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
     ("secret scans", secret_scans),
     ("packing", mixture_packing),
 ]
