@@ -1,10 +1,457 @@
-"""Queries over the catalogue operators, each with the SQL that an oracle runs on the same tables."""
+"""Queries over the catalogue operators, each with the SQL that an oracle runs on the same tables.
+
+Every query runs over its whole tables; limits stand only where they are the feature (a page, a top-n).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fonoteca import schema
+from fonoteca.functions import detection, text
+from fonoteca.operators import audits, browse, console, groups, match, merge, predicates, reports, stats
+from fonoteca.plans import paths
+from fonoteca.sources import adapters, readers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+FILES_CTE = f"WITH files AS ({adapters.bare(adapters.FILES)}) "
+TRACKS_CTE = f"WITH tracks AS ({adapters.bare(adapters.TRACKS)}) "
+CANDIDATES_CTE = f"WITH candidates AS ({adapters.bare(adapters.CANDIDATES)}) "
+LISTING_CTE = f"WITH listing AS ({adapters.bare(adapters.LISTING)}) "
+
+
+def register(name: str, query: Query, oracle: str | None = None) -> None:
+    QUERIES[name] = query
+    if oracle:
+        ORACLES[name] = oracle
+
+
+def of_files(name: str, operator: Callable[[DataFrame], DataFrame], oracle: str | None = None) -> None:
+    register(name, lambda spark, d: operator(adapters.files(spark, d)), oracle and FILES_CTE + oracle)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def listed(values: tuple[str, ...]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+# Counts and histograms.
+of_files("stats_total", stats.total, "SELECT count(*) AS n FROM files")
+of_files("stats_by_codec", lambda f: stats.by(f, "codec"), "SELECT codec, count(*) AS n FROM files GROUP BY codec")
+of_files("stats_by_status", lambda f: stats.by(f, "status"), "SELECT status, count(*) AS n FROM files GROUP BY status")
+of_files("stats_status_histogram", stats.status_histogram, "SELECT coalesce(nullif(status, ''), 'unknown') AS status, count(*) AS n FROM files GROUP BY 1")
+of_files("stats_size", stats.size, "SELECT cast(coalesce(sum(size_bytes), 0) AS BIGINT) AS total_bytes, round(coalesce(sum(size_bytes), 0) / 1e9, 6) AS gb FROM files")
+of_files(
+    "stats_distinct3",
+    lambda f: stats.distinct_counts(f, "artist", "album", "label"),
+    "SELECT count(DISTINCT artist) AS n_artist, count(DISTINCT album) AS n_album, count(DISTINCT label) AS n_label FROM files",
+)
+of_files(
+    "stats_effective_artists",
+    stats.effective_artists,
+    "SELECT count(DISTINCT coalesce(nullif(trim(albumartist), ''), nullif(trim(artist), ''), 'Unknown')) AS n_artists FROM files",
+)
+of_files("stats_labels", stats.labels, "SELECT count(DISTINCT nullif(trim(label), '')) AS n_labels FROM files")
+PREFERRED = "coalesce(nullif(organised_path, ''), path)"
+of_files("distinct_folders", stats.distinct_folders, f"SELECT count(DISTINCT regexp_replace({PREFERRED}, '/[^/]*$', '')) AS n_folders FROM files")
+of_files("preferred_paths", stats.preferred_paths, f"SELECT DISTINCT {PREFERRED} AS path FROM files")
+of_files("album_distinct_pairs", stats.album_pairs, "SELECT count(*) AS n_pairs FROM (SELECT DISTINCT artist, album FROM files WHERE trim(artist) <> '' AND trim(album) <> '')")
+
+# Audits.
+_MISSING = "({0} IS NULL OR trim({0}) = '')"
+_YEAR = "coalesce(try_cast(regexp_extract(substr(year, 1, 4), '^\\s*([+-]?[0-9]+)', 1) AS BIGINT), 0)"
+AUDIT_SQL = {
+    "missing_embedded_art": ("has_embedded_art = 0 AND status <> 'broken'", "'no embedded album art'"),
+    "missing_folder_art": ("has_folder_art = 0 AND status <> 'broken'", "'no cover.jpg / folder.png in album folder'"),
+    "missing_all_art": ("coalesce(has_embedded_art, 0) = 0 AND coalesce(has_folder_art, 0) = 0 AND status <> 'broken'", "'no embedded art AND no folder art'"),
+    **{f"missing_{c}": (_MISSING.format(c) + " AND status <> 'broken'", f"'missing {c}'") for c in ("artist", "album", "title", "label", "year")},
+    "unknown_artist_literal": (f"lower(trim(artist)) IN ({listed(schema.AUDIT_PLACEHOLDERS)}) AND status <> 'broken'", "concat('placeholder artist: ''', artist, '''')"),
+    "track_no_in_title": ("regexp_matches(title, '^[0-9][0-9](.|\\n)*-') AND status <> 'broken'", "concat('title looks like a filename: ''', title, '''')"),
+    "odd_year": (f"NOT {_MISSING.format('year')} AND ({_YEAR} < 1900 OR {_YEAR} > {audits.LAST_YEAR}) AND status <> 'broken'", "concat('odd year: ''', year, '''')"),
+    "suspected_transcode": ("transcode_suspected = 1", "concat('suspected transcode: ', coalesce(transcode_notes, ''))"),
+    "lossless_no_bit_depth": ("lossless = 1 AND bit_depth IS NULL AND status <> 'broken'", "concat('lossless codec (', codec, ') but no bit_depth')"),
+}
+for _key, (_where, _reason) in AUDIT_SQL.items():
+    of_files(f"audit_{_key}", lambda f, k=_key: audits.audit(f, k), f"SELECT path, artist, album, codec, {_reason} AS reason FROM files WHERE {_where}")
+AUDIT_LONG = " UNION ALL ".join(f"SELECT '{k}' AS audit_key, path, artist, album, codec, {r} AS reason FROM files WHERE {w}" for k, (w, r) in AUDIT_SQL.items())
+of_files("audit_all_long", audits.audit_all, AUDIT_LONG)
+of_files("audit_summary", audits.summary, " UNION ALL ".join(f"SELECT '{k}' AS audit_key, count(*) AS n FROM files WHERE {w}" for k, (w, _) in AUDIT_SQL.items()))
+of_files(
+    "audit_sample5",
+    audits.samples,
+    f"SELECT audit_key, count(*) AS n, array_to_string(list(path ORDER BY path)[1:5], '; ') AS sample FROM ({AUDIT_LONG}) GROUP BY audit_key",
+)
+_BAD = (
+    "status <> 'broken' AND ("
+    + " OR ".join(_MISSING.format(c) for c in ("artist", "album", "title", "label", "year"))
+    + f" OR lower(trim(artist)) IN ({listed(schema.ANY_PLACEHOLDERS)}) OR regexp_matches(title, '^[0-9][0-9](.|\\n)*-') OR transcode_suspected = 1)"
+)
+of_files(
+    "broken_counts9",
+    audits.broken_counts,
+    "SELECT "
+    + ", ".join(f"count(*) FILTER (WHERE {_MISSING.format(c)} AND status <> 'broken') AS missing_{c}" for c in ("artist", "album", "title", "label", "year"))
+    + f", count(*) FILTER (WHERE lower(trim(artist)) IN ({listed(schema.SUMMARY_PLACEHOLDERS)})) AS placeholder_artist"
+    + ", count(*) FILTER (WHERE regexp_matches(title, '^[0-9][0-9](.|\\n)*-') AND status <> 'broken') AS title_like_filename"
+    + f", count(*) FILTER (WHERE transcode_suspected = 1) AS suspected, count(*) FILTER (WHERE {_BAD}) AS any_bad FROM files",
+)
+of_files("bad_any", lambda f: f.where(predicates.any_bad()).select("path", predicates.preferred_path().alias("preferred")), f"SELECT path, {PREFERRED} AS preferred FROM files WHERE {_BAD}")
+of_files("unchecked_lossless", paths.check_plan, "SELECT path, codec FROM files WHERE codec IN ('flac','alac','ape','wv','wave','aiff','trueaudio') AND status <> 'broken' AND coalesce(transcode_checked, 0) = 0")
+of_files(
+    "broken_reason",
+    lambda f: f.select("path", text.broken_reason().alias("reason")),
+    "SELECT path, CASE WHEN m = '' THEN '' ELSE concat(m, ' missing') END AS reason FROM (SELECT path, concat_ws(', ', "
+    + ", ".join(f"CASE WHEN lower(trim(coalesce({c}, ''))) IN ({listed(schema.UNKNOWN_TAGS)}) THEN '{c}' END" for c in schema.REQUIRED_TAGS)
+    + ") AS m FROM files)",
+)
+of_files("files_under_root", lambda f: f.where(predicates.under("path", "/lib/src0") | (F.col("status") == "broken")).select("path"), "SELECT path FROM files WHERE starts_with(path, '/lib/src0/') OR status = 'broken'")
+of_files("find_by_path", lambda f: f.where(F.col("path") == "/lib/src1/en/1.flac").select("path", "title"), "SELECT path, title FROM files WHERE path = '/lib/src1/en/1.flac'")
+of_files("album_tracks_of_folder", lambda f: f.where(text.parent("path") == "/lib/src0/en").select("path"), "SELECT path FROM files WHERE regexp_replace(path, '/[^/]*$', '') = '/lib/src0/en'")
+
+# Browsing.
+_SHOWN = ", ".join(browse.SHOWN)
+of_files(
+    "browse_filter",
+    lambda f: browse.filtered(f, browse.Filters(artist="artist 3", codec="flac")).select("path", "artist", "codec"),
+    "SELECT path, artist, codec FROM files WHERE artist ILIKE '%artist 3%' AND codec ILIKE '%flac%'",
+)
+of_files("browse_year_range", lambda f: browse.filtered(f, browse.Filters(first_year="1990", last_year="1999")).select("path", "year"), "SELECT path, year FROM files WHERE substr(year, 1, 4) BETWEEN '1990' AND '1999'")
+of_files(
+    "browse_free_text",
+    lambda f: browse.filtered(f, browse.Filters(text="bel 1")).select("path"),
+    "SELECT path FROM files WHERE artist ILIKE '%bel 1%' OR album ILIKE '%bel 1%' OR title ILIKE '%bel 1%' OR label ILIKE '%bel 1%'",
+)
+of_files("browse_count", lambda f: browse.count(f, browse.Filters(status="imported", text="song")), "SELECT count(*) AS n FROM files WHERE status = 'imported' AND (artist ILIKE '%song%' OR album ILIKE '%song%' OR title ILIKE '%song%' OR label ILIKE '%song%')")
+of_files("page_offset", lambda f: browse.page(f, browse.Filters(), 3, 50), f"SELECT {_SHOWN} FROM files ORDER BY artist NULLS FIRST, album NULLS FIRST, path LIMIT 50 OFFSET 100")
+of_files("topk_500", lambda f: browse.top(f, browse.Filters()), f"SELECT {_SHOWN} FROM files ORDER BY artist NULLS FIRST, album NULLS FIRST, track_number NULLS FIRST, path LIMIT 500")
+of_files(
+    "display_columns",
+    lambda f: browse.display(f).drop("mb"),
+    "SELECT path, regexp_extract(path, '[^/]*$', 0) AS filename, concat(cast(cast(floor(duration_seconds / 60) AS BIGINT) AS VARCHAR), ':', lpad(cast(cast(floor(duration_seconds) AS BIGINT) % 60 AS VARCHAR), 2, '0')) AS dur FROM files",
+)
+
+# Groups.
+_UNKNOWN = f"lower(trim(coalesce({{0}}, ''))) IN ({listed(schema.UNKNOWN_TAGS)})"
+
+
+def majority_sql(column: str, barred: str = "") -> str:
+    return (
+        f"SELECT album, arg_min(v, (-n, v)) AS value, max(n) AS votes, count(*) AS n_values FROM (SELECT album, trim({column}) AS v, count(*) AS n FROM files "
+        f"WHERE NOT {_UNKNOWN.format(column)}{barred} GROUP BY 1, 2) GROUP BY album"
+    )
+
+
+of_files("majority_label", lambda f: groups.majority(f, ["album"], "label"), majority_sql("label"))
+of_files("majority_year", lambda f: groups.majority(f, ["album"], "year"), majority_sql("year"))
+of_files("majority_genre", lambda f: groups.majority(f, ["album"], "genre"), majority_sql("genre"))
+of_files(
+    "album_label",
+    lambda f: groups.album_label(f, ["album"]),
+    "SELECT a.album, coalesce(m.value, 'Unknown Label') AS label, coalesce(m.n_values, 0) AS n_values FROM (SELECT DISTINCT album FROM files WHERE album IS NOT NULL) a LEFT JOIN ("
+    + majority_sql("label", f" AND lower(trim(label)) NOT IN ({listed(schema.SELF_RELEASE_LABELS)})")
+    + ") m ON a.album = m.album UNION ALL SELECT NULL, 'Unknown Label', 0 WHERE EXISTS (SELECT 1 FROM files WHERE album IS NULL)",
+)
+
+
+def reconcile_sql(column: str, changed: str) -> str:
+    keyed = f"SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder FROM files WHERE NOT {_UNKNOWN.format('album')}"
+    return (
+        f", keyed AS ({keyed}), won AS (SELECT folder, album, arg_min(v, (-n, v)) AS value FROM (SELECT folder, album, trim({column}) AS v, count(*) AS n FROM keyed WHERE NOT {_UNKNOWN.format(column)} "
+        f"GROUP BY 1, 2, 3) GROUP BY 1, 2), many AS (SELECT folder, album FROM keyed GROUP BY 1, 2 HAVING count(*) > 1) "
+        f"SELECT k.path, k.{column} AS old, w.value AS new FROM keyed k JOIN won w ON k.folder = w.folder AND k.album = w.album JOIN many m ON k.folder = m.folder AND k.album = m.album WHERE {changed}"
+    )
+
+
+def of_reconcile(name: str, operator: Callable[[DataFrame], DataFrame], column: str, changed: str) -> None:
+    register(name, lambda spark, d: operator(adapters.files(spark, d)), FILES_CTE.rstrip() + reconcile_sql(column, changed))
+
+
+of_reconcile("reconcile_fill", lambda f: groups.reconcile(f, "label"), "label", _UNKNOWN.format("k.label"))
+of_reconcile("reconcile_fill_year", lambda f: groups.reconcile(f, "year"), "year", _UNKNOWN.format("k.year"))
+of_reconcile("unify_label", lambda f: groups.reconcile(f, "label", only_missing=False), "label", f"({_UNKNOWN.format('k.label')} OR trim(k.label) <> w.value)")
+register(
+    "album_type",
+    lambda spark, d: groups.album_type(adapters.tracks(spark, d), "album_id"),
+    TRACKS_CTE + "SELECT album_id, CASE WHEN 1 - max(n) / sum(n) >= 0.5 THEN 'mix' ELSE 'solo' END AS album_type FROM (SELECT album_id, artist, count(*) AS n FROM tracks GROUP BY 1, 2) GROUP BY album_id",
+)
+of_files(
+    "album_type_tagged",
+    lambda f: groups.album_type(f.where("album IS NOT NULL"), "album"),
+    f"SELECT album, CASE WHEN bool_or(va) OR 1 - max(n) FILTER (WHERE a IS NOT NULL) / sum(n) FILTER (WHERE a IS NOT NULL) >= 0.5 THEN 'mix' ELSE 'solo' END AS album_type FROM "
+    f"(SELECT album, lower(nullif(trim(artist), '')) AS a, count(*) AS n, bool_or(coalesce(lower(trim(albumartist)) IN ({listed(schema.VARIOUS_ARTISTS)}), false)) AS va FROM files WHERE album IS NOT NULL GROUP BY 1, 2) GROUP BY album",
+)
+register(
+    "album_rollup",
+    lambda spark, d: groups.rollup(adapters.tracks(spark, d), "album_id", "track"),
+    TRACKS_CTE + "SELECT album_id, arg_min(nullif(trim(title), ''), track) AS title, arg_min(nullif(trim(label), ''), track) AS label, min(year) AS first_year, array_to_string(list(DISTINCT artist ORDER BY artist), '; ') AS artists, "
+    "sum(duration_seconds) AS seconds, round(sum(size_bytes), 2) AS size, count(*) AS n_tracks FROM tracks GROUP BY album_id",
+)
+register(
+    "nfo_tracklist",
+    lambda spark, d: reports.album_sheet(adapters.tracks(spark, d), "album_id"),
+)
+of_files("dup_by_hash", groups.duplicates, "SELECT path, first AS duplicate_of FROM (SELECT path, min(path) OVER (PARTITION BY content_hash) AS first FROM files WHERE content_hash IS NOT NULL) WHERE path <> first")
+_KIND_AUDIO, _KIND_NOT, _KIND_WITH = (listed(tuple(x)) for x in (groups.AUDIO, groups.NOT_MUSIC, groups.COMPANIONS))
+_PROFILE = (
+    f"profile AS (SELECT folder, count(*) FILTER (WHERE e IN ({_KIND_AUDIO})) AS n_audio, count(*) FILTER (WHERE e IN ({_KIND_WITH})) AS n_companion, count(*) FILTER (WHERE e IN ({_KIND_NOT})) AS n_non_music, "
+    f"count(*) FILTER (WHERE e NOT IN ({_KIND_AUDIO}) AND e NOT IN ({_KIND_WITH}) AND e NOT IN ({_KIND_NOT})) AS n_other, cast(sum(size_bytes) AS BIGINT) AS size_bytes FROM (SELECT *, lower(regexp_extract(name, '.(\\.[^.]+)$', 1)) AS e FROM listing) GROUP BY folder)"
+)
+register("folder_profile", lambda spark, d: groups.folder_profile(adapters.listing(spark, d)), LISTING_CTE.rstrip() + ", " + _PROFILE + " SELECT * FROM profile")
+register(
+    "folder_kind",
+    lambda spark, d: groups.folder_kind(groups.folder_profile(adapters.listing(spark, d))),
+    LISTING_CTE.rstrip()
+    + ", "
+    + _PROFILE
+    + " SELECT *, CASE WHEN n_audio > 2 THEN 'music' WHEN n_audio = 0 AND n_non_music + n_other >= 3 THEN 'random_crap' WHEN n_audio = 0 THEN 'empty_or_trivial' WHEN n_non_music >= 2 THEN 'orphan_bonus' ELSE 'music' END AS kind FROM profile",
+)
+of_files("classify_albums", lambda f: groups.classify_albums(f.where("album IS NOT NULL"), ["album"]))
+of_files("self_release", lambda f: groups.self_release(f.where("album IS NOT NULL"), ["album"]))
+_STATUS = "lower(trim(coalesce(status, '')))"
+_NEW_STATUS = (
+    f"CASE WHEN {_STATUS} IN ({listed(schema.PRESERVED_STATUSES)}) THEN NULL WHEN bad AND {_STATUS} <> 'broken' THEN 'broken' "
+    f"WHEN NOT bad AND {_STATUS} = 'broken' AND NOT regexp_matches(lower(coalesce(comment, '')), '{'|'.join(schema.OTHER_REASONS)}') THEN 'ok' END"
+)
+of_files(
+    "mark_broken",
+    groups.mark_broken,
+    f"SELECT * FROM (SELECT path, status, {_NEW_STATUS} AS new_status FROM (SELECT *, {' OR '.join(_UNKNOWN.format(c) for c in schema.REQUIRED_TAGS)} AS bad FROM files)) WHERE new_status IS NOT NULL",
+)
+of_files(
+    "sibling_infer",
+    groups.siblings,
+    f"SELECT k.path, w.value AS album FROM (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder FROM files) k JOIN (SELECT folder, artist, arg_min(v, (-n, v)) AS value FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, artist, trim(album) AS v, count(*) AS n FROM files "
+    f"WHERE NOT {_UNKNOWN.format('album')} AND NOT {_UNKNOWN.format('artist')} GROUP BY 1, 2, 3) GROUP BY 1, 2) w ON k.folder = w.folder AND k.artist = w.artist WHERE {_UNKNOWN.format('k.album')}",
+)
+of_files(
+    "complete_albums",
+    groups.complete_albums,
+    f"SELECT artist, album FROM files WHERE trim(album) <> '' GROUP BY artist, album HAVING bool_and(NOT ({_UNKNOWN.format('year')} OR {_UNKNOWN.format('label')} OR {_UNKNOWN.format('genre')}))",
+)
+
+# Changes by key.
+_LATE = "SELECT user_id, max_by(value, (ts, event_id)) AS value, max_by(event_type, (ts, event_id)) AS event_type FROM events WHERE event_id % 5 {0} GROUP BY user_id"
+
+
+def _late(spark: SparkSession, d: str, new: bool) -> DataFrame:
+    e = table(spark, d, "events")
+    rows = e.where(F.col("event_id") % 5 == 0 if new else F.col("event_id") % 5 != 0)
+    return merge.latest(rows.select("user_id", "value", "event_type", "ts", "event_id"), "user_id", "ts", "event_id").select("user_id", "value", "event_type")
+
+
+_OLD, _NEW = (_LATE.format(x).replace("max_by", "arg_max") for x in ("<> 0", "= 0"))
+register(
+    "upsert_merge",
+    lambda spark, d: merge.upsert(_late(spark, d, False), _late(spark, d, True).drop("event_type"), "user_id"),
+    f"SELECT coalesce(n.user_id, o.user_id) AS user_id, CASE WHEN n.user_id IS NOT NULL THEN n.value ELSE o.value END AS value, o.event_type FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.user_id = n.user_id",
+)
+register("commit_replace", lambda spark, d: merge.commit(_late(spark, d, False), _late(spark, d, True), "user_id"), f"SELECT * FROM ({_NEW}) UNION ALL SELECT * FROM ({_OLD}) o WHERE o.user_id NOT IN (SELECT user_id FROM ({_NEW}))")
+register(
+    "commit_counts",
+    lambda spark, d: merge.commit_counts(_late(spark, d, False), _late(spark, d, True), "user_id"),
+    f"SELECT b AS before, a AS after, a - b AS delta FROM (SELECT (SELECT count(*) FROM ({_OLD})) AS b, (SELECT count(*) FROM (SELECT user_id FROM ({_OLD}) UNION SELECT user_id FROM ({_NEW}))) AS a)",
+)
+of_files(
+    "rekey_delete",
+    lambda f: merge.rekey(f.select("path", "title"), f.where("organised_path <> ''").select(F.col("path").alias("old_key"), F.col("organised_path").alias("new_key")), "path"),
+    "SELECT CASE WHEN organised_path <> '' THEN organised_path ELSE path END AS path, title FROM files",
+)
+of_files("delete_by_key", lambda f: merge.delete(f.select("path", "title"), f.where("status = 'broken'"), "path"), "SELECT path, title FROM files WHERE status IS NULL OR status <> 'broken'")
+of_files(
+    "change_detect",
+    lambda f: merge.changes(f.where("file_id % 10 <> 3").select("path", "size_bytes"), f.select("path", (F.col("size_bytes") + (F.col("file_id") % 8 == 0).cast("int")).alias("size_bytes"))),
+    "SELECT path, CASE WHEN file_id % 10 = 3 THEN 'new' WHEN file_id % 8 = 0 THEN 'refreshed' ELSE 'unchanged' END AS change FROM files",
+)
+of_files("due_for_organising", lambda f: merge.due(f).select("path"), "SELECT path FROM files WHERE NOT (coalesce(organised_at, '') <> '' AND coalesce(last_seen, '') <> '' AND organised_at >= last_seen)")
+register(
+    "fallback_anti_join",
+    lambda spark, d: merge.remaining(table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), table(spark, d, "orders"), ["o_custkey"]).select("o_custkey", "c_name"),
+    "SELECT c_custkey AS o_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+)
+register(
+    "label_alias",
+    lambda spark, d: table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(text.normalise_label(F.lower("n_name")).alias("label"), "r_name"),
+    "SELECT lower(n_name) AS label, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
+)
+
+# Matching.
+_RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY album_id, provider ORDER BY score DESC, ord) AS i, lead(score) OVER (PARTITION BY album_id, provider ORDER BY score DESC, ord) AS second FROM candidates)"
+register(
+    "confidence_gate",
+    lambda spark, d: match.confidence_gate(adapters.candidates(spark, d), "album_id"),
+    CANDIDATES_CTE.rstrip() + ", " + _RANKED + " SELECT album_id, provider, score AS top, second, CASE WHEN score < 80 THEN 'low' WHEN score - second < 5 THEN 'ambiguous' ELSE 'confident' END AS verdict FROM ranked WHERE i = 1",
+)
+register(
+    "best_value_merge",
+    lambda spark, d: match.best_values(adapters.candidates(spark, d), "album_id", ["label", "year"]),
+    CANDIDATES_CTE + "SELECT album_id, arg_max(label, (score, -ord)) FILTER (WHERE label <> '') AS label, arg_max(year, (score, -ord)) AS year FROM candidates GROUP BY album_id",
+)
+register(
+    "bpm_consensus",
+    lambda spark, d: match.consensus(table(spark, d, "events").select("user_id", F.floor("value").cast("int").alias("bpm")), "user_id", "bpm"),
+    "WITH c AS (SELECT user_id, cast(floor(value) AS INT) AS v, count(*) AS n FROM events WHERE floor(value) > 0 GROUP BY 1, 2), m AS (SELECT user_id, max(n) AS most FROM c GROUP BY 1) "
+    "SELECT u.user_id, coalesce(cast(floor(x.v) AS BIGINT), 0) AS consensus FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN (SELECT c.user_id, median(c.v) AS v FROM c JOIN m ON c.user_id = m.user_id AND c.n = m.most GROUP BY 1) x ON u.user_id = x.user_id",
+)
+register(
+    "recording_vote",
+    lambda spark, d: match.recording_vote(table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", F.col("l_quantity").alias("score")), "l_orderkey", "l_suppkey", "l_linenumber"),
+    "WITH v AS (SELECT l_orderkey, l_suppkey, count(DISTINCT l_linenumber) AS votes, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2), s AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS sampled FROM lineitem GROUP BY 1), "
+    "b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY votes DESC, score DESC, l_suppkey DESC) AS i FROM v) SELECT b.l_orderkey, l_suppkey, votes, score FROM b JOIN s ON b.l_orderkey = s.l_orderkey WHERE i = 1 AND votes >= CASE WHEN sampled = 1 THEN 1 ELSE 2 END",
+)
+register(
+    "sampled_tracks",
+    lambda spark, d: match.sampled_tracks(adapters.tracks(spark, d).select("album_id", "track", "title"), "album_id", "track"),
+    TRACKS_CTE + "SELECT album_id, track, title FROM (SELECT *, row_number() OVER (PARTITION BY album_id ORDER BY track) AS i, count(*) OVER (PARTITION BY album_id) AS n FROM tracks) WHERE i = 1 OR i = n // 2 + 1 OR i = n",
+)
+of_files(
+    "fill_missing",
+    lambda f: match.fill_missing(f.select("path", "artist", "album", "label"), f.select("path", F.lit("Found").alias("label"), F.when(F.col("file_id") % 2 == 0, "Album X").otherwise("").alias("album")), "path", ["label", "album"]),
+    "SELECT path, artist, CASE WHEN (album IS NULL OR trim(album) = '') AND file_id % 2 = 0 THEN 'Album X' ELSE album END AS album, CASE WHEN label IS NULL OR trim(label) = '' THEN 'Found' ELSE label END AS label, "
+    "cast((label IS NULL OR trim(label) = '') AS INT) + cast(((album IS NULL OR trim(album) = '') AND file_id % 2 = 0) AS INT) AS n_filled FROM files",
+)
+
+
+def _fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select("p_brand", F.col("p_name").alias("name"), F.col("p_partkey").alias("id"), F.col("p_size").alias("size"))
+    return match.fuzzy(part.where("size % 10 = 0").drop("size"), part.where("size % 10 = 1").drop("size"), "p_brand", "name", 0.9)
+
+
+register("fuzzy_match", _fuzzy)
+of_files("fallback_queries", lambda f: match.fallback_queries(f.select(F.col("file_id").alias("id"), "artist", F.concat(F.coalesce("album", F.lit("x")), F.lit(" vol 3")).alias("album"))))
+
+# Scalars.
+_DOC_TITLE = "concat(lpad(cast(doc_id % 90 + 1 AS STRING), 2, '0'), '. Artist ', cast(doc_id % 6 AS STRING), ' - ', source, ' (', lang, ' Mix)', CASE WHEN doc_id % 4 = 0 THEN concat(' [LABEL ', cast(doc_id % 900 AS STRING), ']') ELSE '' END)"
+
+
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(f"SELECT doc_id, {_DOC_TITLE} AS title FROM {{documents}}", documents=table(spark, d, "documents"))
+
+
+register(
+    "title_parse",
+    lambda spark, d: _titles(spark, d).select("doc_id", detection.parse_title("title").alias("p")).select("doc_id", "p.track", "p.artist", "p.title", "p.version", "p.extra", "p.confidence"),
+    "SELECT doc_id, lpad(cast(doc_id % 90 + 1 AS VARCHAR), 2, '0') AS track, concat('Artist ', cast(doc_id % 6 AS VARCHAR)) AS artist, source AS title, concat(lang, ' Mix') AS version, "
+    "CASE WHEN doc_id % 4 = 0 THEN concat('LABEL ', cast(doc_id % 900 AS VARCHAR)) ELSE '' END AS extra, 0.95::DOUBLE AS confidence FROM documents",
+)
+register(
+    "catalogue_parse",
+    lambda spark, d: _titles(spark, d).select("doc_id", detection.catalogue_number("title").alias("c")).where("c IS NOT NULL").select("doc_id", "c.label", "c.number"),
+    "SELECT doc_id, 'LABEL' AS label, cast(doc_id % 900 AS VARCHAR) AS number FROM documents WHERE doc_id % 4 = 0",
+)
+of_files("year_norm", lambda f: f.select("path", text.normalise_year("year").alias("y")), "SELECT path, CASE WHEN try_cast(regexp_extract(coalesce(year, ''), '\\b(\\d{4})\\b', 1) AS INT) BETWEEN 1900 AND 2100 THEN regexp_extract(year, '\\b(\\d{4})\\b', 1) ELSE '' END AS y FROM files")
+of_files("track_norm", lambda f: f.select("path", text.normalise_track("track_number").alias("t")), "SELECT path, lpad(split_part(track_number, '/', 1), 2, '0') AS t FROM files")
+register(
+    "primary_artist",
+    lambda spark, d: spark.sql("SELECT doc_id, concat('Artist ', cast(doc_id % 6 AS STRING), CASE doc_id % 4 WHEN 0 THEN ' feat. ' WHEN 1 THEN ' & ' WHEN 2 THEN ' vs ' ELSE ' ' END, source) AS a FROM {documents}", documents=table(spark, d, "documents")).select(
+        "doc_id", text.primary_artist("a").alias("artist")
+    ),
+    "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN concat('Artist ', cast(doc_id % 6 AS VARCHAR), ' ', source) ELSE concat('Artist ', cast(doc_id % 6 AS VARCHAR)) END AS artist FROM documents",
+)
+_CUTOFF = "SELECT event_id, value * 100 AS hz FROM events"
+register(
+    "cutoff_classify",
+    lambda spark, d: table(spark, d, "events").select("event_id", detection.cutoff_verdict(F.col("value") * 100, F.lit(44100)).alias("v")).select("event_id", "v.suspected", "v.confidence"),
+    f"SELECT event_id, hz < 20500 AS suspected, CASE WHEN hz < 14000 THEN 0.95 WHEN hz < 16500 THEN 0.9 WHEN hz < 18500 THEN 0.75 WHEN hz < 19800 THEN 0.55 WHEN hz < 20500 THEN 0.3 ELSE 0.05 END::DOUBLE AS confidence FROM ({_CUTOFF})",
+)
+register(
+    "ripper_detect",
+    lambda spark, d: spark.sql("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'LAME 3.100' WHEN 1 THEN 'reference libFLAC 1.3.4' WHEN 2 THEN 'Exact Audio Copy V1.3 from' ELSE lang END AS log FROM {documents}", documents=table(spark, d, "documents"))
+    .select("doc_id", detection.ripper("log").alias("r"))
+    .select("doc_id", "r.software", "r.version"),
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'LAME' WHEN 1 THEN 'libFLAC' WHEN 2 THEN 'Exact Audio Copy' ELSE '' END AS software, CASE doc_id % 4 WHEN 0 THEN '3.100' WHEN 1 THEN '1.3.4' WHEN 2 THEN '1.3' ELSE '' END AS version FROM documents",
+)
+register("quick_check", lambda spark, d: _titles(spark, d).select("doc_id", detection.quick_check("title").alias("q")).select("doc_id", "q.*"))
+of_files("recover_from_path", lambda f: f.select("path", detection.recover_from_path("path").alias("r")).select("path", "r.*"))
+
+# Plans and exports.
+_LOSSY = "transcode_suspected = 1 AND (transcode_notes LIKE 'vamp:lossy:%' OR transcode_confidence >= 0.9) AND status NOT IN ('quarantined', 'broken')"
+_BASE = "regexp_extract(path, '[^/]*$', 0)"
+of_files("quarantine_plan", paths.quarantine_plan, f"SELECT path, concat('/quarantine/', {_BASE}) AS target FROM files WHERE {_LOSSY}")
+of_files("reencode_plan", paths.reencode_plan, f"SELECT path, regexp_replace(path, '\\.flac$', '.mp3') AS target, concat(coalesce(transcode_notes, ''), '; re-encoded') AS note FROM files WHERE {_LOSSY}")
+of_files("cover_plan", paths.cover_plan, "SELECT regexp_replace(path, '/[^/]*$', '') AS folder FROM files WHERE status <> 'broken' GROUP BY 1 HAVING max(coalesce(has_folder_art, 0)) = 0")
+_TITLE = "trim(coalesce(title, ''))"
+_RENAME = (
+    "concat('✰ [ ', lpad(split_part(track_number, '/', 1), 2, '0'), '. ', concat_ws(' - ', trim(artist), {t}, nullif(trim(coalesce(album, '')), ''), "
+    "nullif(CASE WHEN try_cast(regexp_extract(coalesce(year, ''), '\\b(\\d{{4}})\\b', 1) AS INT) BETWEEN 1900 AND 2100 THEN regexp_extract(year, '\\b(\\d{{4}})\\b', 1) ELSE '' END, ''), upper(codec)), '].flac')"
+).format(t=_TITLE)
+of_files(
+    "rename_plan",
+    paths.rename_plan,
+    "SELECT path, CASE WHEN n > 1 THEN regexp_replace(target, '\\.flac$', concat(' (', cast(n AS VARCHAR), ').flac')) ELSE target END AS target FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY path) AS n FROM "
+    f"(SELECT path, concat(regexp_replace(path, '/[^/]*$', ''), '/', {_RENAME}) AS target FROM files WHERE trim(coalesce(artist, '')) <> '' AND {_TITLE} <> ''))",
+)
+of_files("move_plan", lambda f: paths.move_plan(f, groups.album_type(f.where("album IS NOT NULL"), "album"), "album", "/organised"))
+of_files("tag_plan", lambda f: paths.tag_plan(f, f.select("path", F.lit("Found").alias("label")), "path", ["label"]), "SELECT path, 'label' AS field, 'Found' AS value FROM files WHERE label IS NULL OR trim(label) = ''")
+of_files(
+    "m3u_export",
+    reports.playlist,
+    f"SELECT path, concat('#EXTINF:', cast(cast(floor(duration_seconds) AS BIGINT) AS VARCHAR), ',', concat_ws(' - ', coalesce(artist, ''), coalesce(title, '')), chr(10), {PREFERRED}) AS entry FROM files WHERE {_BAD}",
+)
+of_files("track_order", reports.tracklist, "SELECT path, title, coalesce(try_cast(split_part(track_number, '/', 1) AS INT), 9999) AS track FROM files")
+of_files(
+    "signature",
+    lambda f: reports.signature(f, "2024-01-01"),
+    "SELECT path, concat_ws(' | ', 'catalogued 2024-01-01', upper(codec), nullif(catalog_number, ''), nullif(label, '')) AS signature FROM files",
+)
+register(
+    "folder_art",
+    lambda spark, d: groups.folder_art(adapters.listing(spark, d).withColumn("name", F.when(F.endswith("name", F.lit(".jpg")), F.concat(F.when(F.col("size_bytes") % 2 == 0, "cover").otherwise("folder"), F.lit(".jpg"))).otherwise(F.col("name")))),
+    LISTING_CTE + "SELECT folder, CASE WHEN bool_or(size_bytes % 2 = 0) THEN 'cover.jpg' ELSE 'folder.jpg' END AS art FROM listing WHERE name LIKE '%.jpg' GROUP BY folder",
+)
+
+# Sources.
+register(
+    "page_facts",
+    lambda spark, d: readers.page_facts(table(spark, d, "pages")),
+    "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) AS lang FROM pages",
+)
+register("json_ld", lambda spark, d: readers.json_ld(table(spark, d, "pages")).select("page_id", "ld", "name", "published"))
+register("json_props", lambda spark, d: table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "SELECT event_id, cast(props->>'$.k' AS BIGINT) AS k FROM events")
+register(
+    "first_text",
+    lambda spark, d: table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"), F.max("turn").alias("last_turn")),
+    "SELECT conv_id, arg_min(text, turn) AS first, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
+)
+
+# The console: what SQL itself offers, run through the guard over whole tables.
+CONSOLE = {
+    "sql_join_inner": "SELECT c_name, o_orderkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey",
+    "sql_join_left": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
+    "sql_join_full": "SELECT coalesce(a.k, b.k) AS k, a.n AS an, b.n AS bn FROM (SELECT n_nationkey AS k, n_name AS n FROM nation) a FULL OUTER JOIN (SELECT r_regionkey + 3 AS k, r_name AS n FROM region) b ON a.k = b.k",
+    "sql_join_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "sql_join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "sql_join_range": "SELECT p_partkey, b.lo FROM part JOIN (SELECT r_regionkey * 10 AS lo, r_regionkey * 10 + 10 AS hi FROM region) b ON p_size >= b.lo AND p_size < b.hi",
+    "sql_window_rank": "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS d, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders",
+    "sql_window_frame": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m FROM events",
+    "sql_union": "SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey AS k FROM region",
+    "sql_intersect": "SELECT n_nationkey AS k FROM nation INTERSECT SELECT r_regionkey AS k FROM region",
+    "sql_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT r_regionkey AS k FROM region",
+    "sql_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "sql_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+    "sql_grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
+    "sql_having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12",
+    "sql_cte": "WITH big AS (SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY o_custkey) SELECT c_mktsegment, max(top) AS top FROM customer JOIN big ON c_custkey = o_custkey GROUP BY c_mktsegment",
+    "sql_filter": "SELECT count(*) FILTER (WHERE p_size > 25) AS n, count(*) AS m FROM part",
+    "sql_case": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band FROM orders",
+}
+TABLES = ("region", "nation", "customer", "part", "orders", "lineitem", "events")
+
+
+def through_console(sql: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        used = {t: table(spark, d, t) for t in TABLES if t in sql}
+        return console.query(spark, sql, used, limit=None)
+
+    return run
+
+
+for _name, _sql in CONSOLE.items():
+    register(_name, through_console(_sql), _sql)
