@@ -190,8 +190,8 @@ of_files(
 )
 register(
     "album_rollup",
-    lambda spark, d: groups.rollup(adapters.tracks(spark, d), "album_id", "track"),
-    TRACKS_CTE + "SELECT album_id, arg_min(nullif(trim(title), ''), track) AS title, arg_min(nullif(trim(label), ''), track) AS label, min(year) AS first_year, array_to_string(list(DISTINCT artist ORDER BY artist), '; ') AS artists, "
+    lambda spark, d: groups.rollup(adapters.tracks(spark, d), "album_id", "track", "size_bytes", "title", "label"),
+    TRACKS_CTE + "SELECT album_id, arg_min(nullif(trim(title), ''), (track, size_bytes, title, label)) AS title, arg_min(nullif(trim(label), ''), (track, size_bytes, title, label)) AS label, min(year) AS first_year, array_to_string(list(DISTINCT artist ORDER BY artist), '; ') AS artists, "
     "sum(duration_seconds) AS seconds, round(sum(size_bytes), 2) AS size, count(*) AS n_tracks FROM tracks GROUP BY album_id",
 )
 register(
@@ -308,8 +308,8 @@ register(
 )
 register(
     "sampled_tracks",
-    lambda spark, d: match.sampled_tracks(adapters.tracks(spark, d).select("album_id", "track", "title"), "album_id", "track"),
-    TRACKS_CTE + "SELECT album_id, track, title FROM (SELECT *, row_number() OVER (PARTITION BY album_id ORDER BY track) AS i, count(*) OVER (PARTITION BY album_id) AS n FROM tracks) WHERE i = 1 OR i = n // 2 + 1 OR i = n",
+    lambda spark, d: match.sampled_tracks(adapters.tracks(spark, d).select("album_id", "track", "title", "size_bytes"), "album_id", "track", "size_bytes", "title"),
+    TRACKS_CTE + "SELECT album_id, track, title, size_bytes FROM (SELECT *, row_number() OVER (PARTITION BY album_id ORDER BY track, size_bytes, title) AS i, count(*) OVER (PARTITION BY album_id) AS n FROM tracks) WHERE i = 1 OR i = n // 2 + 1 OR i = n",
 )
 of_files(
     "fill_missing",

@@ -274,10 +274,10 @@ CUTOFFS = ((14000, 0.95), (16500, 0.90), (18500, 0.75), (19800, 0.55))
 def cutoff_verdict(cutoff_hz: Text, sample_rate: Text, mean_db: Text | None = None) -> Column:
     """struct<suspected, confidence> of a spectral cutoff; silence (below -90 dB) is never suspected."""
     c, nyquist = col(cutoff_hz), col(sample_rate) / 2
-    out = F.when(nyquist > 21000, F.when(c < 20500, F.struct(F.lit(True).alias("suspected"), F.lit(0.3).alias("confidence"))).otherwise(F.struct(F.lit(False), F.lit(0.05))))
-    out = out.otherwise(F.struct(F.lit(False), F.lit(0.0)))
+    verdict = lambda suspected, sure: F.struct(F.lit(suspected).alias("suspected"), F.lit(sure).alias("confidence"))
+    out = F.when(nyquist <= 21000, verdict(False, 0.0)).when(c < 20500, verdict(True, 0.3)).otherwise(verdict(False, 0.05))
     for most, sure in reversed(CUTOFFS):
-        out = F.when(c < most, F.struct(F.lit(True).alias("suspected"), F.lit(sure).alias("confidence"))).otherwise(out)
+        out = F.when(c < most, verdict(True, sure)).otherwise(out)
     if mean_db is not None:
-        out = F.when(col(mean_db) < -90, F.struct(F.lit(False).alias("suspected"), F.lit(0.0).alias("confidence"))).otherwise(out)
+        out = F.when(col(mean_db) < -90, verdict(False, 0.0)).otherwise(out)
     return out

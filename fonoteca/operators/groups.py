@@ -58,9 +58,9 @@ def album_type(records: DataFrame, key: str, threshold: float = 0.5) -> DataFram
     return facts.select(key, F.when(F.col("various") | F.col("mixed") | diverse, "mix").otherwise("solo").alias("album_type"))
 
 
-def rollup(tracks: DataFrame, key: str, order: str) -> DataFrame:
+def rollup(tracks: DataFrame, key: str, *order: str) -> DataFrame:
     """Facts of an album: first values in order, sets of artists, total duration and size, tracks."""
-    first = lambda c: F.min_by(blank_to_null(c), F.when(blank_to_null(c).isNotNull(), F.col(order))).alias(c)
+    first = lambda c: F.min_by(blank_to_null(c), F.when(blank_to_null(c).isNotNull(), F.struct(*order))).alias(c)
     return tracks.groupBy(key).agg(
         first("title"),
         first("label"),
@@ -181,22 +181,17 @@ def classify_albums(files: DataFrame, keys: list[str], threshold: float = 0.5) -
     unofficial, compilation = unofficial_marker("album_name"), compilation_match("album_name")
     various = c("aa").isin(*schema.VARIOUS_ARTISTS)
     kept = F.when(c("aa").isNotNull() & ~various, title_case(c("aa"))).otherwise("Various Artists")
+    verdict = lambda kind, sure, reason, artist: F.struct(F.lit(kind).alias("kind"), sure.alias("confidence"), reason.alias("reason"), artist.alias("album_artist"))
+    nobody, va = F.lit(""), F.lit("Various Artists")
+    sure = F.least(F.lit(0.95), F.bround(F.lit(0.65) + 0.1 * count, 2))
     rule = (
-        F.when(unofficial != "", F.struct(F.lit("unofficial").alias("kind"), F.lit(0.9).alias("confidence"), F.concat(F.lit("marker "), unofficial).alias("reason"), F.lit("").alias("album_artist")))
-        .when((c("n") == 1) & (c("dj") == 1), F.struct(F.lit("dj_set"), F.lit(0.8), F.lit("single long file or DJ marker"), F.lit("")))
-        .when((c("n") >= 2) & (c("dj") >= c("n") / 2), F.struct(F.lit("dj_set"), F.lit(0.6), F.lit("half of the files look like DJ sets"), F.lit("")))
-        .when(various, F.struct(F.lit("mix"), F.lit(0.95), F.lit("album artist is various artists"), F.lit("Various Artists")))
-        .when(compilation != "", F.struct(F.lit("mix"), F.lit(0.85), F.concat(F.lit("name matches "), compilation), kept))
-        .when(
-            strong | (count >= 2),
-            F.struct(
-                F.lit("mix"),
-                F.least(F.lit(0.95), F.bround(0.65 + 0.1 * count, 2)),
-                F.concat_ws(", ", *(F.when(c(s), F.lit(s)) for s in signals)),
-                F.when(c("curator_album_artist"), title_case(c("aa"))).otherwise("Various Artists"),
-            ),
-        )
-        .otherwise(F.struct(F.lit("solo"), F.lit(0.5), F.lit("no signal of a compilation"), F.lit("")))
+        F.when(unofficial != "", verdict("unofficial", F.lit(0.9), F.concat(F.lit("marker "), unofficial), nobody))
+        .when((c("n") == 1) & (c("dj") == 1), verdict("dj_set", F.lit(0.8), F.lit("single long file or DJ marker"), nobody))
+        .when((c("n") >= 2) & (c("dj") >= c("n") / 2), verdict("dj_set", F.lit(0.6), F.lit("half of the files look like DJ sets"), nobody))
+        .when(various, verdict("mix", F.lit(0.95), F.lit("album artist is various artists"), va))
+        .when(compilation != "", verdict("mix", F.lit(0.85), F.concat(F.lit("name matches "), compilation), kept))
+        .when(strong | (count >= 2), verdict("mix", sure, F.concat_ws(", ", *(F.when(c(s), F.lit(s)) for s in signals)), F.when(c("curator_album_artist"), title_case(c("aa"))).otherwise(va)))
+        .otherwise(verdict("solo", F.lit(0.5), F.lit("no signal of a compilation"), nobody))
     )
     return f.select(*keys, rule.alias("r"), normalise_query("album_name").alias("query")).select(*keys, "r.*", "query")
 
@@ -231,7 +226,7 @@ def duplicates(files: DataFrame, order: str = "path") -> DataFrame:
     The first is an aggregate that is combined before the shuffle; a window would gather a hash in a task.
     """
     known = files.where("content_hash IS NOT NULL")
-    first = known.groupBy("content_hash").agg(F.min(F.struct(order, "path")).alias("f"), F.count("*").alias("n")).where("n > 1").select("content_hash", F.col("f.path").alias("duplicate_of"))
+    first = known.groupBy("content_hash").agg(F.min(F.struct(F.col(order).alias("o"), "path")).alias("f"), F.count("*").alias("n")).where("n > 1").select("content_hash", F.col("f.path").alias("duplicate_of"))
     return known.join(first, "content_hash").where("path <> duplicate_of").select("path", "duplicate_of")
 
 

@@ -55,9 +55,9 @@ def recording_vote(hits: DataFrame, key: str, release: str, track: str) -> DataF
     return best.join(sampled, key).where(F.col("votes") >= F.when(F.col("sampled") == 1, 1).otherwise(2)).select(key, release, "votes", "score")
 
 
-def sampled_tracks(tracks: DataFrame, key: str, order: str) -> DataFrame:
+def sampled_tracks(tracks: DataFrame, key: str, *order: str) -> DataFrame:
     """The first, the middle and the last track of each album."""
-    w = Window.partitionBy(key).orderBy(order)
+    w = Window.partitionBy(key).orderBy(*order)
     ranked = tracks.withColumns({"i": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(key))})
     return ranked.where((F.col("i") == 1) | (F.col("i") == F.floor(F.col("n") / 2) + 1) | (F.col("i") == F.col("n"))).drop("i", "n")
 
@@ -85,11 +85,12 @@ def fallback_queries(albums: DataFrame) -> DataFrame:
 
     series, bare = compilation_series("album"), F.trim(F.regexp_replace("album", r"[\[\(]\s*[A-Za-z][A-Za-z&\-\s]{1,20}?\s+\d{1,6}[A-Za-z]{0,3}\s*[\]\)]", ""))
     va = F.lit("Various Artists")
+    query = lambda n, artist, album, why: F.struct(F.lit(n).alias("ord"), artist.alias("artist"), album.alias("album"), F.lit(why).alias("why"))
     tries = F.array(
-        F.struct(F.lit(1).alias("ord"), F.col("artist").alias("artist"), normalise_query("album").alias("album"), F.lit("tags").alias("why")),
-        F.struct(F.lit(2), F.col("artist"), bare, F.lit("without catalogue number")),
-        F.struct(F.lit(3), va, F.when(series["issue"] != "", F.concat(series["name"], F.lit(" "), series["issue"])), F.lit("series and issue")),
-        F.struct(F.lit(4), va, series["name"], F.lit("series")),
+        query(1, F.col("artist"), normalise_query("album"), "tags"),
+        query(2, F.col("artist"), bare, "without catalogue number"),
+        query(3, va, F.when(series["issue"] != "", F.concat(series["name"], F.lit(" "), series["issue"])), "series and issue"),
+        query(4, va, series["name"], "series"),
     )
     rows = albums.select("id", F.explode(tries).alias("t")).select("id", "t.*").where(safe_query("artist", "album") & F.col("album").isNotNull())
     return rows.groupBy("id", "artist", "album").agg(F.min(F.struct("ord", "why")).alias("o")).select("id", "o.ord", "artist", "album", "o.why")
