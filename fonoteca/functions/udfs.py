@@ -8,21 +8,22 @@ import unicodedata
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks."""
     return texts.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two strings, 0 to 1; it depends on their order and is no metric."""
     return pd.Series([0.0 if not x or not y else 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
-@F.pandas_udf("struct<cutoff_hz:double,mean_db:double>")
+@F.pandas_udf(T.StructType().add("cutoff_hz", T.DoubleType()).add("mean_db", T.DoubleType()))
 def spectral_cutoff(samples: pd.Series, rate: pd.Series) -> pd.DataFrame:
     """The highest frequency within 80 dB of the peak, and the mean level, of windowed samples."""
     out = []

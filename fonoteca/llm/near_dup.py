@@ -148,22 +148,38 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
+def towards(links: DataFrame) -> DataFrame:
+    """(nid, comp): from each node along links to lesser ones, three links far at most.
+
+    Nodes of one comp are in one component, though not all of a component may have one comp: enough to
+    tell which comparisons are spared, in a few joins.
+    """
+    now = links.select(F.greatest("a", "b").alias("nid"), F.least("a", "b").alias("comp")).groupBy("nid").agg(F.min("comp").alias("comp"))
+    far = now.select(F.col("nid").alias("comp"), F.col("comp").alias("next"))
+    for _ in range(2):
+        now = now.join(far, "comp", "left").select("nid", F.coalesce("next", "comp").alias("comp"))
+    return now
+
+
 def across(members: DataFrame, labels: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Members with their components, and the keys of at least so many members that hold several components."""
     now = members.join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-    keys = now.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("nid").alias("last"), F.sum(F.xxhash64("nid").cast("decimal(38,0)")).alias("check"))
-    return now, keys.where((F.col("c0") != F.col("c1")) & (F.col("m") >= least)).select("key", "m", "last", "check")
+    parts = now.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max("nid").alias("last"), F.sum(F.xxhash64("nid").cast("decimal(38,0)")).alias("check"))
+    keys = parts.groupBy("key").agg(F.sum("n").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by("n", "comp").alias("in_c0"), F.max("last").alias("last"), F.sum("check").alias("check"))
+    return now, keys.where((F.col("c0") != F.col("c1")) & (F.col("m") >= least)).select("key", "m", "c0", "in_c0", "last", "check")
 
 
 def in_blocks(now: DataFrame, keys: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, r: int) -> DataFrame:
     """Confirmed edges between components in the groups that stars left open.
 
-    A group is cut into blocks of about BLOCK members, and a task gets two blocks: it compares
-    signatures, then sets, of members whose components are apart, joining those that it links.
+    The members of the component of a group's least node, and the others, are each cut into blocks of
+    about BLOCK members. A task gets two blocks, not both of that component: it compares signatures,
+    then sets, of members whose components are apart, joining those that it links.
     """
-    groups = keys.dropDuplicates(["m", "check"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    placed = now.join(groups.select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = keys.dropDuplicates(["m", "check"]).select("key", "c0", F.ceil(F.col("in_c0") / BLOCK).cast("int").alias("own_blocks"), F.ceil((F.col("m") - F.col("in_c0")) / BLOCK).cast("int").alias("more"))
+    placed, of_c0, h = now.join(groups, "key"), F.col("comp") == F.col("c0"), F.xxhash64("nid")
+    placed = placed.withColumn("own", F.when(of_c0, F.pmod(h, F.col("own_blocks"))).otherwise(F.col("own_blocks") + F.pmod(h, F.col("more"))).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.when(of_c0, F.col("own_blocks")).otherwise(0), F.col("own_blocks") + F.col("more") - 1)))
     pairs = pairs.select("key", "nid", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = pairs.join(nodes.select("nid", "sig"), "nid").join(sets, "nid")
 
@@ -225,14 +241,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = members.where("nid <> first").select(F.col("first").alias("a"), F.col("nid").alias("b")).distinct()
     links = common.materialise(confirmed(stars, sets, percent))
-    labels = components(links)
-    now, open_keys = across(members, labels, 3)
+    now, open_keys = across(members, towards(links), 3)
     stars = now.join(open_keys, "key").where("nid <> last").select(F.col("last").alias("a"), F.col("nid").alias("b")).distinct()
     links = common.materialise(links.unionByName(confirmed(stars, sets, percent)))
     labels = components(links)
     now, open_keys = across(members, labels, 4)
-    links = links.unionByName(in_blocks(now, open_keys, nodes, sets, percent, r))
-    labels = components(links)
+    more = in_blocks(now, open_keys, nodes, sets, percent, r)
+    labels = components(labels.select(F.col("nid").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
     named = nodes.select("node", "nid", "least").join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     least = named.groupBy("comp").agg(F.min("least").alias("component"))

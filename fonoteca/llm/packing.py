@@ -34,8 +34,8 @@ from fonoteca.llm import common
 
 SEQUENCE, QUANTUM, END = 4096, 64, 2
 ROUND = SEQUENCE // QUANTUM
-#: Words whose ids a Python worker remembers, at most; beyond that it starts anew.
-REMEMBERED = 300_000
+#: Words whose ids a Python worker remembers over its tasks, about.
+REMEMBERED = 700_000
 CHUNK = 1000
 
 
@@ -55,20 +55,42 @@ def loaded(path: str):
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """16-bit ids of each text. The tokenizer drops white space and never joins what it parts, so a
-    text's ids are those of its blank-separated words, and each distinct word is encoded once."""
+    text's ids are those of its blank-separated words, and a distinct word is encoded once."""
     tokenizer, known = loaded(path)
-    split = [text.replace("\n", " ").split(" ") for text in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
+    split = [lowered(text).replace("\n", " ").split(" ") for text in texts]
     new = list({word for words in split for word in words}.difference(known))
-    many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for word, found in zip(part, many(part, add_special_tokens=False)):
-            known[word] = np.array(found.ids, dtype="<u2").tobytes()
+    if len(known) > REMEMBERED:  # keep those known; the others serve these texts alone
+        known = dict(known)
+    for i in range(0, len(new), TOGETHER):
+        known.update(encoded(tokenizer, new[i : i + TOGETHER]))
     return [b"".join([known[word] for word in words]) for words in split]
 
 
+def lowered(text: str) -> str:
+    """Lower case, as the tokenizer makes it itself, where that is sure to be the same: in Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+#: Words encoded in one call, and the mark between them, which is one id.
+TOGETHER, MARK = 50, "\x01"
+
+
+def encoded(tokenizer, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    ids_of = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2")
+    ids, mark = ids_of(f" {MARK} ".join(words)), ids_of(MARK)[0]
+    ends = np.flatnonzero(ids == mark).tolist()
+    if len(ends) != len(words) - 1:  # a word holds the mark
+        yield from ((word, ids_of(word).tobytes()) for word in words)
+        return
+    raw = ids.tobytes()
+    for word, begin, end in zip(words, [0, *(e + 1 for e in ends)], [*ends, len(ids)]):
+        yield word, raw[2 * begin : 2 * end]
+
+
 def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, path: str) -> DataFrame:
     """A row of docs: its ids with the end id, the task that made it and the tokens of its source before it there."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("\0null")).alias("source"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(common.TEXT))
