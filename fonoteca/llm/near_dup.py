@@ -25,12 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fonoteca.llm import common
 
-LANES, SEED, BLOCK = 64, 3, 400
+LANES, SEED = 64, 3
+#: What a block of an open group holds at most, about: members, and shingles (8 bytes each) of them.
+BLOCK, BLOCK_SHINGLES = 4000, 1 << 20
 _rng = np.random.default_rng(SEED)
 FACTORS = _rng.integers(1, 2**63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _rng.integers(1, 2**63, LANES, dtype=np.uint64)
@@ -165,23 +167,36 @@ def across(members: DataFrame, labels: DataFrame, least: int) -> tuple[DataFrame
     """Members with their components, and the keys of at least so many members that hold several components."""
     now = members.join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     parts = now.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max("nid").alias("last"), F.sum(F.xxhash64("nid").cast("decimal(38,0)")).alias("check"))
-    keys = parts.groupBy("key").agg(F.sum("n").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by("n", "comp").alias("in_c0"), F.max("last").alias("last"), F.sum("check").alias("check"))
-    return now, keys.where((F.col("c0") != F.col("c1")) & (F.col("m") >= least)).select("key", "m", "c0", "in_c0", "last", "check")
+    keys = parts.groupBy("key").agg(F.sum("n").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("last").alias("last"), F.sum("check").alias("check"))
+    return now, keys.where((F.col("c0") != F.col("c1")) & (F.col("m") >= least)).select("key", "m", "c0", "last", "check")
 
 
 def in_blocks(now: DataFrame, keys: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, r: int) -> DataFrame:
     """Confirmed edges between components in the groups that stars left open.
 
-    The members of the component of a group's least node, and the others, are each cut into blocks of
-    about BLOCK members. A task gets two blocks, not both of that component: it compares signatures,
-    then sets, of members whose components are apart, joining those that it links.
+    A block holds about BLOCK members, and about BLOCK_SHINGLES shingles, at most. A group that is no
+    larger goes to one task as it is. In larger ones the members of the component of the group's least
+    node, and the others, are each cut into blocks, and a task gets two blocks, not both of that
+    component. It compares signatures, then sets, of members whose components are apart, joining those
+    that it links.
     """
-    groups = keys.dropDuplicates(["m", "check"]).select("key", "c0", F.ceil(F.col("in_c0") / BLOCK).cast("int").alias("own_blocks"), F.ceil((F.col("m") - F.col("in_c0")) / BLOCK).cast("int").alias("more"))
-    placed, of_c0, h = now.join(groups, "key"), F.col("comp") == F.col("c0"), F.xxhash64("nid")
-    placed = placed.withColumn("own", F.when(of_c0, F.pmod(h, F.col("own_blocks"))).otherwise(F.col("own_blocks") + F.pmod(h, F.col("more"))).cast("int"))
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.when(of_c0, F.col("own_blocks")).otherwise(0), F.col("own_blocks") + F.col("more") - 1)))
-    pairs = pairs.select("key", "nid", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = pairs.join(nodes.select("nid", "sig"), "nid").join(sets, "nid")
+    groups = keys.dropDuplicates(["m", "check"]).select("key", "c0")
+    of_c0, h = F.col("comp") == F.col("c0"), F.xxhash64("nid")
+    placed = now.join(groups, "key").join(nodes.select("nid", "sig", "n_shingles"), "nid")
+
+    def blocks(part: Column) -> Column:
+        n, size = F.count(F.when(part, 1)), F.coalesce(F.sum(F.when(part, F.col("n_shingles"))), F.lit(0))
+        return F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)).cast("int")
+
+    cut = placed.groupBy("key").agg(blocks(F.lit(True)).alias("all"), blocks(of_c0).alias("own_blocks"), blocks(~of_c0).alias("more"))
+    whole = F.col("all") == 1
+    cut = cut.select("key", F.when(whole, 0).otherwise(F.col("own_blocks")).alias("own_blocks"), F.when(whole, 1).otherwise(F.col("more")).alias("more"))
+    placed = placed.join(cut, "key")
+    main = of_c0 & (F.col("own_blocks") > 0)
+    placed = placed.withColumn("own", F.when(main, F.pmod(h, F.col("own_blocks"))).otherwise(F.col("own_blocks") + F.pmod(h, F.col("more"))).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.when(main, F.col("own_blocks")).otherwise(0), F.col("own_blocks") + F.col("more") - 1)))
+    pairs = pairs.select("key", "nid", "sig", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = pairs.join(sets, "nid")
 
     def compare(pdf):
         import pandas as pd
@@ -220,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n_shingles, component_id, kept of every row; links have 100 * common >= percent * joint shingles."""
     r = radius(percent / 100)
     marks = common.materialise(signed(docs, id_col, text_col, k))
-    nodes = marks.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "tkey")).alias("rep"), F.first("sig").alias("sig"))
+    nodes = marks.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "tkey")).alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     nodes = common.materialise(nodes.withColumn("nid", F.monotonically_increasing_id()))
 
     keys = keyed(nodes, r)
