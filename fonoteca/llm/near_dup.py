@@ -211,19 +211,24 @@ def in_blocks(now: DataFrame, keys: DataFrame, nodes: DataFrame, sets: DataFrame
                 x = parent[x] = parent.get(up, up)
             return x
 
-        nid, comp, found = pdf["nid"].tolist(), pdf["comp"].tolist(), []
-        values = [np.sort(np.asarray(h)) for h in pdf["hashes"]]
-        for x in range(len(nid)):
-            near = np.flatnonzero((sig[x + 1 :] != sig[x]).sum(1) <= r) + x + 1
-            for y in near[own[near] != own[x]] if i != j else near:
-                p, q = root(comp[x]), root(comp[y])
-                if p == q:
-                    continue
-                a, b = values[x], values[y]
-                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                    continue
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= percent * (len(a) + len(b) - both):
+        nid, comp, found = pdf["nid"].tolist(), pdf["comp"].to_numpy(), []
+        sizes = pdf["hashes"].map(len).to_numpy()
+        begins = np.cumsum(sizes) - sizes
+        known, ids = np.unique(np.concatenate(pdf["hashes"].tolist()), return_inverse=True)
+        mark = np.zeros(len(known), dtype=np.int64)
+        for x in range(len(nid) - 1):
+            apart = (comp[x + 1 :] != comp[x]) & ((sig[x + 1 :] != sig[x]).sum(1) <= r)
+            if i != j:
+                apart &= own[x + 1 :] != own[x]
+            if not apart.any():
+                continue
+            mine = ids[begins[x] : begins[x] + sizes[x]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[ids[begins[x + 1] :]], begins[x + 1 :] - begins[x + 1])
+            mark[mine] = 0
+            for y in (np.flatnonzero(apart & (100 * both >= percent * (sizes[x] + sizes[x + 1 :] - both))) + x + 1).tolist():
+                p, q = root(int(comp[x])), root(int(comp[y]))
+                if p != q:
                     parent[p] = q
                     found.append((nid[x], nid[y]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
