@@ -297,8 +297,9 @@ def one_by_one(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["t1", "t2", "k1", "k2", "lo", "times"])
 
     each = rows.mapInArrow(run, "t1 long, t2 long, k1 long, k2 long, lo int, times long")
-    twice = each.groupBy("t1", "t2").agg(F.sum("times").alias("n")).where("n > 1").drop("n")
-    return each.where("times = 1").join(twice, ["t1", "t2"], "left_semi").select("k1", "k2", "lo", F.col("lo").alias("hi"))
+    # Written first: a join of two plain shuffles, whose large partitions adaptive execution can split.
+    twice = common.materialise(each.groupBy("t1", "t2").agg(F.sum("times").alias("n")).where("n > 1").drop("n"))
+    return common.materialise(each.where("times = 1").join(twice, ["t1", "t2"], "left_semi").select("k1", "k2", "lo", F.col("lo").alias("hi")))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
