@@ -309,7 +309,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     by_context = rows.groupBy("h", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "id", "first", "starts", "rel")).alias("one"))
     by_anchor = by_context.groupBy("h").agg(F.sum("times").alias("all"), F.count("*").alias("kinds")).where(F.col("all") > 1)
     shared = common.materialise(by_context.join(by_anchor, "h"))
-    copied = rows.join(shared.where("times > 1").select("h", "ctx"), ["h", "ctx"], "left_semi").select("k1", "k2", F.col("first").alias("lo"), (F.col("first") + F.col("starts") - 1).alias("hi"))
+    # Copies of a text are one row; dealing them out first also lets a hot context's partition be split.
+    once = rows.select("h", "ctx", "k1", "k2", "first", "starts").distinct()
+    copied = once.join(shared.where("times > 1").select("h", "ctx"), ["h", "ctx"], "left_semi").select("k1", "k2", F.col("first").alias("lo"), (F.col("first") + F.col("starts") - 1).alias("hi"))
 
     wanted = shared.where("kinds > 1").select("h", "times", (F.col("kinds") > GROUP).alias("hot"), "one.*")
     found = common.materialise(contexts(keyed, wanted))
