@@ -4,13 +4,16 @@ Tokens are runs of \w, lower-cased. Fixed masks of care and ignore places are sl
 window's hash takes the care places only, so that a substitution at an ignored place does not hide a
 match. Test hashes are the stated query set: they go to all documents in blocks of bounded size (of
 any number, so a large benchmark needs no other way), where they are joined with the windows of each
-document. Around every hit the aligned tokens are compared: a segment is the best run of the
-alignment with +1 for an equal and -3 for another token, and counts if 80 % of its tokens are equal.
-
-A document is contaminated by an item if a segment has MIN_RUN tokens (or the whole item, if that is
-shorter), or if the segments together cover 80 % of the item, as after an insertion. Items of fewer
-tokens than the lightest mask spans (7) are no evidence and match nothing. Defined results: null and
-empty texts on either side match nothing; very long texts are read whole; a null id stays null;
+document. Around every hit the whole aligned item is compared, in three ways: its equal tokens as a
+share of the item, those of every window of MIN_RUN tokens of it as a share of the window, and a
+segment, which is the best run of the alignment with +1 for an equal and -3 for another token and
+counts if 80 % of its tokens are equal.
+
+A document is contaminated by an item if 80 % of the item, or of a window of it, is equal, if a
+segment has MIN_RUN tokens (or the whole item, if that is shorter), or if windows and segments
+together cover 80 % of the item, as after an insertion. Items of fewer tokens than the lightest mask
+spans (7) are found where all their tokens stand in a row, and not otherwise. Defined results: null
+and empty texts on either side match nothing; very long texts are read whole; a null id stays null;
 repeated rows are judged alike; an empty benchmark or table gives no hits.
 """
 
@@ -75,6 +78,12 @@ class Block:
                 held[np.array(list(index), dtype=np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
             self.index.append(index)
             self.filters.append(held)
+        #: For each length below that of the lightest mask, the items by the hash of all their tokens.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i, own in enumerate(self.items):
+            if 0 < len(own) < len(MASKS[0]):
+                self.short.setdefault(len(own), {}).setdefault(int(window_hashes(own, "1" * len(own))[0]), []).append(i)
+        self.short_hashes = {n: np.array(list(index), dtype=np.uint64) for n, index in self.short.items()}
 
     def find(self, text: str) -> list[dict]:
         """The items that contaminate a text."""
@@ -87,19 +96,49 @@ class Block:
                 for item, place in index.get(int(hashes[at]), ()):
                     diagonals.setdefault(item, set()).add(at - place)
         out = []
-        for item, shifts in sorted(diagonals.items()):
-            own, covered, longest, first = self.items[item], set(), 0, None
-            for shift in sorted(shifts):
+        for n, index in self.short.items():
+            hashes = window_hashes(ids, "1" * n)
+            first_at: dict[int, int] = {}
+            for at in np.flatnonzero(np.isin(hashes, self.short_hashes[n])).tolist():
+                for item in index.get(int(hashes[at]), ()):
+                    if item not in first_at and (self.items[item] == ids[at : at + n]).all():
+                        first_at[item] = at
+            out += [(item, at, n, 1.0) for item, at in first_at.items()]
+        for item, shifts in diagonals.items():
+            own, covered, longest, first, enough = self.items[item], np.zeros(len(self.items[item]), dtype=bool), 0, None, False
+            for shift in shifts:
                 begin, end = max(0, -shift), min(len(own), len(ids) - shift)
                 same = own[begin:end] == ids[begin + shift : end + shift]
-                a, b, equal = best_run(same.tolist())
-                if b - a >= len(MASKS[0]) and equal >= SHARE * (b - a):
-                    covered.update(range(begin + a, begin + b))
+                spans, whole = segments(same, len(own))
+                enough |= whole
+                for a, b in spans:
+                    covered[begin + a : begin + b] = True
                     longest = max(longest, b - a)
                     first = begin + a + shift if first is None else min(first, begin + a + shift)
-            if longest and (longest >= min(MIN_RUN, len(own)) or len(covered) >= SHARE * len(own)):
-                out.append({"item": self.names[item], "at_token": first, "longest": longest, "covered": len(covered) / len(own)})
-        return out
+            if longest and (enough or covered.sum() >= SHARE * len(own)):
+                out.append((item, first, longest, float(covered.mean())))
+        return [{"item": self.names[item], "at_token": at, "longest": longest, "covered": covered} for item, at, longest, covered in sorted(out)]
+
+
+def segments(same: np.ndarray, n: int) -> tuple[list[tuple[int, int]], bool]:
+    """What is alike on one alignment with an item of n tokens, as (begin, end), and whether it is enough by itself."""
+    spans, enough = [], False
+    a, b, equal = best_run(same.tolist())
+    if b - a >= len(MASKS[0]) and equal >= SHARE * (b - a):
+        spans.append((a, b))
+        enough = b - a >= min(MIN_RUN, n)
+    hits = np.flatnonzero(same)
+    if len(hits) >= SHARE * n:
+        spans.append((int(hits[0]), int(hits[-1]) + 1))
+        enough = True
+    if len(same) >= MIN_RUN:
+        sums = np.concatenate([[0], np.cumsum(same)])
+        begins = np.flatnonzero(sums[MIN_RUN:] - sums[:-MIN_RUN] >= SHARE * MIN_RUN)
+        if len(begins):
+            cuts = np.flatnonzero(np.diff(begins) > MIN_RUN)  # windows that touch are one span
+            spans += zip(begins[np.append(0, cuts + 1)].tolist(), (begins[np.append(cuts, len(begins) - 1)] + MIN_RUN).tolist())
+            enough = True
+    return spans, enough
 
 
 def best_run(same: list[bool]) -> tuple[int, int, int]:

@@ -226,6 +226,30 @@ def test_decontamination_in_several_blocks(spark, monkeypatch):
     assert decontaminate.clean(df, bench).count() == 0
 
 
+def test_decontamination_counts_the_whole_alignment():
+    """Substitutions near the ends and spread over an item, and items too short for a mask."""
+    short, long = prose(15, 651).split(" "), prose(60, 652).split(" ")
+    block = decontaminate.Block([(1, " ".join(short)), (2, " ".join(long)), (3, "Quick brown fox"), (4, "solo!"), (5, "...")])
+    found = lambda words: [h["item"] for h in block.find(" ".join(words))]
+    changed = lambda words, places: [f"new{i}" if i in places else w for i, w in enumerate(words)]
+    pad = ["pad"] * 9
+    assert found(pad + changed(short, {2, 12}) + pad) == [1] and found(changed(short, {0, 1, 14})) == [1]
+    assert found(pad + changed(short, {2, 5, 9, 12})) == []  # 11 of 15
+    assert found(pad + changed(long, set(range(0, 60, 5))) + pad) == [2]
+    window = changed(long[20:40], {2, 10, 17})
+    assert found(pad + window + pad) == [2] and found(pad + long[20:32] + pad) == []
+    assert found(["a", "QUICK", "brown", "fox."]) == [3] and found(["quick", "brown", "dog", "fox"]) == [] and found(pad + ["Solo"]) == [4]
+    assert [h for h in block.find("solo quick brown fox") if h["item"] == 3] == [{"item": 3, "at_token": 1, "longest": 3, "covered": 1.0}]
+    own = random.Random(3)
+    for _ in range(300):
+        places = set(own.sample(range(60), own.randint(0, 20)))
+        text = changed(long, places)
+        alike = [i not in places for i in range(60)]
+        hit = any(all(alike[at + j] for j, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for at in range(61 - len(m)))
+        want = sum(alike) >= 48 or any(sum(alike[i : i + 20]) >= 16 for i in range(41))
+        assert not (hit and want) or found(text) == [2]
+
+
 def brute_repeats(texts: list[bytes], n: int = 400):
     seen = Counter(t[s : s + n] for t in texts for s in range(len(t) - n + 1))
     out = []
