@@ -16,6 +16,8 @@ tasks that compare sets across components and return a forest.
 
 Defined results: null texts count as empty; rows with a null id take part, their component is the
 least id that it holds or null; repeated rows share a component; an empty table gives an empty table.
+Of each component exactly one row is kept, of the least id (null last), whatever ids other rows have;
+rows without shingles are all kept.
 """
 
 from __future__ import annotations
@@ -236,11 +238,15 @@ def in_blocks(now: DataFrame, keys: DataFrame, nodes: DataFrame, sets: DataFrame
     return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """id, n_shingles, component_id, kept of every row; links have 100 * common >= percent * joint shingles."""
+def judged(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """id, tkey, n_shingles, component, kept and spare of every row.
+
+    Rows are told apart by uid, a number given when they are signed; spare: not kept, but equal in id
+    and text to the row that is.
+    """
     r = radius(percent / 100)
-    marks = common.materialise(signed(docs, id_col, text_col, k))
-    nodes = marks.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "tkey")).alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    marks = common.materialise(signed(docs, id_col, text_col, k).withColumn("uid", F.monotonically_increasing_id()))
+    nodes = marks.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tkey", "uid")).alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     nodes = common.materialise(nodes.withColumn("nid", F.monotonically_increasing_id()))
 
     keys = keyed(nodes, r)
@@ -269,19 +275,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = in_blocks(now, open_keys, nodes, sets, percent, r)
     labels = components(labels.select(F.col("nid").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
-    named = nodes.select("node", "nid", "least").join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-    least = named.groupBy("comp").agg(F.min("least").alias("component"))
-    of_node = named.join(least, "comp").select("node", "component")
-    full = marks.where("n_shingles > 0").join(of_node, "node").select("id", "n_shingles", "component")
-    every = full.unionByName(marks.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component")))
-    return every.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+    named = nodes.select("node", "nid", "least", "rep").join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+    least = named.groupBy("comp").agg(F.min("least").alias("component"), F.min("rep").alias("rep"))
+    of_node = named.drop("rep").join(least, "comp").select("node", "component", "rep")
+    full = marks.where("n_shingles > 0").join(of_node, "node")
+    kept = F.col("uid") == F.col("rep.uid")
+    spare = ~kept & F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("tkey") == F.col("rep.tkey"))
+    full = full.select("id", "tkey", "n_shingles", "component", kept.alias("kept"), spare.alias("spare"))
+    bare = marks.where("n_shingles = 0").select("id", "tkey", "n_shingles", F.col("id").alias("component"), F.lit(True).alias("kept"), F.lit(False).alias("spare"))
+    return full.unionByName(bare)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """id, n_shingles, component_id, kept of every row; links have 100 * common >= percent * joint shingles."""
+    return judged(docs, id_col, text_col, k, percent).select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """docs without all but one row of each component, with the columns of docs."""
-    found = common.materialise(near_duplicates(docs, id_col, text_col, k, percent))
-    gone = found.where("not kept").select(id_col).distinct().hint("shuffle_hash")
-    stay = docs.join(gone, docs[id_col].eqNullSafe(gone[id_col]), "left_anti")
-    if found.where("kept and n_shingles > 0").groupBy(id_col).count().where("count > 1").isEmpty():
-        return stay
-    return stay.dropDuplicates([id_col, text_col])  # rows repeated as a whole
+    found = common.materialise(judged(docs, id_col, text_col, k, percent).where("not kept").select(F.col("id").alias("__id"), F.col("tkey").alias("__key"), "spare"))
+    keyed_docs = docs.withColumn("__tkey", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+
+    def met(keys: DataFrame, how: str) -> DataFrame:
+        return keyed_docs.join(keys, (keyed_docs["__tkey"] == keys["__key"]) & keyed_docs[id_col].eqNullSafe(keys["__id"]), how)
+
+    gone, spare = found.where("not spare"), found.where("spare").select("__id", "__key").distinct()
+    if spare.isEmpty():
+        return met(gone.select("__id", "__key").distinct().hint("shuffle_hash"), "left_anti").select(*docs.columns)
+    # Rows repeated as a whole stand for one row.
+    stay = met(found.select("__id", "__key").distinct().hint("shuffle_hash"), "left_anti")
+    once = met(spare.hint("shuffle_hash"), "left_semi").dropDuplicates([id_col, "__tkey"])
+    return stay.unionByName(once).select(*docs.columns)

@@ -396,6 +396,20 @@ def test_one_of_each_stays(docs):
     assert left.columns == docs.columns and 5 in ids and not {6, 7, 8, 9} & set(ids) and {0, 1, 2, 3, 4} <= set(ids)
 
 
+def test_one_of_each_decides_by_row(spark):
+    """Null and repeated ids with different texts, whole repeats, and near copies that all have null ids."""
+    a, b, c, d, e = (prose(200, 900 + i) for i in range(5))
+    rows = [(1, a), (None, a + " z"), (None, b), (None, c), (None, c + " z"), (None, c + " y"), (3, a + " x"), (3, d), (3, d), (3, d), (4, d + " z"), (2, e), (3, e + " z"), (3, ""), (3, None), (5, ""), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [tuple(r) for r in near_dup.one_of_each(df, k=3, percent=85).collect()]
+    of_c = [r for r in left if r[0] is None and r[1][:1900].startswith(c[:600])]
+    assert len(of_c) == 1 and of_c[0] in rows
+    left.remove(of_c[0])
+    assert sorted(left, key=str) == sorted([(1, a), (None, b), (3, d), (2, e), (3, ""), (3, None), (5, ""), (5, "")], key=str)
+    got = near_dup.near_duplicates(df, k=3, percent=85).where("kept and n_shingles > 0")
+    assert got.count() == 5
+
+
 def test_every_pair_within_the_radius_shares_a_key():
     own = np.random.default_rng(2)
     r = near_dup.radius(0.85)
