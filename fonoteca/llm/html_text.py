@@ -1,11 +1,12 @@
 r"""Main text of web pages by consensus of each host's container paths.
 
-On every page the containers (article, main, section, div, td, body) are scored by the text that their
-blocks hold, less what is in links. Each page votes for the paths of its best containers, by the share
-of the page's score that each has; a path is the chain of tags with their first class, digits
-generalised. Votes are summed for each host in Spark, the path of the most votes wins, and each page is
-extracted again from the containers at its host's winning path; a page that has none there, or whose
-own best container holds far more text, is extracted from its own best one.
+On every page the containers (article, main, section, div, td, body) are measured by the text of all
+blocks in them, less what is in links. Where articles and mains hold half of it or more, only text in
+them is measured. The page votes for the path of its smallest container with NEARLY all of that text,
+lifted to the outermost article or main around it; a path is the chain of all tags with their first
+class, digits generalised, kept as a digest. Votes are summed for each host in Spark, the path of the
+most votes wins, and each page is extracted again from the containers at its host's winning path; a
+page where these hold less than NEARLY all of what its own container holds is extracted from its own.
 
 What is never text: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments, known by tag or by the words of class, id and role. Defined results: a null, empty
@@ -16,9 +17,11 @@ extracted each; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from fonoteca.llm import common
 
 # Fixed values.
+NEARLY = 0.9
 CONTAINERS = frozenset("article main section div td body".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -46,11 +50,11 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "skipped", "inside", "score", "link", "first", "last")
+    __slots__ = ("tag", "path", "parent", "skipped", "inside", "link", "first", "last")
 
     def __init__(self, tag: str, path: str, parent: Node | None, skipped: bool, inside: bool, link: bool, first: int):
         self.tag, self.path, self.parent, self.skipped, self.inside, self.link = tag, path, parent, skipped, inside, link
-        self.score, self.first, self.last = 0.0, first, None
+        self.first, self.last = first, None
 
 
 class Page:
@@ -58,6 +62,7 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[Node, str]] = []
+        self.scores: list[float] = []
         self.containers: list[Node] = []
         self.stack = [Node("", "", None, False, False, False, 0)]
         self.pieces: list[str] = []
@@ -83,7 +88,7 @@ class Page:
                 self.linked += len(piece)
 
     def flush(self) -> None:
-        """Ends a block: its text goes to the blocks, its score to the two containers around it."""
+        """Ends a block: its text goes to the blocks, its score to the scores."""
         if not self.pieces:
             return
         text = " ".join("".join(self.pieces).split())
@@ -91,13 +96,7 @@ class Page:
         if not text:
             return
         self.blocks.append((self.stack[-1], text))
-        score = max(0.0, len(text) - 2.0 * linked) * (1.0 if len(text) > 40 or text[-1] in ".!?" else 0.3)
-        node, weight = self.stack[-1], 1.0
-        while node is not None and weight > 0.2:
-            if node.tag in CONTAINERS or node.parent is None:
-                node.score += score * weight
-                weight *= 0.5
-            node = node.parent
+        self.scores.append(max(0.0, len(text) - 2.0 * linked) * (1.0 if len(text) > 40 or text[-1] in ".!?" else 0.3))
 
     def open(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
@@ -119,7 +118,8 @@ class Page:
         if tag in ("article", "main"):
             words = {w for part in names for w in WORDS.findall(part)} & {"comment", "comments", "reply", "replies", "related", "promo", "ad", "ads", "advert", "sponsored"}
         skipped = above.skipped or tag in SKIPPED or tag == "header" and not inside or bool(words & SKIPPED_WORDS) or found.get("role") in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-        node = Node(tag, f"{above.path}/{step}"[-400:], above, skipped, inside, above.link or tag == "a", len(self.blocks))
+        path = hashlib.blake2b(f"{above.path}/{step}".encode("utf-8", "replace"), digest_size=8).hexdigest()
+        node = Node(tag, path, above, skipped, inside, above.link or tag == "a", len(self.blocks))
         self.stack.append(node)
         if tag in CONTAINERS and not skipped:
             self.containers.append(node)
@@ -149,20 +149,25 @@ class Page:
         del self.stack[k:]
 
     def best(self) -> Node:
-        return max(self.containers, key=lambda node: node.score)
-
-    def votes(self) -> dict[str, float]:
-        total = sum(node.score for node in self.containers)
-        shares: dict[str, float] = {}
-        for node in sorted(self.containers, key=lambda node: -node.score)[:5]:
-            if node.score > 0:
-                shares[node.path] = shares.get(node.path, 0.0) + node.score / total
-        return shares
+        """The smallest container that holds nearly all text, or the outermost article or main around it."""
+        marked, end = [0.0] * len(self.scores), 0
+        for node in self.containers:
+            if node.tag in ("article", "main") and node.last > end:
+                begin, end = max(node.first, end), node.last
+                marked[begin:end] = self.scores[begin:end]
+        sums = [0.0, *accumulate(marked if 2 * sum(marked) >= sum(self.scores) else self.scores)]
+        if not sums[-1]:
+            return self.root
+        found = lifted = [node for node in self.containers if sums[node.last] - sums[node.first] >= NEARLY * sums[-1]][-1]
+        while found is not None:
+            lifted = found if found.tag in ("article", "main") else lifted
+            found = found.parent
+        return lifted
 
     def extract(self, path: str | None) -> str:
-        best = self.best()
+        best, sums = self.best(), [0.0, *accumulate(self.scores)]
         chosen = [node for node in self.containers if node.path == path] if path is not None else []
-        if sum(node.score for node in chosen) < 0.5 * best.score or not chosen:
+        if not chosen or sum(sums[node.last] - sums[node.first] for node in chosen) < NEARLY * (sums[best.last] - sums[best.first]):
             chosen = [best]
         taken = sorted({i for node in chosen for i in range(node.first, node.last)})
         return "\n".join(self.blocks[i][1] for i in taken)
@@ -178,12 +183,11 @@ def winners(pages: DataFrame, html_col: str) -> DataFrame:
 
     def make():
         def of(sources: list[bytes]) -> list[list]:
-            return [[[{"path": p, "vote": round(v * 1000)} for p, v in Page(s.decode("utf-8", "replace")).votes().items()] for s in sources]]
+            return [[Page(s.decode("utf-8", "replace")).best().path for s in sources]]
 
         return of
 
-    cast = common.map_texts(pages, html_col, ["__host"], "votes array<struct<path:string,vote:long>>", make)
-    votes = cast.select("__host", F.explode("votes").alias("v")).groupBy("__host", "v.path").agg(F.sum("v.vote").alias("vote"))
+    votes = common.map_texts(pages, html_col, ["__host"], "path string", make).groupBy("__host", "path").agg(F.count("*").alias("vote"))
     return votes.groupBy("__host").agg(F.min_by("path", F.struct(-F.col("vote"), F.col("path"))).alias("__path"))
 
 

@@ -303,6 +303,23 @@ def test_html(spark):
     assert html_text.extract(df.where("false"), keep=["page_id"]).count() == 0
 
 
+def test_html_keeps_text_outside_the_largest_container():
+    """Nested sections, headings outside the content div, and paths that differ far above."""
+    long = "A sentence that is long enough to count as text. "
+    take = lambda body: html_text.Page(f"<body><nav>menu</nav>{body}<div class=ad>buy</div></body>").extract(None).split("\n")
+    p = lambda n, name: f"<p>{name} {(long * n).strip()}</p>"
+    names = lambda body: [line.split(" ")[0] for line in take(body)]
+    assert names(f"<article><h1>Title</h1><div class=content>{p(9, 'one')}</div></article>") == ["Title", "one"]
+    assert names(f"<article><h1>Title</h1><section class=intro>{p(2, 'one')}</section><section class=body>{p(9, 'two')}</section></article>") == ["Title", "one", "two"]
+    assert names(f"<main><h1>Title</h1><article><div><div><div><div>{p(9, 'one')}</div></div></div><h2>Sub</h2></div></article></main>") == ["Title", "one", "Sub"]
+    assert names(f"<div class=page><section class=intro>{p(3, 'one')}</section><section class=body>{p(5, 'two')}</section></div>") == ["one", "two"]
+    assert names(f"<article class=a>{p(3, 'one')}</article><article class=b>{p(2, 'two')}</article>") == ["one", "two"]
+    assert names(f"<div>{p(3, 'noise')}</div><article><h1>Title</h1>{p(9, 'one')}</article>") == ["Title", "one"]
+    deep = "<div class=wrapper>" * 60
+    ends = [html_text.Page(f"<body><div class={c}>{deep}{p(3, 'one')}").best().path for c in ("left", "right", "left")]
+    assert ends[0] == ends[2] != ends[1]
+
+
 def test_html_joins_many_winners(spark, monkeypatch):
     monkeypatch.setattr(html_text, "BROADCAST_BYTES", 0)
     rows = [(i, f"http://h{i % 3}.example/", f"<body><div class=main><p>Text number {i} is here.</p></div></body>") for i in range(30)]
