@@ -93,11 +93,19 @@ def normalise_track(c: Text) -> Column:
     return F.when(digits == "", "").otherwise(padded(digits))
 
 
+def or_else(c: Column, fallback: str | Column) -> Column:
+    """fallback for ''; c stands once in the expression, however long it is."""
+    other = F.lit(fallback) if isinstance(fallback, str) else fallback
+    return F.get(F.transform(F.array(c), lambda x: F.when(x == "", other).otherwise(x)), F.lit(0))
+
+
 def clean_name(c: Text, fallback: str = "Unknown") -> Column:
     """Parts split at ; | & and comma, each once whatever its case, joined by ' & '."""
-    parts = F.filter(F.transform(F.split(strip(c), r"(?U)\s*;\s*|\s*\|\s*|\s+&\s+|,\s+"), strip), lambda p: p != "")
-    first = F.filter(parts, lambda p, i: F.array_position(F.transform(parts, F.lower), F.lower(p)) == i + 1)
-    return F.when(F.size(first) == 0, F.lit(fallback)).otherwise(F.array_join(first, " & "))
+    parts = F.transform(F.split(strip(c), r"(?U)\s*;\s*|\s*\|\s*|\s+&\s+|,\s+"), strip)
+    new = lambda seen, p: (p != "") & ~F.exists(seen, lambda q: F.lower(q) == F.lower(p))
+    first = F.aggregate(parts, F.array().cast("array<string>"), lambda seen, p: F.when(new(seen, p), F.array_append(seen, p)).otherwise(seen))
+    joined = F.array_join(first, " & ")
+    return or_else(joined, fallback) if fallback else joined
 
 
 ILLEGAL = '<>:"/\\|?*\0'
@@ -105,13 +113,12 @@ ILLEGAL = '<>:"/\\|?*\0'
 
 def safe_part(c: Text, fallback: str | Column = "Unknown", illegal: str = ILLEGAL, longest: int = 200) -> Column:
     """A string made fit to be one part of a path."""
-    fallback = F.lit(fallback) if isinstance(fallback, str) else fallback
     s = clean_name(c, "")
     s = F.translate(s, illegal, "_" * len(illegal)) if illegal else s
     s = F.regexp_replace(F.regexp_replace(s, "_{2,}", "_"), r"(?U)\s{2,}", " ")
     s = F.regexp_replace(s, r"^[ ._]+|[ ._]+$", "")
-    s = F.when(F.length(s) > longest, F.regexp_replace(F.left(s, F.lit(longest)), r"[ ._]+$", "")).otherwise(s)
-    return F.when(s == "", fallback).otherwise(s)
+    s = F.regexp_replace(F.left(s, F.lit(longest)), r"[ ._]+$", "")
+    return s if isinstance(fallback, str) and not fallback else or_else(s, fallback)
 
 
 # Words that mark a bracket at a title's end as the name of a version.

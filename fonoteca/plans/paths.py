@@ -28,7 +28,7 @@ def pretty_name(star: str = "✰", ripped_by: str = "") -> Column:
         codec,
     )
     track = normalise_track("track_number")
-    bracket = F.when(track != "", F.concat(F.lit("[ "), track, F.lit(". "), rest, F.lit("]"))).otherwise(F.concat(F.lit("["), rest, F.lit("]")))
+    bracket = F.concat(F.when(track != "", F.concat(F.lit("[ "), track, F.lit(". "))).otherwise("["), rest, F.lit("]"))
     whole = F.concat_ws(" ", *([F.lit(star)] if star else []), bracket, *([F.concat(F.lit("Ripped By "), safe_part(F.lit(ripped_by), ""))] if ripped_by else []))
     ext = F.when(suffix("path") == "", ".flac").otherwise(suffix("path"))
     return F.when((artist != "") & (strip("title") != ""), F.concat(safe_part(whole, "Untitled Track", illegal=""), ext))

@@ -73,7 +73,7 @@ def cue_sheets(texts: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_cue_sheets(spark: SparkSession, root: str) -> DataFrame:
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.cue").text(root).select("value", "_metadata.file_path")
+    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.cue").select("value", "_metadata.file_path")
     return cue_sheets(texts.select(F.regexp_replace("file_path", "^file:(//)?", "").alias("path"), "value")).drop("value")
 
 
