@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fonoteca.llm import class_lm, decontaminate, html_text, near_dup, packing, pii, quality, repeats, rules, secrets
+from fonoteca.llm import class_lm, decontaminate, html_text, near_dup, packing, pii, quality, queries, repeats, rules, secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, spans string, key string"
 rng = random.Random(4)
@@ -268,18 +268,36 @@ def test_repeats_match_brute_force(docs, empty, group, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP", group)
     rows = [(r["doc_id"], (r["text"] or "")[:9000]) for r in docs.select("doc_id", "text").collect()]
     df = docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    want = Counter((i, *x) for (i, _), x in zip(rows, brute_repeats([t.encode() for _, t in rows])))
-    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.digest(df).collect())
+    texts = [t.encode() for _, t in rows]
+    want = Counter((i, *x, y[1]) for (i, _), x, y in zip(rows, brute_repeats(texts), brute_repeats(texts, 256)))
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_noticed"]) for r in repeats.digest(df).collect())
     assert got == want
     assert repeats.digest(empty).count() == 0
 
 
+def test_anchors_of_a_text_in_pieces_cover_every_start_once():
+    text = (prose(1500, 8) + " É " + prose(700, 9)).encode()
+    for piece in (1000, 4096, len(text)):
+        starts = sorted(first + i for _, first, n, *_ in repeats.anchors_of([text], piece) for i in range(n))
+        assert starts == list(range(len(text) - repeats.NOTICE + 1))
+    whole = {(h, first + rel) for _, first, _, rel, h, _ in repeats.anchors_of([text])}
+    assert {(h, first + rel) for _, first, _, rel, h, _ in repeats.anchors_of([text], 1000)} == whole
+
+
+def test_repeats_query_matches_brute_force_on_the_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    want = {r["doc_id"]: x for r, x in zip(docs, brute_repeats([(r["text"] or "").encode() for r in docs]))}
+    got = queries.op4_suffix_dedup(spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want and len(got) == len(docs)
+
+
 def test_prefix_classes_match_sorted_prefixes():
     own = np.random.default_rng(3)
     for core in (1, 3, 5):
         body = own.integers(10, 13, 300)
         symbols = np.concatenate([body, [0], body[50:200], [1], own.integers(10, 12, 60), [2]])
-        classes = repeats.prefix_classes(symbols, core)
+        below, classes = repeats.prefix_classes(symbols, (core, core + 2))[0], repeats.prefix_classes(symbols, (core,))[0]
+        assert (below == classes).all()
         same = defaultdict(set)
         for i in range(len(symbols) - core):
             if (symbols[i : i + core] >= 10).all():
