@@ -474,6 +474,40 @@ def test_class_model_base_and_normalisation(docs, empty):
     assert class_lm.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("head", [1000, 40])
+def test_class_model_scores_are_those_of_its_tables(docs, head):
+    """Brute force over each token, with classes looked up one by one; probabilities add up to one."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    rows = docs.select(F.col("doc_id").alias("id"), held.alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("__text"))
+    model = class_lm.train(rows.where("not held_out").select("__text"), head, 20, 4)
+    table = {bytes(r["word"]): (r["n"], r["class"]) for r in model.vocabulary.collect()}
+    assert len(table) == model.distinct - 1 and len({k for _, k in table.values()}) == 4 and (len(model.head) == len(table)) == (head == 1000)
+    emission = {w: (n + 0.5) / model.scale[k] for w, (n, k) in table.items()}
+    for k in range(4):
+        assert math.isclose(sum(e for w, e in emission.items() if table[w][1] == k), 1, rel_tol=1e-9)
+    assert np.allclose((10**model.transition).sum(1), 1)
+    if head == 1000:  # every pair is seen
+        pairs = Counter()
+        for r in rows.where("not held_out").collect():
+            path = [4, *(table[w][1] for w in bytes(r["__text"]).lower().split()), 4]
+            pairs.update(zip(path, path[1:]))
+        seen = np.array([[pairs[i, j] for j in range(6)] for i in range(6)])
+        assert np.allclose(model.transition, np.log10((seen + 0.5) / (seen.sum(1, keepdims=True) + 3)))
+    got = sorted((str(r["id"]), r["n_tokens"], round(r["score"], 6)) for r in class_lm.scored(rows, model).collect())
+    want = []
+    for r in rows.collect():
+        words = bytes(r["__text"]).lower().split()
+        path = [4, *(table[w][1] if w in table else 5 for w in words), 4]
+        total = sum(model.transition[i, j] for i, j in zip(path, path[1:])) + sum(math.log10(emission.get(w, 1)) for w in words)
+        want.append((str(r["id"]), len(words) + 1, round(float(total), 6)))
+    assert got == sorted(want)
+
+
+def test_class_model_beats_the_base_on_held_out_texts(spark):
+    got = queries.op9_class_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > 0.98 * got[1], got
+
+
 def test_exchange_finds_the_classes():
     """Symbols of two kinds that alternate end in two classes."""
     n = 10
