@@ -8,11 +8,18 @@ class, digits generalised, kept as a digest. Votes are summed for each host in S
 most votes wins, and each page is extracted again from the containers at its host's winning path; a
 page where these hold less than NEARLY all of what its own container holds is extracted from its own.
 
-What is never text: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments, known by tag or by the words of class, id and role. Defined results: a null, empty
-or textless page gives an empty text; unclosed and stray tags are closed as browsers do for blocks;
-text outside all tags belongs to the body; a null url is a host of its own; repeated rows vote and are
-extracted each; an empty table gives an empty table.
+What is never text: menus, footers, sidebars, dialogs, scripts and styles, known by tag, what is hidden,
+and reader comments, known by tag or name. Page headers, forms, notices, adverts and other parts that are
+named by class, id or role are suspects: a name counts if all its parts are words of that kind ("ad",
+"cookie-notice", "sidebar-left", but not "has-sidebar"). A suspect around an article or main is none,
+nor is one that holds MOST of the text of a page without these.
+
+Every page is read once, from front to end, in time that grows with its length. A quote that is never
+closed does not hide what follows: from there on tags end at the next >. Defined results: a null, empty
+or textless page gives an empty text; unclosed and stray tags are closed as browsers do for blocks; a
+tag, comment or script that never ends goes up to the page's end; text outside all tags belongs to the
+body; a null url is a host of its own; repeated rows vote and are extracted each; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -35,26 +42,49 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-SKIPPED = frozenset("aside button dialog footer form head iframe input label menu nav noscript object option script select style svg template textarea title".split())
-SKIPPED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related reply replies search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe toolbar widget widgets".split()
+MOST = 0.8
+SKIPPED = frozenset("aside button datalist dialog footer head input menu nav noscript object option select svg template".split())
+SUSPECTS = frozenset("form header".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+NOISE_WORDS = COMMENT_WORDS | frozenset(
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe toolbar widget widgets".split()
 )
+#: Parts of names that say nothing by themselves.
+NEUTRAL = frozenset("area bar block bottom box buttons container global header icons inner item left links list panel posts primary right row secondary section site slot text thread top unit wrap wrapper".split())
+ARTICLE_NOISE = COMMENT_WORDS | frozenset("ad ads advert promo related sponsored".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-RAW = r"<(script|style|textarea|template|noscript|svg|iframe|title)\b[^>]*>.*?</\1\s*>"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|{RAW}|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S | re.I)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Elements whose content is no markup.
+RAW = {tag: re.compile(rf"</{tag}(?![a-z0-9])", re.I) for tag in ("script", "style", "textarea", "title", "iframe", "xmp")}
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile(r"""[>"']""")
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|for)\s*+(?:=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: A start of the left tag ends an open element of the right ones, no further up than a container.
 ENDS_P = BLOCKS - {"br", "html", "body", "head", "title", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Closing tags and new blocks end nothing beyond the nearest of these.
+SCOPES = CONTAINERS | {"ul", "ol", "dl", "table", "blockquote"}
 WORDS = re.compile(r"[a-z]+")
 
 
+def says(names: list[str], words: frozenset[str]) -> bool:
+    """Whether a name consists of these words, of neutral ones beside them, and of digits."""
+    for name in names:
+        parts = set(WORDS.findall(name))
+        if parts & words and parts <= words | NEUTRAL:
+            return True
+    return False
+
+
 class Node:
-    __slots__ = ("tag", "path", "parent", "skipped", "inside", "link", "first", "last")
+    __slots__ = ("tag", "path", "parent", "skipped", "inside", "link", "suspect", "holds", "drop", "first", "last", "open")
 
     def __init__(self, tag: str, path: str, parent: Node | None, skipped: bool, inside: bool, link: bool, first: int):
         self.tag, self.path, self.parent, self.skipped, self.inside, self.link = tag, path, parent, skipped, inside, link
         self.first, self.last = first, None
+        self.suspect: Node | None = parent.suspect if parent else None
+        self.holds = self.drop = False
+        #: Of a scope, how many elements of each tag are open in it.
+        self.open: dict[str, int] = {}
 
 
 class Page:
@@ -64,21 +94,60 @@ class Page:
         self.blocks: list[tuple[Node, str]] = []
         self.scores: list[float] = []
         self.containers: list[Node] = []
+        self.suspects: list[Node] = []
         self.stack = [Node("", "", None, False, False, False, 0)]
+        self.scopes = [self.stack[0]]
+        self.open_tags: dict[str, int] = {}
         self.pieces: list[str] = []
         self.linked = 0
         self.root = self.stack[0]
         self.containers.append(self.root)
-        at = 0
-        for m in TOKEN.finditer(source):
-            self.text(source[at : m.start()])
-            at = m.end()
-            if m[3]:
-                (self.close if m[2] else self.open)(m[3].lower(), m[4] or "")
-        self.text(source[at:])
+        self.read(source)
         self.flush()
         for node in self.stack:
             node.last = len(self.blocks)
+        self.judge()
+
+    def read(self, source: str) -> None:
+        at, find, size, quotes = 0, source.find, len(source), True
+        while (begin := find("<", at)) >= 0:
+            name = NAME.match(source, begin)
+            if not name and source[begin + 1 : begin + 2] not in ("!", "?"):
+                self.text(source[at : begin + 1])
+                at = begin + 1
+                continue
+            self.text(source[at:begin])
+            if not name:
+                comment = source.startswith("<!--", begin)
+                end = find("-->" if comment else ">", begin + 2)
+                at = size if end < 0 else end + (3 if comment else 1)
+                continue
+            end, k = -1, name.end()
+            while quotes and (stop := STOP.search(source, k)):
+                if stop[0] == ">":
+                    end = stop.start()
+                    break
+                k = find(stop[0], stop.end()) + 1
+                if not k:
+                    quotes = False
+            if end < 0:
+                quotes = quotes and find(">", name.end()) < 0
+                end = find(">", name.end())
+            tag = name[1].lower()
+            if end < 0:
+                return
+            at = end + 1
+            if source[begin + 1] == "/":
+                self.close(tag)
+                continue
+            self.open(tag, source[name.end() : end])
+            if tag in RAW:
+                closing = RAW[tag].search(source, at)
+                if not closing:
+                    return
+                end = find(">", closing.start())
+                at = size if end < 0 else end + 1
+        self.text(source[at:])
 
     def text(self, piece: str) -> None:
         if piece and not self.stack[-1].skipped:
@@ -107,47 +176,82 @@ class Page:
                 self.end(SIBLINGS[tag])
             if tag[0] == "h" and tag[1:].isdigit():
                 self.end({"h1", "h2", "h3", "h4", "h5", "h6"})
-        if tag in VOID:
+        if tag in VOID or tag in RAW:
             return
         above = self.stack[-1]
         found = {name.lower(): (a or b or c or "").lower() for name, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
         names = found.get("class", "").split()
         step = tag + ("." + re.sub(r"\d+", "#", names[0]) if names else "")
-        inside = above.inside or tag in ("article", "main")
-        words = {w for part in (*names, found.get("id", "")) for w in WORDS.findall(part)} if found and tag not in ("body", "html", "article", "main") else set()
-        if tag in ("article", "main"):
-            words = {w for part in names for w in WORDS.findall(part)} & {"comment", "comments", "reply", "replies", "related", "promo", "ad", "ads", "advert", "sponsored"}
-        skipped = above.skipped or tag in SKIPPED or tag == "header" and not inside or bool(words & SKIPPED_WORDS) or found.get("role") in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+        marked = tag in ("article", "main")
+        named = [*names, *found.get("id", "").split()]
+        comment = tag not in ("body", "html", "main") and says(named, COMMENT_WORDS)
+        skipped = above.skipped or tag in SKIPPED or comment or "hidden" in found or found.get("aria-hidden") == "true" or tag == "label" and "for" in found
         path = hashlib.blake2b(f"{above.path}/{step}".encode("utf-8", "replace"), digest_size=8).hexdigest()
-        node = Node(tag, path, above, skipped, inside, above.link or tag == "a", len(self.blocks))
+        node = Node(tag, path, above, skipped, above.inside or marked, above.link or tag == "a", len(self.blocks))
+        if tag in SUSPECTS and not (tag == "header" and above.inside) or tag not in ("body", "html", "main") and (says(named, ARTICLE_NOISE if marked else NOISE_WORDS) or found.get("role") in ROLES):
+            node.suspect = node
+            self.suspects.append(node)
+        elif marked and not skipped:
+            held = node.suspect
+            while held is not None and not held.holds:
+                held.holds, held = True, held.parent.suspect
         self.stack.append(node)
+        scope = self.scopes[-1].open
+        scope[tag] = scope.get(tag, 0) + 1
+        self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
+        if tag in SCOPES:
+            self.scopes.append(node)
         if tag in CONTAINERS and not skipped:
             self.containers.append(node)
 
     def end(self, tags: set[str]) -> None:
-        """Closes the nearest open element of these tags, unless a container or list is nearer."""
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag in tags:
-                self.pop(k)
-                return
-            if self.stack[k].tag in CONTAINERS or self.stack[k].tag in ("ul", "ol", "dl", "table", "blockquote"):
-                return
-
-    def close(self, tag: str, _: str) -> None:
+        """Closes the nearest open element of these tags, if it is in the nearest scope or is that scope."""
+        scope = self.scopes[-1]
+        if scope.tag in tags or any(scope.open.get(tag) for tag in tags):
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k].tag in tags:
+                    self.pop(k)
+                    return
+
+    def close(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                self.pop(k)
-                return
-            if self.stack[k].tag in CONTAINERS and tag not in BLOCKS:
-                return
+        scope = self.scopes[-1]
+        if self.open_tags.get(tag) and (tag in BLOCKS or tag == scope.tag or scope.open.get(tag)):
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k].tag == tag:
+                    self.pop(k)
+                    return
 
     def pop(self, k: int) -> None:
-        for node in self.stack[k:]:
+        for node in reversed(self.stack[k:]):
             node.last = len(self.blocks)
+            if self.scopes[-1] is node:
+                self.scopes.pop()
+            self.scopes[-1].open[node.tag] -= 1
+            self.open_tags[node.tag] -= 1
         del self.stack[k:]
 
+    def judge(self) -> None:
+        """Takes out the blocks of suspects, but for those around an article or main, or around most of a page without."""
+        if not self.suspects:
+            return
+        sums = [0.0, *accumulate(self.scores)]
+        free = any(node.tag in ("article", "main") and (node.suspect is None or node.suspect.holds) and node.first < node.last for node in self.containers)
+        for node in self.suspects:  # the outer ones come first
+            outer = node.parent.suspect
+            kept = node.holds or not free and sums[node.last] - sums[node.first] > MOST * sums[-1]
+            node.drop = not kept or outer is not None and outer.drop
+        keep = [node.suspect is None or not node.suspect.drop for node, _ in self.blocks]
+        if all(keep):
+            return
+        place = [0, *accumulate(keep)]
+        self.blocks = [block for block, stays in zip(self.blocks, keep) if stays]
+        self.scores = [score for score, stays in zip(self.scores, keep) if stays]
+        self.containers = [node for node in self.containers if node.suspect is None or not node.suspect.drop]
+        for node in self.containers:
+            node.first, node.last = place[node.first], place[node.last]
+
     def best(self) -> Node:
         """The smallest container that holds nearly all text, or the outermost article or main around it."""
         marked, end = [0.0] * len(self.scores), 0

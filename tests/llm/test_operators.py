@@ -338,6 +338,58 @@ def test_html_keeps_text_outside_the_largest_container():
     assert ends[0] == ends[2] != ends[1]
 
 
+def test_html_names_that_only_hold_a_word_hide_nothing():
+    long = "A sentence that is long enough to count as text. "
+    take = lambda body: html_text.Page(f"<body>{body}</body>").extract(None)
+    article = f"<h1>Title</h1><p>{(long * 3).strip()}</p>"
+    want = f"Title\n{(long * 3).strip()}"
+    names = ("class='has-sidebar'", "class='layout no-comments'", "class=page-search", "class=with-related", "class=content-social", "class=share-count-3", "class=notice-period", "id=comments-off")
+    for name in names:
+        assert take(f"<div {name}><article>{article}</article></div>") == want, name
+        assert take(f"<div {name}>{article}</div><div class=ad>buy</div>") == want, name
+    for name in ("class=sidebar", "role=search", "class='cookie-notice'"):  # around the article they hide nothing, beside it they do
+        assert take(f"<div {name}><article>{article}</article></div>") == want, name
+        assert take(f"<div {name}>{article}</div><article><p>Text.</p></article>") == "Text.", name
+    assert take(f"<article><p>Short main text here.</p></article><article id='comment-1'><p>{long * 9}</p></article>") == "Short main text here."
+    assert take(f"<form id=page><p>{long}</p><p>Mind the <label>inner</label> text<label for=x>not this</label>.</p></form>").endswith("Mind the inner text.")
+    assert take("<article><p>a</p><!-- <p>b</p> --><p title='>'>c</p><script>'<p>d</p>'</script><p>e</article>") == "a\nc\ne"
+    assert take("<p>2 < 3 <b>or</b> <3</p><a <p>kept <a lost") == "2 < 3 or <3\nkept"
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<!--", "<script>", "<li>", "<div>", "<div class=ad>", "<", "<b><p></p>", '<a ">" '])
+def test_html_time_grows_with_the_length_of_malformed_pages(part):
+    import time
+
+    began = time.process_time()
+    html_text.Page(part * (200_000 // len(part)) + "</i>" * 20_000 + "</b>" * 20_000).extract(None)
+    assert time.process_time() - began < 5
+    if part == "<a ":
+        html_text.Page(part * 350_000).extract(None)
+        assert time.process_time() - began < 5
+
+
+def test_html_winners_match_a_count_of_votes(spark):
+    body = {"a": "<article><p>Text of some length, as it goes.</p></article>", "b": "<div class=x><p>Text of some length, as it goes.</p></div>"}
+    kinds = [("h1", "a"), ("h1", "b"), ("h1", "b"), ("h2", "a"), ("h2", "b"), (None, "a")]  # h2 is a tie
+    rows = [(i, None if host is None else f"http://{host}.example/{i}", body[kind]) for i, (host, kind) in enumerate(kinds)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("__host", html_text.host_of(F.col("url")))
+    votes = defaultdict(Counter)
+    for host, kind in kinds:
+        votes[f"{host}.example" if host else ""][html_text.Page(body[kind]).best().path] += 1
+    want = {host: min(count, key=lambda path: (-count[path], path)) for host, count in votes.items()}
+    assert {r["__host"]: r["__path"] for r in html_text.winners(pages, "html").collect()} == want
+
+
+def test_html_query_keeps_every_page(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    got = {r["page_id"]: r for r in queries.op5_html_extraction(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(pages)
+    for page in pages:  # all of these have their text in one article
+        inner = re.search(r"(?s)<article>(.*?)</article>", page["html"])[1]
+        blocks = [" ".join(html_text.html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:h1|p|br|ul|li|div|section)\b[^>]*>", inner)]
+        assert got[page["page_id"]]["text"] == "\n".join(b for b in blocks if b), page["page_id"]
+
+
 def test_html_joins_many_winners(spark, monkeypatch):
     monkeypatch.setattr(html_text, "BROADCAST_BYTES", 0)
     rows = [(i, f"http://h{i % 3}.example/", f"<body><div class=main><p>Text number {i} is here.</p></div></body>") for i in range(30)]
