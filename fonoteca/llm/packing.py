@@ -1,20 +1,25 @@
 """Packing with a controlled mixture: deficit round-robin over source queues.
 
-A source with at least a 64th of all tokens has a queue of its own; the others share one, so there
-are 64 queues at most, and what is collected about them is bounded. A queue's documents stand in the
-order in which they were tokenized. In every round (a sequence of 4096 tokens) each queue is served
-its target share of tokens, in quanta of 64; what rounding withholds from a queue in one round is its
-deficit, carried into the next round, over sequences and partitions alike. As targets are the
-queues' shares of all tokens, they all run dry together and only the last sequence is short.
-
-The served amounts have a closed form (cumulative rounding: after w rounds, queues 0..j have got the
-nearest number of quanta to their joint share), so a document's pieces follow from its place in its
-queue, and no task needs to see more than its own documents.
-
-Tokens are written once, as a table in the shared folder: 16-bit ids of each document. Places in a
-queue are running sums within a task, then over tasks in two levels. Defined results: a null or empty
-text is the end id alone; a text of any length is cut at sequence ends; a null source is a source of
-its own; repeated rows and rows with a null id are packed as rows; no rows give no pieces.
+Every source has a queue, in which its documents stand in the order in which they were tokenized, and
+a target share of all tokens: the one given for it, or a part, by size, of what the given shares leave
+to the sources without one. A queue is served units: whole documents, or pieces of QUANTUM tokens of
+longer ones. The next unit comes from the queue whose deficit, what its share of all tokens served so
+far exceeds what it was served itself, is largest. A unit is never cut to fit; its queue overdraws,
+and the deficit is carried into the next windows, over partitions alike. A queue that has run dry
+leaves its share to the others; with the natural shares all run dry together.
+
+The turn of a unit needs no simulation. A queue of share w is at its turn once the round-robin has
+come to the tokens before the unit divided by w, so units are dealt out by that time, in buckets of
+about BUCKET tokens whose bounds follow from the shares and sizes of the queues alone. The tokens
+before a bucket are running sums, in two levels; inside it one task puts the units in order and cuts
+them at the ends of the windows, the sequences of SEQUENCE tokens. Only the last of them is short.
+Queues start at times that differ by a hash, so that many small ones don't meet in one bucket.
+
+Tokens are written once, as a table in the shared folder: 16-bit ids of each document. Defined
+results: a null or empty text is the end id alone; a text of any length is cut; a null source is a
+source of its own, and without a source column all rows are; repeated rows and rows with a null id are
+packed as rows; no rows give no pieces; sources of equal turn go by a hash and name. A tokenizer of more than
+65,536 ids, or one whose ids of a text are not those of its blank-separated words, is refused.
 """
 
 from __future__ import annotations
@@ -32,8 +37,8 @@ from pyspark.sql import types as T
 
 from fonoteca.llm import common
 
-SEQUENCE, QUANTUM, END = 4096, 64, 2
-ROUND = SEQUENCE // QUANTUM
+SEQUENCE, QUANTUM, END = 4096, 2048, 2
+BUCKET = 1 << 20
 #: Words whose ids a Python worker remembers over its tasks, about.
 REMEMBERED = 700_000
 CHUNK = 1000
@@ -45,12 +50,23 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words on which a tokenizer shows whether it joins what blanks part.
+PROBE = "The the end. 12 345 it's , and e\u0301 \u00e9t\u00e9 -- x\u00df _a 'll \u4e2d\u6587 \U0001f600"
+
+
 @lru_cache(maxsize=2)
 def loaded(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    ids_of = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    words = PROBE.split(" ")
+    if tokenizer.get_vocab_size() > 1 << 16:
+        raise ValueError(f"{path}: over 65536 ids")
+    if any(ids_of(mark.join(words)) != [i for word in words for i in ids_of(word)] for mark in (" ", "\n", "  ")):
+        raise ValueError(f"{path}: joins words, or has ids for blanks")
+    return tokenizer, {}
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -58,9 +74,9 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     text's ids are those of its blank-separated words, and a distinct word is encoded once."""
     tokenizer, known = loaded(path)
     split = [lowered(text).replace("\n", " ").split(" ") for text in texts]
+    if len(known) > REMEMBERED:
+        known.clear()
     new = list({word for words in split for word in words}.difference(known))
-    if len(known) > REMEMBERED:  # keep those known; the others serve these texts alone
-        known = dict(known)
     for i in range(0, len(new), TOGETHER):
         known.update(encoded(tokenizer, new[i : i + TOGETHER]))
     return [b"".join([known[word] for word in words]) for words in split]
@@ -93,7 +109,9 @@ def encoded(tokenizer, words: list[str]) -> Iterator[tuple[str, bytes]]:
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, path: str) -> DataFrame:
     """A row of docs: its ids with the end id, the task that made it and the tokens of its source before it there."""
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("\0null")).alias("source"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(common.TEXT))
+    # A source is its name after a mark; the mark of a null has no name.
+    name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")) if source_col in docs.columns else F.lit("")
+    source = docs.select(F.col(id_col).alias("id"), name.alias("source"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(common.TEXT))
     out = T.StructType([source.schema["id"], *T._parse_datatype_string("source string, ids binary, n long, task long, before long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,83 +135,74 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, path
     return source.mapInArrow(run, out)
 
 
-class Rounds:
-    """What the queues, of so many tokens each, are served in each round."""
-
-    def __init__(self, tokens: list[int]):
-        self.tokens = tokens
-        self.quanta = [-(-t // QUANTUM) for t in tokens]
-        self.total = sum(self.quanta)
-        self.edges = [sum(self.quanta[:j]) for j in range(len(tokens) + 1)]
-        self.known: dict[int, list[int]] = {}
-
-    def served(self, queue: int, rounds: int) -> int:
-        """Tokens that the queue has got before that round."""
-        now, twice = min(rounds * ROUND, self.total), 2 * self.total
-        upto = lambda edge: (2 * now * edge + self.total) // twice
-        return min(self.tokens[queue], QUANTUM * (upto(self.edges[queue + 1]) - upto(self.edges[queue])))
-
-    def round_of(self, queue: int, place: int) -> int:
-        """The round that serves the token at that place of the queue."""
-        r = place // QUANTUM * self.total // (max(1, self.quanta[queue]) * ROUND)
-        while self.served(queue, r) > place:
-            r -= 1
-        while self.served(queue, r + 1) <= place:
-            r += 1
-        return r
-
-    def offsets(self, r: int) -> list[int]:
-        """Where each queue's tokens begin in the sequence of round r."""
-        if r not in self.known:
-            if len(self.known) > 4096:
-                self.known.clear()
-            own = [self.served(j, r + 1) - self.served(j, r) for j in range(len(self.tokens))]
-            self.known[r] = [sum(own[:j]) for j in range(len(own))]
-        return self.known[r]
-
-    def pieces(self, queue: int, place: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """(start, length, round, offset) of a document of n tokens at that place of the queue."""
-        start, r = 0, self.round_of(queue, place)
-        while start < n:
-            begin, end = self.served(queue, r), self.served(queue, r + 1)
-            if length := min(n - start, end - place - start):
-                yield start, length, r, self.offsets(r)[queue] + place + start - begin
-            start, r = start + length, r + 1
-
-
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer_path: str | None = None) -> DataFrame:
+def shares(queues: DataFrame, targets: dict[str | None, float] | None, every: int) -> tuple[F.Column, F.Column]:
+    """The round-robin's time after one token of a queue's row (source, queue_tokens), and, by the column time, all tokens served."""
+    targets = {"" if name is None else f"={name}": float(share) for name, share in (targets or {}).items()}
+    if any(share <= 0 for share in targets.values()) or sum(targets.values()) > 1 + 1e-9:
+        raise ValueError("target shares are positive and add up to 1 at most")
+    sizes = {r["source"]: r["queue_tokens"] for r in queues.where(F.col("source").isin(list(targets))).collect()} if targets else {}  # a row a target
+    left = max(1 - sum(targets.values()), 1e-9)
+    others = every - sum(sizes.values())
+    pace, served = F.lit(others / left) / F.col("queue_tokens"), F.least(F.lit(float(others)), F.col("time") * left)
+    for name, size in sizes.items():
+        pace = F.when(F.col("source") == name, F.lit(1 / targets[name])).otherwise(pace)
+        served = served + F.least(F.lit(float(size)), F.col("time") * targets[name])
+    return pace, served
+
+
+def before(rows: DataFrame, keys: list[str], order: str, n: str) -> DataFrame:
+    """rows with base, the sum of n over the rows of equal keys before them, summed in two levels."""
+    rows = rows.withColumn("chunk", F.floor(F.col(order) / CHUNK))
+    chunks = rows.groupBy(*keys, "chunk").agg(F.sum(n).alias("m"))
+    over = Window.partitionBy(*keys).orderBy("chunk")
+    chunks = chunks.select(*keys, "chunk", (F.sum("m").over(over) - F.col("m")).alias("base0"))
+    within = Window.partitionBy(*keys, "chunk").orderBy(order)
+    return rows.withColumn("base1", F.sum(n).over(within) - F.col(n)).join(chunks, [*keys, "chunk"]).withColumn("base", F.col("base0") + F.col("base1")).drop("chunk", "base0", "base1")
+
+
+def pack(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    tokenizer_path: str | None = None,
+    targets: dict[str | None, float] | None = None,
+) -> DataFrame:
     """The pieces of all rows: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source."""
     tokens = common.materialise(tokenized(docs, id_col, text_col, source_col, tokenizer_path or default_tokenizer()))
-    sums = common.materialise(tokens.groupBy("task", "source").agg(F.sum("n").alias("n")))
-    every = sums.agg(F.sum("n")).first()[0] or 0
-    large = sums.groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") * ROUND >= every).orderBy(F.desc("n"), "source").collect()  # 64 rows at most
-    rest = every - sum(r["n"] for r in large)
-    if 0 < rest * ROUND < every and large:  # too few for a queue: the smallest joins them
-        rest += large.pop()["n"]
-    names = [r["source"] for r in large]
-    rounds = Rounds([*(r["n"] for r in large), rest])
-
-    queue = F.coalesce(F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), F.col("source")), F.lit(0)).cast("int")
-    sums = sums.withColumn("queue", F.when(queue == 0, len(names)).otherwise(queue - 1)).withColumn("chunk", F.floor(F.col("task") / CHUNK))
-    within = Window.partitionBy("queue", "chunk").orderBy("task", "source")
-    over = Window.partitionBy("queue").orderBy("chunk")
-    chunks = sums.groupBy("queue", "chunk").agg(F.sum("n").alias("m")).select("queue", "chunk", (F.sum("m").over(over) - F.col("m")).alias("base"))
-    places = sums.withColumn("base1", F.sum("n").over(within) - F.col("n")).join(chunks, ["queue", "chunk"]).select("task", "source", "queue", (F.col("base") + F.col("base1")).alias("base"))
-    placed = tokens.join(places, ["task", "source"]).select("id", "source", "ids", "queue", (F.col("base") + F.col("before")).alias("place"))
+    sums = common.materialise(tokens.groupBy("task", "source").agg(F.sum("n").alias("m")))
+    queues = sums.groupBy("source").agg(F.sum("m").alias("queue_tokens"))
+    every = sums.agg(F.sum("m")).first()[0] or 0
+    pace, served = shares(queues, targets, every)
+
+    places = before(sums, ["source"], "task", "m").join(queues.withColumn("pace", pace), "source").select("task", "source", "base", "pace")
+    units = tokens.join(places, ["task", "source"]).withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(QUANTUM).cast("long"))))
+    units = units.withColumn("length", F.least(F.lit(QUANTUM), F.col("n") - F.col("start"))).withColumn("place", F.col("base") + F.col("before") + F.col("start"))
+    phase = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    units = units.withColumn("time", (F.col("place") + phase * F.col("length")) * F.col("pace")).withColumn("bucket", F.floor(served / BUCKET))
+    starts = before(units.groupBy("bucket").agg(F.sum("length").alias("m")).withColumn("all", F.lit(0)), ["all"], "bucket", "m").select("bucket", F.col("base").alias("bucket_base"))
+    cut = F.expr("substring(ids, cast(2 * start + 1 as int), cast(2 * length as int))")
+    dealt = units.select("bucket", "time", "source", "place", "id", "start", "length", F.col("n").alias("doc_tokens"), cut.alias("ids")).join(starts, "bucket")
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *T._parse_datatype_string("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string").fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at: list[int] = []
-            columns: list[list[int]] = [[] for _ in range(6)]
-            for i, (ids, queue, place) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ids", "queue", "place")))):
-                whole = np.frombuffer(ids, dtype="<u2").astype("<u4")
-                for start, length, r, offset in rounds.pieces(queue, place, len(whole)):
-                    at.append(i)
-                    crc = zlib.crc32(whole[start : start + length].tobytes())
-                    for column, value in zip(columns, (start, length, crc, len(whole), r, offset)):
-                        column.append(value)
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *(pa.array(c, pa.int64()) for c in columns), batch.column(1).take(rows)], names=out.names)
-
-    return placed.mapInArrow(run, out).withColumn("source", F.nullif("source", F.lit("\0null")))
+    names = out.names
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("time", "ascending"), ("source", "ascending"), ("place", "ascending")])
+        start, length, tokens = (table.column(c).to_numpy() for c in ("start", "length", "doc_tokens"))
+        at = table.column("bucket_base")[0].as_py() + np.cumsum(length) - length
+        # A unit is no longer than a sequence: it lies in one, or is cut into two.
+        first = np.minimum(length, SEQUENCE - at % SEQUENCE)
+        rows = np.concatenate([np.arange(len(at)), np.flatnonzero(first < length)])
+        second = np.arange(len(rows)) >= len(at)
+        skip = np.where(second, first[rows], 0)
+        size = np.where(second, length[rows] - first[rows], first[rows])
+        ids = memoryview(np.frombuffer(b"".join(table.column("ids").to_pylist()), dtype="<u2").astype("<u4").tobytes())
+        begin = 4 * ((np.cumsum(length) - length)[rows] + skip)
+        crc = [zlib.crc32(ids[a : a + 4 * n]) for a, n in zip(begin.tolist(), size.tolist())]
+        place = at[rows] + skip
+        whole = table.take(pa.array(rows))
+        columns = (start[rows] + skip, size, crc, tokens[rows], place // SEQUENCE, place % SEQUENCE)
+        return pa.Table.from_arrays([whole.column("id"), *(pa.array(c, pa.int64()) for c in columns), whole.column("source")], names=names)
+
+    pieces = dealt.groupBy("bucket").applyInArrow(run, out)
+    return pieces.withColumn("source", F.when(F.col("source") != "", F.substring("source", 2, 1 << 30)))

@@ -414,12 +414,58 @@ def test_packing_round_trip(docs, empty):
     assert (sums < 4096).sum() <= 2 and packing.pack(empty).count() == 0
 
 
-def test_packing_keeps_the_mixture():
-    rounds = packing.Rounds([400_000, 100_000, 60_000])
-    full = sum(rounds.quanta) // packing.ROUND
-    for r in range(full):
-        own = [rounds.served(j, r + 1) - rounds.served(j, r) for j in range(3)]
-        assert sum(own) == 4096 and all(abs(o - 4096 * t / 560_000) <= 2 * packing.QUANTUM for o, t in zip(own, rounds.tokens))
+@pytest.mark.parametrize("targets", [None, {"a": 0.5, None: 0.2}])
+def test_packing_carries_deficits_over_windows_and_partitions(spark, monkeypatch, targets):
+    """Whatever its size, a queue that has tokens left is never further from its share than its units allow."""
+    monkeypatch.setattr(packing, "BUCKET", 20_000)
+    monkeypatch.setattr(packing, "CHUNK", 2)
+    own = random.Random(8)
+    sizes = {"a": 60, "b": 130, None: 90, "\0null": 30, "": 10}
+    rows = [(i, prose(own.choice([3, 40, 400, 2500]), i), source) for i, source in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    own.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = packing.pack(df, targets=targets).toPandas().sort_values(["sequence_id", "offset"])
+    got["source"] = got["source"].where(got["source"].notna(), None)
+    tokens = got.groupby("source", dropna=False).length.sum()
+    tokens = {None if s != s else s: n for s, n in tokens.items()}
+    every = sum(tokens.values())
+    assert set(tokens) == set(sizes) and every > 20 * 4096
+    rest = 1 - sum((targets or {}).values())
+    others = sum(n for s, n in tokens.items() if s not in (targets or {}))
+    shares = {s: (targets or {}).get(s) or rest * n / others for s, n in tokens.items()}
+    dry = min(n / shares[s] for s, n in tokens.items())
+    served, total = Counter(), 0
+    for _, window in got.groupby("sequence_id"):
+        assert window.offset.tolist() == [0, *np.cumsum(window.length)[:-1]]
+        for s, n in zip(window.source, window.length):
+            served[s] += n
+            total += n
+        if total < dry - 4096:
+            assert all(abs(served[s] - shares[s] * total) <= packing.QUANTUM * 1.5 for s in tokens), (total, served)
+    assert (got.groupby("sequence_id").length.sum() == 4096).sum() == every // 4096
+    units = sum(-(-n // packing.QUANTUM) for n in got.groupby("doc_id").doc_tokens.first())
+    assert len(got) <= units + every // 4096
+    by_id = {i: s for i, _, s in rows}
+    assert all(by_id[i] == s for i, s in zip(got.doc_id, got.source))
+
+
+def test_packing_refuses_what_it_cannot_do(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    joins = Tokenizer(models.BPE({"e": 0, "Ġ": 1, "h": 2}, []))
+    joins.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    joins.save(str(tmp_path / "joins.json"))
+    large = Tokenizer(models.WordLevel({str(i): i for i in range(70_000)}, unk_token="0"))
+    large.pre_tokenizer = pre_tokenizers.Whitespace()
+    large.save(str(tmp_path / "large.json"))
+    for name in ("joins.json", "large.json"):
+        with pytest.raises(ValueError):
+            packing.loaded(str(tmp_path / name))
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert [r["source"] for r in packing.pack(df).collect()] == [None]  # no source column: one queue
+    for targets in ({"a": 0.0}, {"a": 0.7, "b": 0.6}):
+        with pytest.raises(ValueError):
+            packing.pack(df, targets=targets).collect()
 
 
 def brute_components(sets: dict[int, set], percent: int) -> dict[int, int]:
