@@ -2,27 +2,32 @@ r"""Benchmark decontamination by spaced seeds.
 
 Tokens are runs of \w, lower-cased. Fixed masks of care and ignore places are slid over both sides; a
 window's hash takes the care places only, so that a substitution at an ignored place does not hide a
-match. Test hashes are the stated query set: they go to all documents in blocks of bounded size (of
-any number, so a large benchmark needs no other way), where they are joined with the windows of each
-document. Around every hit the whole aligned item is compared, in three ways: its equal tokens as a
-share of the item, those of every window of MIN_RUN tokens of it as a share of the window, and a
-segment, which is the best run of the alignment with +1 for an equal and -3 for another token and
-counts if 80 % of its tokens are equal.
+match. The documents are read once, whatever the size of the benchmark: a filter of bounded size, of
+bits of the test hashes, leaves the windows of a document that may be hits, and these hashes are joined
+with those of the test items. Each pair of a document and an item that meet is then verified: around
+every hit the whole aligned item is compared, in three ways: its equal tokens as a share of the item,
+those of every window of MIN_RUN tokens of it as a share of the window, and a segment, which is the
+best run of the alignment with +1 for an equal and -3 for another token and counts if 80 % of its
+tokens are equal.
 
 A document is contaminated by an item if 80 % of the item, or of a window of it, is equal, if a
 segment has MIN_RUN tokens (or the whole item, if that is shorter), or if windows and segments
 together cover 80 % of the item, as after an insertion. Items of fewer tokens than the lightest mask
 spans (7) are found where all their tokens stand in a row, and not otherwise. Defined results: null
 and empty texts on either side match nothing; very long texts are read whole; a null id stays null;
-repeated rows are judged alike; an empty benchmark or table gives no hits.
+repeated documents are judged alike, repeated items (of one id and text) count once; an empty benchmark
+or table gives no hits.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +36,12 @@ from fonoteca.llm import common
 #: 1 is a care place, 0 is ignored.
 MASKS = ("1111111", "11101001011", "1101010010111", "101100111001")
 MIN_RUN, SHARE, MISS = 20, 0.8, 3
-#: Characters of benchmark text in a block.
-BLOCK_CHARS = 1 << 20
 WORD = re.compile(r"\w+")
 _rng = np.random.default_rng(5)
 PLACES = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FILTER_BITS = 20
+#: Of the filter that documents pass: 8 MB of bits, so it may be sent to each worker.
+SENT_BITS = 26
 
 
 def tokens(text: str) -> list[str]:
@@ -44,7 +49,7 @@ def tokens(text: str) -> list[str]:
 
 
 def window_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
-    """The hash of the care places of each window; 0 where one of them is no benchmark word."""
+    """The hash of the care places of each window; 0 where one of their tokens is 0, which stands for none."""
     n = len(ids) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
@@ -58,6 +63,26 @@ def window_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
     return np.where(known, total | np.uint64(1), np.uint64(0))
 
 
+def seeds_of(texts: list[str], short: tuple[int, ...]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """For each mask, and for the masks of short lengths: the windows' hashes, and each one's text."""
+    import xxhash
+
+    numbers: defaultdict[str, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    flat: list[int] = [numbers[""]]  # no token is empty: it parts the texts
+    ends = []
+    for text in texts:
+        flat += map(numbers.__getitem__, tokens(text))
+        flat.append(0)
+        ends.append(len(flat))
+    of_word = np.array([0, *(xxhash.xxh3_64_intdigest(w) | 1 for w in list(numbers)[1:])], dtype=np.uint64)
+    ids = of_word[np.array(flat)]
+    for mask in (*MASKS, *("1" * n for n in short)):
+        hashes = window_hashes(ids, mask)
+        inside = np.flatnonzero(hashes)
+        yield mask, hashes[inside], np.searchsorted(np.array(ends), inside, side="right")
+
+
 class Block:
     """Items with an index of their windows."""
 
@@ -153,49 +178,101 @@ def best_run(same: list[bool]) -> tuple[int, int, int]:
     return *found, sum(same[slice(*found)])
 
 
-def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int | None, str]]]:
-    """The benchmark in blocks; the driver holds one of them at a time."""
-    block, size = [], 0
-    for row in benchmark.select(item_col, text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1])
-        if size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def bench_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item, item_id, item_text) of the distinct items; item is a hash of the other two."""
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("item_text")).where("item_text IS NOT NULL").distinct()
+    return rows.select(F.xxhash64("item_id", "item_text").alias("item"), "item_id", "item_text")
+
+
+def bench_seeds(items: DataFrame) -> DataFrame:
+    """(h, item, n): the hashes of the items' windows; n is 0, or the tokens of an item that no mask fits."""
+    most = len(MASKS[0]) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, names = batch.column(1).to_pylist(), batch.column(0).to_numpy()
+            sizes = np.array([len(tokens(t)) for t in texts])
+            for mask, hashes, owner in seeds_of(texts, tuple(range(1, most + 1))):
+                n = 0 if mask in MASKS else len(mask)
+                fits = sizes[owner] == n if n else np.ones(len(owner), dtype=bool)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[fits].view(np.int64)), pa.array(names[owner[fits]]), pa.array(np.full(fits.sum(), n))], names=["h", "item", "n"])
+
+    return items.select("item", "item_text").mapInArrow(run, "h long, item long, n long").distinct()
 
 
-def scanned(docs: DataFrame, keep: list[str], text_col: str, items: list[tuple[int | None, str]]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)  # a block: at most BLOCK_CHARS and one text
+def suspects(docs: DataFrame, id_col: str, text_col: str, seeds: DataFrame) -> DataFrame:
+    """(id, uid, k1, k2, text, seeds) of the documents with windows that pass the filter of the seeds."""
+    short = tuple(r["n"] for r in seeds.where("n > 0").select("n").distinct().collect())  # 6 at most
+    place = seeds.select(F.shiftrightunsigned("h", 64 - SENT_BITS).alias("place")).select(F.expr("shiftright(place, 6)").alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit"))
+    words = place.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # 2 ** 20 at most
+    bits = np.zeros(1 << (SENT_BITS - 6), dtype=np.int64)
+    bits[[r["word"] for r in words]] = [r["bits"] for r in words]
+    sent = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), F.coalesce(text, F.lit("")).cast("binary").alias(common.TEXT))
+    kind = rows.schema["id"].dataType.simpleString()
 
-    def make():
-        block = Block(sent.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-        def of(texts: list[bytes]) -> list[list]:
-            return [[block.find(t.decode("utf-8", "replace")) for t in texts]]
+        uid, held = TaskContext.get().partitionId() << 33, sent.value
+        for batch in batches:
+            for part in common.runs(batch):
+                texts = [t.decode("utf-8", "replace") for t in part.column(3).to_pylist()]
+                found = []
+                for _, hashes, owner in seeds_of(texts, short):
+                    at = hashes >> np.uint64(64 - SENT_BITS)
+                    passed = (held[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                    found.append(np.stack([owner[passed], hashes[passed].view(np.int64)]))
+                owner, hashes = np.unique(np.concatenate(found, axis=1), axis=1)
+                rows, sizes = np.unique(owner, return_counts=True)
+                if len(rows):
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(hashes))
+                    own = part.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([own.column(0), pa.array(uid + np.arange(len(rows))), own.column(1), own.column(2), own.column(3), lists], names=["id", "uid", "k1", "k2", "text", "seeds"])
+                    uid += len(rows)
 
-        return of
+    return rows.mapInArrow(run, f"id {kind}, uid long, k1 long, k2 long, text binary, seeds array<long>")
 
-    return common.map_texts(docs, text_col, keep, "__hits array<struct<item:long,at_token:long,longest:long,covered:double>>", make)
+
+@lru_cache(maxsize=256)
+def block_of(item_id: int | None, text: str) -> Block:
+    return Block([(item_id, text)])
+
+
+def verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(id, k1, k2, item_id, at_token, longest, covered): documents, by the hashes of their texts, and the items that contaminate them."""
+    items = common.materialise(bench_items(benchmark, item_col, item_text_col))
+    seeds = common.materialise(bench_seeds(items))
+    rows = common.materialise(suspects(docs, id_col, text_col, seeds))
+    pairs = rows.select("uid", F.explode("seeds").alias("h")).join(seeds, "h").select("uid", "item").distinct()
+    met = rows.drop("seeds").join(pairs.join(items, "item"), "uid").select("id", "k1", "k2", "text", "item_id", "item_text")
+    kind = rows.schema["id"].dataType.simpleString()
+    out = f"id {kind}, k1 long, k2 long, item_id long, at_token long, longest long, covered double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in common.runs(whole, "text"):
+                at, found = [], []
+                for i, (text, item_id, item) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "item_id", "item_text")))):
+                    for hit in block_of(item_id, item).find(text.decode("utf-8", "replace")):
+                        at.append(i)
+                        found.append((hit["at_token"], hit["longest"], hit["covered"]))
+                own = batch.take(pa.array(at, pa.int64()))
+                columns = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("id", "k1", "k2", "item_id")), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64())))], names=["id", "k1", "k2", "item_id", "at_token", "longest", "covered"])
+
+    return met.mapInArrow(run, out)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document and each item that contaminates it."""
-    found = None
-    for items in blocks(benchmark):
-        own = scanned(docs, [id_col], text_col, items).select(id_col, F.explode("__hits").alias("h"))
-        own = own.select(id_col, F.col("h.item").alias("item_id"), "h.at_token", "h.longest", "h.covered")
-        found = own if found is None else found.unionByName(own)
-    if found is None:
-        kind = docs.schema[id_col].dataType.simpleString()
-        return docs.sparkSession.createDataFrame([], f"`{id_col}` {kind}, item_id long, at_token long, longest long, covered double")
-    return found
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the contaminated rows."""
-    columns = docs.columns
-    for items in blocks(benchmark):
-        docs = scanned(docs, columns, text_col, items).where(F.size("__hits") == 0).select(*columns)
-    return docs
+    return verified(docs, benchmark, id_col, text_col).drop("k1", "k2").withColumnRenamed("id", id_col)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the contaminated rows; copies of a contaminated text are contaminated."""
+    found = verified(docs, benchmark, id_col, text_col).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    text = F.col(text_col)
+    keyed = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(1), text)})
+    return keyed.join(found, ["__k1", "__k2"], "left_anti").select(*docs.columns)

@@ -217,13 +217,39 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.clean(docs, bench).columns == docs.columns
 
 
-def test_decontamination_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
-    items = [prose(30, 600 + i) for i in range(5)]
-    df = spark.createDataFrame([(i, prose(30, i) + " " + t) for i, t in enumerate(items)], "doc_id long, text string")
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    assert {(r[0], r[1]) for r in decontaminate.hits(df, bench).select("doc_id", "item_id").collect()} == {(i, i) for i in range(5)}
-    assert decontaminate.clean(df, bench).count() == 0
+def test_decontamination_meets_every_verified_pair(spark, docs):
+    """Brute force: each document against each item; short items, ties, a very long item, repeated and null ids."""
+    own = random.Random(12)
+    items = [(i, prose(30, 600 + i)) for i in range(5)] + [(5, "solo"), (6, "quick brown fox"), (7, LONG[:60_000]), (7, prose(30, 601)), (None, prose(25, 604)), (8, "= " * 40)]
+    rows = [(i, prose(30, i) + " " + edited(items[i % 5][1], own.randint(3, 30))) for i in range(40)]
+    rows += [(50, "Solo"), (51, "the quick, brown FOX"), (52, LONG), (53, "= " * 300), (None, items[0][1]), (54, items[0][1]), (54, None), (55, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"k1": F.lit("clash"), "uid": F.lit("clash")}).repartition(3)
+    bench = spark.createDataFrame([*items, items[0], (9, None), (10, "")], "item_id long, text string").repartition(2)
+    block = decontaminate.Block(items)
+    want = Counter((i, h["item"], h["at_token"], h["longest"], round(h["covered"], 9)) for i, t in rows for h in block.find(t or ""))
+    got = Counter((r["doc_id"], r["item_id"], r["at_token"], r["longest"], round(r["covered"], 9)) for r in decontaminate.hits(df, bench).collect())
+    assert got == want and len(want) > 30
+    left = Counter(i for i, t in rows if not block.find(t or ""))
+    cleaned = decontaminate.clean(df, bench)
+    assert Counter(r["doc_id"] for r in cleaned.collect()) == left and cleaned.columns == df.columns
+
+
+def test_decontamination_query_and_recall(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet").collect(), spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    block = decontaminate.Block([(r["item_id"], r["text"]) for r in bench])
+    want = {(r["doc_id"], h["item"]) for r in docs for h in block.find(r["text"])}
+    assert {(r["doc_id"], r["item_id"]) for r in queries.op3_decontamination(spark, sf).collect()} == want
+    # Recall against all alignments, without seeds, of planted items in which a tenth of the tokens is replaced.
+    own, found, all_pairs = random.Random(1), 0, 0
+    for r in bench:
+        words = decontaminate.tokens(r["text"])
+        text = [f"new{i}" if own.random() < 0.1 else w for i, w in enumerate(words)]
+        alike = [a == b for a, b in zip(words, text)]
+        if sum(alike) >= 0.8 * len(words):
+            all_pairs += 1
+            found += any(h["item"] == r["item_id"] for h in block.find(" ".join(["pad"] * 9 + text)))
+    assert all_pairs > 100 and found >= 0.95 * all_pairs
 
 
 def test_decontamination_counts_the_whole_alignment():
