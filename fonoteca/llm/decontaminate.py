@@ -40,8 +40,9 @@ WORD = re.compile(r"\w+")
 _rng = np.random.default_rng(5)
 PLACES = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FILTER_BITS = 20
-#: Of the filter that documents pass: 8 MB of bits, so it may be sent to each worker.
-SENT_BITS = 26
+#: Of the filter that documents pass: 8 MB of bits, so it may be sent to each worker. A hash sets the
+#: bit that its first SENT_BITS bits name and the one that those before its last SECOND bits do.
+SENT_BITS, SECOND = 26, 10
 
 
 def tokens(text: str) -> list[str]:
@@ -203,7 +204,8 @@ def bench_seeds(items: DataFrame) -> DataFrame:
 def suspects(docs: DataFrame, id_col: str, text_col: str, seeds: DataFrame) -> DataFrame:
     """(id, uid, k1, k2, text, seeds) of the documents with windows that pass the filter of the seeds."""
     short = tuple(r["n"] for r in seeds.where("n > 0").select("n").distinct().collect())  # 6 at most
-    place = seeds.select(F.shiftrightunsigned("h", 64 - SENT_BITS).alias("place")).select(F.expr("shiftright(place, 6)").alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit"))
+    places = F.array(F.shiftrightunsigned("h", 64 - SENT_BITS), F.shiftrightunsigned("h", SECOND) % (1 << SENT_BITS))
+    place = seeds.select(F.explode(places).alias("place")).select(F.expr("shiftright(place, 6)").alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit"))
     words = place.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # 2 ** 20 at most
     bits = np.zeros(1 << (SENT_BITS - 6), dtype=np.int64)
     bits[[r["word"] for r in words]] = [r["bits"] for r in words]
@@ -221,8 +223,9 @@ def suspects(docs: DataFrame, id_col: str, text_col: str, seeds: DataFrame) -> D
                 texts = [t.decode("utf-8", "replace") for t in part.column(3).to_pylist()]
                 found = []
                 for _, hashes, owner in seeds_of(texts, short):
-                    at = hashes >> np.uint64(64 - SENT_BITS)
-                    passed = (held[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                    passed = np.arange(len(hashes))
+                    for at in (hashes >> np.uint64(64 - SENT_BITS), (hashes >> np.uint64(SECOND)) % np.uint64(1 << SENT_BITS)):
+                        passed = passed[(held[at[passed] >> np.uint64(6)] >> (at[passed] & np.uint64(63))) & np.uint64(1) == 1]
                     found.append(np.stack([owner[passed], hashes[passed].view(np.int64)]))
                 owner, hashes = np.unique(np.concatenate(found, axis=1), axis=1)
                 rows, sizes = np.unique(owner, return_counts=True)

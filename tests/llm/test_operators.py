@@ -249,7 +249,7 @@ def test_decontamination_query_and_recall(spark):
         if sum(alike) >= 0.8 * len(words):
             all_pairs += 1
             found += any(h["item"] == r["item_id"] for h in block.find(" ".join(["pad"] * 9 + text)))
-    assert all_pairs > 100 and found >= 0.95 * all_pairs
+    assert all_pairs >= 30 and found >= 0.95 * all_pairs
 
 
 def test_decontamination_counts_the_whole_alignment():
