@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 TEXT = "__text"
 #: Texts are handed to the Python side of an operator in runs of about this many bytes.
 RUN_BYTES = 8 << 20
+#: Paths of the tables written so far.
+_tables: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,11 +24,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is named (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where none is named in local mode (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fonoteca-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
@@ -37,10 +42,32 @@ def materialise(df: DataFrame) -> DataFrame:
     A lost executor costs only the tasks it ran: what is read back comes from shared storage.
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make() gives, written; the tables that making it left behind are deleted."""
+    before = len(_tables)
+    result = materialise(make())
+    for path in _tables[before:-1]:
+        drop(spark, path)
+    _tables[before:-1] = []
+    return result
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all tables that this process has written with materialise; results built on them must have been used."""
+    while _tables:
+        drop(spark, _tables.pop())
+
+
 def doc_crc(doc_id: Column) -> Column:
     """crc32 of the id as text; the folds of the labelled and the held-out rows come from it."""
     return F.crc32(doc_id.cast("string").cast("binary"))

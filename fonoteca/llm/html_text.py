@@ -310,7 +310,7 @@ def extract(pages: DataFrame, keep: list[str] | None = None, url_col: str = "url
     else:
         won = won.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = pages.withColumn("__salt", F.pmod(F.xxhash64(html_col), F.lit(SALTS)).cast("int"))
-        placed = salted.join(won.hint("shuffle_hash"), ["__host", "__salt"], "left")
+        placed = salted.join(won, ["__host", "__salt"], "left")
     page = F.struct(F.col("__path").alias("path"), F.coalesce(html_col, F.lit("")).alias("html"))
     packed = placed.select(*keep, F.concat_ws("\0", F.coalesce(F.col("__path"), F.lit("\1")), page["html"]).alias("__page"))
 

@@ -71,6 +71,9 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class FactorisationMachine:
+    #: Whether there was something to learn from.
+    knows = True
+
     def __init__(self, slots: int = SLOTS, factors: int = FACTORS, seed: int = SEED):
         self.bias, self.linear = 0.0, np.zeros(slots)
         self.factors = np.random.default_rng(seed).normal(0, 0.01, (slots, factors))
@@ -137,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .orderBy(F.xxhash64(id_col), id_col)
         .limit(sample)
     )
-    chosen = docs.select(id_col, text_col).join(F.broadcast(marks), id_col).dropDuplicates([id_col])  # at most `sample` ids
+    chosen = docs.select(id_col, text_col).join(F.broadcast(marks), id_col).groupBy(id_col, "__label").agg(F.min(text_col).alias(text_col))  # at most `sample` ids
     got = featurised(chosen, [id_col, "__label"], text_col).toPandas().sort_values(id_col)
     labels_of = got["__label"].to_numpy(dtype=float) if len(got) else np.zeros(0)
     if not len(got) or labels_of.min() == labels_of.max():
@@ -150,11 +153,14 @@ def untrained() -> FactorisationMachine:
     """Without labels of both kinds: 0.5 for every text."""
     model = FactorisationMachine(factors=1)
     model.factors[:] = 0
+    model.knows = False
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", model: FactorisationMachine | None = None) -> DataFrame:
-    """Columns keep (the id alone if not given), score and predicted of every row."""
+def score(
+    docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", model: FactorisationMachine | None = None, names: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
+    """Columns keep (the id alone if not given), score and predicted, under these names, of every row."""
     model = model or fit(docs, labels, id_col, text_col)
 
     def make():
@@ -166,7 +172,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, id_
 
         return of
 
-    return common.map_texts(docs, text_col, keep or [id_col], "score double, predicted int", make)
+    return common.map_texts(docs, text_col, keep or [id_col], f"`{names[0]}` double, `{names[1]}` int", make)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -175,5 +181,8 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the classifier does not reject, with the columns of docs."""
-    return score(docs, labels, keep=docs.columns).where("predicted = 1").select(*docs.columns)
+    """The rows that the classifier does not reject, with the columns of docs, whatever their names; all, if it could learn nothing."""
+    model = fit(docs, labels)
+    if not model.knows:
+        return docs
+    return score(docs, labels, model=model, keep=docs.columns, names=("__score", "__predicted")).where("__predicted = 1").select(*docs.columns)

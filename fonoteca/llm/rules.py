@@ -2,9 +2,9 @@ r"""Quality rules: an isolation forest on rule statistics, its threshold calibra
 
 Statistics of a text's words [^\x20\x09-\x0D]+ are computed for every whole text. The forest grows on
 a sample of at most SAMPLE rows, those of the least id hash (an isolation forest is defined on small
-subsamples; the bound is a parameter), and the threshold comes from at most CALIBRATE labelled rows:
-the path-length score above which a row is anomalous, chosen for the largest share of rejected rows
-of label 0 less WEIGHT times the share of rejected rows of label 1. All rows are scored.
+subsamples; the bound is a parameter). All rows are scored, and the threshold comes from the counts of
+all labelled rows by score: the score from which a row is anomalous is chosen for the largest share of
+rejected rows of label 0 less WEIGHT times the share of rejected rows of label 1.
 
 Defined results: null and empty texts have zero statistics and fail the base rules (fewer than 50
 words); no labels at all: only the base rules decide; an empty table gives an empty table; a null id
@@ -25,7 +25,9 @@ from fonoteca.llm import common
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
-SAMPLE, CALIBRATE, TREES, SUBSAMPLE, WEIGHT = 4096, 6000, 100, 256, 10.0
+SAMPLE, TREES, SUBSAMPLE, WEIGHT = 4096, 100, 256, 10.0
+#: Scores from 0 to 1 are told apart in so many steps where they are counted.
+LEVELS = 10_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FIELDS = ", ".join(f"{c} long" for c in COUNTS) + ", features array<double>"
 
@@ -141,37 +143,35 @@ def usual_length(n: int) -> float:
     return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, calibrate: int = CALIBRATE, weight: float = WEIGHT
-) -> tuple[IsolationForest | None, float]:
-    """A forest and its threshold. Both samples are bounded, so what comes to the driver is too."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> IsolationForest | None:
+    """A forest grown from at most `sample` documents, those of the least hashes of ids; of texts of one id the first in order."""
     hashed = F.xxhash64(F.col(id_col))
-    ids = docs.select(id_col).dropna().distinct().orderBy(hashed, id_col).limit(sample).withColumn("__q", F.lit(None).cast("int"))
-    marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias(id_col)).agg(F.min("quality").cast("int").alias("__q")).orderBy(hashed, id_col).limit(calibrate)
-    wanted = ids.unionByName(marks).groupBy(id_col).agg(F.max("__q").alias("__q"), F.max(F.col("__q").isNull()).alias("__s"))
-    chosen = docs.select(id_col, text_col).join(F.broadcast(wanted), id_col).dropDuplicates([id_col])  # at most sample + calibrate ids
-    got = statistics(chosen, id_col, text_col).join(F.broadcast(wanted), id_col).select(id_col, "n_words", "n_repeat_words", "features", "__q", "__s").toPandas().sort_values(id_col)
-    if got.empty:
-        return None, 1.0
-    rows = np.array(got["features"].tolist())
-    grown = rows[got["__s"].to_numpy(dtype=bool)]
-    forest = IsolationForest(grown if len(grown) else rows)
-    words, repeat = got["n_words"].to_numpy(), got["n_repeat_words"].to_numpy()
-    marked = got["__q"].notna().to_numpy() & ~base_failed(words, repeat)
-    scores, good = forest.score(rows[marked]), got["__q"].to_numpy()[marked] == 1
-    if not len(scores) or good.all() or not good.any():
-        return forest, 1.0
-    return forest, calibrated(scores, good, weight)
-
-
-def calibrated(scores: np.ndarray, good: np.ndarray, weight: float) -> float:
-    """The score up to which rows are kept; rows that the base rules reject anyway are not among them."""
-    order = np.argsort(scores, kind="stable")
-    scores, good = scores[order], good[order]
-    rejected_bad = 1 - np.cumsum(~good) / (~good).sum()
+    ids = docs.select(id_col).dropna().distinct().orderBy(hashed, id_col).limit(sample)
+    chosen = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min(text_col).alias(text_col))  # at most `sample` rows
+    got = statistics(chosen, id_col, text_col).select(id_col, "features").toPandas().sort_values(id_col)
+    return IsolationForest(np.array(got["features"].tolist())) if len(got) else None
+
+
+def threshold(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", weight: float = WEIGHT) -> float:
+    """The score below which rows are kept, from all labelled rows that the base rules keep; without both labels there is none.
+
+    Scores are counted in LEVELS steps, so that what comes to the driver does not grow with the labels.
+    """
+    marks = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias(id_col)).agg(F.min("quality").alias("__q"))
+    level = F.least(F.floor(F.col("anomaly") * LEVELS), F.lit(LEVELS - 1)).alias("level")
+    rows = scored.where("not base_failed").join(marks, id_col).groupBy(level, "__q").count().collect()  # 2 * LEVELS at most
+    counts = np.zeros((2, LEVELS), dtype=np.int64)
+    for at, quality, n in rows:
+        counts[quality, at] += n
+    return calibrated(counts[0], counts[1], weight) if counts.sum(1).all() else math.inf
+
+
+def calibrated(bad: np.ndarray, good: np.ndarray, weight: float) -> float:
+    """The upper end of the level at which most bad rows are above, less the weighted share of good ones above."""
+    rejected_bad = 1 - np.cumsum(bad) / bad.sum()
     rejected_good = 1 - np.cumsum(good) / good.sum()
-    ends = np.flatnonzero(np.append(scores[1:] > scores[:-1], True))
-    return float(scores[ends[np.argmax((rejected_bad - weight * rejected_good)[ends])]])
+    held = np.flatnonzero(bad + good)
+    return float(held[np.argmax((rejected_bad - weight * rejected_good)[held])] + 1) / len(bad)
 
 
 def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
@@ -180,7 +180,7 @@ def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Statistics, base_failed, anomaly (0 to 1) and kept of every row."""
-    forest, threshold = fit(docs, labels, id_col, text_col)
+    forest = fit(docs, id_col, text_col)
 
     def run(batches):
         import pyarrow as pa
@@ -192,11 +192,12 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             failed = base_failed(n, repeat)
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(scores), pa.array(failed), pa.array(~failed & (scores <= threshold))],
-                names=[*batch.schema.names[:-1], "anomaly", "base_failed", "kept"],
+                [*columns, pa.array(scores), pa.array(failed)],
+                names=[*batch.schema.names[:-1], "anomaly", "base_failed"],
             )
 
     stats = statistics(docs, id_col, text_col)
     kind = stats.schema[id_col].dataType.simpleString()
     counts = ", ".join(f"{c} long" for c in COUNTS)
-    return stats.mapInArrow(run, f"`{id_col}` {kind}, {counts}, anomaly double, base_failed boolean, kept boolean")
+    scored = common.materialise(stats.mapInArrow(run, f"`{id_col}` {kind}, {counts}, anomaly double, base_failed boolean"))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold(scored, labels, id_col)))
