@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fonoteca import schema
 from fonoteca.functions import detection, text
-from fonoteca.operators import audits, browse, console, groups, match, merge, predicates, reports, stats
+from fonoteca.operators import audits, browse, console, groups, match, merge, predicates, reports, signals, stats
 from fonoteca.plans import paths
 from fonoteca.sources import adapters, readers
 
@@ -25,6 +25,13 @@ CANDIDATES_CTE = f"WITH candidates AS ({adapters.bare(adapters.CANDIDATES)}) "
 LISTING_CTE = f"WITH listing AS ({adapters.bare(adapters.LISTING)}) "
 
 
+#: Seconds as M:SS, or H:MM:SS.
+MINUTES = (
+    "CASE WHEN {0} >= 3600 THEN printf('%d:%02d:%02d', cast({0} AS BIGINT) // 3600, cast({0} AS BIGINT) % 3600 // 60, cast({0} AS BIGINT) % 60) "
+    "ELSE printf('%d:%02d', cast({0} AS BIGINT) // 60, cast({0} AS BIGINT) % 60) END"
+)
+
+
 def register(name: str, query: Query, oracle: str | None = None) -> None:
     QUERIES[name] = query
     if oracle:
@@ -32,7 +39,7 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 
 def of_files(name: str, operator: Callable[[DataFrame], DataFrame], oracle: str | None = None) -> None:
-    register(name, lambda spark, d: operator(adapters.files(spark, d)), oracle and FILES_CTE + oracle)
+    register(name, lambda spark, d: operator(adapters.files(spark, d)), oracle and (FILES_CTE.rstrip() if oracle.startswith(",") else FILES_CTE) + oracle)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -197,6 +204,11 @@ register(
 register(
     "nfo_tracklist",
     lambda spark, d: reports.album_sheet(adapters.tracks(spark, d), "album_id"),
+    TRACKS_CTE.rstrip()
+    + f", lined AS (SELECT *, concat(lpad(cast(track AS VARCHAR), 2, '0'), '. ', title, ' (', {MINUTES.format('duration_seconds')}, ')') AS line FROM tracks), "
+    + f"sums AS (SELECT album_id, count(*) AS n, sum(duration_seconds) AS seconds, sum(cast(trunc(size_bytes) AS BIGINT)) AS size, string_agg(line, chr(10) ORDER BY track, line) AS lines FROM lined GROUP BY album_id) "
+    + f"SELECT album_id, concat(cast(n AS VARCHAR), ' tracks, ', {MINUTES.format('seconds')}, ', ', CASE WHEN size >= 1073741824 THEN printf('%.1f GB', size / 1073741824.0) WHEN size >= 1048576 THEN printf('%.1f MB', size / 1048576.0) "
+    + "WHEN size >= 1024 THEN printf('%.1f KB', size / 1024.0) ELSE concat(cast(size AS VARCHAR), ' B') END, chr(10), lines) AS sheet FROM sums",
 )
 of_files("dup_by_hash", groups.duplicates, "SELECT path, first AS duplicate_of FROM (SELECT path, min(path) OVER (PARTITION BY content_hash) AS first FROM files WHERE content_hash IS NOT NULL) WHERE path <> first")
 _KIND_AUDIO, _KIND_NOT, _KIND_WITH = (listed(tuple(x)) for x in (groups.AUDIO, groups.NOT_MUSIC, groups.COMPANIONS))
@@ -214,7 +226,15 @@ register(
     + " SELECT *, CASE WHEN n_audio > 2 THEN 'music' WHEN n_audio = 0 AND n_non_music + n_other >= 3 THEN 'random_crap' WHEN n_audio = 0 THEN 'empty_or_trivial' WHEN n_non_music >= 2 THEN 'orphan_bonus' ELSE 'music' END AS kind FROM profile",
 )
 of_files("classify_albums", lambda f: groups.classify_albums(f.where("album IS NOT NULL"), ["album"]))
-of_files("self_release", lambda f: groups.self_release(f.where("album IS NOT NULL"), ["album"]))
+_SELF = "SELECT *, CASE WHEN file_id % 19 = 3 THEN concat('Solo ', cast(file_id AS STRING)) ELSE album END AS record, CASE WHEN file_id % 19 <> 3 THEN label WHEN file_id % 2 = 0 THEN 'Self-Released' WHEN file_id % 3 = 0 THEN upper(coalesce(nullif(trim(albumartist), ''), artist)) ELSE label END AS publisher FROM {0}"
+of_files(
+    "self_release",
+    lambda f: groups.self_release(f.sparkSession.sql(_SELF.format("{f}"), f=f).drop("album", "label").withColumnsRenamed({"record": "album", "publisher": "label"}).where("album IS NOT NULL"), ["album"]),
+    ", own AS (" + _SELF.format("files").replace("STRING", "VARCHAR") + "), l AS (SELECT record, arg_min(v, (-n, v)) AS label FROM (SELECT record, trim(publisher) AS v, count(*) AS n FROM own WHERE trim(publisher) <> '' GROUP BY 1, 2) GROUP BY 1), "
+    "a AS (SELECT record, arg_min(v, (-n, v)) AS artist FROM (SELECT record, coalesce(nullif(trim(albumartist), ''), nullif(trim(artist), '')) AS v, count(*) AS n FROM own GROUP BY 1, 2) WHERE v IS NOT NULL GROUP BY 1), "
+    f"w AS (SELECT r.record AS album, CASE WHEN label IS NULL THEN '' WHEN lower(label) IN ({listed(schema.SELF_RELEASE_LABELS)}) THEN 'label is a self-release marker' WHEN lower(label) = lower(artist) THEN 'label matches artist' ELSE '' END AS why "
+    "FROM (SELECT DISTINCT record FROM own WHERE record IS NOT NULL) r LEFT JOIN l ON r.record = l.record LEFT JOIN a ON r.record = a.record) SELECT album, why <> '' AS self_released, why FROM w",
+)
 _STATUS = "lower(trim(coalesce(status, '')))"
 _NEW_STATUS = (
     f"CASE WHEN {_STATUS} IN ({listed(schema.PRESERVED_STATUSES)}) THEN NULL WHEN bad AND {_STATUS} <> 'broken' THEN 'broken' "
@@ -276,10 +296,11 @@ register(
     lambda spark, d: merge.remaining(table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), table(spark, d, "orders"), ["o_custkey"]).select("o_custkey", "c_name"),
     "SELECT c_custkey AS o_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
 )
+_ALIASES = [*schema.LABEL_ALIASES, "Other", "  spaced "]
 register(
     "label_alias",
-    lambda spark, d: table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(text.normalise_label(F.lower("n_name")).alias("label"), "r_name"),
-    "SELECT lower(n_name) AS label, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
+    lambda spark, d: table(spark, d, "documents").select("doc_id", text.normalise_label(F.upper(F.element_at(F.array(*map(F.lit, _ALIASES)), (F.col("doc_id") % len(_ALIASES) + 1).cast("int")))).alias("label")),
+    "SELECT doc_id, CASE doc_id % " + str(len(_ALIASES)) + "".join(f" WHEN {i} THEN '{name}'" for i, name in enumerate([*schema.LABEL_ALIASES.values(), "OTHER", "SPACED"])) + " END AS label FROM documents",
 )
 
 # Matching.
@@ -319,13 +340,86 @@ of_files(
 )
 
 
+
+
 def _fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part").select("p_brand", F.col("p_name").alias("name"), F.col("p_partkey").alias("id"), F.col("p_size").alias("size"))
-    return match.fuzzy(part.where("size % 10 = 0").drop("size"), part.where("size % 10 = 1").drop("size"), "p_brand", "name", 0.9)
+    """Every row whose id is divisible by 100 asks for the like of its name among all rows."""
+    part = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("id"))
+    return match.fuzzy(part.where("id % 100 = 0"), part, "name", 0.8)
 
 
 register("fuzzy_match", _fuzzy)
-of_files("fallback_queries", lambda f: match.fallback_queries(f.select(F.col("file_id").alias("id"), "artist", F.concat(F.coalesce("album", F.lit("x")), F.lit(" vol 3")).alias("album"))))
+_NAMED = "coalesce(album, 'x')"
+of_files(
+    "fallback_queries",
+    lambda f: match.fallback_queries(f.select(F.col("file_id").alias("id"), "artist", F.concat(F.coalesce("album", F.lit("x")), F.when(F.col("file_id") % 2 == 0, " vol 3").otherwise(" [LAB 12]")).alias("album"))),
+    f", q AS (SELECT file_id AS id, 1 AS ord, artist, {_NAMED} || CASE WHEN file_id % 2 = 0 THEN ' vol 3' ELSE ' [LAB 12]' END AS album, 'tags' AS why FROM files "
+    f"UNION ALL SELECT file_id, 2, artist, {_NAMED} || CASE WHEN file_id % 2 = 0 THEN ' vol 3' ELSE '' END, 'without catalogue number' FROM files "
+    f"UNION ALL SELECT file_id, 3, 'Various Artists', {_NAMED} || ' 3', 'series and issue' FROM files WHERE file_id % 2 = 0 AND album IS NOT NULL UNION ALL SELECT file_id, 4, 'Various Artists', {_NAMED}, 'series' FROM files WHERE file_id % 2 = 0 AND album IS NOT NULL) "
+    f"SELECT id, min(ord) AS ord, artist, album, arg_min(why, ord) AS why FROM q WHERE lower(trim(coalesce(artist, ''))) NOT IN ({listed(schema.UNSAFE_QUERIES)}) GROUP BY id, artist, album",
+)
+register(
+    "merged_sources",
+    lambda spark, d: match.merged(adapters.candidates(spark, d), "album_id", ["label"], ("year",)).select("album_id", "label", F.array_join("sources", ";").alias("sources"), F.array_join(F.transform(F.map_entries("ids"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";").alias("ids"), "top_provider", "top_id", "top_year"),
+    CANDIDATES_CTE.rstrip() + ", each AS (SELECT album_id, provider, arg_max(ord, (score, -ord)) AS id FROM candidates GROUP BY 1, 2) SELECT c.album_id, arg_max(label, (score, -ord)) FILTER (WHERE label <> '') AS label, any_value(s.sources) AS sources, any_value(s.ids) AS ids, "
+    "arg_max(provider, (score, -ord)) AS top_provider, arg_max(ord, (score, -ord)) AS top_id, arg_max(year, (score, -ord)) AS top_year FROM candidates c JOIN "
+    "(SELECT album_id, string_agg(provider, ';' ORDER BY provider) AS sources, string_agg(provider || '=' || cast(id AS VARCHAR), ';' ORDER BY provider) AS ids FROM each GROUP BY 1) s ON c.album_id = s.album_id GROUP BY c.album_id",
+)
+_REPRESENTED = (
+    ", f AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder, coalesce(nullif(trim(albumartist), ''), nullif(trim(artist), '')) AS who FROM files), "
+    "a AS (SELECT folder, arg_min(who, (-n, who)) AS artist FROM (SELECT folder, who, count(*) AS n FROM f WHERE who IS NOT NULL GROUP BY 1, 2) GROUP BY 1), "
+    "b AS (SELECT folder, arg_min(v, (-n, v)) AS album FROM (SELECT folder, trim(album) AS v, count(*) AS n FROM f WHERE trim(album) <> '' GROUP BY 1, 2) GROUP BY 1), "
+    f"r AS (SELECT a.folder, artist, album FROM a JOIN b ON a.folder = b.folder WHERE lower(artist) NOT IN ({listed(schema.UNSAFE_QUERIES)}) AND lower(album) NOT IN ({listed(schema.UNSAFE_QUERIES)}))"
+)
+_OFFERS = "SELECT DISTINCT coalesce(nullif(trim(albumartist), ''), artist) AS artist, album, lang AS provider, ascii(lang) % 7 AS provider_ord, cast(60 + n_chars % 40 AS DOUBLE) AS score, doc_id AS ord, CASE WHEN doc_id % 5 = 0 THEN '' ELSE label END AS label FROM {0} JOIN {1} ON file_id = doc_id WHERE album IS NOT NULL"
+of_files("representatives", lambda f: match.representatives(f.withColumn("folder", text.parent("path")), ["folder"]), _REPRESENTED + " SELECT * FROM r")
+register(
+    "label_candidates",
+    lambda spark, d: match.label_candidates(
+        match.representatives(adapters.files(spark, d).withColumn("folder", text.parent("path")), ["folder"]), spark.sql(_OFFERS.format("{f}", "{d}"), f=adapters.files(spark, d), d=table(spark, d, "documents")), ["folder"], margin=1.0
+    ),
+    FILES_CTE.rstrip() + _REPRESENTED + ", o AS (" + _OFFERS.format("files", "documents") + "), m AS (SELECT folder, o.*, row_number() OVER (PARTITION BY folder, provider ORDER BY score DESC, ord) AS i FROM r JOIN o ON lower(r.artist) = lower(o.artist) AND lower(r.album) = lower(o.album)), "
+    "t AS (SELECT folder, provider, provider_ord, max(score) FILTER (WHERE i = 1) AS top, max(score) FILTER (WHERE i = 2) AS second, max(label) FILTER (WHERE i = 1) AS label FROM m GROUP BY 1, 2, 3) "
+    "SELECT folder, arg_min(trim(label), provider_ord) AS label FROM t WHERE top >= 80 AND (second IS NULL OR top - second >= 1) AND trim(label) <> '' GROUP BY folder",
+)
+_ASKED = "SELECT file_id AS id, 1 AS ord, artist, label AS album FROM files UNION ALL SELECT file_id, 2, artist, album FROM files UNION ALL SELECT file_id, 3, albumartist, album FROM files"
+_HAD = "SELECT artist, album, count(*) AS n FROM files WHERE file_id % 3 = 0 GROUP BY artist, album"
+of_files(
+    "first_hits",
+    lambda f: match.first_hits(*(f.sparkSession.sql(q.replace("files", "{f}"), f=f) for q in (_ASKED, _HAD))).select("id", "ord", "artist", "album", "n"),
+    f", asked AS ({_ASKED}), had AS ({_HAD}), met AS (SELECT id, ord, a.artist, a.album, n FROM asked a JOIN had h ON a.artist = h.artist AND a.album = h.album) SELECT * FROM met WHERE (id, ord) IN (SELECT (id, min(ord)) FROM met GROUP BY id)",
+)
+_INNER = "SELECT file_id AS id, artist, album, CASE WHEN file_id % 5 = 0 THEN 'VARIOUS' ELSE albumartist END AS albumartist, CASE WHEN file_id % 4 = 0 THEN concat('First ', source) WHEN file_id % 4 = 1 THEN album END AS originalalbum, CASE WHEN file_id % 8 = 0 THEN label END AS originalartist FROM {0} JOIN {1} ON file_id = doc_id"
+register(
+    "internal_queries",
+    lambda spark, d: match.internal_queries(spark.sql(_INNER.format("{f}", "{d}"), f=adapters.files(spark, d), d=table(spark, d, "documents"))),
+    FILES_CTE.rstrip() + ", x AS (SELECT id, trim(coalesce(artist, '')) AS artist, trim(coalesce(album, '')) AS album, trim(coalesce(albumartist, '')) AS aa, trim(coalesce(originalalbum, '')) AS oa, trim(coalesce(originalartist, '')) AS oar FROM (" + _INNER.format("files", "documents") + ")), "
+    "q AS (SELECT id, 1 AS ord, aa AS artist, album, 'albumartist field' AS why FROM x WHERE lower(aa) NOT IN ('various', 'various artists') UNION ALL SELECT id, 2, 'Various Artists', album, 'albumartist=VA' FROM x WHERE lower(aa) IN ('various', 'various artists') "
+    "UNION ALL SELECT id, 3, artist, oa, 'originalalbum field' FROM x UNION ALL SELECT id, 4, oar, oa, 'originalartist + originalalbum' FROM x UNION ALL SELECT id, 5, 'Various Artists', album, 'VA + bare album' FROM x) "
+    "SELECT q.id, min(ord) AS ord, arg_min(q.artist, ord) AS artist, arg_min(q.album, ord) AS album, arg_min(why, ord) AS why FROM q JOIN x ON q.id = x.id WHERE q.artist <> '' AND q.album <> '' AND NOT (lower(q.artist) = lower(x.artist) AND lower(q.album) = lower(x.album)) "
+    f"AND lower(q.artist) NOT IN ({listed(schema.UNSAFE_QUERIES)}) AND lower(q.album) NOT IN ({listed(schema.UNSAFE_QUERIES)}) GROUP BY q.id, lower(q.artist), lower(q.album)",
+)
+register(
+    "as_of_join",
+    lambda spark, d: match.as_of(table(spark, d, "events").where("event_type = 'purchase'").select("user_id", "ts", "event_id"), table(spark, d, "events").where("event_type <> 'purchase'"), "user_id", "ts", "event_id", "value").select("event_id", "last_value"),
+    "SELECT p.event_id, arg_max(e.value, (e.ts, e.event_id)) AS last_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM events WHERE event_type <> 'purchase') e ON p.user_id = e.user_id AND e.ts <= p.ts GROUP BY p.event_id",
+)
+register(
+    "smoothed_rate",
+    lambda spark, d: signals.smoothed(table(spark, d, "events"), "user_id", "event_id", "value").select("user_id", F.round("smoothed", 6).alias("smoothed")),
+    "SELECT user_id, round(sum(pow(0.7, n - i) * CASE WHEN i = 1 THEN 1.0 ELSE 0.3 END * value), 6) AS smoothed FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY user_id",
+)
+register(
+    "low_byte_share",
+    lambda spark, d: signals.low_byte_share(table(spark, d, "events").select("event_type", F.when(F.col("event_type") == "view", F.floor("value") * 256).otherwise(F.floor("value")).cast("int").alias("sample")), "event_type", "sample"),
+    "SELECT event_type, share, CASE WHEN share >= 0.95 THEN 'fake' WHEN share >= 0.5 THEN 'suspicious' ELSE 'genuine' END AS verdict FROM (SELECT event_type, avg(CASE WHEN s % 256 = 0 THEN 1.0 ELSE 0.0 END) AS share FROM (SELECT event_type, cast(floor(value) AS BIGINT) * CASE WHEN event_type = 'view' THEN 256 ELSE 1 END AS s FROM events) GROUP BY 1)",
+)
+_LINE = "CASE event_id % 4 WHEN 0 THEN concat('f', cast(event_id AS STRING), ',0.0,80.05,0.75,Lossy') WHEN 1 THEN 'f,0.0,80.05,0.25, Original' WHEN 2 THEN 'f,0.0,x,y,Lossy' ELSE 'f,0.0,80.05,1.0,none' END"
+register(
+    "verdict_lines",
+    lambda spark, d: table(spark, d, "events").select("event_id", signals.verdict_line(F.expr(_LINE)).alias("v")).select("event_id", "v.verdict", "v.confidence"),
+    "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'lossy' WHEN 1 THEN 'original' WHEN 3 THEN 'unknown' END AS verdict, CASE WHEN event_id % 4 IN (0, 1) THEN 0.75::DOUBLE END AS confidence FROM events",
+)
 
 # Scalars.
 _DOC_TITLE = "concat(lpad(cast(doc_id % 90 + 1 AS STRING), 2, '0'), '. Artist ', cast(doc_id % 6 AS STRING), ' - ', source, ' (', lang, ' Mix)', CASE WHEN doc_id % 4 = 0 THEN concat(' [LABEL ', cast(doc_id % 900 AS STRING), ']') ELSE '' END)"
@@ -368,8 +462,23 @@ register(
     .select("doc_id", "r.software", "r.version"),
     "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'LAME' WHEN 1 THEN 'libFLAC' WHEN 2 THEN 'Exact Audio Copy' ELSE '' END AS software, CASE doc_id % 4 WHEN 0 THEN '3.100' WHEN 1 THEN '1.3.4' WHEN 2 THEN '1.3' ELSE '' END AS version FROM documents",
 )
-register("quick_check", lambda spark, d: _titles(spark, d).select("doc_id", detection.quick_check("title").alias("q")).select("doc_id", "q.*"))
-of_files("recover_from_path", lambda f: f.select("path", detection.recover_from_path("path").alias("r")).select("path", "r.*"))
+_ALBUM = "CASE doc_id % 4 WHEN 0 THEN concat('Tunes ', source, ' vol. ', cast(doc_id % 90 AS STRING)) WHEN 1 THEN concat('Tune ', source, ' [LAB ', cast(doc_id % 900 AS STRING), ']') ELSE concat('Tune  ', source, ' -') END"
+register(
+    "quick_check",
+    lambda spark, d: spark.sql(f"SELECT doc_id, {_ALBUM} AS album FROM {{documents}}", documents=table(spark, d, "documents")).select("doc_id", detection.quick_check("album").alias("q")).select("doc_id", "q.*"),
+    "SELECT doc_id, false AS skip, doc_id % 4 = 0 AS various_artists, CASE WHEN doc_id % 4 = 0 THEN 'Tunes ' || source END AS series, CASE WHEN doc_id % 4 = 0 THEN cast(doc_id % 90 AS VARCHAR) END AS issue, CASE WHEN doc_id % 4 = 1 THEN 'LAB' END AS catalogue_label, "
+    "CASE WHEN doc_id % 4 = 1 THEN cast(doc_id % 900 AS VARCHAR) END AS catalogue_number, CASE doc_id % 4 WHEN 0 THEN 'Tunes ' || source || ' vol. ' || cast(doc_id % 90 AS VARCHAR) WHEN 1 THEN 'Tune ' || source || ' [LAB ' || cast(doc_id % 900 AS VARCHAR) || ']' ELSE 'Tune ' || source END AS query, "
+    "CASE doc_id % 4 WHEN 0 THEN 'compilation series ' || chr(39) || 'Tunes ' || source || chr(39) || ' #' || cast(doc_id % 90 AS VARCHAR) || '; compilation pattern matched: ' || chr(39) || 'vol. ' || cast(doc_id % 90 AS VARCHAR) || chr(39) WHEN 1 THEN 'catalogue: LAB ' || cast(doc_id % 900 AS VARCHAR) ELSE '' END AS note FROM documents",
+)
+_PATHS = (
+    "CASE doc_id % 5 WHEN 0 THEN concat('/m/', source, ' - Album ', lang, ' (1999)/05 - Who - Title.flac') WHEN 1 THEN concat('/m/', source, ' - Album ', lang, '/07. Who - Title.flac') WHEN 2 THEN concat('/m/Album ', lang, ' [2004]/Who - Title.mp3') "
+    "WHEN 3 THEN concat('/m/', source, '/', lang, '/5.flac') ELSE concat('/music/', lang, '/track.flac') END"
+)
+register(
+    "recover_from_path",
+    lambda spark, d: spark.sql(f"SELECT doc_id, {_PATHS} AS path FROM {{documents}}", documents=table(spark, d, "documents")).select("doc_id", detection.recover_from_path("path").alias("r")).select("doc_id", "r.*"),
+    "SELECT doc_id, CASE doc_id % 5 WHEN 2 THEN 'Who' WHEN 4 THEN '' ELSE source END AS artist, CASE WHEN doc_id % 5 < 3 THEN 'Album ' || lang ELSE lang END AS album, CASE WHEN doc_id % 5 < 3 THEN 'Title' ELSE '' END AS title FROM documents",
+)
 
 # Plans and exports.
 _LOSSY = "transcode_suspected = 1 AND (transcode_notes LIKE 'vamp:lossy:%' OR transcode_confidence >= 0.9) AND status NOT IN ('quarantined', 'broken')"
@@ -388,7 +497,16 @@ of_files(
     "SELECT path, CASE WHEN n > 1 THEN regexp_replace(target, '\\.flac$', concat(' (', cast(n AS VARCHAR), ').flac')) ELSE target END AS target FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY path) AS n FROM "
     f"(SELECT path, concat(regexp_replace(path, '/[^/]*$', ''), '/', {_RENAME}) AS target FROM files WHERE trim(coalesce(artist, '')) <> '' AND {_TITLE} <> ''))",
 )
-of_files("move_plan", lambda f: paths.move_plan(f, groups.album_type(f.where("album IS NOT NULL"), "album"), "album", "/organised"))
+_YEAR4 = "CASE WHEN try_cast(regexp_extract(coalesce(year, ''), '\\b(\\d{4})\\b', 1) AS INT) BETWEEN 1900 AND 2100 THEN regexp_extract(year, '\\b(\\d{4})\\b', 1) ELSE '' END"
+of_files(
+    "move_plan",
+    lambda f: paths.move_plan(f, groups.album_type(f.where("album IS NOT NULL"), "album"), "album", "/organised"),
+    ", types AS (" + ORACLES["album_type_tagged"].removeprefix(FILES_CTE) + "), p AS (SELECT path, status, coalesce(album_type, 'solo') = 'mix' AS mix, coalesce(nullif(trim(artist), ''), 'Unknown Artist') AS who, coalesce(nullif(trim(f.album), ''), 'Unknown Album') AS album, coalesce(nullif(trim(title), ''), cast(file_id AS VARCHAR)) AS title, "
+    f"coalesce(nullif(trim(albumartist), ''), nullif(trim(artist), ''), 'Unknown Artist') AS owner, {_YEAR4} AS year, lpad(split_part(track_number, '/', 1), 2, '0') AS track, coalesce(catalog_number, '') AS number FROM files f LEFT JOIN types t ON f.album = t.album), "
+    "t AS (SELECT path, CASE WHEN status = 'broken' THEN '/organised/Broken/' || regexp_extract(path, '[^/]*$', 0) ELSE '/organised/' || concat_ws(' - ', nullif(number, ''), nullif(year, ''), CASE WHEN mix THEN album ELSE owner END) || CASE WHEN mix THEN '/mix/' ELSE '/album/' END || "
+    "CASE WHEN mix THEN concat_ws(' - ', track, who, title) ELSE concat_ws(' - ', track, title) END || '.flac' END AS target FROM p), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY path) AS i FROM t), o AS (SELECT path, CASE WHEN i > 1 THEN regexp_replace(target, '\\.flac$', ' (' || cast(i AS VARCHAR) || ').flac') ELSE target END AS target FROM n) SELECT * FROM o WHERE path <> target",
+)
 of_files("tag_plan", lambda f: paths.tag_plan(f, f.select("path", F.lit("Found").alias("label")), "path", ["label"]), "SELECT path, 'label' AS field, 'Found' AS value FROM files WHERE label IS NULL OR trim(label) = ''")
 of_files(
     "m3u_export",
@@ -413,7 +531,36 @@ register(
     lambda spark, d: readers.page_facts(table(spark, d, "pages")),
     "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) AS lang FROM pages",
 )
-register("json_ld", lambda spark, d: readers.json_ld(table(spark, d, "pages")).select("page_id", "ld", "name", "published"))
+_LD = "concat('{\"name\": \"', url, '\", \"datePublished\": \"2024-0', cast(page_id % 9 + 1 AS STRING), '-01\"}')"
+register(
+    "json_ld",
+    lambda spark, d: readers.json_ld(table(spark, d, "pages").withColumn("html", F.expr(f"CASE WHEN page_id % 3 > 0 THEN concat(html, '<SCRIPT async type=\"application/ld+json\">', {_LD}, '</script>') ELSE html END"))).select("page_id", "ld", "name", "published"),
+    f"SELECT page_id, CASE WHEN page_id % 3 > 0 THEN {_LD.replace('STRING', 'VARCHAR')} END AS ld, CASE WHEN page_id % 3 > 0 THEN url END AS name, CASE WHEN page_id % 3 > 0 THEN '2024-0' || cast(page_id % 9 + 1 AS VARCHAR) || '-01' END AS published FROM pages",
+)
+_CUES = "SELECT concat('/lib/', source, '/', lang, '/', cast(doc_id % 40 AS STRING), '/', cast(doc_id AS STRING), '.cue') AS path, concat('REM x', chr(10), 'PERFORMER \"', source, '\"', chr(13), chr(10), 'title \"Disc ', lang, '\"', chr(10), 'FILE \"', cast(doc_id AS STRING), CASE WHEN doc_id % 2 = 0 THEN '.flac' ELSE '.wav' END, '\" WAVE', chr(10), text) AS value FROM {0}"
+_SHEETS = "SELECT path, concat(cast(doc_id AS VARCHAR), CASE WHEN doc_id % 2 = 0 THEN '.flac' ELSE '.wav' END) AS audio_filename, 'Disc ' || lang AS title, source AS performer FROM (SELECT *, concat('/lib/', source, '/', lang, '/', cast(doc_id % 40 AS VARCHAR), '/', cast(doc_id AS VARCHAR), '.cue') AS path FROM documents)"
+register("cue_sheets", lambda spark, d: readers.cue_sheets(spark.sql(_CUES.format("{d}"), d=table(spark, d, "documents"))).drop("value"), _SHEETS)
+register(
+    "orphan_cues",
+    lambda spark, d: readers.orphan_cues(readers.cue_sheets(spark.sql(_CUES.format("{d}"), d=table(spark, d, "documents"))).drop("value"), adapters.listing(spark, d)),
+    LISTING_CTE.rstrip() + f", sheets AS ({_SHEETS}) SELECT * FROM sheets s WHERE NOT EXISTS (SELECT 1 FROM listing l WHERE l.folder = regexp_replace(s.path, '/[^/]*$', '') AND l.name = s.audio_filename)",
+)
+register(
+    "content_hash",
+    lambda spark, d: table(spark, d, "documents").select("doc_id", readers.content_hash(F.col("text").cast("binary"), F.octet_length("text")).alias("content_hash")),
+    "SELECT doc_id, sha1(concat(cast(strlen(text) AS VARCHAR), text)) AS content_hash FROM documents",
+)
+of_files(
+    "resolved_tags",
+    lambda f: readers.resolved_tags(f.select("path", F.create_map(F.lit("TIT2"), F.lit("  "), F.lit("TITLE"), F.col("title"), F.lit("tpe1"), F.col("artist"), F.lit("album artist"), F.col("albumartist"), F.lit("Date"), F.col("year"), F.lit("TYER"), F.lit("1990"), F.lit("publisher"), F.col("label")).alias("tags"))).select("path", "title", "artist", "albumartist", "year", "label", "bpm"),
+    "SELECT path, nullif(trim(title), '') AS title, nullif(trim(artist), '') AS artist, nullif(trim(albumartist), '') AS albumartist, coalesce(nullif(trim(year), ''), '1990') AS year, nullif(trim(label), '') AS label, NULL::VARCHAR AS bpm FROM files",
+)
+of_files(
+    "bad_folders",
+    lambda f: audits.bad_folders(f, schema.FOLDER_PLACEHOLDERS),
+    f"SELECT DISTINCT regexp_replace({PREFERRED}, '/[^/]*$', '') AS folder FROM files WHERE status <> 'broken' AND ({_MISSING.format('artist')} OR {_MISSING.format('album')} OR {_MISSING.format('title')} OR lower(trim(artist)) IN ({listed(schema.FOLDER_PLACEHOLDERS)}) OR regexp_matches(title, '^[0-9][0-9](.|\\n)*-')) ORDER BY folder LIMIT 50",
+)
+of_files("deepest_first", audits.deepest_first, "SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder, length(path) - length(replace(path, '/', '')) AS depth FROM files")
 register("json_props", lambda spark, d: table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "SELECT event_id, cast(props->>'$.k' AS BIGINT) AS k FROM events")
 register(
     "first_text",

@@ -177,5 +177,5 @@ def size_text(size: Text) -> Column:
     """'512 B', '1.5 KB', ... of a number of bytes."""
     c = F.coalesce(col(size), F.lit(0)).cast("double")
     steps = [(1024.0**k, name) for k, name in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"))]
-    sized = reduce(lambda acc, x: acc.when(c >= x[0], F.concat(F.format_string("%.1f", c / x[0]), F.lit(f" {x[1]}"))), steps[1:], F.when(c >= steps[0][0], F.concat(F.format_string("%.1f", c / steps[0][0]), F.lit(" TB"))))
+    sized = reduce(lambda acc, x: acc.when(c >= x[0], F.concat(F.format_string("%.1f", F.bround(c / x[0], 1)), F.lit(f" {x[1]}"))), steps[1:], F.when(c >= steps[0][0], F.concat(F.format_string("%.1f", F.bround(c / steps[0][0], 1)), F.lit(" TB"))))
     return sized.otherwise(F.concat(c.cast("long").cast("string"), F.lit(" B")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fonoteca import schema
+from fonoteca.functions.text import parent
 from fonoteca.operators import predicates as P
 
 #: Years after this one are odd; a parameter of the catalogue, so that results do not depend on the day.
@@ -100,3 +101,15 @@ def broken_counts(files: DataFrame) -> DataFrame:
         "any_bad": P.any_bad(),
     }
     return files.agg(*(F.count_if(c).alias(k) for k, c in counts.items()))
+
+
+def bad_folders(files: DataFrame, placeholders: tuple[str, ...], limit: int = 50) -> DataFrame:
+    """The first folders, in alphabetical order, that hold files to be tagged anew."""
+    junk = P.is_missing("artist") | P.is_missing("album") | P.is_missing("title") | P.placeholder("artist", placeholders) | P.starts_like_filename("title")
+    return files.where(P.not_broken() & junk).select(parent(P.preferred_path()).alias("folder")).where("folder <> ''").distinct().orderBy("folder").limit(limit)
+
+
+def deepest_first(files: DataFrame) -> DataFrame:
+    """folder, depth: every folder of files, in the order in which emptied ones can be removed."""
+    folders = files.select(parent("path").alias("folder")).distinct()
+    return folders.withColumn("depth", F.size(F.split("folder", "/"))).orderBy(F.desc("depth"), "folder")

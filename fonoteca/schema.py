@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 # Fixed values. Each operator keeps its own placeholder list; they differ on purpose.
 AUDIT_PLACEHOLDERS = ("unknown artist", "unknown", "various", "various artists", "[unknown artist]", "unknownartist", "n/a", "na", "untagged")
 SUMMARY_PLACEHOLDERS = ("unknown artist", "unknown", "various artists", "va", "v.a.", "n/a", "untagged")
+FOLDER_PLACEHOLDERS = ("unknown artist", "unknown", "various", "n/a", "untagged")
 ANY_PLACEHOLDERS = ("unknown artist", "unknown", "various artists", "va")
 UNKNOWN_TAGS = ("", "unknown", "unknown artist", "unknown album", "unknown title", "<unknown>", "untitled", "n/a", "none", "(none)", "no artist", "no album", "tba", "tbd", "track", "audio track")
 UNSAFE_QUERIES = (*UNKNOWN_TAGS, "[unknown]", "[unknown artist]", "[unknown album]")

@@ -276,3 +276,36 @@ def test_eta_and_schema(spark):
     assert match.eta(60, {"a": 1.0, "b": 3.0}) == {"best": 1.0, "likely": 0.6 + 1.6, "worst": 8.0}
     df = schema.conformed(spark.createDataFrame([("5", "1", "x")], "size_bytes string, lossless string, extra string"), ("size_bytes", "lossless"))
     assert dict(df.dtypes) == {"size_bytes": "bigint", "lossless": "int"}
+
+
+def test_fuzzy_match_loses_no_pair(spark):
+    """Against all pairs, for short, long and repeated names and for thresholds with and without the longer grams."""
+    import difflib
+    import random
+
+    own = random.Random(2)
+    word = lambda: "".join(own.choice("abcde") for _ in range(own.randint(1, 6)))
+    names = [" ".join(word() for _ in range(own.randint(1, 7))) for _ in range(120)]
+    for name in names[:60]:
+        chars = list(name)
+        for _ in range(own.randint(1, 3)):
+            chars[own.randrange(len(chars))] = own.choice("abcde ")
+        names.append("".join(chars))
+    names += [names[0], names[0].upper(), "é" + names[3], "", None]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    keyed = {r["id"]: r["k"] for r in df.select("id", match.match_key("name").alias("k")).collect()}
+    for least in (0.95, 0.9, 0.7):
+        got = {(r["query_id"], r["candidate"], r["n"], r["similarity"]) for r in match.fuzzy(df.where("id % 2 = 0"), df, "name", least).collect()}
+        counts = {}
+        for k in keyed.values():
+            counts[k] = counts.get(k, 0) + 1
+        score = lambda a, b: 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
+        want = {(i, k, n, round(s, 6)) for i, a in keyed.items() if i % 2 == 0 and a for k, n in counts.items() if k and (s := round(score(a, k), 6)) >= least}
+        assert got == want, least
+
+
+def test_plans_of_names_stay_small(spark):
+    """A name is built from nested parts; each is bound once, so the plan does not multiply them."""
+    files = spark.createDataFrame([("/a/b.flac", *[None] * 6)], "path string, artist string, title string, album string, year string, track_number string, codec string")
+    plan = paths.rename_plan(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 60_000, len(plan)
