@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 TEXT = "__text"
 #: Texts are handed to the Python side of an operator in runs of about this many bytes.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 #: Paths of the tables written so far.
 _tables: list[str] = []
 

@@ -99,9 +99,10 @@ class Block:
             for i, own in enumerate(self.items):
                 for place, h in enumerate(window_hashes(own, mask).tolist()):
                     index.setdefault(h, []).append((i, place))
-            held = np.zeros(1 << FILTER_BITS, dtype=bool)
+            bits = min(FILTER_BITS, max(10, (16 * len(index)).bit_length()))  # small for a block of one item, of which many are kept
+            held = np.zeros(1 << bits, dtype=bool)
             if index:
-                held[np.array(list(index), dtype=np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
+                held[np.array(list(index), dtype=np.uint64) >> np.uint64(64 - bits)] = True
             self.index.append(index)
             self.filters.append(held)
         #: For each length below that of the lightest mask, the items by the hash of all their tokens.
@@ -118,7 +119,7 @@ class Block:
         diagonals: dict[int, set[int]] = {}
         for mask, index, held in zip(MASKS, self.index, self.filters):
             hashes = window_hashes(ids, mask)
-            for at in np.flatnonzero((hashes != 0) & held[hashes >> np.uint64(64 - FILTER_BITS)]).tolist():
+            for at in np.flatnonzero((hashes != 0) & held[hashes >> np.uint64(65 - len(held).bit_length())]).tolist():
                 for item, place in index.get(int(hashes[at]), ()):
                     diagonals.setdefault(item, set()).add(at - place)
         out = []
@@ -219,7 +220,7 @@ def suspects(docs: DataFrame, id_col: str, text_col: str, seeds: DataFrame) -> D
 
         uid, held = TaskContext.get().partitionId() << 33, sent.value
         for batch in batches:
-            for part in common.runs(batch):
+            for part in common.runs(batch, most=1 << 20):
                 texts = [t.decode("utf-8", "replace") for t in part.column(3).to_pylist()]
                 found = []
                 for _, hashes, owner in seeds_of(texts, short):
@@ -255,7 +256,7 @@ def verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in common.runs(whole, "text"):
+            for batch in common.runs(whole, "text", 1 << 20):
                 at, found = [], []
                 for i, (text, item_id, item) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "item_id", "item_text")))):
                     for hit in block_of(item_id, item).find(text.decode("utf-8", "replace")):
