@@ -17,6 +17,8 @@ TEXT = "__text"
 RUN_BYTES = 4 << 20
 #: Paths of the tables written so far.
 _tables: list[str] = []
+#: What a Python worker keeps over the tasks of one operator.
+_kept: dict[object, object] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,6 +70,19 @@ def sweep(spark: SparkSession) -> None:
         drop(spark, _tables.pop())
 
 
+def kept(name: object, make: Callable[[], object]):
+    """What make() gives, kept by this Python worker for the next tasks that ask for it by name, until tasks of others run."""
+    if name not in _kept:
+        give_up()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def give_up() -> None:
+    """Frees what this Python worker has kept; tasks that need memory of their own begin with it."""
+    _kept.clear()
+
+
 def doc_crc(doc_id: Column) -> Column:
     """crc32 of the id as text; the folds of the labelled and the held-out rows come from it."""
     return F.crc32(doc_id.cast("string").cast("binary"))
@@ -92,6 +107,7 @@ def map_texts(
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         function = make()
         for batch in batches:
             for part in runs(batch):

@@ -218,6 +218,7 @@ def suspects(docs: DataFrame, id_col: str, text_col: str, seeds: DataFrame) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        common.give_up()
         uid, held = TaskContext.get().partitionId() << 33, sent.value
         for batch in batches:
             for part in common.runs(batch, most=1 << 20):
@@ -239,9 +240,9 @@ def suspects(docs: DataFrame, id_col: str, text_col: str, seeds: DataFrame) -> D
     return rows.mapInArrow(run, f"id {kind}, uid long, k1 long, k2 long, text binary, seeds array<long>")
 
 
-@lru_cache(maxsize=256)
 def block_of(item_id: int | None, text: str) -> Block:
-    return Block([(item_id, text)])
+    """The item's block; a Python worker keeps the last 256."""
+    return common.kept("blocks", lambda: lru_cache(maxsize=256)(lambda *item: Block([item])))(item_id, text)
 
 
 def verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

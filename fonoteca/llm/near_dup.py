@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,12 +201,12 @@ def in_blocks(now: DataFrame, keys: DataFrame, nodes: DataFrame, sets: DataFrame
     pairs = pairs.select("key", "nid", "sig", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = pairs.join(sets, "nid")
 
-    def compare(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("nid").drop_duplicates("nid").reset_index(drop=True)
-        sig = np.frombuffer(b"".join(pdf["sig"]), dtype="<u2").reshape(-1, LANES)
-        own, i, j = pdf["own"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
+    def compare(table: pa.Table) -> pa.Table:
+        common.give_up()
+        _, at = np.unique(table.column("nid").to_numpy(), return_index=True)
+        table = table.take(pa.array(at)).combine_chunks()
+        nids, comp, own, i, j = (table.column(c).to_numpy() for c in ("nid", "comp", "own", "i", "j"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype="<u2").reshape(-1, LANES)
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -213,14 +214,14 @@ def in_blocks(now: DataFrame, keys: DataFrame, nodes: DataFrame, sets: DataFrame
                 x = parent[x] = parent.get(up, up)
             return x
 
-        nid, comp, found = pdf["nid"].tolist(), pdf["comp"].to_numpy(), []
-        sizes = pdf["hashes"].map(len).to_numpy()
+        found: list[tuple[int, int]] = []
+        sizes = pc.list_value_length(table.column("hashes")).to_numpy().astype(np.int64)
         begins = np.cumsum(sizes) - sizes
-        known, ids = np.unique(np.concatenate(pdf["hashes"].tolist()), return_inverse=True)
+        known, ids = np.unique(pc.list_flatten(table.column("hashes")).to_numpy(), return_inverse=True)
         mark = np.zeros(len(known), dtype=np.int64)
-        for x in range(len(nid) - 1):
+        for x in range(len(nids) - 1):
             apart = (comp[x + 1 :] != comp[x]) & ((sig[x + 1 :] != sig[x]).sum(1) <= r)
-            if i != j:
+            if i[0] != j[0]:
                 apart &= own[x + 1 :] != own[x]
             if not apart.any():
                 continue
@@ -232,10 +233,10 @@ def in_blocks(now: DataFrame, keys: DataFrame, nodes: DataFrame, sets: DataFrame
                 p, q = root(int(comp[x])), root(int(comp[y]))
                 if p != q:
                     parent[p] = q
-                    found.append((nid[x], nid[y]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                    found.append((int(nids[x]), int(nids[y])))
+        return pa.table({c: pa.array([f[n] for f in found], pa.int64()) for n, c in enumerate("ab")})
 
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def judged(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:

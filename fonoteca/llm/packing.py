@@ -27,7 +27,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +53,8 @@ def default_tokenizer() -> str:
 PROBE = "The the end. 12 345 it's , and e\u0301 \u00e9t\u00e9 -- x\u00df _a 'll \u4e2d\u6587 \U0001f600"
 
 
-@lru_cache(maxsize=2)
 def loaded(path: str):
+    """The tokenizer, and the ids of the words that it has met."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -72,7 +71,7 @@ def loaded(path: str):
 def encode(texts: list[str], path: str) -> list[bytes]:
     """16-bit ids of each text. The tokenizer drops white space and never joins what it parts, so a
     text's ids are those of its blank-separated words, and a distinct word is encoded once."""
-    tokenizer, known = loaded(path)
+    tokenizer, known = common.kept(("tokenizer", path), lambda: loaded(path))
     split = [lowered(text).replace("\n", " ").split(" ") for text in texts]
     if len(known) > REMEMBERED:
         known.clear()
