@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fonoteca.llm import class_lm, decontaminate, html_text, near_dup, packing, pii, quality, repeats, rules, secrets
+from fonoteca.llm import class_lm, decontaminate, exact, html_text, near_dup, packing, pii, quality, repeats, rules, secrets
 from fonoteca.llm.common import read
 
 
@@ -50,6 +50,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii,
         op9_class_lm,
         op10_quality_rules,
+        op13_exact_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_exact_dedup": exact.ORACLE}
