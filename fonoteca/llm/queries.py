@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fonoteca.llm import class_lm, decontaminate, exact, html_text, near_dup, packing, phrases, pii, quality, repeats, rules, secrets
+from fonoteca.llm import class_lm, decontaminate, exact, html_text, near_dup, negatives, packing, phrases, pii, quality, repeats, rules, secrets
 from fonoteca.llm.common import read
 
 
@@ -50,6 +50,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(read(spark, sf_dir, "embeddings"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read(spark, sf_dir, "documents"))
 
@@ -71,8 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii,
         op9_class_lm,
         op10_quality_rules,
+        op11_hard_negatives,
         op12_collocations,
         op13_exact_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op12_collocations": phrases.ORACLE, "op13_exact_dedup": exact.ORACLE}
+ORACLES: dict[str, str] = {"op11_hard_negatives": negatives.ORACLE, "op12_collocations": phrases.ORACLE, "op13_exact_dedup": exact.ORACLE}
