@@ -1,13 +1,15 @@
 """Phrases whose words stick together: suffix arrays over word ids, one a shard, merged by key.
 
 A shard is a run of texts of one language, cut into pieces and words and written as an array of word ids.
-Three passes over the shards count what may still be part of a common phrase: words, pairs of words that
-are common, and phrases of pairs that are common; each pass drops what is too rare in all shards together,
-so that the last, which spells phrases out, has little left. A suffix array, made by prefix doubling, puts
-equal phrases of a shard side by side, and the intervals of its common prefixes are their counts.
+Passes over the shards count what may still be part of a common phrase: words, pairs of common words, and
+phrases of common pairs; each pass drops what is too rare in all shards together, so that the last, which
+spells phrases out, has little left. A suffix array, made by prefix doubling, puts equal phrases of a shard
+side by side, and the intervals of its common prefixes are their counts.
 
-The first two passes count by hashes of 64 bits: two words of one hash are counted together, so that a
+The passes before the last count by hashes of 64 bits: two words of one hash are counted together, so that a
 word may be kept that is too rare, and none is lost. What is returned comes from counts by the phrases.
+Keys and their counts go from shards to merging tasks in packed runs, one a shard and range of hashes, so a
+key has a row a shard at most, whatever its count; ranges are as many as keep a merging task small.
 
 Nulls and ties: a null text is an empty one, and has no words; a null language is `und`. Rows repeated, or
 with one id, all count. Equal scores are told apart by the count and then by the bytes of the phrase.
@@ -15,11 +17,13 @@ with one id, all count. Equal scores are told apart by the count and then by the
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ from fonoteca.llm.common import give_up, materialise
 LONGEST = 5
 #: Bytes of text in the shards that a task makes at a time; a longer text is a shard of its own, cut between pieces.
 SHARD_BYTES = 16 << 20
+#: Keys that a merging task gets, about, and the most ranges of keys.
+MERGED, RANGES = 1 << 20, 1 << 20
 #: Text that ends a piece, and text that ends a word. Fixed values.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 WORD_ENDS = b" \t"
@@ -98,16 +104,48 @@ def intervals(sa: np.ndarray, shared: np.ndarray, left: np.ndarray, n: int) -> t
     return sa[rows[heads]], np.diff(np.append(heads, len(rows)))
 
 
-def _hashed(words: list[bytes], lang: str) -> np.ndarray:
-    key = hashlib.blake2b(lang.encode(), digest_size=16).digest()
-    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8, key=key).digest() for w in words), np.int64)
+def hashed(words: list[bytes], lang: str) -> np.ndarray:
+    seed = zlib.crc32(lang.encode())
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
 
 
-def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """A hash of two hashes in their order."""
-    x = first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (second.view(np.uint64) ^ np.uint64(0xD1B54A32D192ED03))
+    x = first * np.uint64(0x9E3779B97F4A7C15) + (second ^ np.uint64(0xD1B54A32D192ED03))
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
+    return x ^ (x >> np.uint64(32))
+
+
+def hash_of(hashes: np.ndarray, tokens: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the phrases of n words at the given places, by those of their words."""
+    out = hashes[tokens[where] - 1]
+    for k in range(1, n):
+        out = joined(out, hashes[tokens[where + k] - 1])
+    return out
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, as planes of their bytes, compressed."""
+    planes = b"".join(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in map(np.ascontiguousarray, arrays))
+    return len(arrays[0]).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    n, sizes = int.from_bytes(data[:8], "little"), [np.dtype(k).itemsize for k in kinds]
+    planes = np.frombuffer(pa.decompress(data[8:], n * sum(sizes), "zstd", asbytes=True), np.uint8).reshape(sum(sizes), n)
+    ends = np.cumsum([0, *sizes])
+    return [np.ascontiguousarray(planes[b:e].T).reshape(-1).view(k) for b, e, k in zip(ends, ends[1:], kinds)]
+
+
+def key_run(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Keys in order, as their differences, and their counts."""
+    order = np.argsort(keys)
+    return packed(np.diff(keys[order], prepend=np.uint64(0)), counts[order].astype(np.uint32))
+
+
+def keys_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = unpacked(data, np.uint64, np.uint32)
+    return np.cumsum(steps, dtype=np.uint64), counts
 
 
 def _cut(text: bytes, most: int) -> Iterator[bytes]:
@@ -122,7 +160,7 @@ def _cut(text: bytes, most: int) -> Iterator[bytes]:
     yield text[begin:]
 
 
-_SHARD = "shard long, lang string, n_words long, words array<binary>, keys array<long>, counts array<long>, tokens binary"
+_SHARD = "shard long, lang string, n_words long, words array<binary>, tokens binary, n_keys long, keys binary"
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.field("element", pa.int64())), "array<binary>": pa.list_(pa.field("element", pa.binary()))}
@@ -160,9 +198,13 @@ def shards(docs: DataFrame) -> DataFrame:
                 if not len(words):
                     continue
                 ids = words.indices.to_numpy(zero_copy_only=False)
-                distinct = words.dictionary
-                counts = np.bincount(ids, minlength=len(distinct))
-                yield _row((at, lang, len(ids), distinct, _hashed(distinct.to_pylist(), lang), counts, laid_out(ids, pieces).tobytes()), schema)
+                counts = np.bincount(ids, minlength=len(words.dictionary))
+                order = np.argsort(-counts, kind="stable")  # commonest first: their ids are small
+                place = np.empty(len(order), np.int32)
+                place[order] = np.arange(len(order))
+                distinct = words.dictionary.take(pa.array(order))
+                keys = hashed(distinct.to_pylist(), lang)
+                yield _row((at, lang, len(ids), distinct, packed(laid_out(place[ids], pieces)), len(keys), key_run(keys, counts[order])), schema)
                 at += 1
             held.clear()
 
@@ -180,102 +222,166 @@ def shards(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, _SHARD)
 
 
-_PAIRS = "shard long, lang string, words array<binary>, hashes array<long>, word_counts array<long>, tokens binary, keys array<long>, counts array<long>"
+_PART = "part int, shard long, run binary"
+
+
+def _ranged(bits: int):
+    """The keys of each shard in 2**bits ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _arrow(_PART)
+        for batch in batches:
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys, counts = keys_of(data.as_py())
+                part = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
+                ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(keys))
+                rows = [(part[b], key_run(keys[b:e], counts[b:e])) for b, e in zip([0, *ends], ends) if e > b]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([shard] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
+
+    return run
+
+
+def _merging(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        """shard, run: of each shard's keys of a range those that all shards together have often enough."""
+        runs = [keys_of(x) for x in table["run"].to_pylist()]
+        keys, counts = (np.concatenate(c) for c in zip(*runs))
+        distinct, at = np.unique(keys, return_inverse=True)
+        often = (np.bincount(at, counts, len(distinct)) >= least)[at]
+        ends = np.cumsum([0, *(len(k) for k, _ in runs)])
+        stay = [(shard, key_run(keys[b:e][often[b:e]], counts[b:e][often[b:e]])) for shard, b, e in zip(table["shard"].to_pylist(), ends, ends[1:]) if often[b:e].any()]
+        return pa.table({"shard": pa.array([s for s, _ in stay], pa.int64()), "run": pa.array([r for _, r in stay], pa.binary())})
+
+    return run
+
+
+def _bits(n: int) -> int:
+    """Of so many ranges that each has about MERGED of n keys."""
+    return max(0, min(RANGES, -(-n // MERGED)) - 1).bit_length()
+
+
+def _left(counted: DataFrame, least: int) -> DataFrame:
+    """shard, runs: of each shard's keys those that all shards together have `least` times."""
+    bits = _bits(counted.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0])
+    parts = counted.select("shard", "keys").mapInArrow(_ranged(bits), _PART)
+    merged = parts.groupBy("part").applyInArrow(_merging(least), "shard long, run binary")
+    return merged.groupBy("shard").agg(F.collect_list("run").alias("runs"))
+
+
+def _kept(runs: list[bytes] | None) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(keys_of(r)[0] for r in runs or [])])
+
+
+_LESS = "shard long, lang string, words array<binary>, f binary, tokens binary, n_keys long, keys binary"
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards of common words alone, and the hashes and counts of their pairs; runs of one word are left out."""
+    """Shards of common words alone, and the keys of their pairs; runs of one word are left out."""
     give_up()
-    schema = _arrow(_PAIRS)
+    schema = _arrow(_LESS)
     for batch in batches:
         for i in range(batch.num_rows):
-            shard, lang = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            words, keys, counts, left = batch.column(2)[i].values, *(batch.column(c)[i].values.to_numpy() for c in (3, 4, 6))
-            tokens = np.frombuffer(batch.column(5)[i].as_py(), np.int32)
-            stay = np.flatnonzero(np.isin(keys, left))
+            shard, lang, words, tokens, runs = (batch.column(c)[i] for c in range(5))
+            lang = lang.as_py()
+            keys = hashed(words.as_py(), lang)
+            (tokens,) = unpacked(tokens.as_py(), np.int32)
+            stay = np.flatnonzero(np.isin(keys, _kept(runs.as_py())))
             new = np.zeros(len(keys) + 1, np.int32)
             new[stay + 1] = np.arange(1, len(stay) + 1)
-            tokens = _runs(new[tokens])
-            hashes = keys[stay]
+            tokens = new[tokens]
+            f = np.bincount(tokens, minlength=len(stay) + 1)[1:]
+            tokens = _runs(tokens)
             where, n = intervals(*suffixes(tokens, 2), 2)
-            pairs = paired(hashes[tokens[where] - 1], hashes[tokens[where + 1] - 1])
-            yield _row((shard, lang, words.take(pa.array(stay)), hashes, counts[stay], tokens.tobytes(), pairs, n), schema)
+            pairs = hash_of(keys[stay], tokens, where, 2)
+            yield _row((shard.as_py(), lang, words.values.take(pa.array(stay)), packed(f), packed(tokens), len(pairs), key_run(pairs, n)), schema)
 
 
-def _runs(tokens: np.ndarray) -> np.ndarray:
-    """The runs of two words or more, a 0 after each."""
-    word = tokens != 0
-    stays = word & (np.append(word[1:], False) | np.insert(word[:-1], 0, False)[: len(word)])
-    return tokens[stays | (~word & np.insert(stays[:-1], 0, False)[: len(word)])]
-
-
-_PHRASES = "lang string, phrase string, size int, f long"
-
-
-def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The common words of each shard, and its phrases of common pairs, with their counts."""
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards of common pairs alone, and the keys of their longer phrases."""
     give_up()
-    schema = _arrow(_PHRASES)
+    schema = _arrow(_LESS)
     for batch in batches:
         for i in range(batch.num_rows):
-            lang = batch.column(0)[i].as_py()
-            words = [w.decode() for w in batch.column(1)[i].as_py()]
-            hashes, counts = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
-            tokens = np.frombuffer(batch.column(4)[i].as_py(), np.int32)
-            left = batch.column(5)[i].values
-            yield from _phrase_rows(lang, words, np.ones(len(words), np.int32), counts, schema)
-            if left is None or not len(left) or not len(tokens):
-                continue
-            first, second = tokens[:-1], tokens[1:]
-            both = (first != 0) & (second != 0)
-            good = np.zeros(len(tokens), bool)
-            good[:-1][both] = np.isin(paired(hashes[first[both] - 1], hashes[second[both] - 1]), left.to_numpy())
-            # A 0 goes between two words that are no common pair.
-            tokens = _runs(np.insert(tokens, np.flatnonzero(~good[:-1] & both) + 1, 0))
+            shard, lang, words, f, tokens, runs = (batch.column(c)[i] for c in range(6))
+            hashes = hashed(words.as_py(), lang.as_py())
+            (tokens,) = unpacked(tokens.as_py(), np.int32)
+            places = np.flatnonzero((tokens[:-1] != 0) & (tokens[1:] != 0))
+            rare = places[~np.isin(hash_of(hashes, tokens, places, 2), _kept(runs.as_py()))]
+            tokens = _runs(np.insert(tokens, rare + 1, 0))
             array = suffixes(tokens, LONGEST)
-            for n in range(2, LONGEST + 1):
-                where, f = intervals(*array, n)
-                for b in range(0, len(where), 50_000):
-                    part = tokens[where[b : b + 50_000, None] + np.arange(n)] - 1
-                    yield from _phrase_rows(lang, [" ".join([words[x] for x in row]) for row in part.tolist()], np.full(len(part), n, np.int32), f[b : b + 50_000], schema)
-
-
-def _phrase_rows(lang: str, phrases: list[str], size: np.ndarray, f: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    if phrases:
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), pa.array(phrases), pa.array(size), pa.array(f.astype(np.int64))], schema=schema)
+            found = [(hash_of(hashes, tokens, where, n), c) for n in range(3, LONGEST + 1) for where, c in [intervals(*array, n)]]
+            keys, counts = (np.concatenate(c) for c in zip(*found))
+            yield _row((shard.as_py(), lang.as_py(), words.values, f.as_py(), packed(tokens), len(keys), key_run(keys, counts)), schema)
 
 
-_COUNTED = "shard long, key long, n long"
+def _runs(tokens: np.ndarray) -> np.ndarray:
+    """The runs of two words or more, a 0 after each."""
+    word = tokens != 0
+    stays = word & (np.append(word[1:], False) | np.insert(word[:-1], 0, False)[: len(word)])
+    return tokens[stays | (~word & np.insert(stays[:-1], 0, False)[: len(word)])]
 
 
-def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each key of a shard."""
-    schema = _arrow(_COUNTED)
-    for batch in batches:
-        for i in range(batch.num_rows):
-            keys, counts = batch.column(1)[i].values, batch.column(2)[i].values
-            for b in range(0, len(keys), 100_000):
-                part = keys.slice(b, 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column(0)[i].as_py(), np.int64)), part, counts.slice(b, 100_000)], schema=schema)
+_SPELLED = "part int, lang string, phrases array<binary>, sizes array<long>, counts array<long>"
 
 
-def _left(counted: DataFrame, least: int) -> DataFrame:
-    """shard, left: of each shard's keys those that all shards together have `least` times.
+def _spelled(parts: int):
+    """The words and the common phrases of each shard with their counts, in parts by the hash of the phrase."""
 
-    A key has a row a shard at most, so no key is hot.
-    """
-    rows = counted.select("shard", "keys", "counts").mapInArrow(_flat, _COUNTED)
-    total = F.sum("n").over(Window.partitionBy("key"))
-    return rows.withColumn("total", total).where(F.col("total") >= least).groupBy("shard").agg(F.collect_list("key").alias("left"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
+        schema = _arrow(_SPELLED)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lang, words, f, tokens, runs = (batch.column(c)[i] for c in range(5))
+                words, left = words.as_py(), _kept(runs.as_py())
+                hashes = hashed(words, lang.as_py())
+                (f,), (tokens,) = unpacked(f.as_py(), np.int64), unpacked(tokens.as_py(), np.int32)
+                phrases, sizes, counts, keys = list(words), [np.ones(len(words), np.int64)], [f], [hashes]
+                array = suffixes(tokens, LONGEST)
+                for n in range(2, LONGEST + 1):
+                    where, c = intervals(*array, n)
+                    key = hash_of(hashes, tokens, where, n)
+                    if n > 2:
+                        stay = np.isin(key, left)
+                        where, c, key = where[stay], c[stay], key[stay]
+                    phrases += [b" ".join([words[x] for x in row]) for row in (tokens[where[:, None] + np.arange(n)] - 1).tolist()]
+                    sizes, counts, keys = [*sizes, np.full(len(where), n)], [*counts, c], [*keys, key]
+                part = (np.concatenate(keys) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                ends = np.append(np.flatnonzero(np.diff(part[order])) + 1, len(order))
+                phrases, sizes, counts = pa.array(phrases, pa.binary()), np.concatenate(sizes), np.concatenate(counts)
+                for b, e in zip([0, *ends], ends):
+                    if e > b:
+                        at = order[b:e]
+                        yield _row((int(part[at[0]]), lang.as_py(), phrases.take(pa.array(at)), sizes[at], counts[at]), schema)
+
+    return run
+
+
+_FOUND = "lang string, phrase string, size int, f long"
+
+
+def _summed(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The phrases of a part that are common, by their words."""
+        table = table.combine_chunks()
+        phrases = table["phrases"].combine_chunks()
+        rows = pa.table({"lang": table["lang"].take(pc.list_parent_indices(phrases)), "phrase": phrases.flatten(), "size": table["sizes"].combine_chunks().flatten(), "f": table["counts"].combine_chunks().flatten()})
+        sums = rows.group_by(["lang", "phrase", "size"]).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "size", "f"])
+        return sums.filter(pc.greater_equal(sums["f"], least)).cast(_arrow(_FOUND))
+
+    return run
 
 
 def counts(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of all words and phrases of up to five words found `least` times, and (lang, n)."""
     whole = materialise(shards(docs))
-    words = whole.join(_left(whole, least), "shard").select("shard", "lang", "words", "keys", "counts", "tokens", "left")
-    pairs = materialise(words.mapInArrow(_common, _PAIRS))
-    phrases = pairs.join(_left(pairs, least), "shard", "left").select("lang", "words", "hashes", "word_counts", "tokens", "left").mapInArrow(_spelled, _PHRASES)
-    found = phrases.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    pairs = materialise(whole.select("shard", "lang", "words", "tokens").join(_left(whole, least), "shard").select("shard", "lang", "words", "tokens", "runs").mapInArrow(_common, _LESS))
+    longer = materialise(pairs.drop("n_keys", "keys").join(_left(pairs, least), "shard", "left").select("shard", "lang", "words", "f", "tokens", "runs").mapInArrow(_paired, _LESS))
+    n = pairs.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    last = longer.drop("n_keys", "keys").join(_left(longer, least), "shard", "left").select("lang", "words", "f", "tokens", "runs")
+    found = last.mapInArrow(_spelled(1 << _bits(n)), _SPELLED).groupBy("part").applyInArrow(_summed(least), _FOUND)
     return materialise(found), whole.groupBy("lang").agg(F.sum("n_words").alias("n"))
 
 
