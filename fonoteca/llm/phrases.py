@@ -6,7 +6,7 @@ phrases of common pairs; each pass drops what is too rare in all shards together
 spells phrases out, has little left. A suffix array, made by prefix doubling, puts equal phrases of a shard
 side by side, and the intervals of its common prefixes are their counts.
 
-The passes before the last count by hashes of 64 bits: two words of one hash are counted together, so that a
+The passes before the last count by hashes of 40 bits: two words of one hash are counted together, so that a
 word may be kept that is too rare, and none is lost. What is returned comes from counts by the phrases.
 Keys and their counts go from shards to merging tasks in packed runs, one a shard and range of hashes, so a
 key has a row a shard at most, whatever its count; ranges are as many as keep a merging task small.
@@ -34,6 +34,10 @@ LONGEST = 5
 SHARD_BYTES = 16 << 20
 #: Keys that a merging task gets, about, and the most ranges of keys.
 MERGED, RANGES = 1 << 20, 1 << 20
+#: Bits of the keys by which a pass counts. What shares a key with something common is kept for nothing.
+KEY_BITS = 40
+#: Totals of at most so many languages are broadcast.
+LANGUAGES = 10_000
 #: Text that ends a piece, and text that ends a word. Fixed values.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 WORD_ENDS = b" \t"
@@ -137,6 +141,21 @@ def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
     return [np.ascontiguousarray(planes[b:e].T).reshape(-1).view(k) for b, e, k in zip(ends, ends[1:], kinds)]
 
 
+def texts_packed(texts: list[bytes]) -> bytes:
+    """Texts without line ends, compressed."""
+    data = b"\n".join(texts)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def texts_of(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], n, "zstd", asbytes=True).split(b"\n") if n else []
+
+
+def shortened(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - KEY_BITS)
+
+
 def key_run(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Keys in order, as their differences, and their counts."""
     order = np.argsort(keys)
@@ -160,10 +179,10 @@ def _cut(text: bytes, most: int) -> Iterator[bytes]:
     yield text[begin:]
 
 
-_SHARD = "shard long, lang string, n_words long, words array<binary>, tokens binary, n_keys long, keys binary"
+_SHARD = "shard long, lang string, n_words long, words binary, tokens binary, n_keys long, keys binary"
 
 
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.field("element", pa.int64())), "array<binary>": pa.list_(pa.field("element", pa.binary()))}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 
 
 def _arrow(fields: str) -> pa.Schema:
@@ -171,15 +190,7 @@ def _arrow(fields: str) -> pa.Schema:
 
 
 def _row(values: tuple, schema: pa.Schema) -> pa.RecordBatch:
-    """One row; a numpy or Arrow array is the row's list."""
-
-    def column(v, kind: pa.DataType) -> pa.Array:
-        if not pa.types.is_list(kind):
-            return pa.array([v], kind)
-        items = v if isinstance(v, pa.Array) else pa.array(v, kind.value_type)
-        return pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items, type=kind)
-
-    return pa.RecordBatch.from_arrays([column(v, f.type) for v, f in zip(values, schema)], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
 
 def shards(docs: DataFrame) -> DataFrame:
@@ -203,8 +214,9 @@ def shards(docs: DataFrame) -> DataFrame:
                 place = np.empty(len(order), np.int32)
                 place[order] = np.arange(len(order))
                 distinct = words.dictionary.take(pa.array(order))
-                keys = hashed(distinct.to_pylist(), lang)
-                yield _row((at, lang, len(ids), distinct, packed(laid_out(place[ids], pieces)), len(keys), key_run(keys, counts[order])), schema)
+                distinct = distinct.to_pylist()
+                keys = shortened(hashed(distinct, lang))
+                yield _row((at, lang, len(ids), texts_packed(distinct), packed(laid_out(place[ids], pieces)), len(keys), key_run(keys, counts[order])), schema)
                 at += 1
             held.clear()
 
@@ -233,7 +245,7 @@ def _ranged(bits: int):
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 keys, counts = keys_of(data.as_py())
-                part = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
+                part = (keys >> np.uint64(KEY_BITS - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
                 ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(keys))
                 rows = [(part[b], key_run(keys[b:e], counts[b:e])) for b, e in zip([0, *ends], ends) if e > b]
                 if rows:
@@ -273,7 +285,7 @@ def _kept(runs: list[bytes] | None) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *(keys_of(r)[0] for r in runs or [])])
 
 
-_LESS = "shard long, lang string, words array<binary>, f binary, tokens binary, n_keys long, keys binary"
+_LESS = "shard long, lang string, n_words long, words binary, f binary, tokens binary, n_keys long, keys binary"
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,18 +295,18 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             shard, lang, words, tokens, runs = (batch.column(c)[i] for c in range(5))
-            lang = lang.as_py()
-            keys = hashed(words.as_py(), lang)
+            lang, words = lang.as_py(), texts_of(words.as_py())
+            keys = hashed(words, lang)
             (tokens,) = unpacked(tokens.as_py(), np.int32)
-            stay = np.flatnonzero(np.isin(keys, _kept(runs.as_py())))
+            stay = np.flatnonzero(np.isin(shortened(keys), _kept(runs.as_py())))
             new = np.zeros(len(keys) + 1, np.int32)
             new[stay + 1] = np.arange(1, len(stay) + 1)
             tokens = new[tokens]
             f = np.bincount(tokens, minlength=len(stay) + 1)[1:]
             tokens = _runs(tokens)
             where, n = intervals(*suffixes(tokens, 2), 2)
-            pairs = hash_of(keys[stay], tokens, where, 2)
-            yield _row((shard.as_py(), lang, words.values.take(pa.array(stay)), packed(f), packed(tokens), len(pairs), key_run(pairs, n)), schema)
+            pairs = shortened(hash_of(keys[stay], tokens, where, 2))
+            yield _row((shard.as_py(), lang, len(stay), texts_packed([words[x] for x in stay]), packed(f), packed(tokens), len(pairs), key_run(pairs, n)), schema)
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,15 +316,15 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             shard, lang, words, f, tokens, runs = (batch.column(c)[i] for c in range(6))
-            hashes = hashed(words.as_py(), lang.as_py())
+            hashes = hashed(texts_of(words.as_py()), lang.as_py())
             (tokens,) = unpacked(tokens.as_py(), np.int32)
             places = np.flatnonzero((tokens[:-1] != 0) & (tokens[1:] != 0))
-            rare = places[~np.isin(hash_of(hashes, tokens, places, 2), _kept(runs.as_py()))]
+            rare = places[~np.isin(shortened(hash_of(hashes, tokens, places, 2)), _kept(runs.as_py()))]
             tokens = _runs(np.insert(tokens, rare + 1, 0))
             array = suffixes(tokens, LONGEST)
-            found = [(hash_of(hashes, tokens, where, n), c) for n in range(3, LONGEST + 1) for where, c in [intervals(*array, n)]]
+            found = [(shortened(hash_of(hashes, tokens, where, n)), c) for n in range(3, LONGEST + 1) for where, c in [intervals(*array, n)]]
             keys, counts = (np.concatenate(c) for c in zip(*found))
-            yield _row((shard.as_py(), lang.as_py(), words.values, f.as_py(), packed(tokens), len(keys), key_run(keys, counts)), schema)
+            yield _row((shard.as_py(), lang.as_py(), len(hashes), words.as_py(), f.as_py(), packed(tokens), len(keys), key_run(keys, counts)), schema)
 
 
 def _runs(tokens: np.ndarray) -> np.ndarray:
@@ -322,7 +334,7 @@ def _runs(tokens: np.ndarray) -> np.ndarray:
     return tokens[stays | (~word & np.insert(stays[:-1], 0, False)[: len(word)])]
 
 
-_SPELLED = "part int, lang string, phrases array<binary>, sizes array<long>, counts array<long>"
+_SPELLED = "part int, lang string, phrases binary, counts binary"
 
 
 def _spelled(parts: int):
@@ -334,27 +346,27 @@ def _spelled(parts: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 lang, words, f, tokens, runs = (batch.column(c)[i] for c in range(5))
-                words, left = words.as_py(), _kept(runs.as_py())
+                words, left = texts_of(words.as_py()), _kept(runs.as_py())
                 hashes = hashed(words, lang.as_py())
                 (f,), (tokens,) = unpacked(f.as_py(), np.int64), unpacked(tokens.as_py(), np.int32)
-                phrases, sizes, counts, keys = list(words), [np.ones(len(words), np.int64)], [f], [hashes]
+                phrases, counts, keys = list(words), [f], [hashes]
                 array = suffixes(tokens, LONGEST)
                 for n in range(2, LONGEST + 1):
                     where, c = intervals(*array, n)
                     key = hash_of(hashes, tokens, where, n)
                     if n > 2:
-                        stay = np.isin(key, left)
+                        stay = np.isin(shortened(key), left)
                         where, c, key = where[stay], c[stay], key[stay]
                     phrases += [b" ".join([words[x] for x in row]) for row in (tokens[where[:, None] + np.arange(n)] - 1).tolist()]
-                    sizes, counts, keys = [*sizes, np.full(len(where), n)], [*counts, c], [*keys, key]
+                    counts, keys = [*counts, c], [*keys, key]
                 part = (np.concatenate(keys) % np.uint64(parts)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
                 ends = np.append(np.flatnonzero(np.diff(part[order])) + 1, len(order))
-                phrases, sizes, counts = pa.array(phrases, pa.binary()), np.concatenate(sizes), np.concatenate(counts)
+                counts = np.concatenate(counts)
                 for b, e in zip([0, *ends], ends):
                     if e > b:
                         at = order[b:e]
-                        yield _row((int(part[at[0]]), lang.as_py(), phrases.take(pa.array(at)), sizes[at], counts[at]), schema)
+                        yield _row((int(part[at[0]]), lang.as_py(), texts_packed([phrases[x] for x in at]), packed(counts[at])), schema)
 
     return run
 
@@ -365,9 +377,11 @@ _FOUND = "lang string, phrase string, size int, f long"
 def _summed(least: int):
     def run(table: pa.Table) -> pa.Table:
         """The phrases of a part that are common, by their words."""
-        table = table.combine_chunks()
-        phrases = table["phrases"].combine_chunks()
-        rows = pa.table({"lang": table["lang"].take(pc.list_parent_indices(phrases)), "phrase": phrases.flatten(), "size": table["sizes"].combine_chunks().flatten(), "f": table["counts"].combine_chunks().flatten()})
+        lists = [texts_of(x) for x in table["phrases"].to_pylist()]
+        langs = [lang for lang, texts in zip(table["lang"].to_pylist(), lists) for _ in texts]
+        phrases = pa.array([t for texts in lists for t in texts], pa.binary()).cast(pa.string())
+        f = np.concatenate([unpacked(x, np.int64)[0] for x in table["counts"].to_pylist()])
+        rows = pa.table({"lang": langs, "phrase": phrases, "size": pc.add(pc.count_substring(phrases, " "), 1), "f": f})
         sums = rows.group_by(["lang", "phrase", "size"]).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "size", "f"])
         return sums.filter(pc.greater_equal(sums["f"], least)).cast(_arrow(_FOUND))
 
@@ -379,10 +393,10 @@ def counts(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
     whole = materialise(shards(docs))
     pairs = materialise(whole.select("shard", "lang", "words", "tokens").join(_left(whole, least), "shard").select("shard", "lang", "words", "tokens", "runs").mapInArrow(_common, _LESS))
     longer = materialise(pairs.drop("n_keys", "keys").join(_left(pairs, least), "shard", "left").select("shard", "lang", "words", "f", "tokens", "runs").mapInArrow(_paired, _LESS))
-    n = pairs.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    n = pairs.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     last = longer.drop("n_keys", "keys").join(_left(longer, least), "shard", "left").select("lang", "words", "f", "tokens", "runs")
     found = last.mapInArrow(_spelled(1 << _bits(n)), _SPELLED).groupBy("part").applyInArrow(_summed(least), _FOUND)
-    return materialise(found), whole.groupBy("lang").agg(F.sum("n_words").alias("n"))
+    return materialise(found), materialise(whole.groupBy("lang").agg(F.sum("n_words").alias("n")))
 
 
 def scored(found: DataFrame, totals: DataFrame) -> DataFrame:
@@ -391,6 +405,8 @@ def scored(found: DataFrame, totals: DataFrame) -> DataFrame:
     cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
     cuts = cuts.withColumns({"left": F.expr("substring_index(phrase, ' ', k)"), "right": F.expr("substring_index(phrase, ' ', k - size)")})
     part = lambda name, f: found.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
+    # Few languages, which is looked at, are sent to the tasks: dealt out by language, a common one's phrases would meet in one.
+    totals = F.broadcast(totals) if totals.count() <= LANGUAGES else totals
     met = cuts.join(part("left", "l"), ["lang", "left"]).join(part("right", "r"), ["lang", "right"]).join(totals, "lang")
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     met = met.withColumn("above", F.lit(1000).cast("decimal(4,0)") * (wide("a") * wide("n"))).withColumn("below", wide("l") * wide("r"))
