@@ -481,6 +481,21 @@ register(
 )
 
 # Plans and exports.
+#: 'stem (number).flac'.
+_HAS_NUMBER = "'^(.*) \\(([2-9]|[1-9][0-9]{1,17})\\)\\.flac$'"
+
+
+def numbered_sql(plan: str, existing: str) -> str:
+    """CTEs that end in `free` (path, target): plan's targets of .flac files, numbered where rows share them or existing has them."""
+    return (
+        f"p AS ({plan}), there AS (SELECT DISTINCT name FROM ({existing} UNION ALL SELECT path FROM p WHERE path = target)), "
+        "queue AS (SELECT path, target, row_number() OVER (PARTITION BY target ORDER BY path) - CASE WHEN target IN (SELECT name FROM there) THEN 0 ELSE 1 END AS k FROM p WHERE path <> target), "
+        f"used AS (SELECT regexp_extract(name, {_HAS_NUMBER}, 1) || '.flac' AS target, list(DISTINCT cast(regexp_extract(name, {_HAS_NUMBER}, 2) AS BIGINT)) AS numbers FROM (SELECT name FROM there UNION ALL SELECT target FROM p) WHERE regexp_matches(name, {_HAS_NUMBER}) GROUP BY 1), "
+        "free AS (SELECT path, CASE WHEN k = 0 THEN q.target ELSE regexp_replace(q.target, '\\.flac$', ' (' || cast(list_filter(range(2, k + 3 + len(coalesce(numbers, []))), lambda i: NOT list_contains(coalesce(numbers, []), i))[k] AS VARCHAR) || ').flac') END AS target "
+        "FROM queue q LEFT JOIN used u ON q.target = u.target UNION ALL SELECT path, target FROM p WHERE path = target)"
+    )
+
+
 _LOSSY = "transcode_suspected = 1 AND (transcode_notes LIKE 'vamp:lossy:%' OR transcode_confidence >= 0.9) AND status NOT IN ('quarantined', 'broken')"
 _BASE = "regexp_extract(path, '[^/]*$', 0)"
 of_files("quarantine_plan", paths.quarantine_plan, f"SELECT path, concat('/quarantine/', {_BASE}) AS target FROM files WHERE {_LOSSY}")
@@ -494,18 +509,20 @@ _RENAME = (
 of_files(
     "rename_plan",
     paths.rename_plan,
-    "SELECT path, CASE WHEN n > 1 THEN regexp_replace(target, '\\.flac$', concat(' (', cast(n AS VARCHAR), ').flac')) ELSE target END AS target FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY path) AS n FROM "
-    f"(SELECT path, concat(regexp_replace(path, '/[^/]*$', ''), '/', {_RENAME}) AS target FROM files WHERE trim(coalesce(artist, '')) <> '' AND {_TITLE} <> ''))",
+    ", " + numbered_sql(f"SELECT path, concat(regexp_replace(path, '/[^/]*$', ''), '/', {_RENAME}) AS target FROM files WHERE trim(coalesce(artist, '')) <> '' AND {_TITLE} <> ''", "SELECT path AS name FROM files") + " SELECT * FROM free",
 )
 _YEAR4 = "CASE WHEN try_cast(regexp_extract(coalesce(year, ''), '\\b(\\d{4})\\b', 1) AS INT) BETWEEN 1900 AND 2100 THEN regexp_extract(year, '\\b(\\d{4})\\b', 1) ELSE '' END"
 of_files(
     "move_plan",
     lambda f: paths.move_plan(f, groups.album_type(f.where("album IS NOT NULL"), "album"), "album", "/organised"),
     ", types AS (" + ORACLES["album_type_tagged"].removeprefix(FILES_CTE) + "), p AS (SELECT path, status, coalesce(album_type, 'solo') = 'mix' AS mix, coalesce(nullif(trim(artist), ''), 'Unknown Artist') AS who, coalesce(nullif(trim(f.album), ''), 'Unknown Album') AS album, coalesce(nullif(trim(title), ''), cast(file_id AS VARCHAR)) AS title, "
-    f"coalesce(nullif(trim(albumartist), ''), nullif(trim(artist), ''), 'Unknown Artist') AS owner, {_YEAR4} AS year, lpad(split_part(track_number, '/', 1), 2, '0') AS track, coalesce(catalog_number, '') AS number FROM files f LEFT JOIN types t ON f.album = t.album), "
-    "t AS (SELECT path, CASE WHEN status = 'broken' THEN '/organised/Broken/' || regexp_extract(path, '[^/]*$', 0) ELSE '/organised/' || concat_ws(' - ', nullif(number, ''), nullif(year, ''), CASE WHEN mix THEN album ELSE owner END) || CASE WHEN mix THEN '/mix/' ELSE '/album/' END || "
-    "CASE WHEN mix THEN concat_ws(' - ', track, who, title) ELSE concat_ws(' - ', track, title) END || '.flac' END AS target FROM p), "
-    "n AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY path) AS i FROM t), o AS (SELECT path, CASE WHEN i > 1 THEN regexp_replace(target, '\\.flac$', ' (' || cast(i AS VARCHAR) || ').flac') ELSE target END AS target FROM n) SELECT * FROM o WHERE path <> target",
+    f"coalesce(nullif(trim(albumartist), ''), nullif(trim(artist), ''), 'Unknown Artist') AS owner, {_YEAR4} AS year, lpad(split_part(track_number, '/', 1), 2, '0') AS track, coalesce(catalog_number, '') AS number FROM files f LEFT JOIN types t ON f.album = t.album), ".replace("p AS (", "facts AS (")
+    + numbered_sql(
+        "SELECT path, CASE WHEN status = 'broken' THEN '/organised/Broken/' || regexp_extract(path, '[^/]*$', 0) ELSE '/organised/' || concat_ws(' - ', nullif(number, ''), nullif(year, ''), CASE WHEN mix THEN album ELSE owner END) || CASE WHEN mix THEN '/mix/' ELSE '/album/' END || "
+    "CASE WHEN mix THEN concat_ws(' - ', track, who, title) ELSE concat_ws(' - ', track, title) END || '.flac' END AS target FROM facts",
+        "SELECT path AS name FROM files",
+    )
+    + " SELECT * FROM free WHERE path <> target",
 )
 of_files("tag_plan", lambda f: paths.tag_plan(f, f.select("path", F.lit("Found").alias("label")), "path", ["label"]), "SELECT path, 'label' AS field, 'Found' AS value FROM files WHERE label IS NULL OR trim(label) = ''")
 of_files(

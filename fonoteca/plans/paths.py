@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fonoteca.functions.text import basename, blank_to_null, normalise_track, normalise_year, parent, safe_part, split_version, stem, strip, suffix
-from fonoteca.operators.groups import numbered
+from fonoteca.operators.naming import numbered
 from fonoteca.operators.predicates import confirmed_lossy, not_broken, unchecked_lossless
 
 
@@ -35,9 +35,9 @@ def pretty_name(star: str = "✰", ripped_by: str = "") -> Column:
 
 
 def rename_plan(files: DataFrame, ripped_by: str = "") -> DataFrame:
-    """path, target in the same folder; targets that collide are numbered."""
+    """path, target in the same folder; targets that collide, or that files have, are numbered."""
     named = files.withColumn("name", pretty_name(ripped_by=ripped_by)).where("name IS NOT NULL")
-    return numbered(named.select("path", F.concat(parent("path"), F.lit("/"), F.col("name")).alias("target")), "target", "path")
+    return numbered(named.select("path", F.concat(parent("path"), F.lit("/"), F.col("name")).alias("target")), "target", "path", files.select("path"))
 
 
 def destination(root: str, self_released: Column | None = None, single: Column | None = None) -> Column:
@@ -58,9 +58,9 @@ def destination(root: str, self_released: Column | None = None, single: Column |
 
 
 def move_plan(files: DataFrame, types: DataFrame, key: str, root: str) -> DataFrame:
-    """path, target of the files that are not there yet; types has (key, album_type)."""
+    """path, target of the files that are not there yet, no two alike and none the path of a file; types has (key, album_type)."""
     plan = files.join(types, key, "left").withColumn("album_type", F.coalesce("album_type", F.lit("solo"))).select("path", destination(root).alias("target"))
-    return numbered(plan, "target", "path").where("path <> target")
+    return numbered(plan, "target", "path", files.select("path")).where("path <> target")
 
 
 def quarantine_plan(files: DataFrame, root: str = "/quarantine") -> DataFrame:
