@@ -285,10 +285,13 @@ of_files(
     "SELECT CASE WHEN organised_path <> '' THEN organised_path ELSE path END AS path, title FROM files",
 )
 of_files("delete_by_key", lambda f: merge.delete(f.select("path", "title"), f.where("status = 'broken'"), "path"), "SELECT path, title FROM files WHERE status IS NULL OR status <> 'broken'")
-of_files(
+register(
     "change_detect",
-    lambda f: merge.changes(f.where("file_id % 10 <> 3").select("path", "size_bytes"), f.select("path", (F.col("size_bytes") + (F.col("file_id") % 8 == 0).cast("int")).alias("size_bytes"))),
-    "SELECT path, CASE WHEN file_id % 10 = 3 THEN 'new' WHEN file_id % 8 = 0 THEN 'refreshed' ELSE 'unchanged' END AS change FROM files",
+    lambda spark, d: merge.changes(
+        adapters.files(spark, d).join(table(spark, d, "labels"), F.col("file_id") == F.col("doc_id"), "left_semi").select("path", "size_bytes"),
+        adapters.files(spark, d).select("path", (F.col("size_bytes") + (F.col("file_id") % 8 == 0).cast("int")).alias("size_bytes")),
+    ),
+    FILES_CTE + "SELECT path, CASE WHEN file_id NOT IN (SELECT doc_id FROM labels) THEN 'new' WHEN file_id % 8 = 0 THEN 'refreshed' ELSE 'unchanged' END AS change FROM files",
 )
 of_files("due_for_organising", lambda f: merge.due(f).select("path"), "SELECT path FROM files WHERE NOT (coalesce(organised_at, '') <> '' AND coalesce(last_seen, '') <> '' AND organised_at >= last_seen)")
 register(
@@ -383,7 +386,7 @@ register(
     "SELECT folder, arg_min(trim(label), provider_ord) AS label FROM t WHERE top >= 80 AND (second IS NULL OR top - second >= 1) AND trim(label) <> '' GROUP BY folder",
 )
 _ASKED = "SELECT file_id AS id, 1 AS ord, artist, label AS album FROM files UNION ALL SELECT file_id, 2, artist, album FROM files UNION ALL SELECT file_id, 3, albumartist, album FROM files"
-_HAD = "SELECT artist, album, count(*) AS n FROM files WHERE file_id % 3 = 0 GROUP BY artist, album"
+_HAD = "SELECT albumartist AS artist, album, count(*) AS n FROM files GROUP BY albumartist, album"
 of_files(
     "first_hits",
     lambda f: match.first_hits(*(f.sparkSession.sql(q.replace("files", "{f}"), f=f) for q in (_ASKED, _HAD))).select("id", "ord", "artist", "album", "n"),
@@ -418,7 +421,7 @@ _LINE = "CASE event_id % 4 WHEN 0 THEN concat('f', cast(event_id AS STRING), ',0
 register(
     "verdict_lines",
     lambda spark, d: table(spark, d, "events").select("event_id", signals.verdict_line(F.expr(_LINE)).alias("v")).select("event_id", "v.verdict", "v.confidence"),
-    "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'lossy' WHEN 1 THEN 'original' WHEN 3 THEN 'unknown' END AS verdict, CASE WHEN event_id % 4 IN (0, 1) THEN 0.75::DOUBLE END AS confidence FROM events",
+    "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'lossy' WHEN 1 THEN 'original' WHEN 2 THEN 'unknown' ELSE '' END AS verdict, CASE WHEN event_id % 4 IN (0, 1) THEN 0.75 ELSE 0 END::DOUBLE AS confidence FROM events",
 )
 
 # Scalars.

@@ -267,17 +267,28 @@ def ripper(text: Text, boost: float = 0.0) -> Column:
     return out
 
 
-#: Cutoffs in Hz below which a file looks like one of a lossy source, and how sure that is. Fixed values.
-CUTOFFS = ((14000, 0.95), (16500, 0.90), (18500, 0.75), (19800, 0.55))
+#: Cutoffs in Hz below which a file looks like one of a lossy source, how sure that is, and what is noted. Fixed values.
+CUTOFFS = (
+    (14000, 0.95, "hard cutoff at %.0f Hz — likely MP3 ≤96 kbps source"),
+    (16500, 0.90, "hard cutoff at %.0f Hz — likely MP3 128 kbps source"),
+    (18500, 0.75, "cutoff at %.0f Hz — likely MP3 160-192 kbps source"),
+    (19800, 0.55, "cutoff at %.0f Hz — possible MP3 224-256 kbps or AAC source"),
+)
 
 
 def cutoff_verdict(cutoff_hz: Text, sample_rate: Text, mean_db: Text | None = None) -> Column:
-    """struct<suspected, confidence> of a spectral cutoff; silence (below -90 dB) is never suspected."""
+    """struct<suspected, confidence, notes> of a spectral cutoff; silence (below -90 dB) is never suspected."""
     c, nyquist = col(cutoff_hz), col(sample_rate) / 2
-    verdict = lambda suspected, sure: F.struct(F.lit(suspected).alias("suspected"), F.lit(sure).alias("confidence"))
-    out = F.when(nyquist <= 21000, verdict(False, 0.0)).when(c < 20500, verdict(True, 0.3)).otherwise(verdict(False, 0.05))
-    for most, sure in reversed(CUTOFFS):
-        out = F.when(c < most, verdict(True, sure)).otherwise(out)
+    shown = F.bround(c.cast("double"), 0)
+    verdict = lambda suspected, sure, note: F.struct(F.lit(suspected).alias("suspected"), F.lit(sure).alias("confidence"), (note if isinstance(note, Column) else F.format_string(note, shown)).alias("notes"))
+    rate = F.concat(F.format_string("cutoff at %.0f Hz (sample rate ", shown), col(sample_rate).cast("int").cast("string"), F.lit(" Hz)"))
+    out = (
+        F.when(nyquist <= 21000, verdict(False, 0.0, rate))
+        .when(c < 20500, verdict(True, 0.3, "borderline cutoff at %.0f Hz — possible 320 kbps source or band-limited master"))
+        .otherwise(verdict(False, 0.05, "cutoff at %.0f Hz — consistent with lossless"))
+    )
+    for most, sure, note in reversed(CUTOFFS):
+        out = F.when(c < most, verdict(True, sure, note)).otherwise(out)
     if mean_db is not None:
-        out = F.when(col(mean_db) < -90, verdict(False, 0.0)).otherwise(out)
+        out = F.when(col(mean_db) < -90, verdict(False, 0.0, F.lit("window too quiet for reliable analysis"))).otherwise(out)
     return out

@@ -179,3 +179,15 @@ def size_text(size: Text) -> Column:
     steps = [(1024.0**k, name) for k, name in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"))]
     sized = reduce(lambda acc, x: acc.when(c >= x[0], F.concat(F.format_string("%.1f", F.bround(c / x[0], 1)), F.lit(f" {x[1]}"))), steps[1:], F.when(c >= steps[0][0], F.concat(F.format_string("%.1f", F.bround(c / steps[0][0], 1)), F.lit(" TB"))))
     return sized.otherwise(F.concat(c.cast("long").cast("string"), F.lit(" B")))
+
+
+def field_importance(field: Text) -> Column:
+    """How early a field is told of; what follows a '=' does not count."""
+    known = F.create_map(*(F.lit(x) for pair in schema.FIELD_IMPORTANCE.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.substring_index(col(field), "=", 1)), F.lit(schema.UNLISTED))
+
+
+def by_importance(fields: Column) -> Column:
+    """An array of fields, those that matter most first, equal ones in order of their names."""
+    keyed = F.transform(fields, lambda f: F.struct(field_importance(f).alias("n"), f.alias("f")))
+    return F.transform(F.array_sort(keyed), lambda x: x["f"])

@@ -5,7 +5,7 @@ Spark keeps no primary key, so each of these is a join by key that yields the ne
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SET_ONCE = ("original_path", "original_filename")
@@ -89,3 +89,12 @@ def due(files: DataFrame) -> DataFrame:
 def compacted(df: DataFrame, path: str, n_files: int) -> None:
     """Rewrites a table in n_files files."""
     df.repartition(n_files).write.mode("overwrite").parquet(path)
+
+
+def analysed(spark: SparkSession, table: str, *columns: str) -> None:
+    """Statistics of a catalogue's table, its row count and its columns' histograms, and plans that use them."""
+    spark.conf.set("spark.sql.statistics.histogram.enabled", "true")
+    for name in ("spark.sql.cbo.enabled", "spark.sql.cbo.joinReorder.enabled", "spark.sql.cbo.planStats.enabled"):
+        spark.conf.set(name, "true")
+    what = "FOR COLUMNS " + ", ".join(f"`{c}`" for c in columns) if columns else "FOR ALL COLUMNS"
+    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS {what}")

@@ -15,17 +15,23 @@ def low_byte_share(samples: DataFrame, key: str, sample: str, least: float = 0.9
     return samples.groupBy(key).agg(share.alias("share")).withColumn("verdict", verdict)
 
 
-def verdict_line(line: Text) -> Column:
-    """struct<verdict, confidence> of a line 'path,start,duration,value,label'; null for any other line.
+def verdict_line(text: Text) -> Column:
+    """struct<verdict, confidence> of the first line 'path,start,duration,value,label' whose value is a number.
 
-    The value of an original is 0 for sure, so its confidence is what is left to 1.
+    A lossy label has its value, an original or lossless one what is left to 1, as its value is 0 for sure. Any
+    other label has verdict '' and confidence 0; where no line is of the form, the verdict is 'unknown'.
     """
-    parts = F.split(F.trim(col(line)), ",")
-    value, label = F.try_element_at(parts, F.lit(-2)).try_cast("double"), F.lower(F.trim(F.try_element_at(parts, F.lit(-1))))
-    lossy, original = label.contains("lossy"), label.contains("original") | label.contains("lossless")
-    verdict = F.when(lossy, "lossy").when(original, "original").otherwise("unknown")
-    confidence = F.when(lossy, value).when(original, 1 - value)
-    return F.when((F.size(parts) >= 5) & value.isNotNull(), F.struct(verdict.alias("verdict"), confidence.alias("confidence")))
+    lines = F.transform(F.split(F.coalesce(col(text), F.lit("")), r"\r\n|[\n\r\x0B\f]"), lambda x: F.split(F.trim(x), ","))
+    value_of = lambda p: F.try_element_at(p, F.lit(-2)).try_cast("double")
+    parts = F.try_element_at(F.filter(lines, lambda p: (F.size(p) >= 5) & value_of(p).isNotNull()), F.lit(1))
+    value, label = value_of(parts), F.lower(F.trim(F.try_element_at(parts, F.lit(-1))))
+    said = lambda verdict, sure: F.struct(F.lit(verdict).alias("verdict"), sure.alias("confidence"))
+    return (
+        F.when(parts.isNull(), said("unknown", F.lit(0.0)))
+        .when(label.contains("lossy"), said("lossy", value))
+        .when(label.contains("original") | label.contains("lossless"), said("original", 1 - value))
+        .otherwise(said("", F.lit(0.0)))
+    )
 
 
 def smoothed(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.3) -> DataFrame:

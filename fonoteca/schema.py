@@ -16,7 +16,7 @@ UNSAFE_QUERIES = (*UNKNOWN_TAGS, "[unknown]", "[unknown artist]", "[unknown albu
 SELF_RELEASE_LABELS = ("", "unknown label", "no label", "[no label]", "(no label)", "not on label", "self-released", "self released", "self release", "selfreleased", "independent", "unsigned", "n/a", "none", "(none)", "diy")
 SELF_RELEASE_MARKERS = ("self-released", "selfreleased", "independent", "unsigned")
 VARIOUS_ARTISTS = ("various artists", "various", "va", "v.a.", "v/a")
-MIX_KEYWORDS = ("mixed by", "dj mix", "continuous mix", "essential mix", "presents", "megamix", "compilation")
+MIX_KEYWORDS = ("mix", "compilation", "presents", "selected by", " dj ", "mixed by", "essential mix", "podcast")
 LOSSLESS = ("flac", "alac", "ape", "wv", "wave", "aiff", "trueaudio", "dsf", "dff")
 LOSSY = ("mp3", "m4a", "opus", "vorbis", "musepack", "asf")
 REQUIRED_TAGS = ("artist", "album", "title")
@@ -49,3 +49,18 @@ TYPES: dict[str, T.DataType] = {
 def conformed(df: DataFrame, known: tuple[str, ...] | None = None) -> DataFrame:
     """df with the catalogue's types; columns outside `known` (all, if not given) are left out."""
     return df.select(*(F.col(c).cast(TYPES.get(c, T.StringType())).alias(c) for c in df.columns if known is None or c in known))
+
+# How much a field matters to who reads of it; the least number comes first.
+FIELD_IMPORTANCE = {
+    "albumart": 0, "cover": 0, "cover_art": 0,
+    "album": 1, "title": 2, "artist": 3, "albumartist": 4, "track_number": 5, "disc_number": 6, "year": 7, "genre": 8,
+    "label": 10, "catalog_number": 11, "country": 12, "release_type": 13, "release_status": 14, "media_format": 15, "originaldate": 16, "originalyear": 17, "barcode": 18,
+    "composer": 20, "producer": 21, "remixer": 22, "djmixer": 23, "arranger": 24, "conductor": 25, "engineer": 26, "mixer": 27, "lyricist": 28, "writer": 29,
+    "bpm": 30, "musical_key": 31, "isrc": 32, "asin": 33, "language": 34, "script": 35, "packaging": 36,
+    "mb_genres": 40, "tags": 41, "annotation": 42, "aliases": 43, "url_relations": 44, "website": 45, "copyright": 46, "license": 47,
+    "mb_release_id": 60, "musicbrainz_albumid": 61, "musicbrainz_releasegroupid": 62, "musicbrainz_albumartistid": 63, "musicbrainz_artistid": 64, "musicbrainz_recordingid": 65,
+    "musicbrainz_labelid": 66, "musicbrainz_workid": 67, "musicbrainz_composerid": 68, "musicbrainz_originalalbumid": 69, "musicbrainz_originalartistid": 70,
+    "discogs_release_id": 71, "discogs_master_id": 72, "acoustid_id": 73, "acoustid_fingerprint": 74,
+}
+#: The place of fields that are not listed.
+UNLISTED = 50

@@ -10,18 +10,83 @@ from fonoteca.operators.groups import AUDIO
 
 #: Names under which containers keep a tag, first hit wins. Fixed values.
 TAG_ALIASES: dict[str, tuple[str, ...]] = {
-    "title": ("title", "TIT2", "©nam"),
-    "artist": ("artist", "TPE1", "©ART"),
-    "albumartist": ("albumartist", "album artist", "TPE2", "aART"),
-    "album": ("album", "TALB", "©alb"),
-    "year": ("year", "date", "TDRC", "TYER", "©day"),
-    "genre": ("genre", "TCON", "©gen"),
-    "track_number": ("tracknumber", "track", "TRCK", "trkn"),
-    "disc_number": ("discnumber", "disc", "TPOS", "disk"),
-    "label": ("label", "organization", "publisher", "TPUB"),
-    "catalog_number": ("catalognumber", "catalog", "labelno", "TXXX:CATALOGNUMBER"),
-    "bpm": ("bpm", "TBPM", "tmpo"),
-    "comment": ("comment", "description", "COMM", "©cmt"),
+    "artist": ("artist", "TPE1", "©ART", "Author"),
+    "albumartist": ("albumartist", "album artist", "TPE2", "aART", "WM/AlbumArtist"),
+    "album": ("album", "TALB", "©alb", "WM/AlbumTitle"),
+    "title": ("title", "TIT2", "©nam", "Title"),
+    "track_number": ("tracknumber", "track", "TRCK", "trkn", "WM/TrackNumber"),
+    "disc_number": ("discnumber", "disc", "TPOS", "disk", "WM/PartOfSet"),
+    "year": ("year", "date", "TDRC", "TYER", "©day", "WM/Year"),
+    "date": ("originaldate", "date", "TDOR", "TDRC"),
+    "genre": ("genre", "TCON", "©gen", "WM/Genre"),
+    "label": ("label", "publisher", "organization", "TPUB", "WM/Publisher", "©pub"),
+    "catalog_number": ("catalognumber", "catalog#", "TXXX:CATALOGNUMBER", "WM/CatalogNo"),
+    "isrc": ("isrc", "TSRC", "TXXX:ISRC"),
+    "barcode": ("barcode", "TXXX:BARCODE"),
+    "composer": ("composer", "TCOM", "©wrt", "WM/Composer"),
+    "lyricist": ("lyricist", "TEXT"),
+    "producer": ("producer", "TXXX:PRODUCER"),
+    "comment": ("comment", "COMM::eng", "COMM", "©cmt", "WM/Comments"),
+    "musicbrainz_trackid": ("musicbrainz_trackid", "TXXX:MusicBrainz Release Track Id"),
+    "musicbrainz_albumid": ("musicbrainz_albumid", "TXXX:MusicBrainz Album Id"),
+    "musicbrainz_artistid": ("musicbrainz_artistid", "TXXX:MusicBrainz Artist Id"),
+    "musicbrainz_albumartistid": ("musicbrainz_albumartistid", "TXXX:MusicBrainz Album Artist Id"),
+    "discogs_release_id": ("discogs_release_id", "TXXX:DISCOGS_RELEASE_ID"),
+    "bpm": ("bpm", "TBPM", "tmpo", "TXXX:BPM", "WM/BeatsPerMinute"),
+    "musical_key": ("initialkey", "initial_key", "TKEY", "TXXX:INITIALKEY", "TXXX:initialkey", "TXXX:KEY"),
+    "mood": ("mood", "TMOO", "TXXX:MOOD"),
+    "compilation": ("compilation", "TCMP", "cpil", "TXXX:COMPILATION"),
+    "replaygain_track_gain": ("replaygain_track_gain", "TXXX:REPLAYGAIN_TRACK_GAIN", "----:com.apple.iTunes:replaygain_track_gain"),
+    "replaygain_track_peak": ("replaygain_track_peak", "TXXX:REPLAYGAIN_TRACK_PEAK"),
+    "replaygain_album_gain": ("replaygain_album_gain", "TXXX:REPLAYGAIN_ALBUM_GAIN"),
+    "replaygain_album_peak": ("replaygain_album_peak", "TXXX:REPLAYGAIN_ALBUM_PEAK"),
+    "encodedby": ("encodedby", "TENC", "©too"),
+    "encodersettings": ("encodersettings", "encoder_settings", "TSSE", "encoder"),
+    "website": ("website", "WOAR", "URL"),
+    "copyright": ("copyright", "TCOP", "cprt"),
+    "license": ("license", "TXXX:LICENSE"),
+    "albumartistsort": ("albumartistsort", "TSO2", "soaa"),
+    "artistsort": ("artistsort", "TSOP", "soar"),
+    "albumsort": ("albumsort", "TSOA", "soal"),
+    "titlesort": ("titlesort", "TSOT", "sonm"),
+    "composersort": ("composersort", "TSOC", "soco"),
+    "artists": ("artists", "TXXX:ARTISTS"),
+    "totaltracks": ("totaltracks", "TXXX:TOTALTRACKS"),
+    "totaldiscs": ("totaldiscs", "TXXX:TOTALDISCS"),
+    "discsubtitle": ("discsubtitle", "TSST"),
+    "originaldate": ("originaldate", "TDOR", "TXXX:originaldate"),
+    "originalyear": ("originalyear", "TXXX:originalyear"),
+    "originalalbum": ("originalalbum", "TOAL"),
+    "originalartist": ("originalartist", "TOPE"),
+    "originalfilename": ("originalfilename", "TOFN"),
+    "asin": ("asin", "TXXX:ASIN"),
+    "musicbrainz_recordingid": ("musicbrainz_recordingid", "TXXX:MusicBrainz Track Id", "UFID:http://musicbrainz.org"),
+    "musicbrainz_workid": ("musicbrainz_workid", "TXXX:MusicBrainz Work Id"),
+    "musicbrainz_releasegroupid": ("musicbrainz_releasegroupid", "TXXX:MusicBrainz Release Group Id"),
+    "arranger": ("arranger", "TXXX:ARRANGER", "TIPL"),
+    "conductor": ("conductor", "TPE3"),
+    "director": ("director", "TXXX:DIRECTOR"),
+    "djmixer": ("djmixer", "TXXX:DJMIXER"),
+    "engineer": ("engineer", "TXXX:ENGINEER", "TIPL:engineer"),
+    "mixer": ("mixer", "TXXX:MIXER", "TIPL:mix"),
+    "remixer": ("remixer", "TPE4"),
+    "writer": ("writer", "TXXX:Writer"),
+    "work": ("work", "TXXX:WORK", "©wrk"),
+    "showmovement": ("showmovement", "shwm"),
+    "movement": ("movement", "MVNM", "©mvn"),
+    "movementnumber": ("movementnumber", "MVIN", "©mvi"),
+    "movementtotal": ("movementtotal", "TXXX:MOVEMENTTOTAL"),
+    "subtitle": ("subtitle", "TIT3"),
+    "lyrics": ("lyrics", "USLT", "©lyr"),
+    "syncedlyrics": ("syncedlyrics", "SYLT"),
+    "release_type": ("releasetype", "TXXX:MusicBrainz Album Type"),
+    "release_status": ("releasestatus", "TXXX:MusicBrainz Album Status"),
+    "country": ("releasecountry", "TXXX:RELEASECOUNTRY"),
+    "language": ("language", "TLAN"),
+    "script": ("script", "TXXX:SCRIPT"),
+    "media_format": ("media", "TMED"),
+    "acoustid_id": ("acoustid_id", "TXXX:Acoustid Id"),
+    "acoustid_fingerprint": ("acoustid_fingerprint", "TXXX:Acoustid Fingerprint"),
 }
 HEAD = 65536
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import StructType
 
 from fonoteca.operators.merge import latest, upsert
@@ -59,3 +61,64 @@ def previous(spark: SparkSession, table: str, n: int) -> DataFrame | None:
 
 def current(spark: SparkSession, table: str) -> DataFrame | None:
     return previous(spark, table, 1 << 62)
+
+
+class Changed(StatefulProcessor):
+    """Keeps the size and the time of each path, and lets through what is new or differs from them."""
+
+    def __init__(self, drift: float, keep_ms: int | None):
+        self.drift, self.keep_ms = drift, keep_ms
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "size_bytes long, mtime double", self.keep_ms)
+
+    def _take(self, size, mtime) -> str:
+        before = self.seen.get() if self.seen.exists() else None
+        if before is not None and before[0] == size and before[1] is not None and mtime is not None and abs(before[1] - mtime) < self.drift:
+            return "unchanged"
+        self.seen.update((size, mtime))
+        return "new" if before is None else "refreshed"
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        for part in rows:
+            for size, mtime in zip(part["size_bytes"], part["mtime"]):
+                kind = self._take(None if pd.isna(size) else int(size), None if pd.isna(mtime) else float(mtime))
+                if kind != "unchanged":
+                    out.append((key[0], size, mtime, kind))
+        if out:
+            yield pd.DataFrame(out, columns=["path", "size_bytes", "mtime", "change"])
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for size, mtime in zip(initialState["size_bytes"], initialState["mtime"]):
+            self._take(None if pd.isna(size) else int(size), None if pd.isna(mtime) else float(mtime))
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """The state store that keyed state of this kind needs, for the streams started within."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def changed_only(stream: DataFrame, catalogue: DataFrame | None = None, drift: float = 1.0, keep_ms: int | None = None) -> DataFrame:
+    """path, size_bytes, mtime, change (new or refreshed): files of the stream that differ from what was seen of them.
+
+    stream and catalogue have path, size_bytes, mtime; the catalogue is what a first run begins with. The state,
+    keyed by path, is in the checkpoint, so a stream that is started again goes on from what it had seen;
+    `keep_ms` lets go of paths that have not changed for so long. A size or a time that is null differs from all.
+    """
+    columns = ["path", "size_bytes", "mtime"]
+    initial = {} if catalogue is None else {"initialState": catalogue.select(*columns).groupBy("path")}
+    return stream.select(*columns).groupBy("path").transformWithStateInPandas(
+        statefulProcessor=Changed(drift, keep_ms),
+        outputStructType="path string, size_bytes long, mtime double, change string",
+        outputMode="Update",
+        timeMode="ProcessingTime" if keep_ms else "None",
+        **initial,
+    )
