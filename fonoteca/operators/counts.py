@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from fonoteca.functions.text import suffix
 from fonoteca.operators.groups import AUDIO
+from fonoteca.sources.lookups import wanted
+from fonoteca.tables import written
 
 #: What a time may differ by, and seconds that an entry is good for. Fixed values.
 DRIFT, GOOD_FOR = 0.1, 7 * 24 * 3600
@@ -30,10 +32,11 @@ def stale(cache: DataFrame, roots: DataFrame, now: float) -> DataFrame:
 def refreshed(cache: DataFrame, roots: DataFrame, listing: DataFrame, now: float) -> DataFrame:
     """root, mtime, cached_at, file_count, folder_count: the new cache, of the roots that there are.
 
-    listing is best partitioned by root: then the scan reads the folders of stale roots alone.
+    listing is best partitioned by root: then the scan reads the folders of stale roots alone, as long as these
+    are few enough to be named to it.
     """
-    again = stale(cache, roots, now)
-    counts = counted(listing.join(again.select("root"), "root", "left_semi"))
+    again = written(stale(cache, roots, now))
+    counts = counted(wanted(listing, "root", again))
     new = again.join(counts, "root", "left").select("root", "mtime", F.lit(float(now)).alias("cached_at"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("file_count", "folder_count")))
     kept = cache.join(roots.select("root"), "root", "left_semi").join(again.select("root"), "root", "left_anti")
     return kept.select(*new.columns).unionByName(new)
