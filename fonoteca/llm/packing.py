@@ -2,8 +2,8 @@
 
 Every source has a queue, in which its documents stand in the order in which they were tokenized, and
 a target share of all tokens: the one given for it, or a part, by size, of what the given shares leave
-to the sources without one. A queue is served units: whole documents, or pieces of QUANTUM tokens of
-longer ones. The next unit comes from the queue whose deficit, what its share of all tokens served so
+to the sources without one. A queue is served units: pieces of QUANTUM tokens, the last of a document
+shorter, so that every window holds each source's share but for a quantum or two. The next unit comes from the queue whose deficit, what its share of all tokens served so
 far exceeds what it was served itself, is largest. A unit is never cut to fit; its queue overdraws,
 and the deficit is carried into the next windows, over partitions alike. A queue that has run dry
 leaves its share to the others; with the natural shares all run dry together.
@@ -11,8 +11,9 @@ leaves its share to the others; with the natural shares all run dry together.
 The turn of a unit needs no simulation. A queue of share w is at its turn once the round-robin has
 come to the tokens before the unit divided by w, so units are dealt out by that time, in buckets of
 about BUCKET tokens whose bounds follow from the shares and sizes of the queues alone. The tokens
-before a bucket are running sums, in two levels; inside it one task puts the units in order and cuts
-them at the ends of the windows, the sequences of SEQUENCE tokens. Only the last of them is short.
+before a bucket are running sums, in two levels. What a document has in a bucket goes there as one row;
+there one task parts it into units, puts all units in order, joins those that follow each other in their
+document, and cuts at the ends of the windows, the sequences of SEQUENCE tokens. Only the last is short.
 Queues start at times that differ by a hash, so that many small ones don't meet in one bucket.
 
 Tokens are written once, as a table in the shared folder: 16-bit ids of each document. Defined
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 
 from fonoteca.llm import common
 
-SEQUENCE, QUANTUM, END = 4096, 2048, 2
+SEQUENCE, QUANTUM, END = 4096, 128, 2
 BUCKET = 1 << 20
 #: Words whose ids a Python worker remembers over its tasks, about.
 REMEMBERED = 700_000
@@ -134,18 +135,24 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, path
     return source.mapInArrow(run, out)
 
 
-def shares(queues: DataFrame, targets: dict[str | None, float] | None, every: int) -> tuple[F.Column, F.Column]:
-    """The round-robin's time after one token of a queue's row (source, queue_tokens), and, by the column time, all tokens served."""
+def shares(queues: DataFrame, targets: dict[str | None, float] | None, every: int) -> tuple[F.Column, Callable[[F.Column], F.Column]]:
+    """The round-robin's time after one token of a queue's row (source, queue_tokens), and, of a time, all tokens served."""
     targets = {"" if name is None else f"={name}": float(share) for name, share in (targets or {}).items()}
     if any(share <= 0 for share in targets.values()) or sum(targets.values()) > 1 + 1e-9:
         raise ValueError("target shares are positive and add up to 1 at most")
     sizes = {r["source"]: r["queue_tokens"] for r in queues.where(F.col("source").isin(list(targets))).collect()} if targets else {}  # a row a target
     left = max(1 - sum(targets.values()), 1e-9)
     others = every - sum(sizes.values())
-    pace, served = F.lit(others / left) / F.col("queue_tokens"), F.least(F.lit(float(others)), F.col("time") * left)
-    for name, size in sizes.items():
+    pace = F.lit(others / left) / F.col("queue_tokens")
+    for name in sizes:
         pace = F.when(F.col("source") == name, F.lit(1 / targets[name])).otherwise(pace)
-        served = served + F.least(F.lit(float(size)), F.col("time") * targets[name])
+
+    def served(time: F.Column) -> F.Column:
+        out = F.least(F.lit(float(others)), time * left)
+        for name, size in sizes.items():
+            out = out + F.least(F.lit(float(size)), time * targets[name])
+        return out
+
     return pace, served
 
 
@@ -175,32 +182,51 @@ def pack(
     pace, served = shares(queues, targets, every)
 
     places = before(sums, ["source"], "task", "m").join(queues.withColumn("pace", pace), "source").select("task", "source", "base", "pace")
-    units = tokens.join(places, ["task", "source"]).withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(QUANTUM).cast("long"))))
-    units = units.withColumn("length", F.least(F.lit(QUANTUM), F.col("n") - F.col("start"))).withColumn("place", F.col("base") + F.col("before") + F.col("start"))
-    phase = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    units = units.withColumn("time", (F.col("place") + phase * F.col("length")) * F.col("pace")).withColumn("bucket", F.floor(served / BUCKET))
-    starts = before(units.groupBy("bucket").agg(F.sum("length").alias("m")).withColumn("all", F.lit(0)), ["all"], "bucket", "m").select("bucket", F.col("base").alias("bucket_base"))
+    rows = tokens.join(places, ["task", "source"]).withColumn("place", F.col("base") + F.col("before"))
+    rows = rows.withColumn("phase", F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / F.lit(float(1 << 20)))
+
+    def bucket_at(start: F.Column) -> F.Column:
+        time = (F.col("place") + start + F.col("phase") * F.least(F.lit(QUANTUM), F.col("n") - start)) * F.col("pace")
+        return F.floor(served(time) / BUCKET)
+
+    # Most documents are in one bucket; of others, the units at which a new one begins are looked for.
+    zero, last = F.lit(0).cast("long"), F.floor((F.col("n") - 1) / QUANTUM) * QUANTUM
+    units = F.sequence(zero, last, F.lit(QUANTUM).cast("long"))
+    heads = F.when(bucket_at(zero) == bucket_at(last), F.array(zero)).otherwise(F.filter(units, lambda s: (s == 0) | (bucket_at(s) != bucket_at(F.greatest(s - QUANTUM, zero)))))
+    parts = rows.withColumn("heads", heads).select("*", F.posexplode("heads").alias("i", "start"))
+    parts = parts.withColumn("length", F.coalesce(F.get("heads", F.col("i") + 1), F.col("n")) - F.col("start")).withColumn("bucket", bucket_at(F.col("start")))
+    starts = before(parts.groupBy("bucket").agg(F.sum("length").alias("m")).withColumn("all", F.lit(0)), ["all"], "bucket", "m").select("bucket", F.col("base").alias("bucket_base"))
     cut = F.expr("substring(ids, cast(2 * start + 1 as int), cast(2 * length as int))")
-    dealt = units.select("bucket", "time", "source", "place", "id", "start", "length", F.col("n").alias("doc_tokens"), cut.alias("ids")).join(starts, "bucket")
+    dealt = parts.select("bucket", "source", "place", "pace", "phase", "id", "start", "length", F.col("n").alias("doc_tokens"), cut.alias("ids")).join(starts, "bucket")
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *T._parse_datatype_string("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string").fields])
     names = out.names
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("time", "ascending"), ("source", "ascending"), ("place", "ascending")])
-        start, length, tokens = (table.column(c).to_numpy() for c in ("start", "length", "doc_tokens"))
-        at = table.column("bucket_base")[0].as_py() + np.cumsum(length) - length
-        # A unit is no longer than a sequence: it lies in one, or is cut into two.
-        first = np.minimum(length, SEQUENCE - at % SEQUENCE)
-        rows = np.concatenate([np.arange(len(at)), np.flatnonzero(first < length)])
-        second = np.arange(len(rows)) >= len(at)
-        skip = np.where(second, first[rows], 0)
-        size = np.where(second, length[rows] - first[rows], first[rows])
+        table = table.sort_by([("source", "ascending"), ("place", "ascending"), ("start", "ascending")])
+        begins, lengths, tokens, place, pace, phase = (table.column(c).to_numpy() for c in ("start", "length", "doc_tokens", "place", "pace", "phase"))
+        # Units of each row; a row begins at a unit's beginning.
+        many = -(-lengths // QUANTUM)
+        row = np.repeat(np.arange(len(many)), many)
+        skip = QUANTUM * (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many))
+        size = np.minimum(QUANTUM, lengths[row] - skip)
+        at = begins[row] + skip
+        time = (place[row] + at + phase[row] * np.minimum(QUANTUM, tokens[row] - at)) * pace[row]
+        order = np.argsort(time, kind="stable")  # of equal times by source and place
+        row, skip, size = row[order], skip[order], size[order]
+        # Units that go on where the one before ends are one run; runs are cut at the ends of windows.
+        fresh = np.append(True, (row[1:] != row[:-1]) | (skip[1:] != skip[:-1] + size[:-1]))
+        first = np.flatnonzero(fresh)
+        run_at = (np.cumsum(size) - size)[first]
+        total, base = int(size.sum()), table.column("bucket_base")[0].as_py()
+        cuts = np.union1d(run_at, np.arange(-base % SEQUENCE, total, SEQUENCE))
+        of = np.searchsorted(run_at, cuts, side="right") - 1
+        of_row, skip = row[first][of], skip[first][of] + cuts - run_at[of]
+        size = np.diff(np.append(cuts, total))
         ids = memoryview(np.frombuffer(b"".join(table.column("ids").to_pylist()), dtype="<u2").astype("<u4").tobytes())
-        begin = 4 * ((np.cumsum(length) - length)[rows] + skip)
+        begin = 4 * ((np.cumsum(lengths) - lengths)[of_row] + skip)
         crc = [zlib.crc32(ids[a : a + 4 * n]) for a, n in zip(begin.tolist(), size.tolist())]
-        place = at[rows] + skip
-        whole = table.take(pa.array(rows))
-        columns = (start[rows] + skip, size, crc, tokens[rows], place // SEQUENCE, place % SEQUENCE)
+        whole = table.select(["id", "source"]).take(pa.array(of_row))
+        columns = (begins[of_row] + skip, size, crc, tokens[of_row], (base + cuts) // SEQUENCE, (base + cuts) % SEQUENCE)
         return pa.Table.from_arrays([whole.column("id"), *(pa.array(c, pa.int64()) for c in columns), whole.column("source")], names=names)
 
     pieces = dealt.groupBy("bucket").applyInArrow(run, out)

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -642,3 +643,24 @@ def test_exchange_finds_the_classes():
                 bigrams[i, j] = 5 + (i * j) % 3
     kinds = class_lm.exchange(bigrams, classes=2)
     assert len(set(kinds[0:n:2])) == 1 and len(set(kinds[1:n:2])) == 1 and kinds[0] != kinds[1]
+
+
+@pytest.mark.parametrize("targets", [None, {"a": 0.5, "b": 0.25}])
+def test_packing_keeps_the_mixture_in_every_window_over_buckets(spark, monkeypatch, targets):
+    from fonoteca.llm import packing
+
+    monkeypatch.setattr(packing, "BUCKET", 3 * 4096 + 1000)
+    rows = [(i, "word " * (50 + 37 * (i % 11)) + ("long " * 9000 if i % 40 == 0 else ""), "aabcd"[i % 5]) for i in range(400)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7), targets=targets).toPandas()
+    sizes = got.groupby("source").length.sum()
+    shares = sizes / sizes.sum()
+    if targets:
+        others = sizes.drop(list(targets))
+        shares = pd.Series({**targets, **(others / others.sum() * (1 - sum(targets.values()))).to_dict()})
+    lasts = int(min(sizes[s] / shares[s] for s in sizes.index) // 4096)
+    held = got.pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0).sort_index().iloc[: lasts - 1]
+    assert len(held) > 10 and (held - 4096 * shares).abs().to_numpy().max() <= 2 * packing.QUANTUM
+    for _, g in got.sort_values("start").groupby("doc_id"):
+        assert g.start.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == g.doc_tokens.iloc[0]
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]]
