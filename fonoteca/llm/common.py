@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -83,6 +84,30 @@ def give_up() -> None:
     _kept.clear()
 
 
+#: The columns of documents by which operators know them.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that returns the columns of its documents, for documents with columns of any names.
+
+    Columns that are not known ones go through it as one struct, so that none has a name that it uses.
+    """
+
+    @functools.wraps(stage)
+    def through(docs: DataFrame, *args, **named) -> DataFrame:
+        others = [c for c in docs.columns if c not in KNOWN]
+        if not others:
+            return stage(docs, *args, **named)
+        quoted = lambda c: "`" + c.replace("`", "``") + "`"
+        own = [c for c in docs.columns if c in KNOWN]
+        packed = docs.select(*own, F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(others))).alias("others"))
+        done = stage(packed, *args, **named)
+        return done.select(*(F.col(c) if c in KNOWN else F.col("others")[f"c{others.index(c)}"].alias(c) for c in docs.columns))
+
+    return through
+
+
 def doc_crc(doc_id: Column) -> Column:
     """crc32 of the id as text; the folds of the labelled and the held-out rows come from it."""
     return F.crc32(doc_id.cast("string").cast("binary"))

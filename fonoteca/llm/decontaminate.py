@@ -275,6 +275,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return verified(docs, benchmark, id_col, text_col).drop("k1", "k2").withColumnRenamed("id", id_col)
 
 
+@common.apart
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the contaminated rows; copies of a contaminated text are contaminated."""
     found = verified(docs, benchmark, id_col, text_col).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()

@@ -302,7 +302,7 @@ BROADCAST_BYTES, SALTS = 4 << 20, 16
 def extract(pages: DataFrame, keep: list[str] | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Columns keep (page_id and the url if not given), text and n_chars of every page."""
     keep = keep or ["page_id", url_col]
-    pages = pages.withColumn("__host", host_of(F.col(url_col)))
+    pages = pages.select(*dict.fromkeys([*keep, url_col, html_col])).withColumn("__host", host_of(F.col(url_col)))
     won = common.materialise(winners(pages, html_col))
     size = won.agg(F.sum(F.length("__host") + F.length("__path") + 32)).first()[0] or 0
     if size <= BROADCAST_BYTES:

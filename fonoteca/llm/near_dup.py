@@ -292,6 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return judged(docs, id_col, text_col, k, percent).select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
+@common.apart
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """docs without all but one row of each component, with the columns of docs."""
     found = common.materialise(judged(docs, id_col, text_col, k, percent).where("not kept").select(F.col("id").alias("__id"), F.col("tkey").alias("__key"), "spare"))

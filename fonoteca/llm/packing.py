@@ -76,10 +76,10 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     split = [lowered(text).replace("\n", " ").split(" ") for text in texts]
     if len(known) > REMEMBERED:
         known.clear()
-    new = list({word for words in split for word in words}.difference(known))
+    new = list(set().union(*split).difference(known))
     for i in range(0, len(new), TOGETHER):
         known.update(encoded(tokenizer, new[i : i + TOGETHER]))
-    return [b"".join([known[word] for word in words]) for words in split]
+    return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def lowered(text: str) -> str:

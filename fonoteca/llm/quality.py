@@ -180,8 +180,11 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, labels).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+@common.apart
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the classifier does not reject, with the columns of docs, whatever their names; all, if it could learn nothing."""
+    """The rows that the classifier does not reject, with the columns of docs, whatever their names.
+
+    Without labels of both kinds it has learned nothing: then all rows stay, though each scores 0.5."""
     model = fit(docs, labels)
     if not model.knows:
         return docs

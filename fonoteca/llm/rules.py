@@ -1,8 +1,8 @@
 r"""Quality rules: an isolation forest on rule statistics, its threshold calibrated on labelled rows.
 
-Statistics of a text's words [^\x20\x09-\x0D]+ are computed for every whole text. The forest grows on
-a sample of at most SAMPLE rows, those of the least id hash (an isolation forest is defined on small
-subsamples; the bound is a parameter). All rows are scored, and the threshold comes from the counts of
+Statistics of a text's words [^\x20\x09-\x0D]+ are computed for every whole text. Each tree grows on
+SUBSAMPLE rows of its own, as the method is defined, drawn from all documents: those of the least hashes
+of tree and id. All rows are scored, and the threshold comes from the counts of
 all labelled rows by score: the score from which a row is anomalous is chosen for the largest share of
 rejected rows of label 0 less WEIGHT times the share of rejected rows of label 1.
 
@@ -18,14 +18,16 @@ from collections import Counter
 from itertools import pairwise
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fonoteca.llm import common
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
-SAMPLE, TREES, SUBSAMPLE, WEIGHT = 4096, 100, 256, 10.0
+TREES, SUBSAMPLE, WEIGHT = 100, 256, 10.0
+#: So many times the rows that trees need are expected to be told apart by their hashes before they are ranked.
+DRAWN = 4
 #: Scores from 0 to 1 are told apart in so many steps where they are counted.
 LEVELS = 10_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -103,11 +105,12 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 class IsolationForest:
     """Random axis-parallel splits; the mean path length to a row, scaled to the usual score."""
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 7):
+    def __init__(self, samples: list[np.ndarray], seed: int = 7):
+        """samples: the rows of each tree."""
         rng = np.random.default_rng(seed)
-        self.size = min(subsample, len(rows))
+        self.size = max(map(len, samples))
         self.depth = max(1, math.ceil(math.log2(max(2, self.size))))
-        self.trees = [self._grow(rows[rng.choice(len(rows), self.size, replace=False)], rng) for _ in range(trees)]
+        self.trees = [self._grow(rows, rng) for rows in samples]
 
     def _grow(self, rows: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         """A complete binary tree in arrays: feature (-1: leaf), split and path length of each node."""
@@ -143,13 +146,34 @@ def usual_length(n: int) -> float:
     return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> IsolationForest | None:
-    """A forest grown from at most `sample` documents, those of the least hashes of ids; of texts of one id the first in order."""
-    hashed = F.xxhash64(F.col(id_col))
-    ids = docs.select(id_col).dropna().distinct().orderBy(hashed, id_col).limit(sample)
-    chosen = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min(text_col).alias(text_col))  # at most `sample` rows
-    got = statistics(chosen, id_col, text_col).select(id_col, "features").toPandas().sort_values(id_col)
-    return IsolationForest(np.array(got["features"].tolist())) if len(got) else None
+def drawn(docs: DataFrame, id_col: str = "doc_id", trees: int = TREES, subsample: int = SUBSAMPLE) -> DataFrame:
+    """tree, id: for each tree `subsample` ids of all documents (all, if fewer), those of the least hashes of tree and id.
+
+    Hashes above what DRAWN times as many rows are expected below are left out first, so few rows are ranked.
+    """
+    ids = docs.select(F.col(id_col).alias("id")).dropna().distinct()
+    share = min(1.0, DRAWN * subsample / max(ids.count(), 1))
+    below = F.lit(int(share * (1 << 31)))
+    hashed = lambda t: F.pmod(F.xxhash64(t, "id"), F.lit(1 << 31))
+    of = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: hashed(t) < below)
+    rows = ids.select("id", F.explode(of).alias("tree")).withColumn("h", hashed(F.col("tree")))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("h", "id"))
+    return rows.withColumn("place", place).where(F.col("place") <= subsample).select("tree", "id")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, subsample: int = SUBSAMPLE) -> IsolationForest | None:
+    """A forest each of whose trees grows on its own rows of all documents; of texts of one id the first in order.
+
+    At most `trees` times `subsample` ids are sent to tasks, and their statistics to the driver.
+    """
+    chosen = common.materialise(drawn(docs, id_col, trees, subsample))
+    ids = chosen.select(F.col("id").alias(id_col)).distinct()
+    texts = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min(text_col).alias(text_col))
+    rows = {r[id_col]: r["features"] for r in statistics(texts, id_col, text_col).select(id_col, "features").collect()}
+    own: dict[int, list] = {}
+    for r in chosen.orderBy("tree", "id").collect():
+        own.setdefault(r["tree"], []).append(rows[r["id"]])
+    return IsolationForest([np.array(own[t]) for t in sorted(own)]) if own else None
 
 
 def threshold(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", weight: float = WEIGHT) -> float:

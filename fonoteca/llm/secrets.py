@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fonoteca.llm import common
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -185,6 +187,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return found.select(id_col, *map(of, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("__spans")).alias("spans"))
 
 
+@common.apart
 def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs with every span of a secret replaced; overlapping spans become one mask."""
     found = find(docs, text_col)

@@ -173,10 +173,21 @@ def test_quality_rules_statistics(docs, empty, spark):
     assert rules.judge(docs, labels.where("false")).count() == docs.count()
 
 
+def test_each_tree_draws_from_all_documents(spark):
+    df = spark.range(5000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.lit("x").alias("text")).union(spark.range(50).select("id", F.lit("y")))
+    own = {}
+    for r in rules.drawn(df, trees=6, subsample=40).collect():
+        own.setdefault(r["tree"], []).append(r["id"])
+    assert sorted(own) == list(range(6)) and all(len(ids) == len(set(ids)) == 40 for ids in own.values())
+    assert len({i for ids in own.values() for i in ids}) > 220 and max(i for ids in own.values() for i in ids) > 4500
+    few = rules.drawn(df.where("doc_id < 10"), trees=3, subsample=40)
+    assert few.count() == 3 * df.where("doc_id < 10").select("doc_id").distinct().count()
+
+
 def test_isolation_forest_finds_the_odd_one():
     own = np.random.default_rng(1)
     rows = np.vstack([own.normal(0, 1, (400, 3)), [[9, 9, 9]]])
-    scores = rules.IsolationForest(rows).score(rows)
+    scores = rules.IsolationForest([rows[own.choice(401, 256, replace=False)] for _ in range(100)]).score(rows)
     assert scores.argmax() == 400 and 0 < scores.min() < scores.max() < 1
 
 

@@ -80,3 +80,14 @@ def test_run_leaves_only_what_the_result_needs(spark):
     assert len(list(folder.glob("table-*"))) - before <= 7
     common.sweep(spark)
     assert len(list(folder.glob("table-*"))) == before
+
+
+@pytest.mark.parametrize("named", [("__text", "__score", "__predicted"), ("__tkey", "__key", "__id"), ("__k1", "__k2", "k1"), ("__kinds", "__spans", "others"), ("uid", "a.b", "tick`s")])
+def test_stages_take_columns_of_any_name(spark, named):
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(["password = abcdefgh12345678 " + "some words of a text that goes on " * 20, "other words " * 40, "other words " * 40])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in named})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in got.collect() for c in named), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= 3
