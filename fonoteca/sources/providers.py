@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition
 
 from fonoteca.functions.text import Text, safe_query
+from fonoteca.tables import sent_whole
 
 
 @dataclass(frozen=True)
@@ -113,6 +114,7 @@ class ProviderSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Makes the format known and lets Spark hand filters to it."""
+    sent_whole(__name__)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ProviderSource)
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import StructType
 
 from fonoteca.operators.merge import latest, upsert
+from fonoteca.tables import sent_whole
 
 
 def arrivals(spark: SparkSession, folder: str, schema: StructType, files_a_batch: int = 100) -> DataFrame:
@@ -113,6 +114,7 @@ def changed_only(stream: DataFrame, catalogue: DataFrame | None = None, drift: f
     keyed by path, is in the checkpoint, so a stream that is started again goes on from what it had seen;
     `keep_ms` lets go of paths that have not changed for so long. A size or a time that is null differs from all.
     """
+    sent_whole(__name__)
     columns = ["path", "size_bytes", "mtime"]
     initial = {} if catalogue is None else {"initialState": catalogue.select(*columns).groupBy("path")}
     return stream.select(*columns).groupBy("path").transformWithStateInPandas(

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,3 +31,9 @@ def written(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sent_whole(module: str) -> None:
+    """From now on what a module defines is sent to Python workers as it is, not by name: those that plan a data
+    source or begin a stream's state do not see the files that a session has added."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
