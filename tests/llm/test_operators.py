@@ -675,3 +675,69 @@ def test_packing_keeps_the_mixture_in_every_window_over_buckets(spark, monkeypat
         assert g.start.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == g.doc_tokens.iloc[0]
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]]
+
+
+LONG = "A sentence that is long enough to count as text. "
+
+
+def of_pages(spark, bodies: list[str], hosts: list[str] | None = None) -> list[str]:
+    rows = [(i, f"http://{hosts[i] if hosts else 'one.example'}/{i}", f"<html><body>{body}</body></html>") for i, body in enumerate(bodies)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), keep=["page_id"]).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_html_consensus_mends_a_page_whose_own_choice_is_wrong(spark, monkeypatch, many):
+    if many:
+        monkeypatch.setattr(html_text, "BROADCAST_BYTES", 0)
+    page = lambda i, n: f"<div class=content><h1>Title {i}</h1><p>{i} {(LONG * n).strip()}</p></div>"
+    extra = "".join(f"<p>Extra {k} {LONG}</p>" for k in range(12))
+    bodies = [page(i, 6) for i in range(9)] + [page(9, 1) + f"<div class=extra>{extra}</div>", f"<div class=other><p>{LONG}</p></div>"]
+    got = of_pages(spark, bodies)
+    assert got[:9] == [f"Title {i}\n{i} {(LONG * 6).strip()}" for i in range(9)]
+    assert got[9] == f"Title 9\n9 {LONG.strip()}"
+    assert got[10] == LONG.strip()  # a page without the winner's path keeps its own
+    # Two templates of a host, each with a good part of the votes, do not overrule each other.
+    lists = [f"<div class=list><p>{i} {LONG * 4}</p></div>" for i in range(6)]
+    articles = [f"<div class=content><p>{i} {LONG * 9}</p></div><div class=list><p>more {i}</p></div>" for i in range(4)]
+    assert all(text.startswith(f"{i} A sentence") and "more" not in text for i, text in enumerate(of_pages(spark, lists + articles)[6:]))
+
+
+@pytest.mark.parametrize("name", ["reader-comments", "user-comments", "article-comments", "post-comments", "comment-body", "comment-content", "fb-comments", "usercomments", "main-navigation", "page-sidebar", "article-ad", "sponsored-content", "adsbygoogle", "page-footer", "legal-footer", "most-read", "alert-box"])
+def test_html_names_of_noise_and_page_parts(name):
+    take = lambda body: html_text.Page(f"<body>{body}</body>").extract(None)
+    main, noise = f"<h1>Title</h1><p>{(LONG * 3).strip()}</p>", f"<div class='{name}'><p>{LONG}</p></div>"
+    want = f"Title\n{(LONG * 3).strip()}"
+    assert take(f"<article>{main}{noise}</article>") == want
+    assert take(f"<article>{main}</article>{noise}") == want
+    assert take(f"<div class=content>{main}</div>{noise}") == want
+    assert take(f"<div class='{name}'><article>{main}</article></div>") == want
+    # A name of noise alone is noise even if nothing else is left, one beside page parts is not.
+    assert take(f"<article><div class='{name}'>{main}</div></article>") == ("" if name in ("adsbygoogle", "alert-box") else want)
+    assert take(f"<article><div class='post with-comments'>{main}</div></article>") == want
+    assert take(f"<div class=commentary>{main}</div>") == want
+
+
+def test_html_hosts_teach_noise_that_no_name_tells(spark):
+    main = lambda i: f"<h1>Title {i}</h1><p>{i} {(LONG * 3).strip()}</p>"
+    want = [f"Title {i}\n{i} {(LONG * 3).strip()}" for i in range(8)]
+    same = "<div class=zq><p>The same words stand here on each and every page of the host.</p></div>"
+    links = lambda i: f"<div class=kx><ul><li><a href=/{i}>Link number {i} to elsewhere</a></li><li><a href=/x{i}>Another {i}</a></li></ul></div>"
+    assert of_pages(spark, [f"<div class=content>{main(i)}{same}</div>" for i in range(8)]) == want
+    assert of_pages(spark, [f"<article>{main(i)}{links(i)}</article>" for i in range(8)]) == want
+    # Too few pages teach nothing; copies of one page count once; near copies keep their body.
+    few = of_pages(spark, [f"<div class=content>{main(i)}{same}</div>" for i in range(3)])
+    assert all("The same words" in text for text in few)
+    copies = of_pages(spark, [f"<div class=content>{main(1)}<section class=b><p>{LONG}</p></section></div>"] * 8)
+    assert copies == [f"{want[1]}\n{LONG.strip()}"] * 8
+    near = of_pages(spark, [f"<article><h1>Title {i}</h1><section class=b><p>{(LONG * 9).strip()}</p></section></article>" for i in range(8)])
+    assert near == [f"Title {i}\n{(LONG * 9).strip()}" for i in range(8)]
+    # What another host learned is nothing to this one.
+    mixed = of_pages(spark, [f"<div class=content>{main(i)}{same}</div>" for i in range(8)] + [f"<div class=content>{main(0)}{same}</div>"], ["one.example"] * 8 + ["two.example"])
+    assert "The same words" in mixed[8] and mixed[:8] == want
+
+
+def test_html_columns_of_any_name(spark):
+    rows = [(1, "http://a.example/", "<p>Some text.</p>", "h", "p")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, __host string, __path string")
+    assert html_text.extract(pages, keep=["page_id", "__host", "__path"]).collect() == [(1, "h", "p", "Some text.", 10)]
