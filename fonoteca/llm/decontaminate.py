@@ -2,10 +2,12 @@ r"""Benchmark decontamination by spaced seeds.
 
 Tokens are runs of \w, lower-cased. Fixed masks of care and ignore places are slid over both sides; a
 window's hash takes the care places only, so that a substitution at an ignored place does not hide a
-match. The documents are read once, whatever the size of the benchmark: a filter of bounded size, of
-bits of the test hashes, leaves the windows of a document that may be hits, and these hashes are joined
-with those of the test items. Each pair of a document and an item that meet is then verified: around
-every hit the whole aligned item is compared, in three ways: its equal tokens as a share of the item,
+match. The documents are read once, whatever the size of the benchmark: a filter of the test hashes, whose
+bits grow with their number (up to 64 MB, at 16 bits a hash for 33 million), leaves the windows of a
+document that may be hits, and these hashes are joined with those of the test items; a fuller filter only
+leaves more to the join. What meets is grouped by document, CHUNK items a row, so that a text goes to its
+verification once for so many items and is cut into tokens once there; items are kept ready by the worker.
+Around every hit the whole aligned item is compared, in three ways: its equal tokens as a share of the item,
 those of every window of MIN_RUN tokens of it as a share of the window, and a segment, which is the
 best run of the alignment with +1 for an equal and -3 for another token and counts if 80 % of its
 tokens are equal.
@@ -24,11 +26,10 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fonoteca.llm import common
@@ -39,10 +40,13 @@ MIN_RUN, SHARE, MISS = 20, 0.8, 3
 WORD = re.compile(r"\w+")
 _rng = np.random.default_rng(5)
 PLACES = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FILTER_BITS = 20
-#: Of the filter that documents pass: 8 MB of bits, so it may be sent to each worker. A hash sets the
-#: bit that its first SENT_BITS bits name and the one that those before its last SECOND bits do.
-SENT_BITS, SECOND = 26, 10
+#: Bits of the filter that documents pass, least and most, as powers of two. A hash sets the bit that its
+#: first bits name and the one that those before its last SECOND bits do. PIECE: bits of a piece of it.
+LEAST_BITS, MOST_BITS, SECOND, PIECE = 16, 29, 10, 16
+#: About so many items go with a text to its verification.
+CHUNK = 8
+#: A worker keeps the last KEPT items of up to KEPT_TOKENS tokens.
+KEPT, KEPT_TOKENS = 1024, 2000
 
 
 def tokens(text: str) -> list[str]:
@@ -84,67 +88,76 @@ def seeds_of(texts: list[str], short: tuple[int, ...]) -> Iterator[tuple[str, np
         yield mask, hashes[inside], np.searchsorted(np.array(ends), inside, side="right")
 
 
+def ids_of(text: str) -> np.ndarray:
+    """The hashes of a text's tokens, never 0."""
+    import xxhash
+
+    numbers: defaultdict[str, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    flat = [numbers[w] for w in tokens(text)]
+    return np.array([xxhash.xxh3_64_intdigest(w) | 1 for w in numbers], dtype=np.uint64)[np.array(flat, dtype=np.int64)]
+
+
+class Item:
+    """An item's tokens, and the hashes of its windows by mask; one too short for any mask is a window by itself."""
+
+    def __init__(self, text: str):
+        self.ids = ids_of(text)
+        n = len(self.ids)
+        self.windows = {mask: window_hashes(self.ids, mask) for mask in (MASKS if n >= len(MASKS[0]) else ("1" * n,) if n else ())}
+
+
+class Text:
+    """A document's tokens, and its windows by mask in order of their hashes, made when first asked for."""
+
+    def __init__(self, text: str):
+        self.ids = ids_of(text)
+        self.sorted: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def met(self, mask: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place here, place there) of the windows of equal hashes."""
+        if mask not in self.sorted:
+            own = window_hashes(self.ids, mask)
+            order = np.argsort(own, kind="stable")
+            self.sorted[mask] = own[order], order
+        own, order = self.sorted[mask]
+        low, high = np.searchsorted(own, hashes, "left"), np.searchsorted(own, hashes, "right")
+        sizes = high - low
+        there = np.repeat(np.arange(len(hashes)), sizes)
+        return order[np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(len(there))], there
+
+    def hit(self, item: Item) -> tuple[int, int, float] | None:
+        """(at_token, longest, covered) if the item contaminates the text."""
+        n = len(item.ids)
+        met = [self.met(mask, hashes) for mask, hashes in item.windows.items()]
+        if 0 < n < len(MASKS[0]):
+            at = next((int(here) for here in np.sort(met[0][0]) if (self.ids[here : here + n] == item.ids).all()), None)
+            return None if at is None else (at, n, 1.0)
+        shifts = np.unique(np.concatenate([here - there for here, there in met])) if met else ()
+        covered, longest, first, enough = np.zeros(n, dtype=bool), 0, None, False
+        for shift in map(int, shifts):
+            begin, end = max(0, -shift), min(n, len(self.ids) - shift)
+            spans, whole = segments(item.ids[begin:end] == self.ids[begin + shift : end + shift], n)
+            enough |= whole
+            for a, b in spans:
+                covered[begin + a : begin + b] = True
+                longest = max(longest, b - a)
+                first = begin + a + shift if first is None else min(first, begin + a + shift)
+        return (first, longest, float(covered.mean())) if longest and (enough or covered.sum() >= SHARE * n) else None
+
+
 class Block:
-    """Items with an index of their windows."""
+    """A few items, for texts that are not in a table."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
         self.names = [name for name, _ in items]
-        split = [tokens(text) for _, text in items]
-        self.ids = {w: i + 1 for i, w in enumerate(sorted({w for own in split for w in own}))}
-        self.items = [np.array([self.ids[w] for w in own], dtype=np.int64) for own in split]
-        self.index: list[dict[int, list[tuple[int, int]]]] = []
-        self.filters: list[np.ndarray] = []
-        for mask in MASKS:
-            index: dict[int, list[tuple[int, int]]] = {}
-            for i, own in enumerate(self.items):
-                for place, h in enumerate(window_hashes(own, mask).tolist()):
-                    index.setdefault(h, []).append((i, place))
-            bits = min(FILTER_BITS, max(10, (16 * len(index)).bit_length()))  # small for a block of one item, of which many are kept
-            held = np.zeros(1 << bits, dtype=bool)
-            if index:
-                held[np.array(list(index), dtype=np.uint64) >> np.uint64(64 - bits)] = True
-            self.index.append(index)
-            self.filters.append(held)
-        #: For each length below that of the lightest mask, the items by the hash of all their tokens.
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for i, own in enumerate(self.items):
-            if 0 < len(own) < len(MASKS[0]):
-                self.short.setdefault(len(own), {}).setdefault(int(window_hashes(own, "1" * len(own))[0]), []).append(i)
-        self.short_hashes = {n: np.array(list(index), dtype=np.uint64) for n, index in self.short.items()}
+        self.items = [Item(text) for _, text in items]
 
     def find(self, text: str) -> list[dict]:
         """The items that contaminate a text."""
-        get = self.ids.get
-        ids = np.array([get(w, 0) for w in tokens(text)], dtype=np.int64)
-        diagonals: dict[int, set[int]] = {}
-        for mask, index, held in zip(MASKS, self.index, self.filters):
-            hashes = window_hashes(ids, mask)
-            for at in np.flatnonzero((hashes != 0) & held[hashes >> np.uint64(65 - len(held).bit_length())]).tolist():
-                for item, place in index.get(int(hashes[at]), ()):
-                    diagonals.setdefault(item, set()).add(at - place)
-        out = []
-        for n, index in self.short.items():
-            hashes = window_hashes(ids, "1" * n)
-            first_at: dict[int, int] = {}
-            for at in np.flatnonzero(np.isin(hashes, self.short_hashes[n])).tolist():
-                for item in index.get(int(hashes[at]), ()):
-                    if item not in first_at and (self.items[item] == ids[at : at + n]).all():
-                        first_at[item] = at
-            out += [(item, at, n, 1.0) for item, at in first_at.items()]
-        for item, shifts in diagonals.items():
-            own, covered, longest, first, enough = self.items[item], np.zeros(len(self.items[item]), dtype=bool), 0, None, False
-            for shift in shifts:
-                begin, end = max(0, -shift), min(len(own), len(ids) - shift)
-                same = own[begin:end] == ids[begin + shift : end + shift]
-                spans, whole = segments(same, len(own))
-                enough |= whole
-                for a, b in spans:
-                    covered[begin + a : begin + b] = True
-                    longest = max(longest, b - a)
-                    first = begin + a + shift if first is None else min(first, begin + a + shift)
-            if longest and (enough or covered.sum() >= SHARE * len(own)):
-                out.append((item, first, longest, float(covered.mean())))
-        return [{"item": self.names[item], "at_token": at, "longest": longest, "covered": covered} for item, at, longest, covered in sorted(out)]
+        own = Text(text)
+        found = ((name, own.hit(item)) for name, item in zip(self.names, self.items))
+        return [{"item": name, "at_token": hit[0], "longest": hit[1], "covered": hit[2]} for name, hit in found if hit]
 
 
 def segments(same: np.ndarray, n: int) -> tuple[list[tuple[int, int]], bool]:
@@ -202,15 +215,28 @@ def bench_seeds(items: DataFrame) -> DataFrame:
     return items.select("item", "item_text").mapInArrow(run, "h long, item long, n long").distinct()
 
 
+def filter_of(seeds: DataFrame, size: int) -> np.ndarray:
+    """The filter of 2 ** size bits, as bytes, lowest bit first; its pieces are made in tasks."""
+    places = F.array(F.shiftrightunsigned("h", 64 - size), F.shiftrightunsigned("h", SECOND) % (1 << size))
+    place = seeds.select(F.explode(places).alias("place")).distinct().select(F.shiftright("place", PIECE).alias("piece"), (F.col("place") % (1 << PIECE)).alias("bit"))
+
+    def piece(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << PIECE, dtype=bool)
+        bits[table.column("bit").to_numpy()] = True
+        return pa.table({"piece": table.column("piece")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
+
+    held = np.zeros(1 << (size - 3), dtype=np.uint8)
+    wide = 1 << (PIECE - 3)
+    for row in place.groupBy("piece").applyInArrow(piece, "piece long, bits binary").collect():  # 64 MB at most
+        held[row["piece"] * wide : (row["piece"] + 1) * wide] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return held
+
+
 def suspects(docs: DataFrame, id_col: str, text_col: str, seeds: DataFrame) -> DataFrame:
     """(id, uid, k1, k2, text, seeds) of the documents with windows that pass the filter of the seeds."""
     short = tuple(r["n"] for r in seeds.where("n > 0").select("n").distinct().collect())  # 6 at most
-    places = F.array(F.shiftrightunsigned("h", 64 - SENT_BITS), F.shiftrightunsigned("h", SECOND) % (1 << SENT_BITS))
-    place = seeds.select(F.explode(places).alias("place")).select(F.expr("shiftright(place, 6)").alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit"))
-    words = place.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # 2 ** 20 at most
-    bits = np.zeros(1 << (SENT_BITS - 6), dtype=np.int64)
-    bits[[r["word"] for r in words]] = [r["bits"] for r in words]
-    sent = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    size = max(LEAST_BITS, min(MOST_BITS, (16 * seeds.count()).bit_length()))
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(seeds, size))
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), F.coalesce(text, F.lit("")).cast("binary").alias(common.TEXT))
     kind = rows.schema["id"].dataType.simpleString()
@@ -226,8 +252,8 @@ def suspects(docs: DataFrame, id_col: str, text_col: str, seeds: DataFrame) -> D
                 found = []
                 for _, hashes, owner in seeds_of(texts, short):
                     passed = np.arange(len(hashes))
-                    for at in (hashes >> np.uint64(64 - SENT_BITS), (hashes >> np.uint64(SECOND)) % np.uint64(1 << SENT_BITS)):
-                        passed = passed[(held[at[passed] >> np.uint64(6)] >> (at[passed] & np.uint64(63))) & np.uint64(1) == 1]
+                    for at in (hashes >> np.uint64(64 - size), (hashes >> np.uint64(SECOND)) & np.uint64((1 << size) - 1)):
+                        passed = passed[(held[at[passed] >> np.uint64(3)] >> (at[passed] & np.uint64(7)).astype(np.uint8)) & 1 == 1]
                     found.append(np.stack([owner[passed], hashes[passed].view(np.int64)]))
                 owner, hashes = np.unique(np.concatenate(found, axis=1), axis=1)
                 rows, sizes = np.unique(owner, return_counts=True)
@@ -240,9 +266,16 @@ def suspects(docs: DataFrame, id_col: str, text_col: str, seeds: DataFrame) -> D
     return rows.mapInArrow(run, f"id {kind}, uid long, k1 long, k2 long, text binary, seeds array<long>")
 
 
-def block_of(item_id: int | None, text: str) -> Block:
-    """The item's block; a Python worker keeps the last 256."""
-    return common.kept("blocks", lambda: lru_cache(maxsize=256)(lambda *item: Block([item])))(item_id, text)
+def item_of(text: str) -> Item:
+    """The item, made ready once by a Python worker as long as it keeps it."""
+    items = common.kept("items", dict)
+    if (item := items.get(text)) is None:
+        item = Item(text)
+        if len(item.ids) <= KEPT_TOKENS:
+            if len(items) >= KEPT:
+                items.clear()
+            items[text] = item
+    return item
 
 
 def verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -251,7 +284,10 @@ def verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     seeds = common.materialise(bench_seeds(items))
     rows = common.materialise(suspects(docs, id_col, text_col, seeds))
     pairs = rows.select("uid", F.explode("seeds").alias("h")).join(seeds, "h").select("uid", "item").distinct()
-    met = rows.drop("seeds").join(pairs.join(items, "item"), "uid").select("id", "k1", "k2", "text", "item_id", "item_text")
+    of_text = Window.partitionBy("uid")
+    dealt = pairs.withColumn("chunk", F.pmod("item", F.ceil(F.count("*").over(of_text) / CHUNK)))
+    lists = dealt.join(items, "item").groupBy("uid", "chunk").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+    met = rows.drop("seeds").join(lists, "uid").select("id", "k1", "k2", "text", "items")
     kind = rows.schema["id"].dataType.simpleString()
     out = f"id {kind}, k1 long, k2 long, item_id long, at_token long, longest long, covered double"
 
@@ -259,13 +295,16 @@ def verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
         for whole in batches:
             for batch in common.runs(whole, "text", 1 << 20):
                 at, found = [], []
-                for i, (text, item_id, item) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "item_id", "item_text")))):
-                    for hit in block_of(item_id, item).find(text.decode("utf-8", "replace")):
-                        at.append(i)
-                        found.append((hit["at_token"], hit["longest"], hit["covered"]))
+                for i in range(batch.num_rows):
+                    text = Text(batch.column("text")[i].as_py().decode("utf-8", "replace"))
+                    for item in batch.column("items")[i].as_py():
+                        if hit := text.hit(item_of(item["item_text"])):
+                            at.append(i)
+                            found.append((item["item_id"], *hit))
                 own = batch.take(pa.array(at, pa.int64()))
-                columns = zip(*found) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("id", "k1", "k2", "item_id")), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64())))], names=["id", "k1", "k2", "item_id", "at_token", "longest", "covered"])
+                columns = zip(*found) if found else ((), (), (), ())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("id", "k1", "k2")), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["id", "k1", "k2", "item_id", "at_token", "longest", "covered"])
 
     return met.mapInArrow(run, out)
 

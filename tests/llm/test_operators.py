@@ -741,3 +741,39 @@ def test_html_columns_of_any_name(spark):
     rows = [(1, "http://a.example/", "<p>Some text.</p>", "h", "p")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, __host string, __path string")
     assert html_text.extract(pages, keep=["page_id", "__host", "__path"]).collect() == [(1, "h", "p", "Some text.", 10)]
+
+
+def test_one_phrase_in_all_documents_and_items(spark):
+    """It makes no document contaminated, each item's own words do; a text goes with CHUNK items at a time."""
+    words = lambda name, n: " ".join(f"{name}w{k}" for k in range(n))
+    phrase = "which of the following statements about this is the best answer"
+    items = [(i, f"{phrase} {words(f'i{i}', 30)}") for i in range(60)] + [(60, "six words that stand in row")]
+    docs = [(d, f"{words(f'd{d}', 40)} {phrase} {words(f'e{d}', 40)}" + (f" {words(f'i{d}', 30)}" if d % 10 == 0 else "") + (" Six words, that stand in row." if d == 7 else "")) for d in range(50)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.hits(df, bench).collect()}
+    assert got == {(d, d) for d in range(0, 50, 10)} | {(7, 60)}
+
+
+def test_filter_of_holds_every_seed(spark):
+    hashes = np.random.default_rng(1).integers(-(2**63), 2**63, 5000)
+    seeds = spark.createDataFrame([(int(h),) for h in hashes], "h long")
+    for size in (16, 20):
+        held = decontaminate.filter_of(seeds, size)
+        for at in (hashes.view(np.uint64) >> np.uint64(64 - size), (hashes.view(np.uint64) >> np.uint64(decontaminate.SECOND)) & np.uint64((1 << size) - 1)):
+            assert ((held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1).all()
+        assert np.unpackbits(held).sum() <= 10000
+
+
+def test_recall_of_substituted_items_through_the_query(spark):
+    """One in ten tokens of each benchmark item is replaced, each in a document of its own."""
+    rng = np.random.default_rng(4)
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text").where("text IS NOT NULL")
+    rows = []
+    for i, r in enumerate(bench.collect()):
+        words = decontaminate.tokens(r["text"])
+        for k in rng.choice(len(words), len(words) // 10, replace=False):
+            words[k] = f"zz{k}"
+        rows.append((i, r["item_id"], " ".join([f"aa{k}" for k in range(50)] + words + [f"bb{k}" for k in range(50)])))
+    df = spark.createDataFrame(rows, "doc_id long, own long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.hits(df, bench).collect()}
+    assert sum((i, own) in got for i, own, _ in rows) >= 0.9 * len(rows)
