@@ -3,7 +3,7 @@ r"""Benchmark decontamination by spaced seeds.
 Tokens are runs of \w, lower-cased. Fixed masks of care and ignore places are slid over both sides; a
 window's hash takes the care places only, so that a substitution at an ignored place does not hide a
 match. The documents are read once, whatever the size of the benchmark: a filter of the test hashes, whose
-bits grow with their number (up to 64 MB, at 16 bits a hash for 33 million), leaves the windows of a
+bits grow with their number (48 a hash, from 2 MB up to 64 MB for 11 million), leaves the windows of a
 document that may be hits, and these hashes are joined with those of the test items; a fuller filter only
 leaves more to the join. What meets is grouped by document, CHUNK items a row, so that a text goes to its
 verification once for so many items and is cut into tokens once there; items are kept ready by the worker.
@@ -40,9 +40,10 @@ MIN_RUN, SHARE, MISS = 20, 0.8, 3
 WORD = re.compile(r"\w+")
 _rng = np.random.default_rng(5)
 PLACES = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bits of the filter that documents pass, least and most, as powers of two. A hash sets the bit that its
-#: first bits name and the one that those before its last SECOND bits do. PIECE: bits of a piece of it.
-LEAST_BITS, MOST_BITS, SECOND, PIECE = 16, 29, 10, 16
+#: Bits of the filter that documents pass, least and most, as powers of two, and how many of them a hash
+#: sets and has to itself. Its first bits name the first one, those before its last SECOND bits the step to
+#: the next. PIECE: bits of a piece of the filter.
+LEAST_BITS, MOST_BITS, SET, EACH, SECOND, PIECE = 24, 29, 6, 48, 10, 16
 #: About so many items go with a text to its verification.
 CHUNK = 8
 #: A worker keeps the last KEPT items of up to KEPT_TOKENS tokens.
@@ -217,7 +218,8 @@ def bench_seeds(items: DataFrame) -> DataFrame:
 
 def filter_of(seeds: DataFrame, size: int) -> np.ndarray:
     """The filter of 2 ** size bits, as bytes, lowest bit first; its pieces are made in tasks."""
-    places = F.array(F.shiftrightunsigned("h", 64 - size), F.shiftrightunsigned("h", SECOND) % (1 << size))
+    first, step = F.shiftrightunsigned("h", 64 - size), (F.shiftrightunsigned("h", SECOND) % (1 << size)).bitwiseOR(F.lit(1))
+    places = F.array(*((first + step * k) % (1 << size) for k in range(SET)))
     place = seeds.select(F.explode(places).alias("place")).distinct().select(F.shiftright("place", PIECE).alias("piece"), (F.col("place") % (1 << PIECE)).alias("bit"))
 
     def piece(table: pa.Table) -> pa.Table:
@@ -232,10 +234,17 @@ def filter_of(seeds: DataFrame, size: int) -> np.ndarray:
     return held
 
 
+def is_set(held: np.ndarray, hashes: np.ndarray, k: int, size: int) -> np.ndarray:
+    """Whether the filter has the k-th bit of each hash."""
+    step = (hashes >> np.uint64(SECOND)) & np.uint64((1 << size) - 1) | np.uint64(1)
+    at = ((hashes >> np.uint64(64 - size)) + step * np.uint64(k)) & np.uint64((1 << size) - 1)
+    return (held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def suspects(docs: DataFrame, id_col: str, text_col: str, seeds: DataFrame) -> DataFrame:
     """(id, uid, k1, k2, text, seeds) of the documents with windows that pass the filter of the seeds."""
     short = tuple(r["n"] for r in seeds.where("n > 0").select("n").distinct().collect())  # 6 at most
-    size = max(LEAST_BITS, min(MOST_BITS, (16 * seeds.count()).bit_length()))
+    size = max(LEAST_BITS, min(MOST_BITS, (EACH * seeds.count()).bit_length()))
     sent = docs.sparkSession.sparkContext.broadcast(filter_of(seeds, size))
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), F.coalesce(text, F.lit("")).cast("binary").alias(common.TEXT))
@@ -252,8 +261,8 @@ def suspects(docs: DataFrame, id_col: str, text_col: str, seeds: DataFrame) -> D
                 found = []
                 for _, hashes, owner in seeds_of(texts, short):
                     passed = np.arange(len(hashes))
-                    for at in (hashes >> np.uint64(64 - size), (hashes >> np.uint64(SECOND)) & np.uint64((1 << size) - 1)):
-                        passed = passed[(held[at[passed] >> np.uint64(3)] >> (at[passed] & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                    for k in range(SET):
+                        passed = passed[is_set(held, hashes[passed], k, size)]
                     found.append(np.stack([owner[passed], hashes[passed].view(np.int64)]))
                 owner, hashes = np.unique(np.concatenate(found, axis=1), axis=1)
                 rows, sizes = np.unique(owner, return_counts=True)

@@ -759,9 +759,11 @@ def test_filter_of_holds_every_seed(spark):
     seeds = spark.createDataFrame([(int(h),) for h in hashes], "h long")
     for size in (16, 20):
         held = decontaminate.filter_of(seeds, size)
-        for at in (hashes.view(np.uint64) >> np.uint64(64 - size), (hashes.view(np.uint64) >> np.uint64(decontaminate.SECOND)) & np.uint64((1 << size) - 1)):
-            assert ((held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1).all()
-        assert np.unpackbits(held).sum() <= 10000
+        assert all(decontaminate.is_set(held, hashes.view(np.uint64), k, size).all() for k in range(decontaminate.SET))
+        assert np.unpackbits(held).sum() <= 5000 * decontaminate.SET
+    others = np.arange(1, 20001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    passed = np.logical_and.reduce([decontaminate.is_set(held, others, k, 20) for k in range(decontaminate.SET)])
+    assert passed.sum() <= 2
 
 
 def test_recall_of_substituted_items_through_the_query(spark):
