@@ -90,7 +90,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def commonest(counts: DataFrame, most: int) -> DataFrame:
-    """The words of the highest counts, most at most; a count of counts finds the cut."""
+    """The words of the highest counts, most at most; a count of counts finds the cut. If the first level alone has more, it is cut by counts and, of equal ones, by hashes."""
     level = F.floor(F.log2("n") * 64)
     words = counts.where(F.col("word") != F.lit(END))
     cut, total = None, 0
@@ -99,7 +99,16 @@ def commonest(counts: DataFrame, most: int) -> DataFrame:
         if total > most:
             break
         cut = row["level"]
-    return words.where(level >= cut) if cut is not None else words.where("false")
+    if cut is not None or not total:
+        return words.where(level >= cut) if cut is not None else words.where("false")
+    words = words.where(level == row["level"])
+    order, total, last = F.struct((-F.col("n")).alias("less"), F.shiftrightunsigned("h", 48).alias("bucket")), 0, None
+    for row in words.groupBy(order.alias("order")).count().orderBy("order").collect():  # 65,536 buckets a count at most
+        total += row["count"]
+        if total > most:
+            break
+        last = row["order"]
+    return words.where((-F.col("n") < last["less"]) | (-F.col("n") == last["less"]) & (F.shiftrightunsigned("h", 48) <= last["bucket"])) if last is not None else words.where("false")
 
 
 def symbol_bigrams(texts: DataFrame, clustered: list[bytes]) -> DataFrame:

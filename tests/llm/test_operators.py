@@ -779,3 +779,13 @@ def test_recall_of_substituted_items_through_the_query(spark):
     df = spark.createDataFrame(rows, "doc_id long, own long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.hits(df, bench).collect()}
     assert sum((i, own) in got for i, own, _ in rows) >= 0.9 * len(rows)
+
+
+def test_commonest_words_of_equal_counts(spark):
+    """300 words of one count, of which 200 are asked for: about so many come, not none."""
+    counts = spark.createDataFrame([(f"w{i}".encode(), 1) for i in range(300)], "word binary, n long").select("word", F.xxhash64("word").alias("h"), "n")
+    kept = class_lm.commonest(counts, 200).collect()
+    assert 190 <= len(kept) <= 200 and len({r["word"] for r in kept}) == len(kept)
+    more = counts.union(counts.limit(5).selectExpr("concat(word, cast('x' as binary))", "h", "1000"))
+    assert {r["n"] for r in class_lm.commonest(more, 200).collect()} == {1000}
+    assert class_lm.commonest(counts.where("false"), 200).count() == 0
