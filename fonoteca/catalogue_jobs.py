@@ -82,7 +82,7 @@ register(
 )
 
 # A stream of listed files, of which only new and changed ones go on.
-_SEEN = "SELECT path, cast(size_bytes AS BIGINT) AS size_bytes, cast(1000 + file_id AS DOUBLE) AS mtime FROM {0} WHERE file_id % 10 <> 3"
+_SEEN = "SELECT path, cast(size_bytes AS BIGINT) AS size_bytes, cast(1000 + file_id AS DOUBLE) AS mtime FROM {0} WHERE file_id IN (SELECT doc_id FROM {1})"
 _LISTED = "SELECT path, cast(size_bytes + CASE WHEN file_id % 8 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size_bytes, cast(1000 + file_id + CASE file_id % 6 WHEN 1 THEN 0.5 WHEN 2 THEN 2.0 ELSE 0.0 END AS DOUBLE) AS mtime FROM {0}"
 
 
@@ -93,7 +93,7 @@ def stream_changes(spark: SparkSession, d: str) -> DataFrame:
     spark.sql(_LISTED.format("{f}"), f=files).repartition(4, "path").write.parquet(drop)
     listed_now = spark.readStream.schema("path string, size_bytes long, mtime double").option("maxFilesPerTrigger", 2).parquet(drop)
     with stream.state_store(spark):
-        changed = stream.changed_only(listed_now, spark.sql(_SEEN.format("{f}"), f=files))
+        changed = stream.changed_only(listed_now, spark.sql(_SEEN.format("{f}", "{known}"), f=files, known=table(spark, d, "labels")))
         changed.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("path string, size_bytes long, mtime double, change string").parquet(out).select("path", "change")
 
@@ -101,7 +101,7 @@ def stream_changes(spark: SparkSession, d: str) -> DataFrame:
 register(
     "stream_changes",
     stream_changes,
-    FILES_CTE.rstrip() + f", seen AS ({_SEEN.format('files')}), listed AS ({_LISTED.format('files')}) SELECT l.path, CASE WHEN s.path IS NULL THEN 'new' ELSE 'refreshed' END AS change FROM listed l LEFT JOIN seen s ON l.path = s.path "
+    FILES_CTE.rstrip() + f", seen AS ({_SEEN.format('files', 'labels')}), listed AS ({_LISTED.format('files')}) SELECT l.path, CASE WHEN s.path IS NULL THEN 'new' ELSE 'refreshed' END AS change FROM listed l LEFT JOIN seen s ON l.path = s.path "
     "WHERE s.path IS NULL OR s.size_bytes <> l.size_bytes OR abs(s.mtime - l.mtime) >= 1.0",
 )
 
