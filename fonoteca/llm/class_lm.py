@@ -4,14 +4,18 @@ Tokens are words [^\x20\x09-\x0D]+ with A-Z lower-cased, and one end a text. Eve
 all rows outside the held-out fold (crc32 of the id as text, mod 5, is 1). Every training word has one
 of CLASSES classes, by exchange:
 
-1. The CLUSTERED commonest words are exchanged one after another: each moves to the class that most
-   raises the likelihood of the class bigrams, until no word moves or PASSES are over. Only a table of
-   these symbols is needed for that, which the driver holds.
-2. All other words are exchanged at once, in Spark: for each word, the classes to its left and right
-   are counted over the corpus, and the word moves from the class of the rest to the one that most
-   raises the likelihood under the class table of step 1.
-3. With these classes the class table is counted anew. A pair of two words beyond the head, whose
-   classes no task can look up, is shared out by the marginals of such pairs.
+1. Texts are read twice: words are counted, then each text is written as numbers of the HEAD commonest
+   words, with its rarer words beside them. All later steps read these numbers.
+2. Pairs of neighbours are counted, and each word's neighbours are brought together, in blocks of whole
+   words. A word has at most 2 (HEAD + 2) of them, whatever the corpus.
+3. The SEEDS commonest words are exchanged one after another, from their own table, which the driver
+   holds: the classes to begin with.
+4. All words of the head are exchanged in rounds. A round is one pass over the blocks: half of the words
+   move to the class that makes their neighbours' classes likeliest, and the class table is counted anew.
+   It ends when two rounds in a row do not raise the likelihood by a part of TOLERANCE; the best round
+   counts. The driver holds the classes of the head and the class table.
+5. Rarer words are placed once, in Spark, by the classes to their left and right. A pair of two such
+   words, whose classes no task can look up, is shared out by the marginals of such pairs.
 
 The end is a class of its own, and so is the unseen word. Transitions and emissions are smoothed by
 adding 0.5, and each class emits its own words alone, so that probabilities add up to one.
@@ -30,6 +34,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,12 +42,14 @@ from pyspark.sql import functions as F
 from fonoteca.llm import common
 
 FOLDS, HELD_OUT = 5, 1
-HEAD, CLUSTERED, CLASSES, PASSES = 200_000, 800, 40, 8
+HEAD, SEEDS, CLASSES, PASSES, TOLERANCE = 200_000, 800, 40, 8, 1e-3
 #: The end token; no word holds a blank.
 END = b" "
 FLUSH = 300_000
 #: Bytes of text whose tokens are numbered together.
 RUN = 8 << 20
+#: Entries of a block of neighbours, about, and the parts that they are dealt to at most.
+BLOCK, PARTS = 1 << 20, 4096
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -111,22 +118,132 @@ def commonest(counts: DataFrame, most: int) -> DataFrame:
     return words.where((-F.col("n") < last["less"]) | (-F.col("n") == last["less"]) & (F.shiftrightunsigned("h", 48) <= last["bucket"])) if last is not None else words.where("false")
 
 
-def symbol_bigrams(texts: DataFrame, clustered: list[bytes]) -> DataFrame:
-    """(i, j, n): how often symbol j follows i. Symbols: the clustered words, then the rest, then the end."""
-    rest, end = len(clustered), len(clustered) + 1
-    size = end + 1
+def encoded(rows: DataFrame, words: list[bytes]) -> DataFrame:
+    """id, held_out, uid, ids and rare of rows (id, held_out, text as bytes).
+
+    ids are the places of a text's tokens in words (at most HEAD), as 32-bit numbers; len(words) stands
+    for a word that is not there, which rare has, and len(words) + 1 for the end.
+    """
+    kind, beyond = rows.schema["id"].dataType.simpleString(), len(words)
+    sent = rows.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, counts = {w: i for i, w in enumerate(clustered)}.get, np.zeros(size * size, dtype=np.int64)
+        from pyspark import TaskContext
+
+        get, uid = {w: i for i, w in enumerate(sent.value)}.get, TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in common.runs(batch, most=RUN):
-                names, tokens, _ = numbered(part.column(0).to_pylist())
-                seen = np.array([end, *(get(w, rest) for w in names[1:])])[tokens]
-                counts += np.bincount(seen[:-1] * size + seen[1:], minlength=size * size)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at // size), pa.array(at % size), pa.array(counts[at])], names=["i", "j", "n"])
+                names, tokens, stops = numbered(part.column(2).to_pylist())
+                tokens, n = tokens[1:], part.num_rows
+                ids = np.array([beyond + 1, *(get(w, beyond) for w in names[1:])], dtype="<i4")[tokens]
+                at = np.flatnonzero(ids == beyond)
+                arrays = (
+                    pa.array(np.arange(uid, uid + n)),
+                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * stops).astype(np.int32)), pa.py_buffer(ids)]),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(at, stops), pa.int32()), pa.array([names[i] for i in tokens[at].tolist()], pa.binary())),
+                )
+                uid += n
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["id", "held_out", "uid", "ids", "rare"])
+
+    return rows.mapInArrow(run, f"id {kind}, held_out boolean, uid long, ids binary, rare array<binary>")
+
+
+def flat(column: pa.Array, kind: str = "<i4") -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
+def paths(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Runs of encoded texts, with their tokens after an end."""
+    for batch in batches:
+        for part in common.runs(batch, "ids", RUN):
+            yield part, np.append(np.int32(end), flat(part.column("ids")))
+
 
-    return texts.mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+def neighbours(seen: DataFrame, head: int, tokens: int) -> DataFrame:
+    """(w, at, n) as packed arrays, in blocks of whole words: how often at stands by w.
+
+    at is a token that stands left of w, or head + 2 and a token that stands right of it. Pairs are
+    summed by pair before they are brought together by word, so a common word is no hot key.
+    """
+    size = head + 2
+    parts = min(max(1, -(-2 * tokens // (2 * BLOCK))), PARTS)
+    fields = "w binary, at binary, n binary"
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, path in paths(batches, head + 1):
+            keys, n = np.unique(path[:-1].astype(np.int64) * size + path[1:], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, total = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            (left, right), n = np.divmod(np.concatenate(keys), size), np.concatenate(counts)
+            w, at, n = np.append(left, right).astype("<i4"), np.append(right + size, left).astype("<i4"), np.append(n, n)
+            order = np.lexsort((at, w, w % parts))
+            w, at, n = w[order], at[order], n[order]
+            begins = np.append(0, np.flatnonzero(np.diff(w % parts)) + 1)
+            ends = np.append(begins[1:], len(w))
+            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(begins.tolist(), ends.tolist())], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(w[begins] % parts, pa.int64()), cut(w), cut(at), cut(n)], names=["part", "w", "at", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys.append(batch.column(0).to_numpy())
+            counts.append(batch.column(1).to_numpy())
+            total += batch.num_rows
+            if total >= BLOCK:
+                yield out()
+                keys, counts, total = [], [], 0
+        if total:
+            yield out()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(flat(b.column("w")), flat(b.column("at")), flat(b.column("n"), "<i8")) for b in batches if b.num_rows]
+        if not got:
+            return
+        w, at, n = (np.concatenate(x) for x in zip(*got))
+        order = np.argsort(w, kind="stable")
+        w, at, n = w[order], at[order], n[order]
+        ends = np.append(np.flatnonzero(np.diff(w)) + 1, len(w))
+        begin = 0
+        while begin < len(w):
+            end = int(ends[min(np.searchsorted(ends, begin + BLOCK), len(ends) - 1)])
+            yield pa.RecordBatch.from_arrays([pa.array([x[begin:end].tobytes()], pa.binary()) for x in (w, at, n)], names=["w", "at", "n"])
+            begin = end
+
+    summed = seen.select("ids").mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return summed.mapInArrow(dealt, f"part long, {fields}").repartition(parts, "part").mapInArrow(merged, fields)
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            yield flat(one.column(0)), flat(one.column(1)), flat(one.column(2), "<i8")
+
+
+def seed_bigrams(near: DataFrame, head: int, seeds: int, tokens: int) -> np.ndarray:
+    """How often a symbol follows a symbol: the seeds, the rest, the end."""
+    rest, end, size = seeds, seeds + 1, seeds + 2
+    symbol = np.append(np.minimum(np.arange(head + 1), rest), end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, at, n in blocks(batches):
+            own, other, after = symbol[w], symbol[at % (head + 2)], at >= head + 2
+            # What follows a symbol of one word is in its block; what follows the rest is in that of the next.
+            taken = (own != rest) & (after | (other == rest))
+            cells = np.where(after, own * size + other, other * size + own)[taken]
+            counts = np.bincount(cells, n[taken], size * size) if len(cells) else np.zeros(0)
+            cells = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], names=["cell", "n"])
+
+    got = near.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most (seeds + 2) squared rows
+    table = np.zeros(size * size)
+    table[got["cell"]] = got["n"]
+    table[rest * size + rest] = tokens - table.sum()
+    return table.reshape(size, size)
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -173,52 +290,100 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
     return of
 
 
-def contexts(texts: DataFrame, class_of: dict[bytes, int], classes: int, table: bool) -> DataFrame:
-    """(h, at, n): for each word without a class, how often a class stands left (at < size) or right of it.
+def gains_of(table: np.ndarray) -> np.ndarray:
+    """A row for each class left (the first half) or right of a word, what it speaks for each class, as a log."""
+    classes, size = len(table) - 2, len(table)
+    to_right = np.log((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * size))[:classes]
+    to_left = np.log((table + 0.5) / (table.sum(0, keepdims=True) + 0.5 * size)).T[:classes]
+    return np.concatenate([to_left, to_right], axis=1).T
+
+
+def likelihood(table: np.ndarray) -> float:
+    """The log likelihood of the class bigrams, without what no exchange changes."""
+    return float(xlogx(table).sum() - xlogx(table.sum(0)).sum() - xlogx(table.sum(1)).sum())
+
 
-    size is classes + 2: the class of the rest and the end come after the classes. With table, rows of
-    a null h count the class of one token (at // size) with that of the next (at % size).
+def round_of(near: DataFrame, of: np.ndarray, table: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class table under of, the classes of all tokens, and their next classes by an earlier table.
+
+    Words without a class all move; of the others, those that have their turn.
     """
-    rest, end, size = classes, classes + 1, classes + 2
-    sent = texts.sparkSession.sparkContext.broadcast(class_of)  # at most HEAD words
+    head, size, gains = len(of) - 2, len(table), gains_of(table)
+    sent = near.sparkSession.sparkContext.broadcast(of)  # at most HEAD + 2 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, pairs = sent.value.get, np.zeros(size * size, dtype=np.int64)
-        for batch in batches:
-            for part in common.runs(batch, most=RUN):
-                names, tokens, _ = numbered(part.column(0).to_pylist())
-                kinds = np.array([end, *(get(w, rest) for w in names[1:])])[tokens]
-                pairs += np.bincount(kinds[:-1] * size + kinds[1:], minlength=size * size)
-                at = np.flatnonzero(kinds == rest)
-                words = tokens[at] * 2 * size
-                keys, n = np.unique(np.concatenate([words + kinds[at - 1], words + size + kinds[at + 1]]), return_counts=True)
-                owners, at = np.divmod(keys, 2 * size)
-                found, own = np.unique(owners, return_inverse=True)
-                h = np.array([key_of(names[i]) for i in found.tolist()], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(at), pa.array(n)], names=["h", "at", "n"])
-        if table:
-            at = np.flatnonzero(pairs)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(at), pa.array(pairs[at])], names=["h", "at", "n"])
-
-    return texts.mapInArrow(run, "h long, at long, n long")
-
-
-def moved(found: DataFrame, table: np.ndarray) -> DataFrame:
-    """(h, class): each word's best class, given the class table with the rest and the end as its last two."""
-    size, classes = len(table), len(table) - 2
-    to_right = np.log((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * size))[:classes]
-    to_left = np.log((table + 0.5) / (table.sum(0, keepdims=True) + 0.5 * size)).T[:classes]
-    gains = np.concatenate([to_left, to_right], axis=1).T
-    sums = found.groupBy("h", "at").agg(F.sum("n").alias("n")).groupBy("h").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+        of, pairs = sent.value, np.zeros((size, size))
+        for w, at, n in blocks(batches):
+            first = np.append(True, w[1:] != w[:-1])
+            words, rows = w[first], np.cumsum(first) - 1
+            kinds = of[at % (head + 2)] + size * (at >= head + 2)
+            seen = np.bincount(rows * 2 * size + kinds, n, len(words) * 2 * size).reshape(-1, 2 * size)
+            own = of[words]
+            pairs += np.eye(size)[own].T @ seen[:, size:]
+            best = np.argmax(seen @ gains, axis=1)
+            moving = np.flatnonzero((words < head) & (best != own) & ((own == size - 2) | ((words + turn) % 2 == 0)))
+            yield pa.RecordBatch.from_arrays([pa.array(words[moving], pa.int64()), pa.array(best[moving].astype(float))], names=["at", "value"])
+        cells = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(head + cells), pa.array(pairs.ravel()[cells])], names=["at", "value"])
+
+    got = near.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
+    at, value = got["at"].to_numpy(), got["value"].to_numpy()
+    sent.unpersist()
+    now, then, is_word = np.zeros(size * size), of.copy(), at < head
+    now[at[~is_word] - head] = value[~is_word]
+    then[at[is_word]] = value[is_word].astype(of.dtype)
+    return now.reshape(size, size), then
+
+
+def exchanged(near: DataFrame, of: np.ndarray, table: np.ndarray, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of the head, the rest and the end, and the class table under them, from classes of the seeds and their table."""
+    _, of = round_of(near, of, table, 0)
+    best, least, turn, idle = None, -np.inf, 0, 0
+    while idle < 2:
+        turn += 1
+        now, then = round_of(near, of, table, turn)
+        gained = likelihood(now)
+        idle = 0 if gained > least + tolerance * abs(least) or best is None else idle + 1
+        if gained > least:
+            best, least = (of, now), gained
+        if (then == of).all():
+            break
+        of, table = then, now
+    return best
+
+
+def contexts(seen: DataFrame, of: np.ndarray, size: int) -> DataFrame:
+    """(h, at, n): for each word beyond the head, how often a class stands left (at < size) or right of it."""
+    head = len(of) - 2
+    sent = seen.sparkSession.sparkContext.broadcast(of)  # at most HEAD + 2 numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, path in paths(batches, head + 1):
+            at, kinds = np.flatnonzero(path == head), sent.value[path]
+            numbers: defaultdict[bytes, int] = defaultdict()
+            numbers.default_factory = numbers.__len__
+            words = np.array([numbers[w] for w in part.column("rare").flatten().to_pylist()], dtype=np.int64) * 2 * size
+            h = np.array([key_of(w) for w in numbers], dtype=np.int64)
+            keys, n = np.unique(np.concatenate([words + kinds[at - 1], words + size + kinds[at + 1]]), return_counts=True)
+            owners, places = np.divmod(keys, 2 * size)
+            yield pa.RecordBatch.from_arrays([pa.array(h[owners]), pa.array(places), pa.array(n)], names=["h", "at", "n"])
+
+    found = seen.where(F.size("rare") > 0).select("ids", "rare").mapInArrow(run, "h long, at long, n long")
+    return found.groupBy("h", "at").agg(F.sum("n").alias("n"))
+
+
+def placed(found: DataFrame, table: np.ndarray) -> DataFrame:
+    """(h, class): the best class of each word of contexts, given the class table."""
+    size, gains = len(table), gains_of(table)
+    lists = found.groupBy("h").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))  # at most 2 size entries a word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            rows = np.repeat(np.arange(batch.num_rows), sizes)
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
             seen = np.bincount(rows * 2 * size + batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy(), batch.num_rows * 2 * size).reshape(-1, 2 * size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.argmax(seen @ gains, axis=1), pa.int64())], names=["h", "class"])
 
-    return sums.mapInArrow(run, "h long, class long")
+    return lists.mapInArrow(run, "h long, class long")
 
 
 @dataclass
@@ -241,48 +406,51 @@ class Model:
         return np.where(class_of >= self.classes, 0.0, np.log10(n + 0.5) - np.log10(self.scale)[class_of])
 
 
-def train(texts: DataFrame, head: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> Model:
+def counted(texts: DataFrame, head: int) -> tuple[DataFrame, pd.DataFrame]:
+    """The counts of all words, and the commonest: word, h and n, the commonest first."""
     counts = common.materialise(word_counts(texts))
+    top = commonest(counts, head).select("word", "h", "n").toPandas()  # at most head rows
+    top["word"] = top["word"].map(bytes)
+    return counts, top.sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
+
+
+def fitted(counts: DataFrame, top: pd.DataFrame, seen: DataFrame, seeds: int, classes: int) -> Model:
+    """The model of encoded training texts."""
     all_tokens, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0))).first()
-    common_words = commonest(counts, head)
-    rows = common_words.select("word", "n").toPandas()  # at most head rows
-    rows["word"] = rows["word"].map(bytes)
-    top = rows.sort_values(["n", "word"], ascending=[False, True])["word"].tolist()[:clustered]
-
-    got = symbol_bigrams(texts, top).toPandas()  # at most (clustered + 2) squared rows
-    bigrams = np.zeros((len(top) + 2, len(top) + 2))
-    bigrams[got["i"], got["j"]] = got["n"]
-    class_of = exchange(bigrams, classes) if top else np.array([1, 2])
+    head, seeds = len(top), min(seeds, len(top))
+    near = common.materialise(neighbours(seen, head, int(all_tokens)))
+    bigrams = seed_bigrams(near, head, seeds, int(all_tokens))
+    class_of = exchange(bigrams, classes) if seeds else np.array([1, 2])
     classes = int(class_of[-2])
     member = np.eye(classes + 2)[class_of]
-    first = dict(zip(top, class_of.tolist()))
-    others = common.materialise(moved(contexts(texts, first, classes, False), member.T @ bigrams @ member))
-    of_top = counts.sparkSession.createDataFrame([(key_of(w), int(k)) for w, k in first.items()], "h long, class long")
-    placed = others.unionByName(of_top)
-    vocabulary = common.materialise(counts.where(F.col("word") != F.lit(END)).join(placed, "h", "left").withColumn("class", F.coalesce("class", F.lit(0))))
-
-    known = commonest(vocabulary, head).select("word", "n", "class").toPandas()
-    known = dict(zip(map(bytes, known["word"]), zip(known["n"].tolist(), known["class"].tolist())))
-    met = contexts(texts, {w: k for w, (_, k) in known.items()}, classes, True).join(others, "h", "left").groupBy("class", F.col("h").isNull().alias("pair"), "at")
-    transition = class_table(met.agg(F.sum("n").alias("n")).collect(), classes)  # at most 3 (classes + 2) squared rows
+    of = np.append(class_of[:seeds], [classes] * (head - seeds) + [classes, classes + 1]).astype(np.int32)
+    of, pairs = exchanged(near, of, member.T @ bigrams @ member)
+
+    found = common.materialise(contexts(seen, of, classes + 2))
+    others = common.materialise(placed(found, pairs))
+    of_head = pd.DataFrame({"h": top["h"].astype("int64"), "class": of[:head].astype("int64")})
+    known = counts.sparkSession.createDataFrame(of_head, "h long, class long")
+    vocabulary = counts.where(F.col("word") != F.lit(END)).join(others.unionByName(known), "h", "left")
+    vocabulary = common.materialise(vocabulary.withColumn("class", F.coalesce("class", F.lit(0))))
+    met = found.join(others, "h").groupBy("class", "at").agg(F.sum("n").alias("n")).collect()  # at most 2 (classes + 2) squared rows
+    transition = class_table(met, pairs)
     scale = np.full(classes, 0.5)
     for k, n, size in vocabulary.groupBy("class").agg(F.sum("n"), F.count("*")).collect():
         scale[k] = n + 0.5 * size
     kinds = classes + 2
     logs = np.log10((transition + 0.5) / (transition.sum(1, keepdims=True) + 0.5 * kinds))
-    return Model(classes, int(all_tokens), int(distinct), int(ends), vocabulary, known, logs, np.append(scale, [1.0, 1.0]))
-
-
-def class_table(rows: list, classes: int) -> np.ndarray:
-    """How often a class follows a class, from the pairs of known classes and the contexts of the other words."""
-    rest, size = classes, classes + 2
-    pairs, left, right = np.zeros((size, size)), np.zeros((classes, size)), np.zeros((classes, size))
-    for k, pair, at, n in rows:
-        if pair:
-            pairs[at // size, at % size] += n
-        else:
-            (left if at < size else right)[k or 0, at % size] += n
-    table = np.zeros((classes + 2, classes + 2))
+    table = dict(zip(top["word"], zip(top["n"].tolist(), of[:head].tolist())))
+    return Model(classes, int(all_tokens), int(distinct), int(ends), vocabulary, table, logs, np.append(scale, [1.0, 1.0]))
+
+
+def class_table(rows: list, pairs: np.ndarray) -> np.ndarray:
+    """How often a class follows a class, from the pairs of the head and the end and the contexts of the other words."""
+    rest, size = len(pairs) - 2, len(pairs)
+    classes = rest
+    left, right = np.zeros((classes, size)), np.zeros((classes, size))
+    for k, at, n in rows:
+        (left if at < size else right)[k, at % size] += n
+    table = np.zeros((size, size))
     known = [*range(classes), classes + 1]  # the end is the last in contexts and the last but one here
     table[: classes + 1, : classes + 1] = pairs[np.ix_(known, known)]
     table[: classes + 1, :classes] += left[:, known].T
@@ -292,59 +460,61 @@ def class_table(rows: list, classes: int) -> np.ndarray:
     return table
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> DataFrame:
+def train(texts: DataFrame, head: int = HEAD, seeds: int = SEEDS, classes: int = CLASSES) -> Model:
+    counts, top = counted(texts, head)
+    rows = texts.select(F.lit(None).cast("long").alias("id"), F.lit(False).alias("held_out"), common.TEXT)
+    return fitted(counts, top, common.materialise(encoded(rows, top["word"].tolist())), seeds, classes)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, seeds: int = SEEDS, classes: int = CLASSES) -> DataFrame:
     fold = F.coalesce(common.doc_crc(F.col(id_col)) % FOLDS == HELD_OUT, F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), fold.alias("held_out"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(common.TEXT))
-    model = train(rows.where("not held_out").select(common.TEXT), head, clustered, classes)
-    return scored(rows, model).withColumnRenamed("id", id_col)
+    counts, top = counted(rows.where("not held_out").select(common.TEXT), head)
+    seen = common.materialise(encoded(rows, top["word"].tolist()))
+    model = fitted(counts, top, seen.where("not held_out"), seeds, classes)
+    return scored_ids(seen, model).withColumnRenamed("id", id_col)
 
 
 def scored(rows: DataFrame, model: Model) -> DataFrame:
     """The scores of rows (id, held_out, text as bytes)."""
-    end, unseen, transition = model.classes, model.classes + 1, model.transition
-    base_scale = -float(np.log10(model.all_tokens + 0.5 * (model.distinct + 1)))
-    base_end, ends = float(np.log10(model.ends + 0.5)) + base_scale, model.ends
-    words, (n, class_of) = list(model.head), np.array(list(model.head.values()), dtype=np.int64).reshape(-1, 2).T
-    # Words beyond the head have the last place; they are joined later.
-    base = np.append(np.log10(n + 0.5) + base_scale, base_scale)
-    emission = np.append(model.emission(n, class_of), 0.0)
-    sent = rows.sparkSession.sparkContext.broadcast((words, base, emission, np.append(class_of, -1)))
+    return scored_ids(common.materialise(encoded(rows, list(model.head))), model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        words, base, emission, class_of = sent.value
-        get, uid = {w: i for i, w in enumerate(words)}.get, TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for part in common.runs(batch, most=RUN):
-                names, tokens, stops = numbered(part.column(2).to_pylist())
-                at = np.array([-2, *(get(w, -1) for w in names[1:])])[tokens]
-                path = np.where(at == -2, end, class_of[at])
-                of_text = lambda values, stops=stops: np.add.reduceat(values, stops[:-1]) if len(stops) > 1 else np.zeros(0)
-                # A text's tokens are those after one stop up to the next; its pairs begin at these stops.
-                both = (path[:-1] >= 0) & (path[1:] >= 0)
-                pairs = np.where(both, transition[path[:-1], path[1:]], 0.0)
-                local = of_text(pairs) + of_text(np.where(at == -2, 0.0, emission[at])[1:])
-                tail = np.flatnonzero(at == -1)
-                lists = pa.array(np.searchsorted(tail, stops), pa.int32())
-                n = len(stops) - 1
-                size = np.diff(stops)
-                arrays = (
-                    pa.array(np.arange(uid, uid + n)),
-                    pa.array(size),
-                    pa.array(size - np.diff(lists.to_numpy()) - (ends == 0)),
-                    pa.array(of_text(np.where(at == -2, base_end, base[at])[1:])),
-                    pa.array(local),
-                    pa.ListArray.from_arrays(lists, pa.array([names[i] for i in tokens[tail].tolist()], pa.binary())),
-                    pa.ListArray.from_arrays(lists, pa.array(path[tail - 1])),
-                    pa.ListArray.from_arrays(lists, pa.array(path[tail + 1])),
-                )
-                uid += n
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["id", "held_out", "uid", "n_tokens", "known", "base", "local", "word", "before", "after"])
+def scored_ids(seen: DataFrame, model: Model) -> DataFrame:
+    """The scores of texts that were encoded with the model's head."""
+    head, end, unseen, transition = len(model.head), model.classes, model.classes + 1, model.transition
+    base_scale = -float(np.log10(model.all_tokens + 0.5 * (model.distinct + 1)))
+    n, class_of = np.array(list(model.head.values()), dtype=np.int64).reshape(-1, 2).T
+    # Words beyond the head have the last place but one; they are joined later.
+    base = np.append(np.log10(n + 0.5) + base_scale, [base_scale, np.log10(model.ends + 0.5) + base_scale])
+    emission = np.append(model.emission(n, class_of), [0.0, 0.0])
+    sent = seen.sparkSession.sparkContext.broadcast((base, emission, np.append(class_of, [-1, end])))
+    end_known = int(model.ends > 0)
 
-    kind = rows.schema["id"].dataType.simpleString()
-    local = common.materialise(rows.mapInArrow(run, f"id {kind}, held_out boolean, uid long, n_tokens long, known long, base double, local double, word array<binary>, before array<long>, after array<long>"))
-    tail = local.select("uid", F.posexplode(F.arrays_zip("word", "before", "after")).alias("place", "x")).select("uid", "place", "x.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, emission, class_of = sent.value
+        for part, path in paths(batches, head + 1):
+            sizes = np.array([len(x) // 4 for x in part.column("ids").to_pylist()], dtype=np.int64)
+            of_text = lambda values, begins=np.cumsum(sizes) - sizes: np.add.reduceat(values, begins)
+            kinds, ids = class_of[path], path[1:]
+            # A text's pairs begin at the end before it, and each text has an end.
+            both = (kinds[:-1] >= 0) & (kinds[1:] >= 0)
+            pairs = np.where(both, transition[kinds[:-1], kinds[1:]], 0.0)
+            known = of_text((ids < head).astype(np.int64)) + end_known
+            arrays = pa.array(sizes), pa.array(known), pa.array(of_text(base[ids])), pa.array(of_text(pairs + emission[ids]))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *arrays], names=["id", "held_out", "uid", "n_tokens", "known", "base", "local"])
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of = sent.value[2]
+        for part, path in paths(batches, head + 1):
+            kinds, at = class_of[path], np.flatnonzero(path == head)
+            uid = np.repeat(part.column("uid").to_numpy(), np.diff(part.column("rare").offsets.to_numpy()))
+            arrays = pa.array(uid), pa.array(at), part.column("rare").flatten(), pa.array(kinds[at - 1]), pa.array(kinds[at + 1])
+            yield pa.RecordBatch.from_arrays([*arrays], names=["uid", "place", "word", "before", "after"])
+
+    kind = seen.schema["id"].dataType.simpleString()
+    local = seen.select("id", "held_out", "uid", "ids").mapInArrow(run, f"id {kind}, held_out boolean, uid long, n_tokens long, known long, base double, local double")
+    tail = seen.where(F.size("rare") > 0).select("uid", "ids", "rare").mapInArrow(beyond, "uid long, place long, word binary, before long, after long")
     met = tail.join(model.vocabulary.select("word", "n", "class"), "word", "left").select("uid", "place", "before", "after", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(unseen)).alias("class"))
     # What stands before a rare word and is rare too is the one before it in the list.
     before = F.when(F.col("before") >= 0, F.col("before")).otherwise(F.lag("class").over(Window.partitionBy("uid").orderBy("place")))
@@ -360,7 +530,7 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
     sums = met.select("uid", "before", "after", "n", "class").mapInArrow(logs, "uid long, base double, own double, known long")
     sums = sums.groupBy("uid").agg(F.sum("base").alias("base_more"), F.sum("own").alias("more"), F.sum("known").alias("known_more"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return local.drop("word", "before", "after").join(sums, "uid", "left").select(
+    return local.join(sums, "uid", "left").select(
         "id",
         "held_out",
         "n_tokens",

@@ -593,7 +593,7 @@ def test_every_pair_within_the_radius_shares_a_key():
 
 
 def test_class_model_base_and_normalisation(docs, empty):
-    got = class_lm.score(docs, head=40, clustered=20, classes=4).collect()
+    got = class_lm.score(docs, head=40, seeds=20, classes=4).collect()
     rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     counts = Counter(w for i, t in rows if not held(i) for w in [*t.encode().lower().split(), b" "])
