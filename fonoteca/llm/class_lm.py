@@ -239,9 +239,9 @@ def seed_bigrams(near: DataFrame, head: int, seeds: int, tokens: int) -> np.ndar
             cells = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], names=["cell", "n"])
 
-    got = near.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most (seeds + 2) squared rows
+    got = near.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most (seeds + 2) squared rows
     table = np.zeros(size * size)
-    table[got["cell"]] = got["n"]
+    table[got["cell"].to_numpy()] = got["n"].to_numpy()
     table[rest * size + rest] = tokens - table.sum()
     return table.reshape(size, size)
 
@@ -326,7 +326,7 @@ def round_of(near: DataFrame, of: np.ndarray, table: np.ndarray, turn: int) -> t
         cells = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(head + cells), pa.array(pairs.ravel()[cells])], names=["at", "value"])
 
-    got = near.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
+    got = near.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()  # words that move, and the class table
     at, value = got["at"].to_numpy(), got["value"].to_numpy()
     sent.unpersist()
     now, then, is_word = np.zeros(size * size), of.copy(), at < head
@@ -409,8 +409,7 @@ class Model:
 def counted(texts: DataFrame, head: int) -> tuple[DataFrame, pd.DataFrame]:
     """The counts of all words, and the commonest: word, h and n, the commonest first."""
     counts = common.materialise(word_counts(texts))
-    top = commonest(counts, head).select("word", "h", "n").toPandas()  # at most head rows
-    top["word"] = top["word"].map(bytes)
+    top = commonest(counts, head).select("word", "h", "n").toArrow().to_pandas()  # at most head rows
     return counts, top.sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
 
 
@@ -428,8 +427,7 @@ def fitted(counts: DataFrame, top: pd.DataFrame, seen: DataFrame, seeds: int, cl
 
     found = common.materialise(contexts(seen, of, classes + 2))
     others = common.materialise(placed(found, pairs))
-    of_head = pd.DataFrame({"h": top["h"].astype("int64"), "class": of[:head].astype("int64")})
-    known = counts.sparkSession.createDataFrame(of_head, "h long, class long")
+    known = counts.sparkSession.createDataFrame(pa.table({"h": pa.array(top["h"], pa.int64()), "class": pa.array(of[:head], pa.int64())}))
     vocabulary = counts.where(F.col("word") != F.lit(END)).join(others.unionByName(known), "h", "left")
     vocabulary = common.materialise(vocabulary.withColumn("class", F.coalesce("class", F.lit(0))))
     met = found.join(others, "h").groupBy("class", "at").agg(F.sum("n").alias("n")).collect()  # at most 2 (classes + 2) squared rows
