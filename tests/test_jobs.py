@@ -110,6 +110,15 @@ def test_look_up_skips_what_the_keys_cannot_be_in(spark):
         assert rows_scanned(lookups.wanted(spark.read.parquet(path), "h", keys)) <= 20000 * 0.2
 
 
+def test_long_lists_of_keys_do_not_overflow_the_scan(spark):
+    df = spark.range(20000).select(F.md5(F.col("id").cast("string")).alias("h"), "id")
+    path = tables.new_path(spark)
+    lookups.lay_out(df, path, "h", n_files=2)
+    for n in (lookups.PIECE - 1, lookups.PIECE, lookups.PIECE + 1, 3 * lookups.PIECE, 9000):
+        assert sorted(r["id"] for r in lookups.look_up(spark, path, "h", df.where(f"id < {n}"), ["id"]).collect()) == list(range(n))
+    assert lookups.look_up(spark, path, "h", df.where("id < 0")).isEmpty()
+
+
 # Providers.
 def test_providers_get_the_filters(spark):
     rows = [("discogs", 1, "A", "One", 90.0, 1, "x", "1999"), ("deezer", 1, "A", "One", 70.0, 2, "y", "1999"), ("itunes", 2, "B", "Two", 95.0, 3, None, None), (None, 3, "C", "Three", 1.0, 4, "", "")]
