@@ -112,8 +112,10 @@ def extras(files: DataFrame, junk: tuple[str, ...] = ("thumbs.db", "desktop.ini"
     return rows.where(F.col("ext").isin(*only)) if only else rows
 
 
-def content_hash(content: Column, length: Column) -> Column:
-    """Of the length, the first and, of more than two of them, the last 64 KiB."""
+def content_hash(content: Column, length: Column, whole: bool = False) -> Column:
+    """Of the length, the first and, of more than two of them, the last 64 KiB; or of the length and all of the content."""
+    if whole:
+        return F.sha1(F.concat(length.cast("string").cast("binary"), content))
     tail = F.when(length > 2 * HEAD, F.substring(content, -HEAD, HEAD)).otherwise(F.lit(b""))
     return F.sha1(F.concat(length.cast("string").cast("binary"), F.substring(content, 1, HEAD), tail))
 
