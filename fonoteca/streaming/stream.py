@@ -64,35 +64,52 @@ def current(spark: SparkSession, table: str) -> DataFrame | None:
     return previous(spark, table, 1 << 62)
 
 
+#: Paths share so many keys of state: a call reads and writes a bucket of paths at once, as each call costs milliseconds.
+BUCKETS = 1024
+
+
 class Changed(StatefulProcessor):
-    """Keeps the size and the time of each path, and lets through what is new or differs from them."""
+    """Keeps the size and the time of each path of a bucket, and lets through what is new or differs from them."""
 
     def __init__(self, drift: float, keep_ms: int | None):
         self.drift, self.keep_ms = drift, keep_ms
 
     def init(self, handle) -> None:
-        self.seen = handle.getValueState("seen", "size_bytes long, mtime double", self.keep_ms)
+        self.kept = handle.getValueState("bucket", "paths array<string>, sizes array<long>, mtimes array<double>, since array<long>", self.keep_ms)
+
+    def _load(self, timerValues) -> None:
+        self.now = timerValues.getCurrentProcessingTimeInMs() if self.keep_ms else 0
+        rows = zip(*(self.kept.get() or ()))
+        self.seen = {path: rest for path, *rest in rows if not self.keep_ms or rest[2] + self.keep_ms > self.now}
+        self.moved = False
 
-    def _take(self, size, mtime) -> str:
-        before = self.seen.get() if self.seen.exists() else None
+    def _save(self) -> None:
+        if self.moved:
+            self.kept.update((list(self.seen), *(list(c) for c in zip(*self.seen.values()))))
+
+    def _take(self, path, size, mtime) -> str:
+        before = self.seen.get(path)
         if before is not None and before[0] == size and before[1] is not None and mtime is not None and abs(before[1] - mtime) < self.drift:
             return "unchanged"
-        self.seen.update((size, mtime))
+        self.seen[path], self.moved = (size, mtime, self.now), True
         return "new" if before is None else "refreshed"
 
+    def _taken(self, part: pd.DataFrame) -> list[tuple]:
+        plain = lambda name, kind: [None if pd.isna(x) else kind(x) for x in part[name].tolist()]
+        rows = zip(plain("path", str), plain("size_bytes", int), plain("mtime", float))
+        return [(*row, kind) for row in rows if (kind := self._take(*row)) != "unchanged"]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for part in rows:
-            for size, mtime in zip(part["size_bytes"], part["mtime"]):
-                kind = self._take(None if pd.isna(size) else int(size), None if pd.isna(mtime) else float(mtime))
-                if kind != "unchanged":
-                    out.append((key[0], size, mtime, kind))
+        self._load(timerValues)
+        out = [row for part in rows for row in self._taken(part)]
+        self._save()
         if out:
             yield pd.DataFrame(out, columns=["path", "size_bytes", "mtime", "change"])
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        for size, mtime in zip(initialState["size_bytes"], initialState["mtime"]):
-            self._take(None if pd.isna(size) else int(size), None if pd.isna(mtime) else float(mtime))
+        self._load(timerValues)
+        self._taken(initialState)
+        self._save()
 
 
 @contextmanager
@@ -111,13 +128,14 @@ def changed_only(stream: DataFrame, catalogue: DataFrame | None = None, drift: f
     """path, size_bytes, mtime, change (new or refreshed): files of the stream that differ from what was seen of them.
 
     stream and catalogue have path, size_bytes, mtime; the catalogue is what a first run begins with. The state,
-    keyed by path, is in the checkpoint, so a stream that is started again goes on from what it had seen;
-    `keep_ms` lets go of paths that have not changed for so long. A size or a time that is null differs from all.
+    keyed by buckets of paths, is in the checkpoint, so a stream that is started again goes on from what it had seen;
+    a batch reads a bucket that it has paths of, and writes it if one of them changed. `keep_ms` lets go of paths
+    that have not changed for so long. A size or a time that is null differs from all.
     """
     sent_whole(__name__)
-    columns = ["path", "size_bytes", "mtime"]
-    initial = {} if catalogue is None else {"initialState": catalogue.select(*columns).groupBy("path")}
-    return stream.select(*columns).groupBy("path").transformWithStateInPandas(
+    columns = [F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).alias("bucket"), "path", "size_bytes", "mtime"]
+    initial = {} if catalogue is None else {"initialState": catalogue.select(*columns).groupBy("bucket")}
+    return stream.select(*columns).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=Changed(drift, keep_ms),
         outputStructType="path string, size_bytes long, mtime double, change string",
         outputMode="Update",

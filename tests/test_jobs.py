@@ -7,6 +7,7 @@ import math
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,37 @@ def test_a_stream_started_again_emits_changes_only(spark):
     assert again == sorted(first + [("c", "refreshed"), ("e", "new")])
 
 
+def test_a_bucket_of_paths_is_one_read_and_one_write_of_state():
+    calls, kept, clock = [], {}, [0]
+
+    class State:
+        get = staticmethod(lambda: (calls.append("get"), kept.get("v"))[1])
+        update = staticmethod(lambda v: (calls.append("update"), kept.update(v=v)))
+
+    class Handle:
+        getValueState = staticmethod(lambda *args: State)
+
+    class Times:
+        getCurrentProcessingTimeInMs = staticmethod(lambda: clock[0])
+
+    def run(paths, mtime, keep_ms=None):
+        taker = stream.Changed(1.0, keep_ms)
+        taker.init(Handle)
+        part = pd.DataFrame({"path": paths, "size_bytes": 1, "mtime": mtime})
+        return [r for out in taker.handleInputRows((3,), iter([part[:400], part[400:]]), Times) for r in out.itertuples(index=False)]
+
+    paths = [*(f"p{i}" for i in range(999)), None]
+    assert [r.change for r in run(paths, 1.0)] == ["new"] * 1000 and calls == ["get", "update"]
+    assert run(paths, 1.9) == [] and calls[2:] == ["get"]
+    assert [(r.path, r.change) for r in run([None, "p7", "p7", "q"], 2.0)] == [(None, "refreshed"), ("p7", "refreshed"), ("q", "new")]
+    kept.clear()
+    run(["a", "b"], 1.0, keep_ms=100)
+    clock[0] = 60
+    run(["b"], 9.0, keep_ms=100)
+    clock[0] = 120
+    assert [(r.path, r.change) for r in run(["a", "b"], 9.0, keep_ms=100)] == [("a", "new")]
+
+
 # Kept counts.
 def test_counts_kept_equal_counts_made_after_each_change(spark):
     rows = [(f"r{i % 4}", f"/r{i % 4}/{i % 6}", f"{i}.{['flac', 'mp3', 'jpg'][i % 3]}") for i in range(60)]
