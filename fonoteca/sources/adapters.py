@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Line items that a task of their joins gets, about.
+ROWS = 500_000
+
 FILES = """
 SELECT
   d.doc_id AS file_id,
@@ -73,9 +78,11 @@ def bare(sql: str) -> str:
     return sql
 
 
-def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def _run(spark: SparkSession, sf_dir: str, sql: str, tasks: int = 0, keys: dict[str, str] | None = None) -> DataFrame:
+    """The SQL over the tables of a folder; those that have a key are dealt out by it to so many tasks."""
     names = [n for n in ("documents", "labels", "lineitem", "part", "orders", "events") if "{" + n + "}" in sql]
-    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    read = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    return spark.sql(sql, **(read | {n: read[n].repartition(tasks, key) for n, key in (keys or {}).items()}))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +90,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, TRACKS)
+    """The tracks, by album. Rows of few bytes take many times these in sorts and hash maps, so by bytes a task would
+    get too many: of many line items, tasks are as many as their rows ask for, and the line items follow the tables
+    that they are joined with."""
+    tasks = ceil(spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() / ROWS)
+    if tasks <= spark.sparkContext.defaultParallelism:
+        return _run(spark, sf_dir, TRACKS)
+    return _run(spark, sf_dir, TRACKS, max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), {"part": "p_partkey", "orders": "o_orderkey"})
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
