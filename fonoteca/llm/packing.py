@@ -50,12 +50,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Marks that end words. Where a tokenizer parts them from letters and digits (of ASCII, which stay what they are), a word with some at its end is not encoded itself.
+ENDS = ".,;:!?"
 #: Words on which a tokenizer shows whether it joins what blanks part.
 PROBE = "The the end. 12 345 it's , and e\u0301 \u00e9t\u00e9 -- x\u00df _a 'll \u4e2d\u6587 \U0001f600"
 
 
 def loaded(path: str):
-    """The tokenizer, and the ids of the words that it has met."""
+    """The tokenizer, the marks that it parts from the words before them, and the ids of the words that it has met."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -66,19 +68,27 @@ def loaded(path: str):
         raise ValueError(f"{path}: over 65536 ids")
     if any(ids_of(mark.join(words)) != [i for word in words for i in ids_of(word)] for mark in (" ", "\n", "  ")):
         raise ValueError(f"{path}: joins words, or has ids for blanks")
-    return tokenizer, {}
+    pieces = lambda text: [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+    parted = lambda mark: all(pieces(end + mark) == pieces(end) + pieces(mark) for end in ("a", "end", "z9", "1", "A", "\u00e9z"))
+    return tokenizer, "".join(filter(parted, ENDS)) if tokenizer.pre_tokenizer else "", {}
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """16-bit ids of each text. The tokenizer drops white space and never joins what it parts, so a
-    text's ids are those of its blank-separated words, and a distinct word is encoded once."""
-    tokenizer, known = common.kept(("tokenizer", path), lambda: loaded(path))
+    text's ids are those of its blank-separated words, and a distinct word is encoded once; of words
+    that differ in the marks at their end, what is before these."""
+    tokenizer, ends, known = common.kept(("tokenizer", path), lambda: loaded(path))
     split = [lowered(text).replace("\n", " ").split(" ") for text in texts]
     if len(known) > REMEMBERED:
         known.clear()
-    new = list(set().union(*split).difference(known))
+    new = set().union(*split).difference(known)
+    ended = [(word, core, word[len(core) :]) for word in new if (core := word.rstrip(ends)) != word and core and core[-1].isascii() and core[-1].isalnum()]
+    new.difference_update(word for word, _, _ in ended)
+    new.update(part for _, *parts in ended for part in parts if part not in known)
+    new = list(new)
     for i in range(0, len(new), TOGETHER):
         known.update(encoded(tokenizer, new[i : i + TOGETHER]))
+    known.update((word, known[core] + known[end]) for word, core, end in ended)
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -96,7 +106,8 @@ TOGETHER, MARK = 50, "\x01"
 
 
 def encoded(tokenizer, words: list[str]) -> Iterator[tuple[str, bytes]]:
-    ids_of = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2")
+    # Without offsets, which nothing here asks for.
+    ids_of = lambda text: np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
     ids, mark = ids_of(f" {MARK} ".join(words)), ids_of(MARK)[0]
     ends = np.flatnonzero(ids == mark).tolist()
     if len(ends) != len(words) - 1:  # a word holds the mark

@@ -532,6 +532,21 @@ def shingle_sets(texts, k):
     return out
 
 
+
+def test_words_are_encoded_without_the_marks_at_their_end(monkeypatch):
+    path, asked = packing.default_tokenizer(), []
+    encoded = packing.encoded
+    monkeypatch.setattr(packing, "encoded", lambda tokenizer, words: encoded(tokenizer, asked.extend(words) or words))
+    from fonoteca.llm import common
+
+    common.give_up()
+    texts = ["one, one. one; ONE?! one... .", "\u0130. \u00df! x\u00b2; \u00e9. \"q\". 's. don't, a.b. 1,0.5, <|endoftext|>. \x01. k\x01, \u2167. a.\u0301 b,\u0338 \u4e2d. a.\tb."]
+    ids = packing.loaded(path)[0].encode
+    assert [list(np.frombuffer(x, dtype="<u2")) for x in packing.encode(texts, path)] == [ids(t, add_special_tokens=False).ids for t in texts]
+    assert asked.count("one") == 1 and not {"one,", "one.", "one;", "one..."} & set(asked)
+    common.give_up()
+
+
 def test_near_duplicates_match_brute_force(docs, empty):
     got = near_dup.near_duplicates(docs, k=3, percent=85).collect()
     sets = shingle_sets(dict(enumerate(TEXTS)), 3)
