@@ -78,11 +78,12 @@ def bare(sql: str) -> str:
     return sql
 
 
-def _run(spark: SparkSession, sf_dir: str, sql: str, tasks: int = 0, keys: dict[str, str] | None = None) -> DataFrame:
-    """The SQL over the tables of a folder; those that have a key are dealt out by it to so many tasks."""
+def _run(spark: SparkSession, sf_dir: str, sql: str, tasks: int = 0, keys: dict[str, str] | None = None, merged: str = "") -> DataFrame:
+    """The SQL over the tables of a folder; those that have a key are dealt out by it to so many tasks, and the merged one joins there."""
     names = [n for n in ("documents", "labels", "lineitem", "part", "orders", "events") if "{" + n + "}" in sql]
     read = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
-    return spark.sql(sql, **(read | {n: read[n].repartition(tasks, key) for n, key in (keys or {}).items()}))
+    dealt = {n: read[n].repartition(tasks, key) for n, key in (keys or {}).items()}
+    return spark.sql(sql, **(read | {n: df.hint("merge") if n == merged else df for n, df in dealt.items()}))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +93,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tracks, by album. Rows of few bytes take many times these in sorts and hash maps, so by bytes a task would
     get too many: of many line items, tasks are as many as their rows ask for, and the line items follow the tables
-    that they are joined with."""
+    that they are joined with. Orders are merged, never sent to tasks: what works on albums then finds the line items
+    dealt out by album into these tasks, and no task by bytes."""
     tasks = ceil(spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() / ROWS)
     if tasks <= spark.sparkContext.defaultParallelism:
         return _run(spark, sf_dir, TRACKS)
-    return _run(spark, sf_dir, TRACKS, max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), {"part": "p_partkey", "orders": "o_orderkey"})
+    return _run(spark, sf_dir, TRACKS, max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), {"part": "p_partkey", "orders": "o_orderkey"}, "orders")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
