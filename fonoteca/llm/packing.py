@@ -25,12 +25,15 @@ packed as rows; no rows give no pieces; sources of equal turn go by a hash and n
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +44,8 @@ SEQUENCE, QUANTUM, END = 4096, 128, 2
 BUCKET = 1 << 20
 #: Words whose ids a Python worker remembers over its tasks, about.
 REMEMBERED = 700_000
+#: Bytes of texts whose words are looked up together; the more, the fewer look-ups of common words.
+RUN = 8 << 20
 CHUNK = 1000
 
 
@@ -56,8 +61,26 @@ ENDS = ".,;:!?"
 PROBE = "The the end. 12 345 it's , and e\u0301 \u00e9t\u00e9 -- x\u00df _a 'll \u4e2d\u6587 \U0001f600"
 
 
+#: Words of small letters of Latin-1, and what a tokenizer does with texts that leaves each of them as it is, and whole.
+LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+KEEPS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+WHOLE = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def plain(tokenizer):
+    """A tokenizer with the same ids for blank-separated words of LETTERS, but without the steps that do nothing to them; the same one if it has others."""
+    spec = json.loads(tokenizer.to_str())
+    steps = [(spec[k] or {}).get(f"{k}s" if k == "normalizer" else "pretokenizers", []) for k in ("normalizer", "pre_tokenizer")]
+    if not steps[0] or any(step not in KEEPS for step in steps[0]) or [step if step == WHOLE else step["type"] for step in steps[1]] != [WHOLE, "ByteLevel"] or steps[1][1]["use_regex"]:
+        return tokenizer
+    if any(all(LETTERS(c) or c in f" {MARK}" for c in token["content"]) for token in spec["added_tokens"]):
+        return tokenizer
+    steps[1][0] = {"type": "WhitespaceSplit"}
+    return type(tokenizer).from_str(json.dumps(spec | {"normalizer": None}))
+
+
 def loaded(path: str):
-    """The tokenizer, the marks that it parts from the words before them, and the ids of the words that it has met."""
+    """The tokenizer, the marks that it parts from the words before them, the ids of the words that it has met, and the plain one."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -70,26 +93,36 @@ def loaded(path: str):
         raise ValueError(f"{path}: joins words, or has ids for blanks")
     pieces = lambda text: [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
     parted = lambda mark: all(pieces(end + mark) == pieces(end) + pieces(mark) for end in ("a", "end", "z9", "1", "A", "\u00e9z"))
-    return tokenizer, "".join(filter(parted, ENDS)) if tokenizer.pre_tokenizer else "", {}
+    return tokenizer, "".join(filter(parted, ENDS)) if tokenizer.pre_tokenizer else "", {}, plain(tokenizer)
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """16-bit ids of each text. The tokenizer drops white space and never joins what it parts, so a
     text's ids are those of its blank-separated words, and a distinct word is encoded once; of words
-    that differ in the marks at their end, what is before these."""
-    tokenizer, ends, known = common.kept(("tokenizer", path), lambda: loaded(path))
-    split = [lowered(text).replace("\n", " ").split(" ") for text in texts]
+    that differ in the marks at their end, what is before these. Words are looked up once a run of texts."""
+    tokenizer, ends, known, of_letters = common.kept(("tokenizer", path), lambda: loaded(path))
+    split = pc.split_pattern(pa.array([lowered(text).replace("\n", " ") for text in texts], pa.large_string()), " ")
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     if len(known) > REMEMBERED:
         known.clear()
-    new = set().union(*split).difference(known)
+    found = list(map(known.get, words))
+    at_new = [i for i, own in enumerate(found) if own is None]
+    new = {words[i] for i in at_new}
     ended = [(word, core, word[len(core) :]) for word in new if (core := word.rstrip(ends)) != word and core and core[-1].isascii() and core[-1].isalnum()]
     new.difference_update(word for word, _, _ in ended)
     new.update(part for _, *parts in ended for part in parts if part not in known)
-    new = list(new)
-    for i in range(0, len(new), TOGETHER):
-        known.update(encoded(tokenizer, new[i : i + TOGETHER]))
+    letters = set(filter(LETTERS, new))
+    for by, some in ((of_letters, list(letters)), (tokenizer, list(new - letters))):
+        for i in range(0, len(some), TOGETHER):
+            known.update(encoded(by, some[i : i + TOGETHER]))
     known.update((word, known[core] + known[end]) for word, core, end in ended)
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    for i in at_new:
+        found[i] = known[words[i]]
+    ids = pa.array(found, pa.large_binary()).take(coded.indices)
+    # The ids of all words follow each other in one buffer; a text ends where its last word does.
+    raw, at = ids.buffers()[2], np.frombuffer(ids.buffers()[1], dtype=np.int64)[split.offsets.to_numpy()].tolist()
+    return [raw[begin:end].to_pybytes() for begin, end in zip(at, at[1:])]
 
 
 def lowered(text: str) -> str:
@@ -102,7 +135,7 @@ def lowered(text: str) -> str:
 
 
 #: Words encoded in one call, and the mark between them, which is one id.
-TOGETHER, MARK = 50, "\x01"
+TOGETHER, MARK = 500, "\x01"
 
 
 def encoded(tokenizer, words: list[str]) -> Iterator[tuple[str, bytes]]:
@@ -130,7 +163,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, path
 
         task, so_far, end = TaskContext.get().partitionId(), {}, np.array([END], dtype="<u2").tobytes()
         for batch in batches:
-            for part in common.runs(batch, most=2 << 20):
+            for part in common.runs(batch, most=RUN):
                 texts = [t.decode("utf-8", "replace") for t in part.column(2).to_pylist()]
                 ids = [i + end for i in encode(texts, path)]
                 before = []

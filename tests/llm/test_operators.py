@@ -547,6 +547,30 @@ def test_words_are_encoded_without_the_marks_at_their_end(monkeypatch):
     common.give_up()
 
 
+def test_plain_words_are_encoded_without_needless_steps(monkeypatch):
+    from tokenizers import Tokenizer, normalizers
+
+    from fonoteca.llm import common
+
+    path, asked = packing.default_tokenizer(), {}
+    whole = Tokenizer.from_file(path)
+    encoded = packing.encoded
+    monkeypatch.setattr(packing, "encoded", lambda by, words: encoded(by, asked.setdefault(by.normalizer is None, []).extend(words) or words))
+    common.give_up()
+    every = "".join(chr(i) for i in range(0x100) if packing.LETTERS(chr(i)))
+    texts = ["", " ", "The the THE th\u00e9 \u00df\u00ff na\u00efve. e\u0301t\u00e9 it's \u01c5x \u0130i \u00b5m 1a a1 a\u00adb x\x01y", f"{every} {' '.join(every)} {every[::-1]}", "\u4e2d Up up"]
+    for some in ([], [""], [" ", ""], texts):
+        assert [list(np.frombuffer(x, dtype="<u2")) for x in packing.encode(some, path)] == [whole.encode(t, add_special_tokens=False).ids for t in some]
+    assert {"the", "th\u00e9", "\u00df\u00ff", every} <= set(asked[True]) and {"it's", "\u01c5x", "\u00b5m", "a1", "Up"} <= set(asked[False])
+    common.give_up()
+    # Other steps, or an added token that may be in a word: no plain one.
+    assert packing.plain(whole) is not whole
+    for change in (lambda t: t.add_tokens(["ab"]), lambda t: setattr(t, "normalizer", normalizers.StripAccents()), lambda t: setattr(t, "normalizer", normalizers.Sequence([normalizers.NFD()]))):
+        other = Tokenizer.from_file(path)
+        change(other)
+        assert packing.plain(other) is other
+
+
 def test_near_duplicates_match_brute_force(docs, empty):
     got = near_dup.near_duplicates(docs, k=3, percent=85).collect()
     sets = shingle_sets(dict(enumerate(TEXTS)), 3)
