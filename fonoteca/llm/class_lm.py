@@ -7,7 +7,8 @@ of CLASSES classes, by exchange:
 1. Texts are read twice: words are counted, then each text is written as numbers of the HEAD commonest
    words, with its rarer words beside them. All later steps read these numbers.
 2. Pairs of neighbours are counted, and each word's neighbours are brought together, in blocks of whole
-   words. A word has at most 2 (HEAD + 2) of them, whatever the corpus.
+   words. A word has at most 2 (HEAD + 2) of them, whatever the corpus. What tasks hand to each other
+   here and in the last step is packed in arrays, a row for each part that it is dealt to.
 3. The SEEDS commonest words are exchanged one after another, from their own table, which the driver
    holds: the classes to begin with.
 4. All words of the head are exchanged in rounds. A round is one pass over the blocks: half of the words
@@ -29,14 +30,16 @@ rows all counts are zero and each word is unseen; an empty table gives an empty
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fonoteca.llm import common
@@ -45,55 +48,88 @@ FOLDS, HELD_OUT = 5, 1
 HEAD, SEEDS, CLASSES, PASSES, TOLERANCE = 200_000, 800, 40, 8, 1e-3
 #: The end token; no word holds a blank.
 END = b" "
-FLUSH = 300_000
+#: Words of runs that a task counts together.
+FLUSH = 1_000_000
 #: Bytes of text whose tokens are numbered together.
 RUN = 8 << 20
 #: Entries of a block of neighbours, about, and the parts that they are dealt to at most.
 BLOCK, PARTS = 1 << 20, 4096
+#: Rare words that are placed together, and what a task holds of them, about.
+STEP, RARE = 1 << 14, 1 << 18
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts as bytes, the numbers of all their words, and where each text's begin and the last one's end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    coded, offsets = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+    numbers, words = coded.indices.to_numpy(), coded.dictionary.view(pa.binary())
+    blank = pc.index(words, b"").as_py()  # stands beside white space at the ends of a text
+    real = numbers != blank
+    return words, numbers[real], np.append(0, np.cumsum(real))[offsets - offsets[0]]
 
 
-def key_of(word: bytes) -> int:
-    import xxhash
+def rare_words(texts: pa.Array) -> pa.Array:
+    """All words of the rare words of texts, which have one at least each."""
+    return pc.split_pattern(texts.view(pa.string()), " ").flatten().view(pa.binary())
 
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The parts that numbers are dealt to."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.uint16)
 
-def numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct tokens, END first, the numbers of all tokens with an END before each text and after the last, and where these stand."""
-    numbers: defaultdict[bytes, int] = defaultdict()
-    numbers.default_factory = numbers.__len__
-    tokens, ends = [numbers[END]], [0]
-    for text in texts:
-        tokens += map(numbers.__getitem__, text.lower().split())
-        ends.append(len(tokens))
-        tokens.append(0)
-    return list(numbers), np.array(tokens), np.array(ends)
+
+def pieces(parts: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each of the parts, which are in order, with what columns have for it as bytes."""
+    begins = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else np.zeros(0, dtype=int)
+    cuts = [*begins.tolist(), len(parts)]
+    packed = [pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(parts[begins].astype(np.int64)), *packed], names=["part", *columns])
+
+
+def together(pieces: DataFrame, parts: int) -> DataFrame:
+    """Pieces by part, a task for each, so that none gets several where another gets none; the rows of a part one after another."""
+    return pieces.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part")
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
+    """The columns of each part, after together; each is a list of its pieces."""
+    at, rows = None, []
+    for batch in batches:
+        for part, *columns in zip(*(c.to_pylist() for c in batch.columns)):
+            if part != at and rows:
+                yield [list(c) for c in zip(*rows)]
+                rows = []
+            at = part
+            rows.append(columns)
+    if rows:
+        yield [list(c) for c in zip(*rows)]
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, h, n) over all texts, h a hash of the word; counted within tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        found, ends, total = [], 0, 0
 
-        def out() -> pa.RecordBatch:
-            words = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(map(key_of, words), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["word", "h", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            summed = pa.concat_tables(found).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            yield from summed.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches()
 
         for batch in batches:
             for part in common.runs(batch, most=RUN):
-                for text in part.column(0).to_pylist():
-                    counts.update(tokens_of(text))
-                if len(counts) > FLUSH:
-                    yield out()
-                    counts.clear()
-        yield out()
+                words, numbers, _ = split(part.column(0))
+                n = np.bincount(numbers, minlength=len(words))
+                found.append(pa.table({"word": words, "n": n}).filter(pa.array(n > 0)))
+                ends, total = ends + part.num_rows, total + len(words)
+                if total > FLUSH:
+                    yield from out()
+                    found, total = [], 0
+        if ends:
+            found.append(pa.table({"word": pa.array([END], pa.binary()), "n": np.array([ends])}))
+            yield from out()
 
-    return texts.mapInArrow(run, "word binary, h long, n long").groupBy("h", "word").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counts.select("word", F.xxhash64("word").alias("h"), "n")
 
 
 def commonest(counts: DataFrame, most: int) -> DataFrame:
@@ -122,7 +158,7 @@ def encoded(rows: DataFrame, words: list[bytes]) -> DataFrame:
     """id, held_out, uid, ids and rare of rows (id, held_out, text as bytes).
 
     ids are the places of a text's tokens in words (at most HEAD), as 32-bit numbers; len(words) stands
-    for a word that is not there, which rare has, and len(words) + 1 for the end.
+    for a word that is not there, which rare has, with a blank between two, and len(words) + 1 for the end.
     """
     kind, beyond = rows.schema["id"].dataType.simpleString(), len(words)
     sent = rows.sparkSession.sparkContext.broadcast(words)
@@ -130,22 +166,23 @@ def encoded(rows: DataFrame, words: list[bytes]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        get, uid = {w: i for i, w in enumerate(sent.value)}.get, TaskContext.get().partitionId() << 33
+        known, uid = pa.array(sent.value, pa.binary()), TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in common.runs(batch, most=RUN):
-                names, tokens, stops = numbered(part.column(2).to_pylist())
-                tokens, n = tokens[1:], part.num_rows
-                ids = np.array([beyond + 1, *(get(w, beyond) for w in names[1:])], dtype="<i4")[tokens]
-                at = np.flatnonzero(ids == beyond)
+                names, numbers, bounds = split(part.column(2))
+                of, n = pc.fill_null(pc.index_in(names, known), beyond).to_numpy()[numbers], part.num_rows
+                ids, stops, rare = np.full(len(of) + n, beyond + 1, dtype="<i4"), bounds[1:] + np.arange(n), of == beyond
+                ids[np.delete(np.arange(len(ids)), stops)] = of
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rare))[bounds].astype(np.int32)), names.take(pa.array(numbers[rare])))
                 arrays = (
                     pa.array(np.arange(uid, uid + n)),
-                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * stops).astype(np.int32)), pa.py_buffer(ids)]),
-                    pa.ListArray.from_arrays(pa.array(np.searchsorted(at, stops), pa.int32()), pa.array([names[i] for i in tokens[at].tolist()], pa.binary())),
+                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, 4 * (stops + 1)).astype(np.int32)), pa.py_buffer(ids)]),
+                    pc.binary_join(lists, b" "),
                 )
                 uid += n
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["id", "held_out", "uid", "ids", "rare"])
 
-    return rows.mapInArrow(run, f"id {kind}, held_out boolean, uid long, ids binary, rare array<binary>")
+    return rows.mapInArrow(run, f"id {kind}, held_out boolean, uid long, ids binary, rare binary")
 
 
 def flat(column: pa.Array, kind: str = "<i4") -> np.ndarray:
@@ -163,7 +200,7 @@ def neighbours(seen: DataFrame, head: int, tokens: int) -> DataFrame:
     """(w, at, n) as packed arrays, in blocks of whole words: how often at stands by w.
 
     at is a token that stands left of w, or head + 2 and a token that stands right of it. Pairs are
-    summed by pair before they are brought together by word, so a common word is no hot key.
+    dealt and summed by pair before they are brought together by word, so a common word is no hot key.
     """
     size = head + 2
     parts = min(max(1, -(-2 * tokens // (2 * BLOCK))), PARTS)
@@ -172,32 +209,23 @@ def neighbours(seen: DataFrame, head: int, tokens: int) -> DataFrame:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, path in paths(batches, head + 1):
             keys, n = np.unique(path[:-1].astype(np.int64) * size + path[1:], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+            part = part_of(keys, parts)
+            order = np.argsort(part, kind="stable")
+            left, right = np.divmod(keys[order], size)
+            yield pieces(part[order], {"w": left.astype("<i4"), "at": right.astype("<i4"), "n": n[order].astype("<i4")})
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, total = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            (left, right), n = np.divmod(np.concatenate(keys), size), np.concatenate(counts)
+        for columns in by_part(batches):
+            left, right, n = (np.frombuffer(b"".join(c), "<i4") for c in columns)
+            keys = left.astype(np.int64) * size + right
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order].astype("<i8")
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            (left, right), n = np.divmod(keys[first], size), np.add.reduceat(n, first)
             w, at, n = np.append(left, right).astype("<i4"), np.append(right + size, left).astype("<i4"), np.append(n, n)
-            order = np.lexsort((at, w, w % parts))
-            w, at, n = w[order], at[order], n[order]
-            begins = np.append(0, np.flatnonzero(np.diff(w % parts)) + 1)
-            ends = np.append(begins[1:], len(w))
-            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(begins.tolist(), ends.tolist())], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(w[begins] % parts, pa.int64()), cut(w), cut(at), cut(n)], names=["part", "w", "at", "n"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys.append(batch.column(0).to_numpy())
-            counts.append(batch.column(1).to_numpy())
-            total += batch.num_rows
-            if total >= BLOCK:
-                yield out()
-                keys, counts, total = [], [], 0
-        if total:
-            yield out()
+            part = (w % parts).astype(np.uint16)
+            order = np.argsort(part, kind="stable")
+            yield pieces(part[order], {"w": w[order], "at": at[order], "n": n[order]})
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(flat(b.column("w")), flat(b.column("at")), flat(b.column("n"), "<i8")) for b in batches if b.num_rows]
@@ -213,8 +241,8 @@ def neighbours(seen: DataFrame, head: int, tokens: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[begin:end].tobytes()], pa.binary()) for x in (w, at, n)], names=["w", "at", "n"])
             begin = end
 
-    summed = seen.select("ids").mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return summed.mapInArrow(dealt, f"part long, {fields}").repartition(parts, "part").mapInArrow(merged, fields)
+    summed = together(seen.select("ids").mapInArrow(pairs, f"part long, {fields}"), parts)
+    return summed.mapInArrow(dealt, f"part long, {fields}").repartitionById(parts, F.col("part").cast("int")).mapInArrow(merged, fields)
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -352,38 +380,62 @@ def exchanged(near: DataFrame, of: np.ndarray, table: np.ndarray, tolerance: flo
     return best
 
 
-def contexts(seen: DataFrame, of: np.ndarray, size: int) -> DataFrame:
-    """(h, at, n): for each word beyond the head, how often a class stands left (at < size) or right of it."""
-    head = len(of) - 2
+def placed(seen: DataFrame, of: np.ndarray, table: np.ndarray, tokens: int) -> DataFrame:
+    """(word, n, class, at): each word beyond the head, with its count and the best class that the class table gives it.
+
+    Rows without a word have how often a class stands left (at < size) or right of such words of a class.
+    tokens is how many of all tokens they are.
+    """
+    head, size, gains = len(of) - 2, len(table), gains_of(table)
+    classes, parts = size - 2, min(max(1, -(-2 * tokens // RARE)), PARTS)
     sent = seen.sparkSession.sparkContext.broadcast(of)  # at most HEAD + 2 numbers
+    fields = "words binary, owner binary, at binary, n binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, path in paths(batches, head + 1):
             at, kinds = np.flatnonzero(path == head), sent.value[path]
             numbers: defaultdict[bytes, int] = defaultdict()
             numbers.default_factory = numbers.__len__
-            words = np.array([numbers[w] for w in part.column("rare").flatten().to_pylist()], dtype=np.int64) * 2 * size
-            h = np.array([key_of(w) for w in numbers], dtype=np.int64)
+            words = np.array([numbers[w] for w in b" ".join(part.column("rare").to_pylist()).split(b" ")])
+            names, dealt = list(numbers), np.array([zlib.crc32(w) % parts for w in numbers])
+            order = np.argsort(dealt, kind="stable")
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            words = place[words] * 2 * size
             keys, n = np.unique(np.concatenate([words + kinds[at - 1], words + size + kinds[at + 1]]), return_counts=True)
             owners, places = np.divmod(keys, 2 * size)
-            yield pa.RecordBatch.from_arrays([pa.array(h[owners]), pa.array(places), pa.array(n)], names=["h", "at", "n"])
-
-    found = seen.where(F.size("rare") > 0).select("ids", "rare").mapInArrow(run, "h long, at long, n long")
-    return found.groupBy("h", "at").agg(F.sum("n").alias("n"))
-
-
-def placed(found: DataFrame, table: np.ndarray) -> DataFrame:
-    """(h, class): the best class of each word of contexts, given the class table."""
-    size, gains = len(table), gains_of(table)
-    lists = found.groupBy("h").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))  # at most 2 size entries a word
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
-            seen = np.bincount(rows * 2 * size + batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy(), batch.num_rows * 2 * size).reshape(-1, 2 * size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.argmax(seen @ gains, axis=1), pa.int64())], names=["h", "class"])
-
-    return lists.mapInArrow(run, "h long, class long")
+            # Words are in the order of their parts, each part's with numbers of its own; each word has an entry.
+            begins = np.searchsorted(dealt[order], np.arange(parts))
+            part_of_entry = dealt[order][owners]
+            rows = pieces(part_of_entry, {"owner": (owners - begins[part_of_entry]).astype("<i4"), "at": places.astype("<i4"), "n": n.astype("<i4")})
+            ends, names = np.append(begins[1:], len(order)), [names[i] for i in order.tolist()]
+            blobs = pa.array([b" ".join(names[begins[p] : ends[p]]) for p in rows.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column(0), blobs, *rows.columns[1:]], names=["part", "words", "owner", "at", "n"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, names = np.zeros((classes, 2 * size)), ["word", "n", "class", "at"]
+        for blobs, *columns in by_part(batches):
+            numbers: defaultdict[bytes, int] = defaultdict()
+            numbers.default_factory = numbers.__len__
+            own, at, n = ([np.frombuffer(x, "<i4") for x in c] for c in columns)
+            owner = np.concatenate([np.array([numbers[w] for w in b.split(b" ")])[o] for b, o in zip(blobs, own)])
+            at, n, words = np.concatenate(at), np.concatenate(n), list(numbers)
+            order = np.argsort(owner, kind="stable")
+            owner, at, n = owner[order], at[order], n[order]
+            for begin in range(0, len(words), STEP):
+                some, here = words[begin : begin + STEP], slice(*np.searchsorted(owner, [begin, begin + STEP]))
+                seen = np.bincount((owner[here] - begin) * 2 * size + at[here], n[here], len(some) * 2 * size).reshape(-1, 2 * size)
+                kinds = np.argmax(seen @ gains, axis=1)
+                sums += np.eye(classes)[kinds].T @ seen
+                # A token beyond the head has one neighbour to its left.
+                arrays = pa.array(some, pa.binary()), pa.array(seen[:, :size].sum(1).astype(np.int64)), pa.array(kinds, pa.int64()), pa.nulls(len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([*arrays], names=names)
+        kinds, at = np.nonzero(sums)
+        arrays = pa.nulls(len(at), pa.binary()), pa.array(sums[kinds, at].astype(np.int64)), pa.array(kinds, pa.int64()), pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([*arrays], names=names)
+
+    found = seen.where(F.length("rare") > 0).select("ids", "rare").mapInArrow(contexts, f"part long, {fields}")
+    return together(found, parts).mapInArrow(best, "word binary, n long, class long, at long")
 
 
 @dataclass
@@ -394,8 +446,10 @@ class Model:
     all_tokens: int
     distinct: int
     ends: int
-    #: word, h, n and class of every training word but the end.
+    #: word, n and class of every training word but the end.
     vocabulary: DataFrame
+    #: The same of the words beyond the head.
+    beyond: DataFrame
     #: word: (n, class) of the commonest.
     head: dict[bytes, tuple[int, int]]
     transition: np.ndarray
@@ -425,20 +479,19 @@ def fitted(counts: DataFrame, top: pd.DataFrame, seen: DataFrame, seeds: int, cl
     of = np.append(class_of[:seeds], [classes] * (head - seeds) + [classes, classes + 1]).astype(np.int32)
     of, pairs = exchanged(near, of, member.T @ bigrams @ member)
 
-    found = common.materialise(contexts(seen, of, classes + 2))
-    others = common.materialise(placed(found, pairs))
-    known = counts.sparkSession.createDataFrame(pa.table({"h": pa.array(top["h"], pa.int64()), "class": pa.array(of[:head], pa.int64())}))
-    vocabulary = counts.where(F.col("word") != F.lit(END)).join(others.unionByName(known), "h", "left")
-    vocabulary = common.materialise(vocabulary.withColumn("class", F.coalesce("class", F.lit(0))))
-    met = found.join(others, "h").groupBy("class", "at").agg(F.sum("n").alias("n")).collect()  # at most 2 (classes + 2) squared rows
+    found = common.materialise(placed(seen, of, pairs, int(all_tokens) - ends - int(top["n"].sum())))
+    beyond = found.where("word IS NOT NULL").select("word", "n", "class")
+    known = counts.sparkSession.createDataFrame(pa.table({"word": pa.array(top["word"], pa.binary()), "n": pa.array(top["n"], pa.int64()), "class": pa.array(of[:head], pa.int64())}))
+    met = found.where("word IS NULL").groupBy("class", "at").agg(F.sum("n").alias("n")).collect()  # at most 2 (classes + 2) squared rows
     transition = class_table(met, pairs)
-    scale = np.full(classes, 0.5)
-    for k, n, size in vocabulary.groupBy("class").agg(F.sum("n"), F.count("*")).collect():
-        scale[k] = n + 0.5 * size
+    scale = np.bincount(of[:head], top["n"] + 0.5, classes).astype(float)
+    for k, n, size in beyond.groupBy("class").agg(F.sum("n"), F.count("*")).collect():
+        scale[k] += n + 0.5 * size
+    scale[scale == 0] = 0.5
     kinds = classes + 2
     logs = np.log10((transition + 0.5) / (transition.sum(1, keepdims=True) + 0.5 * kinds))
     table = dict(zip(top["word"], zip(top["n"].tolist(), of[:head].tolist())))
-    return Model(classes, int(all_tokens), int(distinct), int(ends), vocabulary, table, logs, np.append(scale, [1.0, 1.0]))
+    return Model(classes, int(all_tokens), int(distinct), int(ends), beyond.unionByName(known), beyond, table, logs, np.append(scale, [1.0, 1.0]))
 
 
 def class_table(rows: list, pairs: np.ndarray) -> np.ndarray:
@@ -503,30 +556,57 @@ def scored_ids(seen: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns[:3], *arrays], names=["id", "held_out", "uid", "n_tokens", "known", "base", "local"])
 
     def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_of = sent.value[2]
+        class_of = sent.value[2].astype(np.int16)
         for part, path in paths(batches, head + 1):
             kinds, at = class_of[path], np.flatnonzero(path == head)
-            uid = np.repeat(part.column("uid").to_numpy(), np.diff(part.column("rare").offsets.to_numpy()))
-            arrays = pa.array(uid), pa.array(at), part.column("rare").flatten(), pa.array(kinds[at - 1]), pa.array(kinds[at + 1])
+            stops = np.cumsum([len(x) // 4 for x in part.column("ids").to_pylist()])  # the ends, in path
+            uid = part.column("uid").to_numpy()[np.searchsorted(stops, at)]
+            arrays = pa.array(uid), pa.array(at.astype(np.int32)), rare_words(part.column("rare")), pa.array(kinds[at - 1]), pa.array(kinds[at + 1])
             yield pa.RecordBatch.from_arrays([*arrays], names=["uid", "place", "word", "before", "after"])
 
     kind = seen.schema["id"].dataType.simpleString()
     local = seen.select("id", "held_out", "uid", "ids").mapInArrow(run, f"id {kind}, held_out boolean, uid long, n_tokens long, known long, base double, local double")
-    tail = seen.where(F.size("rare") > 0).select("uid", "ids", "rare").mapInArrow(beyond, "uid long, place long, word binary, before long, after long")
-    met = tail.join(model.vocabulary.select("word", "n", "class"), "word", "left").select("uid", "place", "before", "after", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(unseen)).alias("class"))
-    # What stands before a rare word and is rare too is the one before it in the list.
-    before = F.when(F.col("before") >= 0, F.col("before")).otherwise(F.lag("class").over(Window.partitionBy("uid").orderBy("place")))
-    met = met.withColumn("before", before)
+    rare = seen.where(F.length("rare") > 0)
+    size = rare.agg(F.coalesce(F.sum(F.length("rare")), F.lit(0))).first()[0]
+    parts = min(max(1, -(-size // (8 * RARE))), PARTS)
+    tail = rare.select("uid", "ids", "rare").mapInArrow(beyond, "uid long, place int, word binary, before short, after short")
+    met = tail.join(model.beyond, "word", "left").select("uid", "place", "before", "after", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(unseen)).cast("short").alias("class"))
+    fields = {"uid": "<i8", "place": "<i4", "before": "<i2", "after": "<i2", "n": "<i8", "class": "<i2"}
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def out() -> pa.RecordBatch:
+            columns = {c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in fields}
+            part = part_of(columns["uid"], parts)
+            order = np.argsort(part, kind="stable")
+            return pieces(part[order], {c: x[order].astype(fields[c]) for c, x in columns.items()})
 
-    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            before, after, n, k = (batch.column(c).to_numpy() for c in ("before", "after", "n", "class"))
+            held.append(batch)
+            total += batch.num_rows
+            if total >= RARE:
+                yield out()
+                held, total = [], 0
+        if total:
+            yield out()
+
+    model_emission = Model(model.classes, 0, 0, 0, None, None, {}, transition, model.scale).emission  # without the tables
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in by_part(batches):
+            uid, place, before, after, n, k = (np.frombuffer(b"".join(x), kind) for x, kind in zip(columns, fields.values()))
+            order = np.lexsort((place, uid))
+            uid, before, after, n, k = (x[order] for x in (uid, before, after, n, k))
+            # What stands before a rare word and is rare too is the one before it in the text.
+            before = np.where(before >= 0, before, np.append(k[:1], k[:-1]))
             own = model_emission(n, k) + transition[before, k] + np.where(after >= 0, transition[k, np.maximum(after, 0)], 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.log10(n + 0.5)), pa.array(own), pa.array((n > 0).astype(np.int64))], names=["uid", "base", "own", "known"])
+            first = np.flatnonzero(np.append(True, uid[1:] != uid[:-1]))
+            sums = (pa.array(np.add.reduceat(x, first)) for x in (np.log10(n + 0.5), own, (n > 0).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(uid[first]), *sums], names=["uid", "base_more", "more", "known_more"])
 
-    model_emission = Model(model.classes, 0, 0, 0, None, {}, transition, model.scale).emission  # without the tables
-    sums = met.select("uid", "before", "after", "n", "class").mapInArrow(logs, "uid long, base double, own double, known long")
-    sums = sums.groupBy("uid").agg(F.sum("base").alias("base_more"), F.sum("own").alias("more"), F.sum("known").alias("known_more"))
+    sums = together(met.mapInArrow(dealt, "part long, " + ", ".join(f"{c} binary" for c in fields)), parts)
+    sums = sums.mapInArrow(logs, "uid long, base_more double, more double, known_more long")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return local.join(sums, "uid", "left").select(
         "id",

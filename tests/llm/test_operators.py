@@ -11,10 +11,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fonoteca.llm import class_lm, decontaminate, html_text, near_dup, packing, pii, quality, queries, repeats, rules, secrets
+from fonoteca.llm import class_lm, common, decontaminate, html_text, near_dup, packing, pii, quality, queries, repeats, rules, secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, spans string, key string"
 rng = random.Random(4)
@@ -727,6 +728,54 @@ def test_class_model_brings_neighbours_together_and_exchanges_them(docs, monkeyp
     assert (table == own).all() and class_lm.likelihood(table) >= class_lm.likelihood(start)
 
 
+def rows_shuffled(spark, df):
+    """The rows that df's stages hand to each other."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    stages = lambda: context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    context.listenerBus().waitUntilEmpty(30_000)
+    listed = stages()
+    before = {listed.apply(i).stageId() for i in range(listed.size())}
+    df.write.format("noop").mode("overwrite").save()
+    context.listenerBus().waitUntilEmpty(30_000)
+    listed = stages()
+    return sum(listed.apply(i).shuffleWriteRecords() for i in range(listed.size()) if listed.apply(i).stageId() not in before)
+
+
+def test_class_model_hands_on_arrays_and_not_pairs(spark):
+    """A row for each part of a run, however many pairs of words stand next to each other; one row a pair cost most of the CPU."""
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.coalesce("text", F.lit("")).cast("binary").alias("__text"))
+    counts, top = class_lm.counted(texts, 500)
+    seen = common.materialise(class_lm.encoded(texts.select(F.lit(1).alias("id"), F.lit(False).alias("held_out"), "__text"), top["word"].tolist()))
+    near = class_lm.neighbours(seen, len(top), int(counts.agg(F.sum("n")).first()[0]))
+    pairs = sum(len(bytes(r["w"])) // 8 for r in near.collect())
+    assert pairs > 5000 and 0 < rows_shuffled(spark, near) < pairs / 50
+
+
+def test_class_model_in_many_parts(docs, monkeypatch):
+    """Rare words and their tokens dealt to many parts, and placed a few at a time, have the same classes, counts and scores."""
+
+    def results():
+        rows = docs.select(F.col("doc_id").alias("id"), F.lit(False).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("__text"))
+        model = class_lm.train(rows.where("id % 3 > 0").select("__text"), 40, 20, 4)
+        words = sorted((bytes(r["word"]), r["n"], r["class"]) for r in model.vocabulary.collect())
+        return words, model.scale.tolist(), sorted((str(r["id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in class_lm.scored(rows, model).collect())
+
+    want = results()
+    for name, least in (("RARE", 4000), ("STEP", 7), ("FLUSH", 10), ("RUN", 30_000)):
+        monkeypatch.setattr(class_lm, name, least)
+    assert results() == want and len(want[0]) > 100
+
+
+def test_words_of_the_class_model_are_those_of_split():
+    """Whatever the bytes: only six of them cut, and A-Z alone are lower-cased."""
+    odd = [b"", b" ", b"A", b" a\tB\n", *(b"x" + bytes([i]) + b"Y" for i in range(256)), "\u00a0É\u2003İ\u0085 É".encode(), b"\x0b\x0c\r\xff\xfe Z  Z"]
+    for texts in (odd, odd[1:3], [b""], [b" \n"]):
+        column = pa.array([b"left out", *texts], pa.binary()).slice(1)
+        words, numbers, bounds = class_lm.split(column)
+        got = [words[i].as_py() for i in numbers.tolist()]
+        assert [got[i:j] for i, j in zip(bounds, bounds[1:])] == [t.lower().split() for t in texts]
+
+
 def test_exchange_finds_the_classes():
     """Symbols of two kinds that alternate end in two classes."""
     n = 10
